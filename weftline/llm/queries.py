@@ -1,15 +1,17 @@
 """Registered queries of the training-data operators and the SQL of those that SQL can express."""
 
-from . import langid, packing, pii, sharding, simhash, toxicity, urlfilter
+from . import langid, packing, pieces, pii, quality, sharding, simhash, toxicity, urlfilter
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_packing": packing.op2_packing,
     "op3_langid": langid.op3_langid,
     "op4_urlfilter": urlfilter.op4_urlfilter,
+    "op5_pieces": pieces.op5_pieces,
     "op6_pii": pii.op6_pii,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_simhash": simhash.op8_simhash,
+    "op9_quality": quality.op9_quality,
 }
 
 ORACLES = {"op4_urlfilter": urlfilter.OP4_SQL}
