@@ -1,6 +1,6 @@
 """Registered queries of the training-data operators and the SQL of those that SQL can express."""
 
-from . import langid, packing, pieces, pii, quality, sharding, simhash, toxicity, urlfilter
+from . import langid, packing, pieces, pii, quality, sharding, simhash, spotsigs, toxicity, urlfilter
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_simhash": simhash.op8_simhash,
     "op9_quality": quality.op9_quality,
+    "op10_spotsigs": spotsigs.op10_spotsigs,
 }
 
 ORACLES = {"op4_urlfilter": urlfilter.OP4_SQL}
