@@ -78,7 +78,7 @@ def links(fps: DataFrame) -> DataFrame:
     sizes = cut(sizes)
     pairs = sizes.where(F.col("n") == 2).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS).select("a", "b").distinct()
     crowded = cell.join(sizes.where(F.col("n") > 2).select("cell"), "cell", "left_semi")
-    middle = crowded.select("fp", "cell", F.explode(midpoints(F.col("fp"))).alias("mid")).where(point(F.col("mid")) == F.col("cell"))
+    middle = crowded.select("fp", "cell", F.explode(F.filter(midpoints(F.col("fp")), lambda m: point(m) == F.col("cell"))).alias("mid"))  # 1 or at most 4
     star = middle.groupBy("mid").agg(F.min("fp").alias("a"), F.collect_set("fp").alias("all")).where(F.size("all") > 1)  # at most 65 fingerprints
     return pairs.union(star.select("a", F.explode("all").alias("b")).where(F.col("a") != F.col("b")).distinct())
 
