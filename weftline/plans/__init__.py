@@ -1,3 +1,3 @@
 """Registered queries, composed of the operators."""
 
-from . import series, verdicts
+from . import filings, panels, series, verdicts

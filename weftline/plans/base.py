@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from weftline.operators import filters, network, panel, scoring, windows
 from weftline.sources.readers import parquet
+from weftline.sources.shared import once
 
 WIDTH, STEP = 20, 3
 
@@ -37,19 +38,19 @@ def weekly_returns(spark, d: str) -> DataFrame:
 
 def weekly_windows(spark, d: str, width: int = WIDTH, step: int = STEP) -> tuple[DataFrame, DataFrame]:
     """Window members ``win, pos, ts, node, ret`` and the windows' ends."""
-    ret = weekly_returns(spark, d)
+    ret = once(weekly_returns(spark, d))  # some thousand dates by nodes, whatever the size of the facts
     a = panel.axis(ret)
     return windows.members(ret, a, width, step), windows.hops(a, width, step)
 
 
 def edges(spark, d: str) -> DataFrame:
-    return network.correlations(weekly_windows(spark, d)[0])
+    return once(network.correlations(weekly_windows(spark, d)[0]))
 
 
 def index_series(spark, d: str) -> DataFrame:
     """``win, end_ts, gapless, mean_abs_corr, clustering``: one row for each window, thousands at any data size."""
     m, ends = weekly_windows(spark, d)
-    return network.factors(network.correlations(m)).join(ends, "win")
+    return once(network.factors(once(network.correlations(m))).join(ends, "win"))
 
 
 def scored(spark, d: str) -> DataFrame:

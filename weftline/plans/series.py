@@ -5,14 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from weftline.catalog import query
-from weftline.operators import filters, network, panel, portfolio, windows
+from weftline.operators import filters, network, panel, windows
 from weftline.sources.readers import parquet
 
 from .base import EDGES, FACTORS, PANEL, RETURNS, WINDOWS, edges, hourly, index_series, nation_weekly, r, weekly, weekly_returns, weekly_windows
 
-NODES = ["ECONOMY", "STANDARD"]
-
-
 @query(f"WITH {PANEL} SELECT ts, node, round(value, 2) AS value FROM panel")
 def panel_weekly(spark, d):
     return weekly(spark, d).select("ts", "node", r("value", 2).alias("value"))
@@ -209,5 +206,3 @@ def event_panel_zscore(spark, d):
     s = z.agg(F.avg("gapless").alias("m"), F.stddev_samp("gapless").alias("s"))
     return z.join(F.broadcast(s)).select("end_ts", r((F.col("gapless") - F.col("m")) / F.col("s"), 5).alias("z"))  # one row
 
-
-__all__ = ["portfolio"]

@@ -20,12 +20,13 @@ def crisis_label(spark, d):
 
 @query(f"""WITH {RETURNS}, m AS (SELECT ts, avg(ret) AS ret FROM rets GROUP BY ts),
 w AS (SELECT ts, CASE WHEN count(*) OVER a = 20 THEN avg(ret) OVER a END AS back, CASE WHEN count(*) OVER b = 10 THEN avg(ret) OVER b END AS ahead FROM m WINDOW a AS (ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), b AS (ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING))
-SELECT ts, back < -0.01 AS trailing_stress, ahead < -0.01 AS ahead_stress FROM w""")
+SELECT ts, CAST(CASE WHEN back < -0.01 THEN 1 WHEN back >= -0.01 THEN 0 ELSE -1 END AS INTEGER) AS trailing_stress, CAST(CASE WHEN ahead < -0.01 THEN 1 WHEN ahead >= -0.01 THEN 0 ELSE -1 END AS INTEGER) AS ahead_stress FROM w""")
 def return_label(spark, d):
     m = weekly_returns(spark, d).groupBy("ts").agg(F.avg("ret").alias("ret"))  # one row a date
     back, ahead = Window.orderBy("ts").rowsBetween(-19, 0), Window.orderBy("ts").rowsBetween(1, 10)
     mean = lambda w, n: F.when(F.count(F.lit(1)).over(w) == n, F.avg("ret").over(w))
-    return m.select("ts", (mean(back, 20) < -0.01).alias("trailing_stress"), (mean(ahead, 10) < -0.01).alias("ahead_stress"))
+    flag = lambda x: F.when(x < -0.01, 1).when(x >= -0.01, 0).otherwise(-1)  # noqa: E731  -1: not enough rows
+    return m.select("ts", flag(mean(back, 20)).alias("trailing_stress"), flag(mean(ahead, 10)).alias("ahead_stress"))
 
 
 F1_SQL = """SELECT metric, list, tp, fp, fn, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1
