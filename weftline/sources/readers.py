@@ -32,7 +32,7 @@ def filings(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.get(parts, 0).alias("company"), F.get(parts, 1).alias("filed"), F.get(parts, 2).alias("base"), F.col("value").alias("text"))
 
 
-FACTS = "struct<facts: map<string, map<string, struct<units: map<string, array<struct<`start`: string, `end`: string, val: double, form: string, filed: string>>>>>>"
+FACTS = "struct<facts: map<string, map<string, struct<units: map<string, array<struct<`start`: string, `end`: string, val: double, form: string, filed: string>>>>>>>"
 
 
 def company_facts(json: DataFrame, column: str = "json", company: str = "company") -> DataFrame:
