@@ -1,0 +1,459 @@
+"""Training-data operators against brute force, round trips and held-out accuracy; nulls, ties, repeats, empty tables, clashing names."""
+
+import random
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
+
+from weftline.llm import langid, packing, pieces, pii, quality, sharding, simhash, spotsigs, toxicity, urlfilter
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def odd_documents(spark):
+    """Null, empty, white-space, very long and repeated texts, null and repeated keys, and a column that clashes with internal names."""
+    rows = [(1, None, "en", "a", 0), (2, "", None, None, 0), (3, " \t\n", "en", "a", 3), (4, "the cat sat on the mat " * 4000, "en", "a", 9), (5, "the same text", "en", "b", 1), (6, "the same text", "en", "b", 1), (6, "the same text", "en", "b", 1), (None, "no key", "fr", "c", 1), (7, "1234 5678", "de", None, 1)]
+    return spark.createDataFrame(rows, SCHEMA).withColumn("_key", F.lit(9)).withColumn("shard", F.lit("x")).withColumn("_text", F.lit("y"))
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+
+
+# sharding
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.integers(0, 400), max_size=12), st.integers(1, 9), st.integers(0, 99))
+def test_communication_matrix(sizes, shards, seed):
+    m = sharding.communication_matrix(sizes, shards, seed)
+    assert m.sum(axis=1).tolist() == sizes
+    columns = m.sum(axis=0)
+    assert columns.max() - columns.min() <= 1
+
+
+def test_shards_are_exact_and_gapless(spark, docs):
+    got = sharding.shard(docs, 7, rows_per_block=5).select("doc_id", "shard", "slot").collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r["shard"]].append(r["slot"])
+    assert sorted(r["doc_id"] for r in got) == sorted(r["doc_id"] for r in docs.collect())
+    assert {len(v) for v in by.values()} <= {200 // 7, 200 // 7 + 1}
+    assert all(sorted(v) == list(range(len(v))) for v in by.values())
+
+
+def test_shard_order_is_mixed(spark):
+    """No correlation is left between a row's place before and after."""
+    got = sharding.shard(spark.range(4000), 4).orderBy("id").collect()
+    x, y = np.arange(4000), np.array([r["shard"] * 1000 + r["slot"] for r in got])
+    assert abs(np.corrcoef(x, y)[0, 1]) < 0.06
+    neighbours = Counter(a["shard"] == b["shard"] for a, b in zip(got, got[1:]))
+    assert abs(neighbours[True] / 3999 - 0.25) < 0.04
+
+
+def test_shard_odd_and_empty(spark):
+    d = odd_documents(spark)
+    out = sharding.shard(d, 8)
+    assert out.count() == d.count() and dict(out.dtypes)["shard"] == "int"
+    assert sharding.shard(d.limit(0), 8).count() == 0
+
+
+# packing
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 30), st.sampled_from(["a", "b", "c", None]), st.sampled_from(["x", "y", None])), max_size=40))
+def test_best_fit_is_the_tightest_compatible_bin(items):
+    lengths, sources, clusters = [list(c) for c in zip(*items)] if items else ([], [], [])
+    bins, offsets = packing.best_fit(lengths, sources, clusters, 30)
+    state = []
+    for i in sorted(range(len(items)), key=lambda i: (-lengths[i], i)):
+        fits = [(30 - used, b) for b, (used, s, c) in enumerate(state) if used + lengths[i] <= 30 and (sources[i] is None or sources[i] not in s) and (clusters[i] is None or clusters[i] not in c)]
+        b = min(fits)[1] if fits else len(state)
+        if not fits:
+            state.append((0, set(), set()))
+        assert bins[i] == b and offsets[i] == state[b][0]
+        used, s, c = state[b]
+        state[b] = (used + lengths[i], s | {sources[i]} - {None}, c | {clusters[i]} - {None})
+
+
+def test_pack_keeps_every_byte(spark, docs):
+    items = packing.items_of(docs)
+    got = packing.pack(items, 1000).collect()
+    want = {r["doc_id"]: r["length"] for r in items.collect()}
+    total, fill = Counter(), Counter()
+    for r in got:
+        assert r["start"] == r["piece"] * 1000
+        total[r["doc_id"]] += r["length"]
+        fill[r["bin"]] += r["length"]
+    assert total == want and max(fill.values()) <= 1000
+
+
+def test_pack_odd_and_empty(spark):
+    items = packing.items_of(odd_documents(spark))
+    got = packing.pack(items, 500)
+    assert got.select("doc_id").where("doc_id = 6").count() == 2
+    assert got.where("doc_id is null").count() == 1
+    assert packing.pack(items.limit(0), 500).count() == 0
+
+
+# language
+
+
+def test_presence_kernel():
+    p, norm = langid.presence(["abcabc", "abc", ""])
+    assert p[0].sum() >= p[1].sum() and norm[2] == 1
+    assert (p @ p.T)[0, 1] / norm[0] / norm[1] <= 1 + 1e-6
+
+
+def test_languages_held_out(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.learn(d.where(~langid.held_out()), 60)
+    got = langid.predict(d.where(langid.held_out()), model).join(d, "doc_id")
+    assert got.where("lang = lang_pred").count() / got.count() > 0.95
+    assert got.where("score < 0 or score > 1").count() == 0
+
+
+def test_language_odd_and_empty(spark, docs):
+    d = odd_documents(spark)
+    got = {(r["doc_id"], r["lang_pred"]) for r in langid.predict(d, langid.learn(docs, 20)).collect()}
+    assert {(1, "und"), (2, "und"), (3, "und"), (7, "und")} <= got and len([g for g in got if g[0] == 4]) == 1
+    none = langid.learn(d.limit(0))
+    assert {r["lang_pred"] for r in langid.predict(d, none).collect()} == {"und"}
+    assert langid.predict(d.limit(0), none).count() == 0
+    assert {r["doc_id"] for r in langid.keep_known_languages(spark, docs, "").collect()} <= {r["doc_id"] for r in docs.collect()}
+
+
+# urls
+
+
+def brute_rule(host, path, rules):
+    fits = [(len(h + p), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return max(fits)[1:] if fits else (None, "allow")
+
+
+def test_url_rules_against_all_rules(spark):
+    rng = random.Random(1)
+    hosts = ["com", "a.com", "b.a.com", "c.b.a.com", "ab.com", "net", "x.net", ""]
+    paths = ["", "/", "/en/", "/en/x", "/es/", "/e"]
+    rules = [(h, p, rng.choice(["allow", "block"])) for h in hosts[:-2] for p in ("/", "/en/", "/en/x", "") if rng.random() < 0.7]
+    urls = [(i, f"http://{rng.choice(hosts).upper() if i % 5 == 0 else rng.choice(hosts)}{rng.choice(paths)}{rng.choice(['', '?q=/x', '#f'])}") for i in range(300)]
+    urls += [(900 + i, u) for i, u in enumerate([None, "", "no scheme", "://", "a://b://c/d", "http://a.com", "http://a.com?x"])]
+    got = urlfilter.judge(spark.createDataFrame(urls, "page_id long, url string"), spark.createDataFrame(rules, "host string, path string, verdict string")).collect()
+    assert len(got) == len(urls)
+    for r in got:
+        u = dict(urls)[r["page_id"]]
+        rest = u.split("://", 1)[1] if u and "://" in u else None
+        cut = min([rest.find(c) for c in "/?#" if c in rest] or [len(rest)]) if rest is not None else 0
+        host = rest[:cut].lower() if rest is not None else ""
+        path = rest[cut:] if rest is not None else ""
+        path = path[: min([path.find(c) for c in "?#" if c in path] or [len(path)])]
+        assert (r["host"], r["path"]) == (host, path)
+        assert (r["rule"], r["verdict"]) == brute_rule(host, path, rules)
+
+
+def test_url_empty(spark):
+    rules = spark.createDataFrame(urlfilter.RULES, "host string, path string, verdict string")
+    none = spark.createDataFrame([], "page_id long, url string, host string, _key string")
+    assert urlfilter.judge(none, rules).count() == 0
+    one = spark.createDataFrame([(1, "http://a.com/", "h", "k")], none.schema)
+    assert urlfilter.judge(one, rules.limit(0)).first()["rule"] is None
+
+
+# pieces
+
+
+@pytest.fixture(scope="module")
+def vocabulary():
+    return pieces.Vocabulary.load()
+
+
+def test_trie_finds_all_pieces(vocabulary):
+    t = vocabulary.trie
+    for i in range(300, 32000, 97):
+        s = 0
+        for b in vocabulary.pieces[i].encode():
+            s = int(t.step(np.array([s]), np.array([b]))[0])
+        assert t.value[s] == i
+
+
+def brute_score(v, segment):
+    """Best total score by plain dynamic programming over all substrings."""
+    known = {p: v.scores[i] for i, p in enumerate(v.pieces) if not p.startswith("<")}
+    best = [0.0] + [-1e99] * len(segment)
+    for j in range(1, len(segment) + 1):
+        for i in range(max(0, j - 20), j):
+            s = known.get(segment[i:j])
+            if s is None and j - i == 1:
+                s = v.unknown
+            if s is not None:
+                best[j] = max(best[j], best[i] + s)
+    return best[-1]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(st.sampled_from("abthe ns\n\té中😀﷽▂"), max_size=30))
+def test_viterbi_score_and_round_trip(vocabulary, text):
+    ids = vocabulary.encode([text])[0]
+    assert vocabulary.decode(ids.tolist()) == text
+    for segment in vocabulary.cutter().findall("▁" + text.replace(" ", "▁")) if text else []:
+        got = np.frombuffer(vocabulary.viterbi([segment])[0], np.int32)
+        single = set(vocabulary.byte_ids)
+        lost = sum(1 for c in segment if not any(vocabulary.pieces[i] == c for i in range(259, 32000))) if any(int(i) in single for i in got) else 0
+        score = sum(vocabulary.scores[i] for i in got if int(i) not in single) + lost * vocabulary.unknown
+        assert score == pytest.approx(brute_score(vocabulary, segment))
+
+
+def test_pieces_odd_and_empty(spark, vocabulary):
+    d = odd_documents(spark)
+    enc = pieces.encode(d, vocabulary)
+    rows = {(r["doc_id"], r["same"], None if r["ids"] is None else len(r["ids"]) > 0) for r in enc.collect()}
+    assert (1, None, None) in rows and (2, True, False) in rows and (4, True, True) in rows
+    assert pieces.decode(enc, vocabulary).where("doc_id = 4").first()["text"] == "the cat sat on the mat " * 4000
+    assert pieces.encode(d.limit(0), vocabulary).count() == 0
+
+
+# privacy
+
+
+def luhn(s):
+    d = [int(x) for x in s][::-1]
+    return (sum(d[::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])) % 10 == 0
+
+
+def hide(spark, texts, key="k"):
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r["text"] for r in pii.pseudonymize(d, key).orderBy("doc_id").collect()]
+
+
+def test_pseudonyms_keep_their_format_and_link(spark):
+    a, b, c, d = hide(spark, ["x 4173893178530722.", "4173 8931 7853 0722", "on 1999-12-31, +1 (755) 555-9729!", "10.20.30.40 hein.19@mail5.example.com 123-45-6789"])
+    assert luhn(a[2:18]) and a[:2] == "x " and a[18] == "." and a[2:18] != "4173893178530722"
+    assert b.replace(" ", "") == a[2:18]
+    import re
+
+    assert re.fullmatch(r"on (19|20)\d\d-\d\d-\d\d, \+1 \([2-9]\d\d\) [2-9]\d\d-\d{4}!", c) and "1999-12-31" not in c
+    assert re.fullmatch(r"(\d+\.){3}\d+ \S+@\S+\.example \d{3}-\d{2}-\d{4}", d) and "hein" not in d and "123-45" not in d
+    assert hide(spark, ["x 4173893178530722."], "other")[0] != a
+
+
+def test_invalid_values_stay(spark):
+    same = ["4173893178530723", "1999-02-30", "666-45-6789", "1.2.3", "300.1.1.1", "nothing", "", None, "12345678901234567890"]
+    assert hide(spark, same) == same
+
+
+def test_feistel_is_a_permutation(spark):
+    d = spark.range(7 * 11).select(pii.feistel(F.floor(F.col("id") / 11), F.col("id") % 11, 7, 11, "k", "t").alias("p"))
+    got = {(r["p"]["l"], r["p"]["r"]) for r in d.collect()}
+    assert got == {(i, j) for i in range(7) for j in range(11)}
+
+
+def test_privacy_odd(spark):
+    d = odd_documents(spark)
+    out = pii.hide_personal_data(spark, d, "")
+    assert out.columns == d.columns and out.count() == d.count()
+    assert pii.pseudonymize(d.limit(0), "k").count() == 0
+
+
+# toxicity
+
+
+def test_severity_orders_and_catches(spark):
+    rng = random.Random(0)
+    clean = [" ".join(rng.choices("the of and cat dog sun moon tree".split(), k=30)) for _ in range(300)]
+    bad = [" ".join(rng.choices("the of and cat dog sun moon tree".split(), k=25) + rng.sample(["scum", "idiot", "trash", "moron"], k=rng.choice([1, 2, 4]))) for _ in range(80)]
+    m = toxicity.fit(clean + bad, [0] * 300 + [1] * 80)
+    assert m.cuts == sorted(m.cuts)
+    one, three = m.expected("the cat scum"), m.expected("scum idiot trash moron")
+    assert m.expected("the cat sat") < toxicity.REJECT < one < three <= toxicity.TOP
+    assert np.mean([m.expected(t) >= toxicity.REJECT for t in bad]) > 0.95
+    assert np.mean([m.expected(t) >= toxicity.REJECT for t in clean]) == 0
+
+
+def test_toxicity_odd_and_empty(spark):
+    d = odd_documents(spark)
+    none = toxicity.learn(d, spark.createDataFrame([], "doc_id long, toxic int"))
+    got = toxicity.severity(d, none)
+    assert got.count() == d.count() and {r["severity"] for r in got.collect()} == {0.0}
+    assert toxicity.drop_toxic.__name__ and toxicity.severity(d.limit(0), none).count() == 0
+
+
+# near duplicates
+
+
+def brute_fingerprint(text):
+    words = bytes((c + 32 if 65 <= c <= 90 else c) for c in (text or "").encode()).split()
+    sh = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+    hs = [xxhash.xxh64_intdigest(s, 42) for s in sh]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs)) if hs else 0
+
+
+def brute_components(fps):
+    keys = sorted(set(fps.values()))
+    up = {k: k for k in keys}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, a in enumerate(keys):
+        for b in keys[i + 1 :]:
+            if (a ^ b).bit_count() <= 2:
+                up[root(b)] = root(a)
+    least = {}
+    for d, f in fps.items():
+        least[root(f)] = min(d, least.get(root(f), d))
+    return {d: least[root(f)] for d, f in fps.items()}
+
+
+def test_simhash_against_all_pairs(spark, docs):
+    want = {r["doc_id"]: brute_fingerprint(r["text"]) for r in docs.collect()}
+    got = simhash.near_duplicates(docs).collect()
+    assert {r["doc_id"]: r["fp"] % (1 << 64) for r in got} == want
+    assert {r["doc_id"]: r["component_id"] for r in got} == brute_components(want)
+
+
+def test_crowded_cells_lose_no_link(spark):
+    """A dense ball of fingerprints, chains and random ones."""
+    rng = random.Random(2)
+    fps = {rng.getrandbits(64) for _ in range(60)}
+    for _ in range(3):
+        c = rng.getrandbits(64)
+        for _ in range(120):
+            f = c
+            for _ in range(rng.randint(0, 4)):
+                f ^= 1 << rng.randrange(64)
+            fps.add(f)
+    signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
+    ids = {i: f for i, f in enumerate(sorted(fps))}
+    df = spark.createDataFrame([(signed(f),) for f in ids.values()], "fp long")
+    roots = {r["node"]: r["root"] for r in simhash.components(simhash.links(df)).collect()}
+    want = brute_components(ids)
+    groups, mine = defaultdict(set), defaultdict(set)
+    for i, f in ids.items():
+        groups[want[i]].add(f)
+        mine[roots.get(signed(f), signed(f))].add(f)
+    assert {frozenset(g) for g in groups.values()} == {frozenset(g) for g in mine.values()}
+
+
+def test_long_chain(spark):
+    roots = simhash.components(spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")))
+    assert {r["root"] for r in roots.collect()} == {0}
+
+
+def test_simhash_odd_and_empty(spark):
+    d = odd_documents(spark).where("doc_id is not null")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(d).collect()}
+    assert got[1] == got[2] == got[3] == 1 and got[5] == got[6] == 5
+    assert simhash.near_duplicates(d.limit(0)).count() == 0
+    kept = simhash.keep_one_of_each(spark, d, "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(got.values())) and kept.columns == d.columns
+
+
+# quality
+
+
+def brute_repeats(words):
+    n = Counter(zip(words, words[1:], words[2:]))
+    hit = set()
+    for i, w in enumerate(zip(words, words[1:], words[2:])):
+        if n[w] > 1:
+            hit |= {i, i + 1, i + 2}
+    return len(hit)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(st.sampled_from("ab c\n\t#|\u00a0é"), max_size=80))
+def test_statistics_against_brute_force(text):
+    import re
+
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    base, features = quality.statistics(text)
+    assert base == (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), brute_repeats(words))
+    assert len(features) == len(quality.FEATURES)
+
+
+def test_forest_learns_and_is_monotone():
+    rng = np.random.default_rng(0)
+    x = rng.random((800, 3))
+    y = ((x[:, 0] < 0.6) ^ (rng.random(800) < 0.05)).astype(float)
+    f = quality.fit(x, y, [-1, 0, 1])
+    assert ((f.score(x) > 0) == (x[:, 0] < 0.6)).mean() > 0.93
+    for j, s in ((0, -1), (2, 1)):
+        grid = np.repeat(rng.random((20, 1, 3)), 50, axis=1)
+        grid[:, :, j] = np.linspace(0, 1, 50)
+        step = np.diff(f.score(grid.reshape(-1, 3)).reshape(20, 50), axis=1)
+        assert (s * step >= -1e-12).all()
+
+
+def test_quality_odd_and_empty(spark):
+    d = odd_documents(spark)
+    forest = quality.learn(d, spark.createDataFrame([], "doc_id long, quality int"))
+    got = quality.assess(d, forest)
+    assert got.count() == d.count() and got.where("doc_id = 1").first()["base_failed"]
+    assert quality.assess(d.limit(0), forest).count() == 0
+
+
+# fingerprints
+
+
+def brute_signatures(text):
+    import re
+
+    w = [x for x in re.split(r"[^\w]+|_", (text or "").lower()) if x]
+    content = [x not in spotsigs.ANCHORS for x in w]
+    out = set()
+    for i, x in enumerate(w):
+        if not content[i]:
+            rest = [y for y, c in zip(w[i + 1 :], content[i + 1 :]) if c][:2]
+            if len(rest) == 2:
+                out.add((x, *rest))
+    return out
+
+
+def test_signatures_against_brute_force(spark, docs):
+    got = docs.select("text", F.size(spotsigs.signatures(F.col("text"))).alias("n")).collect()
+    for r in got:
+        assert r["n"] == max(1, len(brute_signatures(r["text"])))
+
+
+def test_next_and_edited(spark):
+    rows = [(i * 7 % 31, f"text {i} " + "é" * i) for i in range(31)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r["next_text"] for r in spotsigs.with_next(d, ["text"]).collect()}
+    order = sorted(dict(rows), reverse=True)
+    assert got == {k: dict(rows)[order[(i + 1) % 31]] for i, k in enumerate(order)}
+    assert spotsigs.with_next(d.limit(1), ["text"]).count() == 1
+    assert spotsigs.with_next(odd_documents(spark), ["text"]).count() == 9
+
+
+def test_similar_pairs_against_all_pairs(spark):
+    rng = random.Random(3)
+    sets = []
+    for _ in range(12):
+        base = [rng.randrange(500) for _ in range(rng.randint(4, 40))]
+        for _ in range(6):
+            s = set(base)
+            for _ in range(rng.randint(0, 4)):
+                s ^= {rng.randrange(500)}
+            sets.append(tuple(sorted(s)) or (1,))
+    d = spark.createDataFrame([(i, list(s)) for i, s in enumerate(sets)], "doc_id long, sigs array<int>")
+    pairs, member = spotsigs.similar_pairs(d)
+    rep = {s: min(i for i, t in enumerate(sets) if t == s) for s in sets}
+    want = {(a, b) for a in set(rep.values()) for b in set(rep.values()) if a < b and len(set(sets[a]) & set(sets[b])) >= 0.8 * len(set(sets[a]) | set(sets[b]))}
+    assert {(r["a"], r["b"]) for r in pairs.collect()} == want and len(want) > 5
+    assert {(r["doc_id"], r["representative"]) for r in member.collect()} == {(i, rep[s]) for i, s in enumerate(sets)}
+
+
+def test_fingerprint_text(spark):
+    t = "The cat sat on the mat and it was good for the dogs of war"
+    d = spark.createDataFrame([(t,), (t,), (None,)], "text string").withColumn("s", spotsigs.signatures(F.col("text")))
+    a, b, n = [(r["f"], len(r["s"])) for r in d.select("s", spotsigs.as_text(F.col("s")).alias("f")).collect()]
+    assert a == b and len(a[0]) == 8 * a[1] and len(n[0]) == 8

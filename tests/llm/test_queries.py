@@ -1,0 +1,37 @@
+import duckdb
+import pytest
+
+import __spark_entry__
+import corpus_pipeline
+from weftline.llm import queries
+
+
+def test_all_are_registered():
+    names = set(__spark_entry__.queries())
+    assert set(queries.QUERIES) | {"pipeline"} <= names
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+
+
+def test_url_query_equals_sql(spark, data):
+    got = queries.QUERIES["op4_urlfilter"](spark, data).toPandas()
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW pages AS SELECT * FROM '{data}/pages.parquet'")
+    want = c.sql(queries.ORACLES["op4_urlfilter"]).df()
+    rows = lambda d: sorted(tuple(map(str, t)) for t in d.astype(object).where(d.notna(), None)[sorted(d.columns)].itertuples(index=False))
+    assert rows(got) == rows(want)
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_query_has_a_row_for_each_document(spark, data, name):
+    table = "pages" if name == "op4_urlfilter" else "documents"
+    key = "page_id" if table == "pages" else "doc_id"
+    got = queries.QUERIES[name](spark, data).select(key).distinct().count()
+    assert got == spark.read.parquet(f"{data}/{table}.parquet").count()
+
+
+def test_pipeline(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    out = corpus_pipeline.run(spark, data)
+    assert out.select("doc_id").distinct().count() > 0.6 * docs.count()
+    assert out.where("offset < 0 or offset + length > 16384").count() == 0
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "toxicity", "near_duplicates", "privacy", "packing"]

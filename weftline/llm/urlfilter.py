@@ -98,7 +98,7 @@ def judge(urls: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "u
         verdict = {r: v for *_, r, v in own}
         u = pdf[~is_rule].sort_values(["_key", "_path"], kind="stable")
         hit = sweep(u["_key"].tolist(), u["_path"].tolist(), [x[:3] for x in own])
-        return pd.DataFrame({key: u["_id"].to_numpy(), "host": u["_host"].to_numpy(), "path": u["_path"].to_numpy(), "rule": pd.Series(hit, dtype=object).to_numpy(), "verdict": [default if h is None else verdict[h] for h in hit]})
+        return pd.DataFrame({key: u["_id"].to_numpy(), "host": u["_host"].to_numpy(), "path": u["_path"].to_numpy(), "rule": pd.Series(hit, dtype=object).to_numpy(), "verdict": pd.Series([default if h is None else verdict[h] for h in hit], dtype=object).to_numpy()})
 
     return ranged.unionByName(opened).groupBy("_part").applyInPandas(run, ", ".join(columns))
 
