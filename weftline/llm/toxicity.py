@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded_sample, table
+from .common import bounded_sample, cut, table, whole_text
 
 LETTERS = re.compile(r"[^\W\d_]+")
 TOP = 3  # grades 0 to TOP
@@ -61,23 +61,31 @@ class OrdinalModel:
         return float(sigmoid(feature_sum(text or "", self.weights, self._stems) - np.array(self.cuts)).sum())
 
 
-def telling_features(sets: list[dict[str, float]], toxic: np.ndarray, least: int = 5, z: float = 4.0) -> dict[str, float]:
-    """Features in ``least`` documents or more whose log odds of standing in a toxic one differ from 0 by ``z`` standard errors."""
-    bad, good = Counter(), Counter()
-    for s, t in zip(sets, toxic, strict=True):
-        (bad if t else good).update(s)
-    nb, ng = int(toxic.sum()), int((1 - toxic).sum())
-    out = {}
-    for w in bad.keys() | good.keys():
-        b, g = bad[w], good[w]
-        if b + g >= least:
-            odds = np.log((b + 0.5) / (nb - b + 0.5)) - np.log((g + 0.5) / (ng - g + 0.5))
-            error = np.sqrt(1 / (b + 0.5) + 1 / (nb - b + 0.5) + 1 / (g + 0.5) + 1 / (ng - g + 0.5))
-            if abs(odds) >= z * error:
-                out[w] = float(odds)
+def tell(bad: float, good: float, n_bad: int, n_good: int, least: int = 5, z: float = 4.0) -> float | None:
+    """Log odds of standing in a toxic text, if the feature is in ``least`` texts or more and they differ from 0 by ``z`` standard errors."""
+    if bad + good < least:
+        return None
+    cells = (bad + 0.5, n_bad - bad + 0.5, good + 0.5, n_good - good + 0.5)
+    odds = math.log(cells[0] / cells[1]) - math.log(cells[2] / cells[3])
+    return odds if abs(odds) >= z * math.sqrt(sum(1 / c for c in cells)) else None
+
+
+def tally(texts: list[str], toxic: list[int]) -> dict[str, list[int]]:
+    """In how many texts of each kind a feature stands: [toxic, not]."""
+    out: dict[str, list[int]] = {}
+    for t, y in zip(texts, toxic, strict=True):
+        for f in features_of(t):
+            out.setdefault(f, [0, 0])[1 - y] += 1
     return out
 
 
+def vector(text: str, vocabulary: list[str], good: set[str]) -> tuple[list[float], int]:
+    """Feature values and the number of distinct words with a feature that tells toxic texts."""
+    found = features_of(text)
+    hits = sum(w in good or any(f"{w[:k]}*" in good for k in STEMS if len(w) > k) for w in found if w[-1] != "*")
+    return [found.get(f, 0.0) for f in vocabulary], hits
+
+
 def fit_cumulative(x: np.ndarray, grade: np.ndarray, levels: int, ridge: float = 1e-4, steps: int = 600, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ascending cuts by gradient ascent with momentum estimates (Adam) on the mean log likelihood.
 
@@ -107,37 +115,64 @@ def fit_cumulative(x: np.ndarray, grade: np.ndarray, levels: int, ridge: float =
     return w, first[0] + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
 
 
-def fit(texts: list[str | None], toxic: list[int]) -> OrdinalModel:
-    """Grades from yes/no labels: 0 if not toxic; a toxic text has 1, 2 or 3 by its number of words with a telling feature (up to the lower third, up to the upper third, more).
+def grades(toxic: np.ndarray, hits: np.ndarray) -> np.ndarray:
+    """Grades from yes/no labels: 0 if not toxic, else 1, 2 or 3 by the number of telling words (up to the lower third of toxic texts, up to the upper third, more)."""
+    on = hits[(toxic == 1) & (hits > 0)]
+    low, high = np.quantile(on, [1 / 3, 2 / 3], method="lower") if len(on) else (1, 2)
+    return np.where(toxic == 0, 0, 1 + (hits > low) + (hits > max(high, low + 1)))
+
 
-    Without both kinds of label the model scores everything 0.
-    """
-    y = np.array(toxic, dtype=np.int64)
-    if not len(y) or y.min() == y.max():
-        return OrdinalModel({}, [])
-    sets = [features_of(t or "") for t in texts]
-    odds = telling_features(sets, y)
-    vocabulary = sorted(odds)
-    if not vocabulary:
+def fit_vectors(vocabulary: list[str], x: np.ndarray, hits: np.ndarray, toxic: np.ndarray) -> OrdinalModel:
+    """Without both kinds of label, or without a telling feature, the model scores everything 0."""
+    if not vocabulary or not len(toxic) or toxic.min() == toxic.max():
         return OrdinalModel({}, [])
-    x = np.array([[s.get(f, 0.0) for f in vocabulary] for s in sets])
-    good = {f for f in vocabulary if odds[f] > 0}
-    hits = np.array([sum(w in good or any(f"{w[:k]}*" in good for k in STEMS if len(w) > k) for w in s if w[-1] != "*") for s in sets])
-    on = hits[(y == 1) & (hits > 0)]
-    low, high = np.quantile(on, [1 / 3, 2 / 3], method="lower") if len(on) else (1, 2)
-    grade = np.where(y == 0, 0, 1 + (hits > low) + (hits > max(high, low + 1)))
-    w, cuts = fit_cumulative(x, grade, TOP)
+    w, cuts = fit_cumulative(x, grades(toxic, hits), TOP)
     return OrdinalModel({k: float(a) for k, a in zip(vocabulary, w, strict=True)}, [float(c) for c in cuts])
 
 
+def fit(texts: list[str], toxic: list[int]) -> OrdinalModel:
+    """``learn`` for a few texts at hand."""
+    n_bad = sum(toxic)
+    odds = {f: o for f, (b, g) in tally(texts, toxic).items() if (o := tell(b, g, n_bad, len(toxic) - n_bad)) is not None}
+    both = [vector(t, sorted(odds), {f for f, o in odds.items() if o > 0}) for t in texts]
+    return fit_vectors(sorted(odds), np.array([b[0] for b in both]), np.array([b[1] for b in both]), np.array(toxic))
+
+
 def learn(docs: DataFrame, labels: DataFrame, per_label: int = 2_500, seed: int = 5) -> OrdinalModel:
-    """Fits on at most ``per_label`` documents of each toxic label; only that sample reaches the driver."""
-    marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
+    """Fits on at most ``per_label`` documents of each toxic label.
+
+    Features are counted and chosen by Spark; what reaches the driver is the telling features and the
+    sample's values of these, no texts.
+    """
+    marked = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
     marked = marked.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("_h", F.xxhash64(F.lit(seed), F.col("doc_id").cast("string")))
     chosen = bounded_sample(marked, "toxic", F.col("_h"), per_label)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])  # at most 2 * per_label ids
-    rows = sorted(((r["_h"], r["toxic"], r["text"] or "") for r in rows.collect()))
-    return fit([r[2] for r in rows], [r[1] for r in rows])
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])  # at most 2 * per_label ids
+    sample = cut(rows.select("_h", "toxic", whole_text(F.col("text")).alias("text")))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            t = tally(b.column(1).to_pylist(), b.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(list(t), pa.string()), pa.array([v[0] for v in t.values()], pa.int64()), pa.array([v[1] for v in t.values()], pa.int64())], names=["f", "bad", "good"])
+
+    size = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    n_bad, n_good = size.get(1, 0), size.get(0, 0)
+    if not n_bad or not n_good:
+        return OrdinalModel({}, [])
+    cells = [F.col("bad") + 0.5, n_bad - F.col("bad") + 0.5, F.col("good") + 0.5, n_good - F.col("good") + 0.5]
+    odds = F.log(cells[0] / cells[1]) - F.log(cells[2] / cells[3])
+    error = F.sqrt(sum((1 / c for c in cells), F.lit(0.0)))
+    counted = sample.select("toxic", "text").mapInArrow(count, "f string, bad long, good long").groupBy("f").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    telling = {r["f"]: r["o"] for r in counted.where((F.col("bad") + F.col("good") >= 5) & (F.abs(odds) >= 4.0 * error)).select("f", odds.alias("o")).collect()}
+    vocabulary, good = sorted(telling), {f for f, o in telling.items() if o > 0}
+
+    def value(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            both = [vector(t, vocabulary, good) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([v[0] for v in both], pa.list_(pa.float64())), pa.array([v[1] for v in both], pa.int64())], names=["h", "y", "x", "hits"])
+
+    got = sample.mapInArrow(value, "h long, y int, x array<double>, hits long").orderBy("h").toPandas()
+    return fit_vectors(vocabulary, np.array(got["x"].tolist()).reshape(len(got), -1), got["hits"].to_numpy(), got["y"].to_numpy())
 
 
 def severity(docs: DataFrame, model: OrdinalModel, key: str = "doc_id", text: str = "text") -> DataFrame:
