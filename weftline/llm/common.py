@@ -37,6 +37,10 @@ def whole_text(text: Column) -> Column:
     return F.coalesce(text.cast("string"), F.lit(""))
 
 
+#: So many distinct keys of a sample are broadcast at most.
+MOST_KEYS = 10_000
+
+
 def bounded_sample(df: DataFrame, key: str, order: Column, limit: int) -> DataFrame:
     """At most ``limit`` rows for each value of ``key``, those of least ``order`` (a hash).
 
@@ -47,6 +51,9 @@ def bounded_sample(df: DataFrame, key: str, order: Column, limit: int) -> DataFr
     from pyspark.sql import Window
 
     share = df.groupBy(F.col(key).alias("_key")).agg(F.least(F.lit(1.0), F.lit(2.0 * limit + 200.0) / F.count(F.lit(1))).alias("_share"))
+    few = share.take(MOST_KEYS + 1)
+    if len(few) <= MOST_KEYS:  # else the keys are joined by an exchange
+        share = F.broadcast(df.sparkSession.createDataFrame(few, share.schema))
     draw = (F.pmod(order, F.lit(1 << 30)) / float(1 << 30)).alias("_draw")
     near = df.select("*", draw).join(share, F.col(key) == F.col("_key")).where(F.col("_draw") < F.col("_share"))
     rank = F.row_number().over(Window.partitionBy("_key").orderBy("_draw", *[c for c in df.columns if c != key]))
