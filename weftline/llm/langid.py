@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded_sample, table
+from .common import bounded_sample, slices, table
 
 ORDERS = (2, 3, 4)
 WIDTH = 1 << 15
@@ -123,7 +123,7 @@ def predict(docs: DataFrame, model: KernelModel, key: str = "doc_id", text: str
     run, kind = judge(model), dict(docs.dtypes)[key]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             pred, value = run(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(value)], names=["_key", "lang_pred", "score"])
 
@@ -154,7 +154,7 @@ def keep_known_languages(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     run, at = judge(learn(docs)), docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             pred, value = run(b.column(at).to_pylist())
             yield b.filter(pa.array((np.array(pred, dtype=object) != UNKNOWN) & (value >= LEAST_SCORE), pa.bool_()))
 

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded_sample, table
+from .common import bounded_sample, slices, table
 
 SYMBOLS = "#*$%&|<>"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -155,7 +155,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_label: int = 2_500, seed: int
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most 2 * per_label ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             x = [statistics(t.as_py())[1] for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(x, pa.list_(pa.float64()))], names=["h", "y", "x"])
 
@@ -174,7 +174,7 @@ def assess(docs: DataFrame, forest: Forest, key: str = "doc_id", text: str = "te
     kind = dict(docs.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             both = [statistics(t.as_py()) for t in b.column(1)]
             base = np.array([s[0] for s in both], dtype=np.int64).reshape(-1, len(BASE))
             p = 1 / (1 + np.exp(-forest.score(np.array([s[1] for s in both]).reshape(-1, len(FEATURES)))))

@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import cut, table
+from .common import cut, slices, table
 
 SEGMENTS, BITS = 16, 4
 MAX_BITS = 2
@@ -42,7 +42,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     kind = dict(docs.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             fp = np.array([fingerprint(t.as_py()) for t in b.column(1)], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["_key", "fp"])
 
@@ -131,10 +131,16 @@ def op8_simhash(spark, sf_dir):
 
 
 def keep_one_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the document with the least doc_id stays; of repeated rows one."""
-    keep = near_duplicates(docs.select("doc_id", "text")).select("component_id").distinct()
-    kept = docs.join(keep, docs["doc_id"] == keep["component_id"], "left_semi")
-    again = kept.groupBy("doc_id").count().where("count > 1").drop("count")
-    once = Window.partitionBy("doc_id").orderBy("text", "source", "lang", "n_chars")
-    single = kept.join(again, "doc_id", "left_anti")
-    return single.unionByName(kept.join(again, "doc_id", "left_semi").withColumn("_n", F.row_number().over(once)).where("_n = 1").drop("_n"))
+    """Pipeline stage: of each component the document with the least doc_id stays; of repeated rows one.
+
+    Repeated ids are found on the ids alone; only where there are any is a second join needed, which
+    ranks the rows of such an id.
+    """
+    keep = near_duplicates(docs.select("doc_id", "text")).select(F.col("component_id").alias("_keep")).distinct()
+    again = cut(docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")))
+    if again.isEmpty():
+        return docs.join(keep, docs["doc_id"] == keep["_keep"], "left_semi")
+    single = docs.join(keep.join(again, keep["_keep"] == again["_again"], "left_anti"), F.col("doc_id") == F.col("_keep"), "left_semi")
+    several = docs.join(keep.join(again, keep["_keep"] == again["_again"], "left_semi"), F.col("doc_id") == F.col("_keep"), "left_semi")
+    once = Window.partitionBy("doc_id").orderBy(*[c for c in docs.columns if c != "doc_id"])
+    return single.unionByName(several.withColumn("_n", F.row_number().over(once)).where("_n = 1").drop("_n"))

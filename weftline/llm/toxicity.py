@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded_sample, cut, table, whole_text
+from .common import bounded_sample, cut, slices, table, whole_text
 
 LETTERS = re.compile(r"[^\W\d_]+")
 TOP = 3  # grades 0 to TOP
@@ -151,7 +151,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_label: int = 2_500, seed: int
     sample = cut(rows.select("_h", "toxic", whole_text(F.col("text")).alias("text")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             t = tally(b.column(1).to_pylist(), b.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array(list(t), pa.string()), pa.array([v[0] for v in t.values()], pa.int64()), pa.array([v[1] for v in t.values()], pa.int64())], names=["f", "bad", "good"])
 
@@ -167,7 +167,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_label: int = 2_500, seed: int
     vocabulary, good = sorted(telling), {f for f, o in telling.items() if o > 0}
 
     def value(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             both = [vector(t, vocabulary, good) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([v[0] for v in both], pa.list_(pa.float64())), pa.array([v[1] for v in both], pa.int64())], names=["h", "y", "x", "hits"])
 
@@ -180,7 +180,7 @@ def severity(docs: DataFrame, model: OrdinalModel, key: str = "doc_id", text: st
     kind = dict(docs.dtypes)[key]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([model.expected(t.as_py()) for t in b.column(1)], pa.float64())], names=["_key", "severity"])
 
     out = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text")).mapInArrow(score, f"_key {kind}, severity double")
@@ -203,7 +203,7 @@ def drop_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     at = docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             yield b.filter(pa.array([model.expected(t.as_py()) < REJECT for t in b.column(at)], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
