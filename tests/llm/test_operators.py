@@ -275,6 +275,18 @@ def test_severity_orders_and_catches(spark):
     assert np.mean([m.expected(t) >= toxicity.REJECT for t in clean]) == 0
 
 
+def test_short_beginnings_find_inflected_words():
+    rng = random.Random(1)
+    plain = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(400)]
+    text = lambda: rng.sample(plain, 20)
+    clean = [" ".join(text()) for _ in range(400)]
+    bad = [" ".join(text() + ["zork" + "".join(rng.choices("abcdefgh", k=3)) for _ in range(3)]) for _ in range(100)]
+    m = toxicity.fit(clean + bad, [0] * 400 + [1] * 100)
+    assert "zork*" in m.weights
+    new = [" ".join(text() + ["zork" + "".join(rng.choices("klmnop", k=3)) for _ in range(3)]) for _ in range(50)]
+    assert np.mean([m.expected(t) >= toxicity.REJECT for t in new]) > 0.95
+
+
 def test_toxicity_odd_and_empty(spark):
     d = odd_documents(spark)
     none = toxicity.learn(d, spark.createDataFrame([], "doc_id long, toxic int"))

@@ -2,7 +2,7 @@
 
 P(severity > k) = sigmoid(w . x - cut_k) with one weight vector for all cuts, which are in order.
 Words are maximal runs of letters, lower-cased, each counted once a document. Features are words and
-word beginnings (written ``achli*``), which find inflected and compound forms; a feature's value is
+word beginnings of 4 to 7 letters (written ``achli*``), which find inflected and compound forms; a feature's value is
 log2(1 + number of distinct words that have it).
 """
 
@@ -23,8 +23,8 @@ from .common import bounded_sample, cut, slices, table, whole_text
 LETTERS = re.compile(r"[^\W\d_]+")
 TOP = 3  # grades 0 to TOP
 
-
-STEMS = (5, 6, 7)
+#: Letters of a word beginning.
+STEMS = (4, 5, 6, 7)
 
 
 def features_of(text: str) -> dict[str, float]:
