@@ -368,6 +368,16 @@ def test_simhash_odd_and_empty(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(got.values())) and kept.columns == d.columns
 
 
+def test_rows_without_an_id_stay_unless_they_repeat_another(spark):
+    d = odd_documents(spark)
+    more = spark.createDataFrame([(None, "the same text", "en", "b", 1), (None, "no key", "fr", "d", 1), (None, "a text of its own", "en", "a", 1), (None, None, "en", "a", 0)], SCHEMA)
+    kept = simhash.keep_one_of_each(spark, d.unionByName(more, allowMissingColumns=True), "")
+    assert kept.columns == d.columns
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in kept.collect()]
+    assert {r[1:] for r in rows if r[0] is None} == {("no key", "c"), ("a text of its own", "a")}
+    assert sorted(r[0] for r in rows if r[0] is not None) == [1, 4, 5, 7]
+
+
 # quality
 
 

@@ -130,17 +130,31 @@ def op8_simhash(spark, sf_dir):
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def least_rows(nameless: DataFrame) -> DataFrame:
+    """Of each component of rows without a doc_id the least row, in order of its columns."""
+    rows = nameless.select(F.struct(*nameless.columns).alias("_row"), F.col("text").alias("_text"))
+    return near_duplicates(rows, "_row", "_text").select("component_id").distinct().select("component_id.*")
+
+
 def keep_one_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component the document with the least doc_id stays; of repeated rows one.
 
-    Repeated ids are found on the ids alone; only where there are any is a second join needed, which
-    ranks the rows of such an id.
+    A null doc_id never stands for a component that has another one. Where all of a component's ids
+    are null, the least of its rows stays. Repeated ids are found on the ids alone; only where there
+    are any is a second join needed, which ranks the rows of such an id.
     """
-    keep = near_duplicates(docs.select("doc_id", "text")).select(F.col("component_id").alias("_keep")).distinct()
-    again = cut(docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")))
+    found = cut(near_duplicates(docs.select("doc_id", "text")))
+    keep = found.where(F.col("component_id").isNotNull()).select(F.col("component_id").alias("_keep")).distinct()
+    again = cut(docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")))
+    alone = cut(found.where(F.col("component_id").isNull()).select("fp").distinct())
     if again.isEmpty():
-        return docs.join(keep, docs["doc_id"] == keep["_keep"], "left_semi")
-    single = docs.join(keep.join(again, keep["_keep"] == again["_again"], "left_anti"), F.col("doc_id") == F.col("_keep"), "left_semi")
-    several = docs.join(keep.join(again, keep["_keep"] == again["_again"], "left_semi"), F.col("doc_id") == F.col("_keep"), "left_semi")
-    once = Window.partitionBy("doc_id").orderBy(*[c for c in docs.columns if c != "doc_id"])
-    return single.unionByName(several.withColumn("_n", F.row_number().over(once)).where("_n = 1").drop("_n"))
+        out = docs.join(keep, docs["doc_id"] == keep["_keep"], "left_semi")
+    else:
+        single = docs.join(keep.join(again, keep["_keep"] == again["_again"], "left_anti"), F.col("doc_id") == F.col("_keep"), "left_semi")
+        several = docs.join(keep.join(again, keep["_keep"] == again["_again"], "left_semi"), F.col("doc_id") == F.col("_keep"), "left_semi")
+        once = Window.partitionBy("doc_id").orderBy(*[c for c in docs.columns if c != "doc_id"])
+        out = single.unionByName(several.withColumn("_n", F.row_number().over(once)).where("_n = 1").drop("_n"))
+    if alone.isEmpty():
+        return out
+    nameless = docs.where(F.col("doc_id").isNull()).select(F.struct(*docs.columns).alias("_row"), "text")
+    return out.unionByName(least_rows(fingerprints(nameless, "_row").join(alone, "fp", "left_semi").select("_row.*")))
