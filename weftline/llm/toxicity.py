@@ -79,14 +79,38 @@ def tally(texts: list[str], toxic: list[int]) -> dict[str, list[int]]:
     return out
 
 
-def vector(text: str, vocabulary: list[str], good: set[str]) -> tuple[list[float], int]:
-    """Feature values and the number of distinct words with a feature that tells toxic texts."""
+def vector(text: str, place: dict[str, int], good: set[str]) -> tuple[list[int], list[float], int]:
+    """Places and values of a text's features, and the number of distinct words with a feature that tells toxic texts."""
     found = features_of(text)
     hits = sum(w in good or any(f"{w[:k]}*" in good for k in STEMS if len(w) > k) for w in found if w[-1] != "*")
-    return [found.get(f, 0.0) for f in vocabulary], hits
+    at = sorted(place[f] for f in found.keys() & place.keys())
+    back = {place[f]: f for f in found.keys() & place.keys()}
+    return at, [found[back[i]] for i in at], hits
 
 
-def fit_cumulative(x: np.ndarray, grade: np.ndarray, levels: int, ridge: float = 1e-4, steps: int = 600, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+@dataclass
+class Sparse:
+    """The values of ``shape[1]`` features in ``shape[0]`` texts; what is not listed is 0."""
+
+    row: np.ndarray
+    col: np.ndarray
+    value: np.ndarray
+    shape: tuple[int, int]
+
+    @staticmethod
+    def of(places: list[np.ndarray], values: list[np.ndarray], width: int) -> Sparse:
+        row = np.repeat(np.arange(len(places), dtype=np.int32), [len(p) for p in places])
+        whole = lambda parts, kind: np.concatenate([np.asarray(p, dtype=kind) for p in parts] or [np.zeros(0, kind)])
+        return Sparse(row, whole(places, np.int32), whole(values, np.float64), (len(places), width))
+
+    def sums(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.value * w[self.col], self.shape[0])
+
+    def back(self, d: np.ndarray) -> np.ndarray:
+        return np.bincount(self.col, self.value * d[self.row], self.shape[1])
+
+
+def fit_cumulative(x: Sparse, grade: np.ndarray, levels: int, ridge: float = 1e-4, steps: int = 600, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ascending cuts by gradient ascent with momentum estimates (Adam) on the mean log likelihood.
 
     Cuts are the first one and positive steps, so they stay in order.
@@ -97,7 +121,7 @@ def fit_cumulative(x: np.ndarray, grade: np.ndarray, levels: int, ridge: float =
     v = [np.zeros_like(a) for a in (w, first, gaps)]
     for t in range(1, steps + 1):
         cuts = first[0] + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
-        s = x @ w
+        s = x.sums(w)
         above = np.hstack([np.ones((n, 1)), sigmoid(s[:, None] - cuts[None, :]), np.zeros((n, 1))])
         slope = above * (1 - above)
         rows = np.arange(n)
@@ -107,7 +131,7 @@ def fit_cumulative(x: np.ndarray, grade: np.ndarray, levels: int, ridge: float =
         for k in range(levels):
             dcut[k] = (np.where(grade == k + 1, -slope[:, k + 1], 0) / p + np.where(grade == k, slope[:, k + 1], 0) / p).sum() / n
         tail = np.cumsum(dcut[::-1])[::-1]
-        grads = [x.T @ ds / n - ridge * w, np.array([tail[0]]), tail[1:] * np.exp(gaps) - 0.01 * gaps]
+        grads = [x.back(ds) / n - ridge * w, np.array([tail[0]]), tail[1:] * np.exp(gaps) - 0.01 * gaps]
         for i, (a, g) in enumerate(zip((w, first, gaps), grads, strict=True)):
             m[i] = 0.9 * m[i] + 0.1 * g
             v[i] = 0.99 * v[i] + 0.01 * g * g
@@ -122,7 +146,7 @@ def grades(toxic: np.ndarray, hits: np.ndarray) -> np.ndarray:
     return np.where(toxic == 0, 0, 1 + (hits > low) + (hits > max(high, low + 1)))
 
 
-def fit_vectors(vocabulary: list[str], x: np.ndarray, hits: np.ndarray, toxic: np.ndarray) -> OrdinalModel:
+def fit_vectors(vocabulary: list[str], x: Sparse, hits: np.ndarray, toxic: np.ndarray) -> OrdinalModel:
     """Without both kinds of label, or without a telling feature, the model scores everything 0."""
     if not vocabulary or not len(toxic) or toxic.min() == toxic.max():
         return OrdinalModel({}, [])
@@ -134,15 +158,16 @@ def fit(texts: list[str], toxic: list[int]) -> OrdinalModel:
     """``learn`` for a few texts at hand."""
     n_bad = sum(toxic)
     odds = {f: o for f, (b, g) in tally(texts, toxic).items() if (o := tell(b, g, n_bad, len(toxic) - n_bad)) is not None}
-    both = [vector(t, sorted(odds), {f for f, o in odds.items() if o > 0}) for t in texts]
-    return fit_vectors(sorted(odds), np.array([b[0] for b in both]), np.array([b[1] for b in both]), np.array(toxic))
+    place = {f: i for i, f in enumerate(sorted(odds))}
+    found = [vector(t, place, {f for f, o in odds.items() if o > 0}) for t in texts]
+    return fit_vectors(list(place), Sparse.of([v[0] for v in found], [v[1] for v in found], len(place)), np.array([v[2] for v in found]), np.array(toxic))
 
 
 def learn(docs: DataFrame, labels: DataFrame, per_label: int = 2_500, seed: int = 5) -> OrdinalModel:
     """Fits on at most ``per_label`` documents of each toxic label.
 
-    Features are counted and chosen by Spark; what reaches the driver is the telling features and the
-    sample's values of these, no texts.
+    Features are counted and chosen by Spark; what reaches the driver is the telling features and,
+    for each text of the sample, the places and values of those that it has; no texts.
     """
     marked = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
     marked = marked.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("_h", F.xxhash64(F.lit(seed), F.col("doc_id").cast("string")))
@@ -164,15 +189,15 @@ def learn(docs: DataFrame, labels: DataFrame, per_label: int = 2_500, seed: int
     error = F.sqrt(sum((1 / c for c in cells), F.lit(0.0)))
     counted = sample.select("toxic", "text").mapInArrow(count, "f string, bad long, good long").groupBy("f").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     telling = {r["f"]: r["o"] for r in counted.where((F.col("bad") + F.col("good") >= 5) & (F.abs(odds) >= 4.0 * error)).select("f", odds.alias("o")).collect()}
-    vocabulary, good = sorted(telling), {f for f, o in telling.items() if o > 0}
+    place, good = {f: i for i, f in enumerate(sorted(telling))}, {f for f, o in telling.items() if o > 0}
 
     def value(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            both = [vector(t, vocabulary, good) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([v[0] for v in both], pa.list_(pa.float64())), pa.array([v[1] for v in both], pa.int64())], names=["h", "y", "x", "hits"])
+            found = [vector(t, place, good) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([v[0] for v in found], pa.list_(pa.int32())), pa.array([v[1] for v in found], pa.list_(pa.float64())), pa.array([v[2] for v in found], pa.int64())], names=["h", "y", "at", "x", "hits"])
 
-    got = sample.mapInArrow(value, "h long, y int, x array<double>, hits long").orderBy("h").toPandas()
-    return fit_vectors(vocabulary, np.array(got["x"].tolist()).reshape(len(got), -1), got["hits"].to_numpy(), got["y"].to_numpy())
+    got = sample.mapInArrow(value, "h long, y int, at array<int>, x array<double>, hits long").toPandas().sort_values("h")
+    return fit_vectors(list(place), Sparse.of(got["at"].tolist(), got["x"].tolist(), len(place)), got["hits"].to_numpy(), got["y"].to_numpy())
 
 
 def severity(docs: DataFrame, model: OrdinalModel, key: str = "doc_id", text: str = "text") -> DataFrame:
