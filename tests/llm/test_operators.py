@@ -129,6 +129,28 @@ def test_language_odd_and_empty(spark, docs):
     assert {r["doc_id"] for r in langid.keep_known_languages(spark, docs, "").collect()} <= {r["doc_id"] for r in docs.collect()}
 
 
+def test_no_language_claims_what_it_does_not_know(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng = random.Random(4)
+    words = lambda letters, k: " ".join("".join(rng.choices(letters, k=rng.randint(2, 9))) for _ in range(k))
+    strange = [words("абвгдежзийклмнопрстуфхцчшщыьэюя", 60) for _ in range(20)] + [words("abcdefghijklmnopqrstuvwxyz", 60) for _ in range(20)]
+    strange += ["".join(chr(rng.randint(0x4E00, 0x9FA0)) for _ in range(200)) for _ in range(20)] + ["".join(rng.choices("ABCDEFGHabcdefgh0123456789+/", k=900)) for _ in range(20)]
+    strange += ["wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw są oni obdarzeni rozumem i sumieniem", "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto"]
+    extra = spark.createDataFrame([(10**9 + i, t, None, "x", len(t)) for i, t in enumerate(strange)], "doc_id long, text string, lang string, source string, n_chars long").select([F.col(c).cast(t) for c, t in d.dtypes])
+    kept = {r["doc_id"] for r in langid.keep_known_languages(spark, d.unionByName(extra), "").select("doc_id").collect()}
+    clean = {r["doc_id"] for r in d.where(r"text rlike '\\p{L}'").select("doc_id").collect()}
+    assert not [i for i in kept if i >= 10**9]
+    assert len(clean & kept) >= 0.995 * len(clean)
+
+
+def test_a_language_of_one_text_and_no_floor(spark):
+    d = spark.createDataFrame([(1, "one text only", "en", "a", 1), (2, "другой", None, "a", 1)], SCHEMA)
+    model, floors = langid.learn_with_floors(d)
+    assert model.labels == ["en"] and floors.tolist() == [0.0]
+    assert langid.learn_with_floors(d.limit(0))[1].tolist() == []
+    assert langid.keep_known_languages(spark, d.limit(0), "").count() == 0
+
+
 # urls
 
 

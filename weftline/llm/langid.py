@@ -48,24 +48,29 @@ class KernelModel:
     labels: list[str]
     landmarks: np.ndarray  # float32, WIDTH by landmarks, columns already divided by their norm
     weights: np.ndarray  # landmarks by labels: the Nyström map and the ridge solution in one
+    common: np.ndarray  # float32, WIDTH by labels: 1 for n-grams in two or more landmarks of the label (in one, if it has one)
 
-    def decide(self, texts: list[str], batch: int = 64) -> np.ndarray:
-        out = []
+    def decide(self, texts: list[str], batch: int = 64) -> tuple[np.ndarray, np.ndarray]:
+        """Decision values, and the shares of each text's n-grams that are common in each label's landmarks."""
+        out, shares = [np.zeros((0, len(self.labels)))], [np.zeros((0, len(self.labels)))]
         for i in range(0, len(texts), batch):
             p, norm = presence(texts[i : i + batch])
             out.append(((p @ self.landmarks) / norm[:, None]) @ self.weights)
-        return np.concatenate(out) if out else np.zeros((0, len(self.labels)))
+            shares.append((p @ self.common) / norm[:, None] ** 2)
+        return np.concatenate(out), np.concatenate(shares)
 
 
 def fit(texts: list[str], labels: list[str], n_landmarks: int = 96, ridge: float = 1e-2) -> KernelModel:
     """Landmarks are taken from the labels in turn; targets are +1 and -1. With no texts the model knows no language."""
     names = sorted(set(labels))
     if not names:
-        return KernelModel([], np.zeros((WIDTH, 0), np.float32), np.zeros((0, 0)))
+        return KernelModel([], np.zeros((WIDTH, 0), np.float32), np.zeros((0, 0)), np.zeros((WIDTH, 0), np.float32))
     by = {c: [i for i, x in enumerate(labels) if x == c] for c in names}
     turns = [by[c][k] for k in range(max(map(len, by.values()))) for c in names if k < len(by[c])]
     p, norm = presence([texts[i] for i in turns[:n_landmarks]])
     marks = np.ascontiguousarray((p / norm[:, None]).T)
+    own = np.array([labels[i] for i in turns[:n_landmarks]])
+    common = np.stack([p[own == c].sum(axis=0) >= min(2, max(1, (own == c).sum())) for c in names], axis=1).astype(np.float32)
     del p
     kernel = np.vstack([(lambda q, m: (q @ marks) / m[:, None])(*presence(texts[i : i + 64])) for i in range(0, len(texts), 64)]).astype(np.float64)
     values, vectors = np.linalg.eigh(marks.T.astype(np.float64) @ marks)
@@ -77,38 +82,70 @@ def fit(texts: list[str], labels: list[str], n_landmarks: int = 96, ridge: float
     w = np.array([1.0 / len(by[c]) for c in labels]) * len(labels) / len(names)
     zw = z * w[:, None]
     alpha = np.linalg.solve(zw.T @ z + ridge * len(labels) * np.eye(z.shape[1]) / 100, zw.T @ y)
-    return KernelModel(names, marks, nystrom @ alpha)
+    return KernelModel(names, marks, nystrom @ alpha, common)
 
 
-def learn(docs: DataFrame, per_language: int = 250, key: str = "doc_id", seed: int = 3) -> KernelModel:
-    """Fits on at most ``per_language`` documents of each non-null lang whose text has a letter.
+def labelled(docs: DataFrame, per_language: int, key: str = "doc_id", seed: int = 3) -> list[tuple[str, int, str]]:
+    """Lang, hash and text of at most ``per_language`` documents of each non-null lang whose text has a letter, in order.
 
     The sample is the only thing that reaches the driver; ``per_language`` bounds it.
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text", F.xxhash64(F.lit(seed), F.col(key).cast("string"), "text").alias("_h"))
-    rows = sorted((r["lang"], r["_h"], r["text"]) for r in bounded_sample(usable, "lang", F.col("_h"), per_language).collect())
+    return sorted((r["lang"], r["_h"], r["text"]) for r in bounded_sample(usable, "lang", F.col("_h"), per_language).collect())
+
+
+def learn(docs: DataFrame, per_language: int = 250, key: str = "doc_id", seed: int = 3) -> KernelModel:
+    """Fits on at most ``per_language`` documents of each non-null lang whose text has a letter."""
+    rows = labelled(docs, per_language, key, seed)
     return fit([r[2] for r in rows], [r[0] for r in rows])
 
 
-def judge(model: KernelModel) -> Callable[[list[str | None]], tuple[list[str], np.ndarray]]:
-    """A function for tasks that gives the labels and scores of a list of texts. Landmarks travel as bits."""
+#: A text is claimed if its winner's share of common n-grams is this part of what held-out texts of that language have.
+FLOOR = 0.6
+#: So many held-out texts are needed to set a language's floor; with fewer, those of all languages set it.
+LEAST_HELD = 8
+
+
+def learn_with_floors(docs: DataFrame, per_language: int = 250, key: str = "doc_id", seed: int = 3) -> tuple[KernelModel, np.ndarray]:
+    """A model, and for each of its labels the least share of common n-grams with which it claims a text.
+
+    A fifth of each language's sample is held out of the fit, copies of fitted texts aside; a floor is
+    FLOOR times the share that all but 2 % of a language's held-out texts reach, so that some wrong
+    labels do no harm. With too few held-out texts in all there is no floor (0).
+    """
+    by: dict[str, list[str]] = {}
+    for lang, _, text in labelled(docs, per_language * 5 // 4, key, seed):
+        by.setdefault(lang, []).append(text)
+    seen = {c: t[: len(t) - len(t) // 5] for c, t in by.items()}
+    model = fit([t for c in seen for t in seen[c]], [c for c in seen for _ in seen[c]])
+    fitted = {t for c in seen for t in seen[c]}
+    held = {c: model.decide([t for t in by[c][len(seen[c]) :] if t not in fitted])[1][:, k] for k, c in enumerate(model.labels)}
+    least = lambda x: FLOOR * float(np.quantile(x, 0.02)) if len(x) >= LEAST_HELD else None
+    every = least(np.concatenate([*held.values(), np.zeros(0)])) or 0.0
+    return model, np.array([every if (f := least(held[c])) is None else f for c in model.labels])
+
+
+def judge(model: KernelModel) -> Callable[[list[str | None]], tuple[list[str], np.ndarray, np.ndarray]]:
+    """A function for tasks that gives the labels, scores and winners' shares of common n-grams of a list of texts. Landmarks travel as bits."""
     labels, weights = model.labels, model.weights
     bits, norms = np.packbits(model.landmarks > 0, axis=0), model.landmarks.max(axis=0, initial=0)
+    common = np.packbits(model.common > 0, axis=0)
 
-    def run(texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    def run(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         m = run.__dict__.get("model")
         if m is None:
-            m = run.__dict__["model"] = KernelModel(labels, np.unpackbits(bits, axis=0, count=WIDTH).astype(np.float32) * norms[None, :].astype(np.float32), weights)
+            m = run.__dict__["model"] = KernelModel(labels, np.unpackbits(bits, axis=0, count=WIDTH).astype(np.float32) * norms[None, :].astype(np.float32), weights, np.unpackbits(common, axis=0, count=WIDTH).astype(np.float32))
         known = [i for i, t in enumerate(texts) if labels and t is not None and any(c.isalpha() for c in t)]
-        pred, value = [UNKNOWN] * len(texts), np.zeros(len(texts))
+        pred, value, share = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
         for j in range(0, len(known), 64):
             part = known[j : j + 64]
-            f = m.decide([texts[i] for i in part])
+            f, shares = m.decide([texts[i] for i in part])
             best = f.argmax(axis=1)
+            share[part] = shares[np.arange(len(part)), best]
             value[part] = np.clip((f[np.arange(len(part)), best] + 1) / 2, 0, 1)
             for i, k in zip(part, best, strict=True):
                 pred[i] = labels[k]
-        return pred, value
+        return pred, value, share
 
     return run
 
@@ -124,7 +161,7 @@ def predict(docs: DataFrame, model: KernelModel, key: str = "doc_id", text: str
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            pred, value = run(b.column(1).to_pylist())
+            pred, value, _ = run(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(value)], names=["_key", "lang_pred", "score"])
 
     out = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text")).mapInArrow(score, f"_key {kind}, lang_pred string, score double")
@@ -148,14 +185,18 @@ LEAST_SCORE = 0.3
 def keep_known_languages(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: drops documents without a letter and those that no language claims.
 
-    Text, lang, source and the other columns stay as they are. The model is learned from the
-    documents' own lang column.
+    A language claims a text if its score is LEAST_SCORE or more and the text's n-grams are common in
+    its landmarks as in its held-out texts (``learn_with_floors``). Scores cannot tell the latter: a
+    text that shares no n-gram with any landmark has decision values of 0, a score of 0.5. Text, lang,
+    source and the other columns stay as they are. The model is learned from the documents' own lang
+    column.
     """
-    run, at = judge(learn(docs)), docs.columns.index("text")
+    model, floors = learn_with_floors(docs)
+    run, at, floor = judge(model), docs.columns.index("text"), dict(zip(model.labels, floors.tolist(), strict=True)) | {UNKNOWN: 2.0}
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            pred, value = run(b.column(at).to_pylist())
-            yield b.filter(pa.array((np.array(pred, dtype=object) != UNKNOWN) & (value >= LEAST_SCORE), pa.bool_()))
+            pred, value, share = run(b.column(at).to_pylist())
+            yield b.filter(pa.array((value >= LEAST_SCORE) & (share >= np.array([floor[p] for p in pred])), pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
