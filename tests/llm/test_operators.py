@@ -264,6 +264,51 @@ def test_pseudonyms_keep_their_format_and_link(spark):
     assert hide(spark, ["x 4173893178530722."], "other")[0] != a
 
 
+PHONES = ["555-223-4567", "(555) 223-4567", "555.223.4567", "+1-555-223-4567", "+15552234567", "+44 20 7946 0958", "+44 (0)20 7946 0958", "+49 30 1234567", "+49 (30) 1234567", "+33 6 12 34 56 78", "+34 612 345 678", "0033 6 12 34 56 78", "06 12 34 56 78", "020 7946 0958", "030/1234567"]
+CARDS = ["378282246310005", "3782 822463 10005", "30569309025904", "3056-930902-5904", "4222222222222", "6304000000000000000", "4173 8931 7853 0722"]
+DATES = ["31.12.1999", "12/31/1999", "05/06/1999", "1.5.1999", "1999/12/31", "31 December 1999", "December 31, 1999", "Dec 31, 1999", "31. Dezember 1999", "1er janvier 1999", "31 de diciembre de 1999", "3 mai 2001", "7. MÄRZ 1950"]
+
+
+def test_values_of_other_forms_are_hidden_in_their_form(spark):
+    import re
+
+    values = PHONES + CARDS + DATES
+    got = hide(spark, [f"von {v}, y." for v in values])
+    for v, t in zip(values, got, strict=True):
+        new = t.removeprefix("von ").removesuffix(", y.")
+        assert v not in t and new != v, (v, t)
+        if v not in DATES:
+            assert re.sub(r"\d", "9", new) == re.sub(r"\d", "9", v), (v, t)
+        if v in CARDS:
+            assert luhn(re.sub(r"\D", "", new)), (v, t)
+    dates = dict(zip(values, (t[4:-4] for t in got), strict=True))
+    assert re.fullmatch(r"(1[3-9]|2\d|3[01])\.(0[1-9]|1[0-2])\.(19|20)\d\d", dates["31.12.1999"])
+    assert re.fullmatch(r"(0[1-9]|1[0-2])/(1[3-9]|2\d|3[01])/(19|20)\d\d", dates["12/31/1999"])
+    assert re.fullmatch(r"(0[1-9]|1[0-2])/(0[1-9]|1[0-2])/(19|20)\d\d", dates["05/06/1999"])
+    assert dates["December 31, 1999"].split()[0] in pii.MONTHS["en"] and dates["Dec 31, 1999"].split()[0] in pii.MONTHS["short"]
+    assert dates["31. Dezember 1999"].split()[1] in pii.MONTHS["de"] and dates["1er janvier 1999"].split()[1] in pii.MONTHS["fr"]
+    assert dates["31 de diciembre de 1999"].split()[2] in pii.MONTHS["es"] and dates["3 mai 2001"].split()[1] in pii.MONTHS["fr"]
+
+
+def test_notations_of_a_number_share_a_pseudonym(spark):
+    digits = lambda t: "".join(c for c in t if c.isdigit())[-10:]
+    assert len({digits(t) for t in hide(spark, ["555-223-4567", "(555) 223-4567", "+1 (555) 223-4567", "+15552234567"])}) == 1
+    a, b = hide(spark, ["x 4173 8931 7853 0722 123 y", "x 4173 8931 7853 0722"])
+    assert a == b + " 123 y"
+
+
+def test_figures_are_permuted_without_collisions(spark):
+    days = spark.range(366).select(F.date_add(F.lit("1999-12-01").cast("date"), F.col("id").cast("int")).alias("d"))
+    texts = [t for r in days.collect() for t in {r["d"].strftime("%d/%m/%Y"), r["d"].strftime("%m/%d/%Y")}]
+    texts = sorted(set(texts))
+    assert len(set(hide(spark, texts))) == len(texts)
+
+
+def test_numbers_of_no_form_stay(spark):
+    same = ["378282246310006", "31.13.1999", "30.02.2000", "31 Febtober 1999", "1,234,567,890", "version 1.2.1999.5", "0.123456789", "12.50", "in 1999 und 2000", "30 February 2001"]
+    assert hide(spark, same) == same
+
+
 def test_invalid_values_stay(spark):
     same = ["4173893178530723", "1999-02-30", "666-45-6789", "1.2.3", "300.1.1.1", "nothing", "", None, "12345678901234567890"]
     assert hide(spark, same) == same
