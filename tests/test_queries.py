@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 
 from weftline import catalog, plans  # noqa: F401
+from weftline.streaming import streams
 
 
 @pytest.fixture(scope="module")
@@ -36,3 +37,16 @@ def test_query_equals_sql(spark, data, duck, name):
 @pytest.mark.parametrize("name", ["omega_metrics", "node_balance_and_spectral", "filing_fields"])
 def test_query_runs(spark, data, name):
     assert catalog.QUERIES[name](spark, data).count() > 0
+
+
+def test_hop_windows_leave_no_memory_table(spark, data, duck):
+    df = catalog.QUERIES["stream_hop_windows"](spark, data)
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("hop_stream")]
+    assert rows(df.toPandas()) == rows(duck.sql(catalog.ORACLES["stream_hop_windows"]).df())
+
+
+def test_hop_stream_equals_query(spark, data):
+    e = spark.readStream.schema(spark.read.parquet(f"{data}/events.parquet").schema).parquet(f"{data}/events.parquet*").where("event_type = 'purchase'")
+    got = streams.drain(streams.hop_stream(e, "user_id", "event_id", "value", 10, 5), "hops_of_test").toPandas()
+    want = catalog.QUERIES["stream_hop_windows"](spark, data).toPandas()
+    assert rows(got.assign(mean=got["mean"].round(6))) == rows(want)

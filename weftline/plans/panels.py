@@ -1,4 +1,4 @@
-"""Registered queries: kernels, attribution, portfolios, risk, synthetic truth and streams."""
+"""Registered queries: kernels, attribution, portfolios, risk, synthetic truth and replays."""
 
 from __future__ import annotations
 
@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from weftline.catalog import query
 from weftline.operators import filters, metrics, network, panel, portfolio, risk, synth, windows
+from weftline.sources.readers import parquet
 from weftline.sources.shared import once
-from weftline.streaming import streams
 
 from .base import EDGES, STEP, WIDTH, hourly, r, weekly_returns, weekly_windows
 
@@ -181,18 +181,13 @@ def event_hours(spark, d):
     return hourly(spark, d).select(F.unix_seconds("ts").alias("h"), "node", r("value", 4).alias("value"))
 
 
-STREAMS = 0
-
-
 @query("""WITH e AS (SELECT user_id, event_id, value FROM events WHERE event_type = 'purchase'),
 p AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos, count(*) OVER (PARTITION BY user_id) AS n FROM e)
 SELECT a.user_id, CAST((a.pos - 10) / 5 AS INTEGER) AS win, CAST(a.pos AS INTEGER) AS "end", round(avg(b.value), 6) AS mean FROM p a JOIN p b ON a.user_id = b.user_id AND b.pos >= a.pos - 10 AND b.pos < a.pos WHERE a.pos >= 10 AND (a.pos - 10) % 5 = 0 GROUP BY 1, 2, 3""")
 def stream_hop_windows(spark, d):
-    """Row-count hop windows of each user's purchases, as a stream with state, replayed over the table at rest."""
-    global STREAMS
-    STREAMS += 1
-    schema = spark.read.parquet(f"{d}/events.parquet").schema
-    e = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*").where("event_type = 'purchase'").select("user_id", "event_id", "value")
-    out = streams.drain(streams.hop_stream(e, "user_id", "event_id", "value", 10, 5), f"hop_stream_{STREAMS}")
-    return out.select("user_id", "win", "end", r("mean").alias("mean"))
+    """Row-count hop windows of each user's purchases over the table at rest; ``streams.hop_stream`` gives the same on a stream."""
+    by = Window.partitionBy("user_id").orderBy("event_id")
+    e = parquet(spark, d, "events").where("event_type = 'purchase'").select("user_id", "event_id", "value")
+    e = e.withColumns({"pos": F.row_number().over(by) - 1, "mean": F.avg("value").over(by.rowsBetween(-10, -1))}).where("pos >= 10 AND (pos - 10) % 5 = 0")
+    return e.select("user_id", ((F.col("pos") - 10) / 5).cast("int").alias("win"), F.col("pos").alias("end"), r("mean").alias("mean"))
 
