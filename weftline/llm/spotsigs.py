@@ -57,33 +57,79 @@ def likeness(a: Column, b: Column) -> Column:
     return let(F.size(F.array_intersect(a, b)), lambda n: n / (F.size(a) + F.size(b) - n))
 
 
-def with_next(docs: DataFrame, columns: list[str], key: str = "doc_id", tie: str = "text") -> DataFrame:
+def below(cuts: Column, x: Column, same: bool, bits: int) -> Column:
+    """How many of the sorted ``cuts`` (under 2**bits) are below ``x``, or with ``same`` also equal to it: a binary search."""
+
+    def step(at: Column, jump: Column) -> Column:
+        c = F.get(cuts, at + jump - 1)
+        return F.when((c <= x) if same else (c < x), at + jump).otherwise(at)
+
+    return F.aggregate(F.array(*[F.lit(1 << i) for i in range(bits - 1, -1, -1)]), F.lit(0), step)
+
+
+#: Bytes of the columns of a range.
+RANGE_BYTES = 8 << 20
+
+
+def with_next(docs: DataFrame, columns: list[str], key: str = "doc_id", tie: str = "text", range_bytes: int = RANGE_BYTES) -> DataFrame:
     """``docs`` and, as ``next_<column>``, the columns of the row with the next lower key; after the last comes the first.
 
-    Null keys come last, equal keys in order of a hash of column ``tie``. Rows are dealt to key ranges cut
-    at quantiles, so the wide columns are exchanged once; the greatest row of each range is also sent
-    to the next range. Only the cuts and one key for each range reach the driver.
+    Null keys come last, equal keys in order of a hash of column ``tie``. Rows are dealt to ranges of
+    about ``range_bytes`` (of ``tie``), cut at quantiles of the key; a key with more rows than a range,
+    or many null keys, are cut by the hash (rows equal in both share a range). The wide columns are
+    exchanged once; the greatest row of each range is also sent to the next range. Only the cuts and
+    one key for each range reach the driver. Columns may have any name, but for a ``next_<column>``,
+    which is replaced. An empty table stays empty.
     """
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    least = F.lit(-(1 << 63)).cast("long")
-    ordered = docs.withColumns({"_k": F.coalesce(F.col(key).cast("long"), least), "_t": F.xxhash64(tie)})
-    place = F.col("_k").cast("double") + F.shiftrightunsigned("_t", 44) / float(1 << 20)
-    cuts = ordered.agg(F.percentile_approx(place, [i / parts for i in range(1, parts)] or [0.5], 10_000).alias("c")).first()["c"] or []
-    cuts = sorted(set(cuts))
-    bucket = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c <= place)) if cuts else F.lit(0)
-    ranged = ordered.withColumn("_b", bucket)
-    ends = sorted(ranged.groupBy("_b").agg(F.max(F.struct("_k", "_t")).alias("e")).collect())
-    rows = [(b, e["_k"], e["_t"], ends[(i + 1) % len(ends)][0]) for i, (b, e) in enumerate(ends)]
-    edge = spark.createDataFrame(rows, "_b int, _ek long, _et long, _to int")
-    last = (F.col("_k") == F.col("_ek")) & (F.col("_t") == F.col("_et"))
-    own = F.struct(F.col("_b").alias("b"), F.lit(False).alias("ghost"))
-    ghost = F.struct(F.col("_to").alias("b"), F.lit(True).alias("ghost"))
-    sent = ranged.join(F.broadcast(edge), "_b").withColumn("_s", F.explode(F.when(last, F.array(own, ghost)).otherwise(F.array(own))))  # a row for each range
-    sent = sent.select(*docs.columns, "_k", "_t", F.col("_s.b").alias("_b"), F.col("_s.ghost").alias("_g"))
-    order = Window.partitionBy("_b").orderBy(F.col("_g").desc(), "_k", "_t")
-    out = sent.select(*docs.columns, "_g", *[F.lag(c).over(order).alias(f"next_{c}") for c in columns])
-    return out.where(~F.col("_g")).drop("_g")
+    key_of = F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(-(1 << 63)).cast("long"))
+    keep = [c for c in docs.columns if c.lower() not in {f"next_{x}".lower() for x in columns}]
+    rows = docs.select(key_of.alias("k"), F.xxhash64(f"`{tie}`").alias("t"), F.struct(*[f"`{c}`" for c in keep]).alias("row"))
+    size = F.sum(F.octet_length(F.col(f"`{tie}`").cast("string")).cast("long") + 64)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(docs.agg(size).first()[0] or 0) // range_bytes))
+    cuts = sorted(rows.agg(F.percentile_approx("k", [i / parts for i in range(1, parts)] or [0.5], 10 * parts).alias("c")).first()["c"] or [])
+    bits = len(cuts).bit_length()
+    one = F.broadcast(spark.createDataFrame([(cuts,)], "cuts array<long>"))  # one row, as long as there are ranges
+    unit = F.col("t") / float(1 << 64) + 0.5  # grows with t, from 0 to 1
+    low, high = below(F.col("cuts"), F.col("k"), False, bits), below(F.col("cuts"), F.col("k"), True, bits)
+    ranged = rows.join(one).withColumns({"low": low, "high": high}).select("k", "t", "row", F.least(F.floor(F.col("low") + unit * (F.col("high") - F.col("low") + 1)), F.col("high")).cast("int").alias("b"))
+    ends = sorted(ranged.groupBy("b").agg(F.max(F.struct("k", "t")).alias("e")).collect())
+    edge = spark.createDataFrame([(b, e["k"], e["t"], ends[(i + 1) % len(ends)][0]) for i, (b, e) in enumerate(ends)], "b int, ek long, et long, to int")
+    last = (F.col("k") == F.col("ek")) & (F.col("t") == F.col("et"))
+    own = F.struct(F.col("b").alias("at"), F.lit(False).alias("ghost"))
+    ghost = F.struct(F.col("to").alias("at"), F.lit(True).alias("ghost"))
+    sent = ranged.join(F.broadcast(edge), "b").withColumn("s", F.explode(F.when(last, F.array(own, ghost)).otherwise(F.array(own))))  # a row for each range
+    sent = sent.select("k", "t", "row", "s.at", "s.ghost").repartition(parts, "at")
+    order = Window.partitionBy("at").orderBy(F.col("ghost").desc(), "k", "t")
+    out = sent.select("row", "ghost", F.lag(F.struct(*[F.col("row")[c].alias(c) for c in columns])).over(order).alias("next")).where(~F.col("ghost"))
+    return out.select("row.*", *[F.col("next")[c].alias(f"next_{c}") for c in columns])
+
+
+def near_links(sets: DataFrame, least: float = 0.8, key: str = "rep", may: Column | None = None, orders: int = 4) -> DataFrame:
+    """Pairs (a, b) with a < b of sets with a likeness of ``least`` or more, enough to connect what is alike.
+
+    ``sets`` is ``key, sigs`` (sorted, distinct), one row for each key. Sets are partitioned by length,
+    so that only the same and the next partition can be alike; in these, sets meet in the cell of a
+    signature that is among the least of both (as many as ``least`` allows to miss, and one).
+    All pairs of a cell of up to three are compared; in a larger one each set with the cell's first and
+    last, so work stays linear in the cells' sizes however many sets share a signature. What comes first
+    follows one of ``orders`` hashes of the key, by the signature. Like sets share many cells, and
+    copies of one text meet the same few keys in them, which connects them; a pair is lost only if no
+    chain of such meetings joins its ends. ``similar_pairs`` finds those too. ``may``, a condition on a
+    and b, is asked before sets are compared.
+    """
+    n = F.size("sigs")
+    part = F.floor(F.log(n.cast("double")) / F.lit(-math.log(least))).cast("int")
+    prefix = F.slice("sigs", F.lit(1), (n - F.ceil(n * least - 1e-9) + 1).cast("int"))
+    index = sets.select(F.col(key).alias("key"), n.alias("n"), part.alias("part"), F.explode(prefix).alias("sig"))
+    index = index.select(F.struct(F.xxhash64("key", F.pmod("sig", F.lit(orders))).alias("h"), "key", "n").alias("me"), "sig", F.explode(F.array("part", F.col("part") + 1)).alias("cell"))
+    ends = index.groupBy("sig", "cell").agg(F.min("me").alias("lo"), F.max("me").alias("hi")).where("lo.key <> hi.key")
+    met = index.join(ends, ["sig", "cell"]).select("me", F.explode(F.array("lo", "hi")).alias("end"))
+    met = met.select(F.least("me.key", "end.key").alias("a"), F.greatest("me.key", "end.key").alias("b"), F.col("me.n").alias("x"), F.col("end.n").alias("y"))
+    near = (F.col("a") < F.col("b")) & (F.least("x", "y") >= F.greatest("x", "y") * least - 1e-9)
+    pairs = met.where(near if may is None else near & may).select("a", "b").distinct()
+    both = pairs.join(sets.select(F.col(key).alias("a"), F.col("sigs").alias("x")), "a").join(sets.select(F.col(key).alias("b"), F.col("sigs").alias("y")), "b")
+    return both.where(likeness(F.col("x"), F.col("y")) >= least).select("a", "b")
 
 
 def similar_pairs(fingerprints: DataFrame, least: float = 0.8, key: str = "doc_id", sigs: str = "sigs") -> tuple[DataFrame, DataFrame]:
@@ -93,14 +139,15 @@ def similar_pairs(fingerprints: DataFrame, least: float = 0.8, key: str = "doc_i
     fingerprints). Second: ``key, representative``. Copies are never paired. Sets are partitioned by
     length so that only the same and the next partition can be alike; within these, sets meet if their
     rarest signatures (those that ``least`` allows to miss, and one) do, and are compared if their
-    lengths allow it.
+    lengths allow it. Other columns are not read; rows of a null key are of no pair but have a
+    representative; an empty table gives two empty ones.
     """
     sets = cut(fingerprints.groupBy(sigs).agg(F.min(key).alias("rep")).withColumn("n", F.size(sigs)))
     member = fingerprints.join(sets.select(sigs, F.col("rep").alias("representative")), sigs).select(key, "representative")
     one = sets.select("rep", "n", F.explode(sigs).alias("sig"))
     common = one.groupBy("sig").agg(F.count(F.lit(1)).alias("df"))
     rank = F.sort_array(F.collect_list(F.struct("df", "sig")))  # a set's own signatures
-    prefix = F.col("n") - F.ceil(F.col("n") * least) + 1
+    prefix = F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1
     index = one.join(common, "sig").groupBy("rep", "n").agg(rank.alias("r")).select("rep", "n", F.explode(F.slice("r", F.lit(1), prefix.cast("int"))).alias("x")).select("rep", "n", F.col("x.sig").alias("sig"))
     length = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(least))).cast("int")
     left = index.select(F.col("rep").alias("a"), F.col("n").alias("na"), "sig", length.alias("part"))
@@ -112,6 +159,12 @@ def similar_pairs(fingerprints: DataFrame, least: float = 0.8, key: str = "doc_i
 
 
 def op10_spotsigs(spark, sf_dir):
+    """Fingerprints of all documents' whole texts and of their edited texts, with the likeness to these and to the next document.
+
+    A null text is empty: its edit is empty, and its fingerprint the one signature of no words. Likeness is
+    exact, so pairs are not pruned here; ``near_links`` and ``similar_pairs`` search near copies by
+    length partitions, and the pipeline's stage uses the former.
+    """
     text = whole_text(F.col("text"))
     docs = table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", text.alias("text"))
     pairs = with_next(docs.withColumn("sigs", signatures(F.col("text"))), ["text", "sigs"])
