@@ -546,3 +546,97 @@ def test_fingerprint_text(spark):
     d = spark.createDataFrame([(t,), (t,), (None,)], "text string").withColumn("s", spotsigs.signatures(F.col("text")))
     a, b, n = [(r["f"], len(r["s"])) for r in d.select("s", spotsigs.as_text(F.col("s")).alias("f")).collect()]
     assert a == b and len(a[0]) == 8 * a[1] and len(n[0]) == 8
+
+
+CLASHING = ["_k", "_t", "_b", "_g", "k", "t", "b", "row", "low", "high", "at", "ghost", "cuts", "_keep", "_again", "_n", "kept", "repeated", "fp", "component_id", "n", "x", "sigs", "_sigs", "_key", "_text"]
+
+
+def with_clashes(df):
+    return df.select("*", *[F.lit(i).alias(c) for i, c in enumerate(CLASHING)])
+
+
+def test_next_with_null_keys_hot_keys_and_clashing_names(spark):
+    rng = random.Random(4)
+    rows = [(None if i < 40 else 5 if i < 80 else rng.choice([-(1 << 63), 0, (1 << 62) + rng.randrange(3), rng.randrange(1 << 40)]), f"{i} " + "x" * rng.randrange(200)) for i in range(150)]
+    d = with_clashes(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).withColumn("next_text", F.lit("old"))
+    out = spotsigs.with_next(d, ["text"], range_bytes=400)
+    assert sorted(out.columns) == sorted(d.columns)
+    t = {r["text"]: r["t"] for r in spark.createDataFrame(rows, "doc_id long, text string").select("text", F.xxhash64("text").alias("t")).collect()}
+    order = [x[1] for x in sorted(rows, key=lambda x: (-(1 << 63) if x[0] is None else x[0], t[x[1]]), reverse=True)]
+    assert {r["text"]: r["next_text"] for r in out.collect()} == {a: order[(i + 1) % len(order)] for i, a in enumerate(order)}
+    assert spotsigs.with_next(d.limit(0), ["text"]).count() == 0
+
+
+def test_near_links_connect_what_is_alike(spark):
+    rng = random.Random(8)
+    sets = set()
+    for _ in range(6):  # clusters of near copies, all with one common passage
+        base = {rng.randrange(1 << 30) for _ in range(rng.randint(30, 90))}
+        for _ in range(25):
+            s = set(base)
+            for _ in range(rng.randint(0, 6)):
+                s.discard(rng.choice(sorted(s)))
+                s.add(rng.randrange(1 << 30))
+            sets.add(tuple(sorted(s | {7, 8, 9})))
+    sets |= {tuple(sorted({rng.randrange(1 << 30) for _ in range(40)} | {7, 8, 9})) for _ in range(60)}
+    sets = sorted(sets)
+    d = spark.createDataFrame([(i, list(s)) for i, s in enumerate(sets)], "rep long, sigs array<int>")
+    pairs = {(r["a"], r["b"]) for r in spotsigs.near_links(d).collect()}
+    alike = {(i, j) for j in range(len(sets)) for i in range(j) if len(set(sets[i]) & set(sets[j])) >= 0.8 * len(set(sets[i]) | set(sets[j]))}
+    assert pairs <= alike
+
+    def roots(links):
+        up = list(range(len(sets)))
+
+        def root(x):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for a, b in sorted(links):
+            up[max(root(a), root(b))] = min(root(a), root(b))
+        return [root(x) for x in range(len(sets))]
+
+    assert roots(pairs) == roots(alike) and len(pairs) < 0.7 * len(alike)
+    assert spotsigs.near_links(d.limit(0)).count() == 0
+
+
+def test_stage_drops_near_copies_whatever_the_columns_are_called(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("etaoinshr") for _ in range(rng.randint(3, 8)))
+    rows, group = [], {}
+    for g in range(12):
+        base = [rng.choice(spotsigs.ANCHORS) if rng.random() < 0.35 else word() for _ in range(300)]
+        for _ in range(6):
+            w = list(base)
+            for i in rng.sample(range(300), 2):
+                w[i] = word()
+            group[len(rows)] = g
+            rows.append((len(rows), " ".join(w), "en", "s", 0))
+    d = with_clashes(spark.createDataFrame(rows, SCHEMA))
+    kept = [r["doc_id"] for r in simhash.keep_one_of_each(spark, d, "").collect()]
+    assert sorted(kept) == [6 * g for g in range(12)]
+    at_two_bits = {r["component_id"] for r in simhash.near_duplicates(d).collect()}
+    assert len(at_two_bits) > 1.5 * len(kept)
+    twice = d.unionByName(d)
+    again = simhash.keep_one_of_each(spark, twice, "")
+    assert again.columns == d.columns and sorted(r["doc_id"] for r in again.collect()) == sorted(kept)
+    one_id = simhash.keep_one_of_each(spark, d.withColumn("doc_id", F.lit(1).cast("long")), "")
+    assert one_id.count() == 12  # texts of one id are documents of their own
+
+
+def test_hot_fingerprints_are_joined_whole(spark):
+    d = spark.range(5000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("text number "), F.col("id").cast("string"))).alias("text"))
+    got = simhash.near_duplicates(d)
+    assert got.count() == 5000 and got.where("fp = 0").select("component_id").distinct().collect()[0][0] == 0
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from weftline.llm.common import shared_folder
+
+    unset = SimpleNamespace(get=lambda *a: None)
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(SimpleNamespace(sparkContext=context, conf=unset))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -15,11 +16,17 @@ SPACE = r"[\x20\x09-\x0D]+"
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests on one machine) a temporary one is made.
+    Only where that is unset and all runs on one machine (tests) a temporary one is made; on a cluster
+    it must be set.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftline-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="weftline-")
+        context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
@@ -46,6 +53,24 @@ def whole_text(text: Column) -> Column:
     return F.coalesce(text.cast("string"), F.lit(""))
 
 
+#: A key with more than this part of all rows is hot; there are at most so many of them.
+HOT_PART = 1024
+
+
+def join_hot(rows: DataFrame, side: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` joined with ``side`` (one row for each ``key``, and ``n``: how many of the ``total`` rows have it).
+
+    Hot keys' rows (at most HOT_PART keys) meet a broadcast, all others an exchange, so no key gathers
+    its rows in a task.
+    """
+    hot = side.where(F.col("n") * HOT_PART > total).drop("n").collect()
+    if not hot:
+        return rows.join(side.drop("n"), key)
+    few = F.broadcast(rows.sparkSession.createDataFrame(hot, side.drop("n").schema))
+    rest = rows.join(few.select(key), key, "left_anti").join(side.drop("n"), key)
+    return rows.join(few, key).unionByName(rest)
+
+
 #: So many distinct keys of a sample are broadcast at most.
 MOST_KEYS = 10_000
 

@@ -7,6 +7,9 @@ fingerprints give one candidate pair, which is verified exactly. A cell with mor
 two of its fingerprints at 2 bits or fewer differ from a common 64-bit midpoint by 1 bit at most, and
 all (at most 65) that share a midpoint are linked to the least of them. So the work is linear in the
 fingerprints however crowded a cell is, and no link is lost.
+
+The pipeline's stage asks for more than 2 bits: texts of like signature sets (``spotsigs.near_links``)
+are linked too.
 """
 
 from __future__ import annotations
@@ -16,9 +19,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import cut, slices, table
+from . import spotsigs
+from .common import cut, join_hot, slices, table
 
 SEGMENTS, BITS = 16, 4
 MAX_BITS = 2
@@ -37,16 +41,17 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, fp long`` (the 64 bits, signed) for each row, over the whole text; null counts as empty."""
-    kind = dict(docs.dtypes)[key]
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", *more: Column) -> DataFrame:
+    """``key, fp long`` (the 64 bits, signed) and the columns ``more`` for each row, over the whole text; null counts as empty."""
+    rows = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"), *more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             fp = np.array([fingerprint(t.as_py()) for t in b.column(1)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["_key", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), *b.columns[2:]], names=["_key", "fp", *b.schema.names[2:]])
 
-    return docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text")).mapInArrow(run, f"_key {kind}, fp long").withColumnRenamed("_key", key)
+    kinds = [f"`{c}` {t}" for c, t in rows.dtypes]
+    return rows.mapInArrow(run, ", ".join([kinds[0], "fp long", *kinds[2:]])).withColumnRenamed("_key", key)
 
 
 def segment(fp: Column, s: int) -> Column:
@@ -83,15 +88,16 @@ def links(fps: DataFrame) -> DataFrame:
     return pairs.union(star.select("a", F.explode("all").alias("b")).where(F.col("a") != F.col("b")).distinct())
 
 
-def components(pairs: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(pairs: DataFrame) -> DataFrame:
     """``node, root`` for each node of ``pairs (a, b)``: root is the least node that it reaches.
 
-    Large-star and small-star rounds, each cut; an edge list never leaves the executors. A star's
-    centre is aggregated, not gathered, so nodes of any degree are fine.
+    Large-star and small-star rounds, each cut, until one changes nothing; every round that changes an
+    edge gives it a lower end, so they settle. An edge list never leaves the executors. A star's centre
+    is aggregated, not gathered, so nodes of any degree are fine.
     """
     edges = cut(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     state = None
-    for _ in range(most_rounds):
+    while True:
         # large star: neighbours above a node join its least neighbour (or itself)
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -104,57 +110,74 @@ def components(pairs: DataFrame, most_rounds: int = 60) -> DataFrame:
         if tuple(now) == state:
             break
         state = tuple(now)
-    else:
-        raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, fp long, component_id``: the least key among documents reachable by links of 2 bits or fewer.
+def classes(docs: DataFrame, key: str, text: str, likeness: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows as ``key, fp`` and the fingerprints as ``fp, component_id, n`` (rows of it).
 
-    Null and wordless texts have fingerprint 0 and are linked like any other. Repeated rows stay, with
-    the same component. Documents of equal fingerprint are one node, so copies are never paired.
+    With ``likeness``, fingerprints whose texts' signature sets are so alike (found as
+    ``spotsigs.near_links`` says; a fingerprint's text is that of its least key) are linked as well.
+    Pairs that differ in over FAR bits are taken for unlike without a look at their sets.
     """
-    marked = cut(fingerprints(docs, key, text))
-    nodes = cut(marked.groupBy("fp").agg(F.min(key).alias("_least")))
-    roots = components(links(nodes.select("fp")))
-    linked = roots.join(nodes, F.col("node") == F.col("fp")).select("node", "root", "_least")
+    sigs = [] if likeness is None else [spotsigs.signatures(F.col(text)).alias("_sigs")]
+    marked = cut(fingerprints(docs, key, text, *sigs))
+    nodes = marked.groupBy("fp").agg(F.min(key).alias("_least"), F.count(F.lit(1)).alias("n"), *[F.coalesce(F.min_by("_sigs", key), F.min("_sigs")).alias("_sigs") for _ in sigs])
+    nodes = cut(nodes)
+    pairs = links(nodes.select("fp"))
+    if likeness is not None:
+        pairs = pairs.union(spotsigs.near_links(nodes.select("fp", F.col("_sigs").alias("sigs")), likeness, "fp", F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= FAR))
+    roots = components(pairs)
+    linked = roots.join(nodes.select("fp", "_least"), F.col("node") == F.col("fp")).select("node", "root", "_least")
     group = linked.groupBy("root").agg(F.min("_least").alias("_group"))
     moved = linked.join(group, "root").select(F.col("node").alias("fp"), "_group")
-    of = cut(nodes.join(moved, "fp", "left").select("fp", F.coalesce("_group", "_least").alias("component_id")))
-    return marked.join(of, "fp").select(key, "fp", "component_id")
+    return marked.select(key, "fp"), cut(nodes.select("fp", "_least", "n").join(moved, "fp", "left").select("fp", F.coalesce("_group", "_least").alias("component_id"), "n"))
+
+
+#: Of two unrelated fingerprints about 1 in 500 pairs differs in so few bits; of texts with a likeness of 0.8, nearly all do.
+FAR = 20
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key, fp long, component_id``: the least key among documents reachable by links of 2 bits or fewer.
+
+    Null and wordless texts have fingerprint 0 and are linked like any other. Null keys stand for no
+    component that has another key. Repeated rows stay, with the same component. Documents of equal
+    fingerprint are one node, so copies are never paired; other columns are not read. An empty table
+    stays empty.
+    """
+    marked, of = classes(docs, key, text)
+    total = of.agg(F.sum("n")).first()[0] or 0
+    return join_hot(marked, of, "fp", total).select(key, "fp", "component_id")
 
 
 def op8_simhash(spark, sf_dir):
+    """``doc_id, fingerprint, component_id`` of all documents at 2 bits or fewer, as ``near_duplicates`` says."""
     out = near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def least_rows(nameless: DataFrame) -> DataFrame:
-    """Of each component of rows without a doc_id the least row, in order of its columns."""
-    rows = nameless.select(F.struct(*nameless.columns).alias("_row"), F.col("text").alias("_text"))
-    return near_duplicates(rows, "_row", "_text").select("component_id").distinct().select("component_id.*")
+#: Likeness of signature sets from which the pipeline's stage takes two texts for copies.
+LIKENESS = 0.8
 
 
 def keep_one_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component the document with the least doc_id stays; of repeated rows one.
 
-    A null doc_id never stands for a component that has another one. Where all of a component's ids
-    are null, the least of its rows stays. Repeated ids are found on the ids alone; only where there
-    are any is a second join needed, which ranks the rows of such an id.
+    Links are those of ``near_duplicates`` and a likeness of LIKENESS or more (``classes``). A null
+    doc_id comes after all others. Rows of one doc_id with different texts are different documents,
+    the one with the least hash of its columns comes first. Columns may have any name; those that hold
+    maps are not told apart. An empty table stays empty.
     """
-    found = cut(near_duplicates(docs.select("doc_id", "text")))
-    keep = found.where(F.col("component_id").isNotNull()).select(F.col("component_id").alias("_keep")).distinct()
-    again = cut(docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")))
-    alone = cut(found.where(F.col("component_id").isNull()).select("fp").distinct())
-    if again.isEmpty():
-        out = docs.join(keep, docs["doc_id"] == keep["_keep"], "left_semi")
-    else:
-        single = docs.join(keep.join(again, keep["_keep"] == again["_again"], "left_anti"), F.col("doc_id") == F.col("_keep"), "left_semi")
-        several = docs.join(keep.join(again, keep["_keep"] == again["_again"], "left_semi"), F.col("doc_id") == F.col("_keep"), "left_semi")
-        once = Window.partitionBy("doc_id").orderBy(*[c for c in docs.columns if c != "doc_id"])
-        out = single.unionByName(several.withColumn("_n", F.row_number().over(once)).where("_n = 1").drop("_n"))
-    if alone.isEmpty():
-        return out
-    nameless = docs.where(F.col("doc_id").isNull()).select(F.struct(*docs.columns).alias("_row"), "text")
-    return out.unionByName(least_rows(fingerprints(nameless, "_row").join(alone, "fp", "left_semi").select("_row.*")))
+    told = [c for c, t in docs.dtypes if "map<" not in t]
+    quoted = lambda c: f"`{c}`"
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64(*map(quoted, told)).alias("x"), F.hash(*map(quoted, told)).alias("y"))
+    rows = docs.select(order.alias("k"), F.struct(*map(quoted, docs.columns)).alias("row"))
+    marked, of = classes(rows.select("k", F.col("row.text").alias("text")), "k", "text", LIKENESS)
+    keep = cut(of.select(F.col("component_id").alias("kept")).distinct())
+    again = cut(marked.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("k").alias("repeated")))
+    out = rows.join(keep, F.col("k") == F.col("kept"), "left_semi")
+    if not again.isEmpty():  # rows that repeat others whole
+        several = out.join(again, F.col("k") == F.col("repeated"), "left_semi").dropDuplicates(["k"])
+        out = out.join(again, F.col("k") == F.col("repeated"), "left_anti").unionByName(several)
+    return out.select("row.*")
