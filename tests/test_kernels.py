@@ -59,7 +59,33 @@ def test_earth_mover_of_unit_masses_is_the_best_assignment(seed):
     rng = np.random.default_rng(seed)
     cost = rng.random((4, 4))
     best = min(sum(cost[i, p[i]] for i in range(4)) for p in permutations(range(4)))
-    assert k.earth_mover(np.full(4, 0.25), np.full(4, 0.25), cost) == pytest.approx(best / 4)
+    assert k.transport(np.full(4, 0.25), np.full(4, 0.25), cost) == pytest.approx(best / 4)
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.integers(0, 10_000))
+def test_mass_that_both_have_stays(seed):
+    rng = np.random.default_rng(seed)
+    p, q, x = rng.random(9), rng.random(9), rng.random((9, 2))
+    p, q, d = p / p.sum(), q / q.sum(), np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    assert k.earth_mover(p, q, d) == pytest.approx(k.transport(p, q, d))
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.integers(0, 10_000), st.integers(2, 14))
+def test_loops_of_many_points_equal_those_of_all_simplices(seed, n):
+    rng = np.random.default_rng(seed)
+    x = np.round(rng.random((n, 2)), 1 if seed % 2 else 9)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    clean = lambda pairs: sorted((dim, round(b, 9), round(e, 9)) for dim, b, e in pairs if e > b + 1e-12)
+    assert clean(k.loops_and_parts(d)) == clean(k.rips_pairs(d))
+
+
+def test_loops_of_a_large_circle():
+    t = np.arange(120) * 2 * np.pi / 120
+    p = np.c_[np.cos(t), np.sin(t)]
+    loops = [x for x in k.loops_and_parts(np.sqrt(((p[:, None] - p[None]) ** 2).sum(-1))) if x[0] == 1]
+    assert len(loops) == 1 and loops[0][2] == pytest.approx(3**0.5)
 
 
 def test_earth_mover_of_uneven_masses():

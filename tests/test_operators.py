@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions import kernels
-from weftline.operators import credit, filters, inference, metrics, network, panel, portfolio, scoring, text, windows
+from weftline.operators import credit, draws, filters, inference, metrics, network, panel, portfolio, scoring, synth, text, windows
 from weftline.sources import readers
 from weftline.streaming import streams
 
@@ -58,8 +58,50 @@ def test_relational_network_equals_dense(spark):
 def test_filter_three(spark):
     df = spark.createDataFrame([("s", i, x) for i, x in enumerate([1.0, 2.0, 0.5])], "s string, ts int, x double")
     assert [r["memory"] for r in filters.smooth(df, "x", ["s"]).orderBy("ts").collect()] == pytest.approx([1, 1.6, 1.512])
-    m = filters.series(df, "x", ["s"]).select(filters.recurrence(F.col("points"), filters.asymmetric_step()).alias("m")).first()["m"]
-    assert m == pytest.approx([1, 1.6, 1.512])
+    grid = df.withColumn("up", F.lit(0.6)).withColumn("down", F.lit(0.08))
+    assert [r["memory"] for r in filters.smooth(grid, "x", ["s", "up", "down"], rates=("up", "down")).orderBy("ts").collect()] == pytest.approx([1, 1.6, 1.512])
+
+
+def test_past_distribution(spark):
+    df = spark.createDataFrame([("s", i, x) for i, x in enumerate([3.0, 1.0, 2.0, 3.0])], "s string, ts int, x double")
+    got = filters.trailing_cdf(df, "x", ["s"]).orderBy("ts").collect()
+    assert [r["cdf"] for r in got] == [None, 0.0, 0.5, 1.0]
+
+
+def test_windows_of_many_nodes_have_all_metrics(spark):
+    """No size is too large: edges are dealt to tasks, loops found without all triangles."""
+    x, m = window_rows(spark, 3, 12)
+    got = metrics.window_metrics(m, ["curvature", "loops", "curvature_weighted"], edges_per_task=7).first()
+    c = kernels.correlation(x)
+    assert (got["curvature"], got["curvature_weighted"]) == pytest.approx(kernels.curvature(c))
+    assert got["loops"] == pytest.approx(sum(e - b for d, b, e in kernels.rips_pairs(kernels.distance(kernels.unit_diagonal(c))) if d == 1))
+    _, m = window_rows(spark, 4, 64, 30)
+    wide = metrics.window_metrics(m, ["curvature", "loops", "omega"], edges_per_task=200).first()
+    assert -1 < wide["curvature"] <= 1 and wide["loops"] > 0
+
+
+def test_ahead_needs_all_rows(spark):
+    rows = spark.createDataFrame([(dt.date(2024, 1, 1) + dt.timedelta(i), "a", float(i)) for i in range(12)], "ts date, node string, ret double")
+    a = panel.axis(rows)
+    got = windows.ahead(rows, windows.hops(a, 4, 3), rows, 3).collect()
+    assert {(r["win"], r["ahead"]) for r in got} == {(0, 4.0 + 5 + 6), (1, 7.0 + 8 + 9)}
+
+
+def test_draws_are_uniform_and_normal(spark):
+    d = spark.range(20000).select(draws.uniform(F.col("id")).alias("u"), draws.normal(F.col("id")).alias("z")).toPandas()
+    assert abs(d["u"].mean() - 0.5) < 0.01 and abs(d["u"].var() - 1 / 12) < 0.003
+    assert abs(d["z"].mean()) < 0.03 and abs(d["z"].std() - 1) < 0.02 and abs(np.corrcoef(d["z"][1:], d["z"][:-1])[0, 1]) < 0.03
+
+
+def test_epicentres(spark):
+    """Noise before the shock; after it .81 of correlation in a group, .0625 outside."""
+    s = synth.epicentres(spark, 30, 2).where("sim < 30").toPandas()
+    wide = s.pivot(index=["sim", "pos"], columns="node", values="ret")
+    late, early = wide[wide.index.get_level_values("pos") >= 100].corr(), wide[wide.index.get_level_values("pos") < 100].corr()
+    assert late.loc["n00", "n01"] == pytest.approx(0.81, abs=0.03) and late.loc["n10", "n11"] == pytest.approx(0.0625, abs=0.06)
+    assert abs(early.loc["n00", "n01"]) < 0.06 and set(s[s["truth"]]["node"]) == {f"n{i:02d}" for i in range(6)}
+    turned = synth.epicentres(spark, 30, 1, frustrated=True, rows=(100, 200)).toPandas().pivot(index=["sim", "pos"], columns="node", values="ret").corr()
+    assert turned.loc["n00", "n01"] == pytest.approx(-0.81, abs=0.03)
 
 
 def test_quantile_and_gini(spark):
@@ -108,12 +150,38 @@ def test_amounts(spark):
     assert one("$5 million and $2 billion, respectively, or $500")["a"] == [5.0, 2000.0, 500.0]
     assert one("leases not yet commenced of $3.1 and $4.2 billion")["c"] == pytest.approx(7300)
     assert one("not yet commenced" + "x" * 250 + "$5 billion")["c"] is None
-    assert one("nothing")["a"] == [] and one("nothing")["k"] == "other"
+    assert one("nothing")["a"] == [] and one("nothing")["k"] == text.OTHER
+    assert one("Leases not yet commenced $ 10 1,200 1,210.5 are due")["c"] == 1210.5
+    assert one("a residual value guarantee")["k"] == "garantia de valor residual"
 
 
 def test_plain_text(spark):
     html = "<html><style>p{}</style><script>var a='<b>'</script><p>A&nbsp;&amp; B</p>\n\n<p>C&copy;</p></html>"
-    assert spark.createDataFrame([(html,)], "h string").select(text.plain_text(F.col("h"))).first()[0] == "A & B C"
+    plain = lambda h: spark.createDataFrame([(h,)], "h string").select(text.plain_text(F.col("h"))).first()[0]
+    assert plain(html) == "A & B C©"
+    import html as reader
+
+    for t in ("It&#8217;s 5&copy; &eacute;t&#233;", "&#x1F600;&#128512; &hearts;&amp;lt; &copy2024 &#150; &#0; &unknown; & alone &;", "a&nbsp;b&ensp;c&notin;&NotEqualTilde;"):
+        assert plain(t) == " ".join(reader.unescape(t).split())
+    assert plain("<script>a</style>b</script>c") == "c" and plain(None) is None
+
+
+def test_shares_of_customers(spark):
+    read = lambda t: [tuple(r) for r in spark.createDataFrame([(t,)], "t string").select(text.concentration(F.col("t")).alias("c")).first()["c"]]
+    day = dt.date(2024, 6, 30)
+    assert read("Our largest customer's orders were 12.5% of net sales for the quarter ended June 30, 2024.") == [("mayor_cliente", 1, 12.5, day, "ventas netas")]
+    assert read("We made 36%, 26%, and 10% of our revenue as of June 30, 2024 from our top three customers, 36% as of June 30, 2024.") == [("top_n", 3, 72.0, day, "ingresos")]
+    assert read("The 50 largest customers gave 40% of revenue.") == []
+    assert read("30% of revenues from our top ten customers in fiscal 2023") == [("top_n", 10, 30.0, dt.date(2023, 12, 31), "ingresos")]
+    assert read("no single customer exceeded 10% of accounts receivable") == [("umbral", None, 10.0, None, "cuentas por cobrar")]
+    assert read("top of the list") == [] and read("largest customer had 0% then") == []
+
+
+def test_lease_terms(spark):
+    read = lambda t: spark.createDataFrame([(t,)], "t string").select(text.lease_terms(F.col("t")).alias("t")).first()["t"]
+    assert tuple(read("Leases not yet commenced will commence between 2026 and 2029 with terms of seven to sixteen years.")) == (2026, 2029, 7.0, 16.0, None)
+    assert tuple(read("not yet commenced: none. Leases that have not yet commenced will commence in fiscal 2027, lease terms of up to 15 years, a weighted average remaining lease term of 8 years")) == (2027, 2027, None, 15.0, 8.0)
+    assert read("no leases") is None
 
 
 def test_readers(spark, tmp_path):

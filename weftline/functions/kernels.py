@@ -21,6 +21,11 @@ def off_diagonal(c: np.ndarray) -> np.ndarray:
     return c - np.diag(np.diag(c))
 
 
+def unit_diagonal(c: np.ndarray) -> np.ndarray:
+    """``c`` with ones on its diagonal, so that every node is at distance 0 of itself."""
+    return off_diagonal(c) + np.eye(len(c))
+
+
 def spectral_gap(a: np.ndarray) -> float:
     """Second least eigenvalue of the weighted Laplacian."""
     return float(np.linalg.eigvalsh(np.diag(a.sum(axis=1)) - a)[1]) if len(a) > 1 else 0.0
@@ -140,56 +145,60 @@ def distance(c: np.ndarray) -> np.ndarray:
 
 
 def earth_mover(p: np.ndarray, q: np.ndarray, cost: np.ndarray) -> float:
-    """Least cost of moving distribution ``p`` to ``q``: successive shortest paths with node potentials.
+    """Least cost of moving distribution ``p`` to ``q`` where ``cost`` is a metric: what both have at a place stays there."""
+    gain = p - q
+    rows, columns = np.flatnonzero(gain > 1e-15), np.flatnonzero(gain < -1e-15)
+    return transport(gain[rows], -gain[columns], cost[np.ix_(rows, columns)])
+
+
+def transport(supply: np.ndarray, need: np.ndarray, c: np.ndarray) -> float:
+    """Least cost of moving ``supply`` to ``need``: successive shortest paths.
 
-    Exact; each path saturates a supply, a demand or an arc, in at most a few times n steps.
+    Path lengths over the residual arcs are relaxed for all nodes at once until they settle. Exact; each
+    path uses up a supply, a demand or an arc.
     """
-    supply, need = p.astype(float).copy(), q.astype(float).copy()
-    n, m = cost.shape
-    flow, u, v = np.zeros((n, m)), np.zeros(n), np.zeros(m)
-    while supply.sum() > 1e-12 and need.sum() > 1e-12:
+    supply, need = supply.astype(float).copy(), need.astype(float).copy()
+    if not len(supply) or not len(need):
+        return 0.0
+    flow, every_row, every_column = np.zeros(c.shape), np.arange(len(supply)), np.arange(len(need))
+    while supply.max() > 1e-12 and need.max() > 1e-12:
         left = np.where(supply > 1e-13, 0.0, np.inf)
-        right, from_left, from_right = np.full(m, np.inf), np.full(m, -1), np.full(n, -1)
-        reduced = np.maximum(cost + u[:, None] - v[None, :], 0.0)
-        done_l, done_r = np.zeros(n, bool), np.zeros(m, bool)
+        right, from_left, from_right = np.full(len(need), np.inf), np.zeros(len(need), int), np.full(len(supply), -1)
+        back_cost = np.where(flow > 1e-13, -c, np.inf)
         while True:
-            dl, dr = np.where(done_l, np.inf, left), np.where(done_r, np.inf, right)
-            if min(dl.min(), dr.min()) == np.inf:
+            by = left[:, None] + c
+            best = by.argmin(axis=0)
+            reach = by[best, every_column]
+            nearer = reach < right - 1e-13
+            right[nearer], from_left[nearer] = reach[nearer], best[nearer]
+            by = right[None, :] + back_cost
+            best = by.argmin(axis=1)
+            reach = by[every_row, best]
+            nearer = reach < left - 1e-13
+            if not nearer.any():
                 break
-            if dl.min() <= dr.min():
-                i = int(dl.argmin())
-                done_l[i] = True
-                better = left[i] + reduced[i] < right
-                right[better], from_left[better] = left[i] + reduced[i][better], i
-            else:
-                j = int(dr.argmin())
-                done_r[j] = True
-                back = (flow[:, j] > 1e-13) & (right[j] < left)
-                left[back], from_right[back] = right[j], j
-        ends = np.where(need > 1e-13, right, np.inf)
-        j = int(ends.argmin())
-        u += np.minimum(left, ends[j])
-        v += np.minimum(right, ends[j])
-        path, at = [], j
+            left[nearer], from_right[nearer] = reach[nearer], best[nearer]
+        j = int(np.where(need > 1e-13, right, np.inf).argmin())
+        forth, back, at = [], [], j
         while True:
-            i = from_left[at]
-            path.append((i, at))
-            if from_right[i] < 0:
+            i = int(from_left[at])
+            forth.append((i, at))
+            if supply[i] > 1e-13 and from_right[i] < 0:
                 break
-            at = from_right[i]
-        back = [(path[k + 1][1], path[k][0]) for k in range(len(path) - 1)]
-        amount = min([supply[path[-1][0]], need[j], *(flow[i, jj] for jj, i in back)])
-        for i, jj in path:
-            flow[i, jj] += amount
-        for jj, i in back:
-            flow[i, jj] -= amount
-        supply[path[-1][0]] -= amount
+            at = int(from_right[i])
+            back.append((i, at))
+        amount = min([supply[i], need[j], *(flow[x] for x in back)])
+        for x in forth:
+            flow[x] += amount
+        for x in back:
+            flow[x] -= amount
+        supply[i] -= amount
         need[j] -= amount
-    return float((flow * cost).sum())
+    return float((flow * c).sum())
 
 
-def curvature(c: np.ndarray) -> tuple[float, float]:
-    """Mean Ollivier-Ricci curvature of all edges, plain and weighted by absolute correlation.
+def curvature_sums(c: np.ndarray, first: int = 0, last: int | None = None) -> tuple[float, float, float, int]:
+    """Of the edges number ``first`` to ``last`` (pairs i < j in order): sums of Ollivier-Ricci curvature, of it times absolute correlation, of absolute correlation, and how many count.
 
     A node's measure spreads over its neighbours by absolute correlation; edges shorter than 1e-9 do not count.
     """
@@ -197,18 +206,24 @@ def curvature(c: np.ndarray) -> tuple[float, float]:
     np.fill_diagonal(d, 0.0)
     k = a.sum(axis=1, keepdims=True)
     measure = np.divide(a, k, out=np.full_like(a, 1.0 / n), where=k > 0)
-    pairs = [(i, j) for i in range(n) for j in range(i + 1, n) if d[i, j] > 1e-9]
-    if not pairs:
-        return 0.0, 0.0
+    rows, columns = (x[first:last] for x in np.triu_indices(n, 1))
+    pairs = [(i, j) for i, j in zip(rows.tolist(), columns.tolist()) if d[i, j] > 1e-9]
     r = np.array([1 - earth_mover(measure[i], measure[j], d) / d[i, j] for i, j in pairs])
     w = np.array([a[i, j] for i, j in pairs])
-    return float(r.mean()), float((r * w).sum() / w.sum()) if w.sum() > 0 else 0.0
+    return float(r.sum()), float((r * w).sum()), float(w.sum()), len(pairs)
+
+
+def curvature(c: np.ndarray) -> tuple[float, float]:
+    """Mean curvature of all edges, plain and weighted by absolute correlation; 0 without edges."""
+    total, weighted, weight, n = curvature_sums(c)
+    return total / n if n else 0.0, weighted / weight if weight > 0 else 0.0
 
 
 def rips_pairs(d: np.ndarray, top: int = 2) -> list[tuple[int, float, float]]:
     """(dimension, birth, death) of the Vietoris-Rips filtration up to ``top``-simplices; no zero-length or endless classes.
 
-    Columns of the boundary matrix are sets of rows, reduced over two elements from the left.
+    For a few dozen points and any dimension: columns of the boundary matrix are sets of rows, reduced
+    over two elements from the left. ``loops_and_parts`` is for many points and dimensions 0 and 1.
     """
     from itertools import combinations
 
@@ -230,6 +245,58 @@ def rips_pairs(d: np.ndarray, top: int = 2) -> list[tuple[int, float, float]]:
     return out
 
 
+def loops_and_parts(d: np.ndarray) -> list[tuple[int, float, float]]:
+    """``rips_pairs`` for dimensions 0 and 1 of any number of points.
+
+    At the enclosing radius (the least over points of the largest distance from it) all is one cone, so
+    longer edges change nothing. Edges that join parts end those; each other edge, longest first, is
+    paired with the first triangle left in its reduced coboundary, and most need no reduction.
+    """
+    n = len(d)
+    if n < 2:
+        return []
+    radius = d.max(axis=1).min()
+    rows, columns = np.triu_indices(n, 1)
+    order = np.argsort(d[rows, columns], kind="stable")
+    edges = [(float(d[i, j]), int(i), int(j)) for i, j in zip(rows[order], columns[order]) if d[i, j] <= radius]
+    up = list(range(n))
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    out, cycles = [], []
+    for length, i, j in edges:
+        a, b = root(i), root(j)
+        if a == b:
+            cycles.append((length, i, j))
+        else:
+            up[b] = a
+            if length > 0:
+                out.append((0, 0.0, length))
+
+    def coboundary(length: float, i: int, j: int) -> set[tuple[float, int, int, int]]:
+        far = np.maximum(np.maximum(d[i], d[j]), length)
+        far[[i, j]] = np.inf
+        return {(float(far[k]), *sorted((i, j, int(k)))) for k in np.flatnonzero(far <= radius)}
+
+    owner: dict[tuple[float, int, int, int], tuple[float, int, int] | set] = {}
+    for edge in reversed(cycles):
+        column, reduced = coboundary(*edge), False
+        while column and (first := min(column)) in owner:
+            other = owner[first]
+            column ^= other if isinstance(other, set) else coboundary(*other)
+            reduced = True
+        if column:
+            first = min(column)
+            owner[first] = column if reduced else edge  # an unreduced column is made again when needed
+            if first[0] > edge[0]:
+                out.append((1, edge[0], first[0]))
+    return out
+
+
 def factor_model(c: np.ndarray, rows: int, rule: str | int = "edge") -> tuple[np.ndarray, np.ndarray]:
     """Loadings B and idiosyncratic variances d (at least 1e-6) with c close to B B' + diag(d)."""
     w, v = np.linalg.eigh(c)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right, insort
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -9,32 +11,15 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 UP, DOWN = 0.6, 0.08
 
 
-def series(df: DataFrame, value: str, part: list[str], order: str = "ts") -> DataFrame:
-    """One row for each series with ``points``, its array of (order, value) in order. A series is the index over windows: as long as the calendar."""
-    return df.groupBy(*part).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("t"), F.col(value).cast("double").alias("x")))).alias("points"))
-
-
-def recurrence(points: Column, step) -> Column:
-    """``array<double>`` of a recurrence: the first value, then step(memory, value); a null value carries the memory on."""
-    first = F.array(points[0]["x"])
-    rest = F.slice(points, F.lit(2), F.size(points))
-    return F.aggregate(rest, first, lambda acc, p: F.concat(acc, F.array(F.when(p["x"].isNull(), F.element_at(acc, -1)).otherwise(step(F.element_at(acc, -1), p["x"])))))
-
-
-def asymmetric_step(up: Column | float = UP, down: Column | float = DOWN):
-    def step(m: Column, x: Column) -> Column:
-        a = F.when(x > m, up if isinstance(up, Column) else F.lit(up)).otherwise(down if isinstance(down, Column) else F.lit(down))
-        return a * x + (1 - a) * m
-
-    return step
-
+def smooth(df: DataFrame, value: str, part: list[str], order: str = "ts", step=None, name: str = "memory", rates: tuple[str, str] | None = None) -> DataFrame:
+    """``part, order, value, name``: the series and its filtered values (default: the asymmetric persistence filter).
 
-def smooth(df: DataFrame, value: str, part: list[str], order: str = "ts", step=None, name: str = "memory") -> DataFrame:
-    """``part, order, value, name``: the series and its filtered values (default: the asymmetric persistence filter)."""
+    ``rates`` names two columns of ``part`` that hold the filter's strengths up and down, as on a grid.
+    """
     kinds = dict(df.dtypes)
-    up, down = UP, DOWN
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        up, down = (float(pdf[c].iloc[0]) for c in rates) if rates else (UP, DOWN)
         # the recurrence is not associative, so one task walks a series; a fold that grows an array costs the square of its length
         pdf = pdf.sort_values(order)
         out, m = [], None
@@ -97,10 +82,20 @@ def trailing_gate(df: DataFrame, value: str, q: float, part: list[str], order: s
 
 
 def trailing_cdf(df: DataFrame, value: str, part: list[str], order: str = "ts") -> DataFrame:
-    """``cdf``: the share of earlier values not above each row's own; null for the first row."""
-    w = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.collect_list(value).over(w)
-    return df.withColumn("_before", before).withColumn("cdf", F.when(F.size("_before") > 0, F.size(F.filter("_before", lambda x: x <= F.col(value))) / F.size("_before"))).drop("_before")
+    """``cdf``: the share of earlier values not above each row's own; null for the first row. One task walks a series with its past sorted."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        past: list[float] = []
+        out = []
+        for x in pdf[value].tolist():
+            out.append(bisect_right(past, x) / len(past) if past else np.nan)
+            insort(past, x)
+        pdf["cdf"] = out
+        return pdf
+
+    fields = ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + ", cdf double"
+    return df.groupBy(*part).applyInPandas(run, fields).withColumn("cdf", F.nanvl("cdf", F.lit(None).cast("double")))
 
 
 def drawdown(df: DataFrame, value: str, part: list[str], order: str = "ts") -> DataFrame:

@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from . import draws
 from .network import average_rank
 
 #: A fixed linear congruence draws block starts, so that other engines can repeat them.
@@ -83,16 +84,17 @@ def uniform_distance(df: DataFrame, value: str, part: list[str]) -> DataFrame:
     return g.withColumn("p", F.least(F.greatest(tail, F.lit(0.0)), F.lit(1.0)))
 
 
-def permutation_null(scores: DataFrame, outcome: str, chosen: str, draws: int, k: int, seed: int = 1) -> DataFrame:
-    """Mean outcome of the chosen nodes over windows, that of ``draws`` random baskets of ``k`` nodes in each window, and the share of draws at or above it.
+def permutation_null(scores: DataFrame, outcome: str, chosen: str, times: int, k: int, part: list[str]) -> DataFrame:
+    """``part, observed, null_mean, p``: mean outcome of the chosen nodes over windows, that of ``times`` random baskets of ``k`` nodes in each window, and the share of draws at or above it.
 
-    ``scores`` is ``win, node, outcome, chosen``; a draw ranks nodes by a hash of draw, window and node.
+    ``scores`` is ``part, win, node, number, outcome, chosen``; a draw ranks nodes by a hash of draw, window and
+    the node's number (below 100).
     """
-    obs = scores.where(F.col(chosen)).groupBy("win").agg(F.avg(outcome).alias("m")).agg(F.avg("m").alias("observed"))
-    drawn = scores.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    rank = F.row_number().over(Window.partitionBy("draw", "win").orderBy(F.xxhash64(F.lit(seed), "draw", "win", "node")))
-    null = drawn.withColumn("_k", rank).where(F.col("_k") <= k).groupBy("draw", "win").agg(F.avg(outcome).alias("m")).groupBy("draw").agg(F.avg("m").alias("null_mean"))
-    return null.join(F.broadcast(obs)).groupBy("observed").agg(F.avg("null_mean").alias("null_mean"), F.avg((F.col("null_mean") >= F.col("observed")).cast("double")).alias("p"))  # one row
+    obs = scores.where(F.col(chosen)).groupBy(*part, "win").agg(F.avg(outcome).alias("m")).groupBy(*part).agg(F.avg("m").alias("observed"))
+    drawn = scores.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(times))))
+    rank = F.row_number().over(Window.partitionBy(*part, "draw", "win").orderBy(draws.scrambled((F.col("draw") * 100_000 + F.col("win")) * 100 + F.col("number")), "node"))
+    null = drawn.withColumn("_k", rank).where(F.col("_k") <= k).groupBy(*part, "draw", "win").agg(F.avg(outcome).alias("m")).groupBy(*part, "draw").agg(F.avg("m").alias("null_mean"))
+    return null.join(obs, part).groupBy(*part, "observed").agg(F.avg("null_mean").alias("null_mean"), F.avg((F.col("null_mean") >= F.col("observed")).cast("double")).alias("p"))
 
 
 def one_sided(p_low: Column, observed: Column) -> Column:

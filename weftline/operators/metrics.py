@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from weftline.functions import kernels as k
 
@@ -18,25 +18,25 @@ def k_of(n: int) -> int:
     return max(1, round(n / 5))
 
 
-#: name: (function of returns x, correlations c, signed s and absolute a; sign towards stress; most nodes)
-METRICS: dict[str, tuple[Callable, int, int]] = {
-    "omega": (lambda x, c, s, a: k.omega(a), 1, 10_000),
-    "omega_cross": (lambda x, c, s, a: k.omega_cross_market(a), 1, 10_000),
-    "omega_first": (lambda x, c, s, a: k.omega_first(a), 1, 10_000),
-    "omega_shape": (lambda x, c, s, a: k.omega_shape(a), 1, 10_000),
-    "omega_signed": (lambda x, c, s, a: k.omega_signed(s), 1, 10_000),
-    "gap": (lambda x, c, s, a: k.spectral_gap(a), 1, 10_000),
-    "absorption": (lambda x, c, s, a: k.absorption(x, k_of(x.shape[1])), 1, 10_000),
-    "erank": (lambda x, c, s, a: k.effective_rank(c), -1, 10_000),
-    "erank_returns": (lambda x, c, s, a: k.effective_rank_returns(x), -1, 10_000),
-    "balance": (lambda x, c, s, a: k.balance(s), 1, 10_000),
-    "balance_signs": (lambda x, c, s, a: k.balance(k.signs(c)), 1, 10_000),
-    "turbulence": (lambda x, c, s, a: k.surprise(x)[0], 1, 10_000),
-    "surprise": (lambda x, c, s, a: k.surprise(x)[2], 1, 10_000),
-    "curvature": (lambda x, c, s, a: k.curvature(c)[0], 1, 60),
-    "curvature_weighted": (lambda x, c, s, a: k.curvature(c)[1], 1, 60),
-    "loops": (lambda x, c, s, a: sum(e - b for d, b, e in k.rips_pairs(k.distance(c)) if d == 1), 1, 40),
+#: name: (function of returns x, correlations c, signed s and absolute a; sign towards stress)
+METRICS: dict[str, tuple[Callable, int]] = {
+    "omega": (lambda x, c, s, a: k.omega(a), 1),
+    "omega_cross": (lambda x, c, s, a: k.omega_cross_market(a), 1),
+    "omega_first": (lambda x, c, s, a: k.omega_first(a), 1),
+    "omega_shape": (lambda x, c, s, a: k.omega_shape(a), 1),
+    "omega_signed": (lambda x, c, s, a: k.omega_signed(s), 1),
+    "gap": (lambda x, c, s, a: k.spectral_gap(a), 1),
+    "absorption": (lambda x, c, s, a: k.absorption(x, k_of(x.shape[1])), 1),
+    "erank": (lambda x, c, s, a: k.effective_rank(c), -1),
+    "erank_returns": (lambda x, c, s, a: k.effective_rank_returns(x), -1),
+    "balance": (lambda x, c, s, a: k.balance(s), 1),
+    "balance_signs": (lambda x, c, s, a: k.balance(k.signs(c)), 1),
+    "turbulence": (lambda x, c, s, a: k.surprise(x)[0], 1),
+    "surprise": (lambda x, c, s, a: k.surprise(x)[2], 1),
+    "loops": (lambda x, c, s, a: sum(e - b for d, b, e in k.loops_and_parts(k.distance(k.unit_diagonal(c))) if d == 1), 1),
 }
+#: Metrics of edges, each a problem of its own: (field of the sums, sign towards stress).
+EDGE_METRICS = {"curvature": ("plain", 1), "curvature_weighted": ("weighted", 1)}
 
 
 def matrix_of(pdf: pd.DataFrame) -> tuple[np.ndarray, list]:
@@ -45,25 +45,53 @@ def matrix_of(pdf: pd.DataFrame) -> tuple[np.ndarray, list]:
     return w.to_numpy(dtype=float), list(w.columns)
 
 
-def window_metrics(m: DataFrame, names: list[str]) -> DataFrame:
-    """``win`` and a double for each metric; null where the window has more nodes than the metric is made for.
+def window_metrics(m: DataFrame, names: list[str], edges_per_task: int = 1_000) -> DataFrame:
+    """``win`` and a double for each metric, for windows of any number of nodes.
 
     ``m`` is ``win, pos, node, ret``; a window is width * nodes rows, the unit of work of one task.
+    Curvature solves a transport for each edge, so a window's edges are dealt to tasks by
+    ``edges_per_task`` (with hundreds of nodes: many tasks a window) and their sums added up.
     """
+    matrix, edge = [n for n in names if n in METRICS], [n for n in names if n in EDGE_METRICS]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x, _ = matrix_of(pdf)
         c = k.correlation(x)
         s = k.off_diagonal(c)
         a = np.abs(s)
-        row = {n: METRICS[n][0](x, c, s, a) if len(c) <= METRICS[n][2] else None for n in names}
-        return pd.DataFrame([{"win": int(pdf["win"].iloc[0])} | row])
+        return pd.DataFrame([{"win": int(pdf["win"].iloc[0])} | {n: METRICS[n][0](x, c, s, a) for n in matrix}])
 
-    return m.select("win", "pos", "node", "ret").groupBy("win").applyInPandas(run, "win int, " + ", ".join(f"`{n}` double" for n in names))
+    out = m.select("win", "pos", "node", "ret").groupBy("win").applyInPandas(run, "win int, " + ", ".join(f"`{n}` double" for n in matrix)) if matrix else None
+    if edge:
+        by_edge = curvatures(m, edges_per_task).select("win", *[F.col(EDGE_METRICS[n][0]).alias(n) for n in edge])
+        out = by_edge if out is None else out.join(by_edge, "win")
+    return out.select("win", *names)
+
+
+def curvatures(m: DataFrame, edges_per_task: int) -> DataFrame:
+    """``win, plain, weighted``: mean curvature of a window's edges."""
+    by = m.groupBy("win").agg(F.sort_array(F.collect_list(F.struct("pos", "node", "ret"))).alias("rows"), F.countDistinct("node").alias("n"))
+    parts = F.greatest(F.ceil(F.col("n") * (F.col("n") - 1) / 2 / edges_per_task), F.lit(1)).cast("int")
+    dealt = by.select("win", "n", F.col("rows.ret").alias("ret"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    tasks = int(m.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for win, n, ret, part in zip(pdf["win"], pdf["n"], pdf["ret"], pdf["part"], strict=True):
+                c = k.correlation(np.asarray(ret, dtype=float).reshape(-1, n))
+                rows.append((win, *k.curvature_sums(c, part * edges_per_task, (part + 1) * edges_per_task)))
+            yield pd.DataFrame(rows, columns=["win", "total", "weighted", "weight", "n"])
+
+    sums = dealt.repartition(4 * tasks, "win", "part").mapInPandas(run, "win int, total double, weighted double, weight double, n long").groupBy("win").agg(*[F.sum(c).alias(c) for c in ("total", "weighted", "weight", "n")])
+    mean = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
+    return sums.select("win", mean("total", "n").alias("plain"), mean("weighted", "weight").alias("weighted"))
 
 
 def node_scores(m: DataFrame, rules: tuple[str | int, ...] = (1, 2, "edge", "kaiser")) -> DataFrame:
-    """``win, node, local_balance, balance_gap`` and ``spectral_<rule>`` for each rule of how many factors count."""
+    """``win, node, local_balance, balance_gap`` and for each rule of how many factors count ``spectral_<rule>`` and, if it is no number, ``count_<rule>``."""
+
+    named = [r for r in rules if not isinstance(r, int)]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x, nodes = matrix_of(pdf)
@@ -71,9 +99,11 @@ def node_scores(m: DataFrame, rules: tuple[str | int, ...] = (1, 2, "edge", "kai
         s = k.off_diagonal(c)
         local = k.local_balance(s)
         out = {"win": int(pdf["win"].iloc[0]), "node": nodes, "local_balance": local, "balance_gap": k.balance(s) - local}
-        return pd.DataFrame(out | {f"spectral_{r}": k.spectral_attribution(c, len(x), r) for r in rules})
+        values = np.linalg.eigvalsh(c)
+        counts = {f"count_{r}": k.factor_count(values, len(c), len(x), r) for r in named}
+        return pd.DataFrame(out | {f"spectral_{r}": k.spectral_attribution(c, len(x), r) for r in rules} | counts)
 
-    schema = "win int, node string, local_balance double, balance_gap double, " + ", ".join(f"spectral_{r} double" for r in rules)
+    schema = ", ".join([f"win {dict(m.dtypes)['win']}", "node string, local_balance double, balance_gap double", *[f"spectral_{r} double" for r in rules], *[f"count_{r} int" for r in named]])
     return m.select("win", "pos", "node", "ret").groupBy("win").applyInPandas(run, schema)
 
 
@@ -83,7 +113,8 @@ def persistence(clouds: DataFrame, key: str, vector: str, top: int = 2) -> DataF
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         p = np.array(pdf.sort_values("ts")[vector].tolist(), dtype=float)
-        pairs = k.rips_pairs(np.sqrt(((p[:, None] - p[None]) ** 2).sum(-1)), top) if len(p) >= 4 else []
+        d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(-1))
+        pairs = [] if len(p) < 4 else k.loops_and_parts(d) if top == 2 else k.rips_pairs(d, top)
         return pd.DataFrame([(pdf[key].iloc[0], *q) for q in pairs], columns=[key, "dim", "birth", "death"])
 
     return clouds.select(key, "ts", vector).groupBy(key).applyInPandas(run, f"{key} {kind}, dim int, birth double, death double")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from weftline.functions import kernels as k
 
+from . import draws
 from .metrics import matrix_of
 
 TARGETS = ("identity", "constant", "degree", "triadic")
@@ -56,30 +57,23 @@ def scenario_variance(states: DataFrame, weights: list[float]) -> DataFrame:
     return states.select("win", (common + own).alias("variance"))
 
 
-def scenario_pit(variances: DataFrame, outcomes: DataFrame, draws: int = 500, dof: float = 6.0, seed: int = 7, least: int = 20) -> DataFrame:
+def scenario_pit(variances: DataFrame, outcomes: DataFrame, times: int = 500, dof: int = 6, least: int = 20) -> DataFrame:
     """``win, pit, lo, hi, realised``: each outcome's place among scenarios drawn from the states before it.
 
-    A draw takes the variance of a past window at random, times a Student-t number of unit variance.
-    ``variances`` is ``win, variance`` and ``outcomes`` ``win, realised``; windows with ``least`` earlier
-    ones take part. Pasts are arrays of one number a window; draws stay inside their window's task.
+    A draw takes the variance of a past window at random, times a Student-t number of unit variance
+    (``dof`` is even). ``variances`` is ``win, variance`` and ``outcomes`` ``win, realised``; windows with
+    ``least`` earlier ones take part. Each draw is a row that meets its past window by an equi-join.
     """
-    from pyspark.sql import Window
-
-    past = F.collect_list("variance").over(Window.orderBy("win").rowsBetween(Window.unboundedPreceding, -1))
-    with_past = variances.withColumn("past", past).where(F.size("past") >= least).join(outcomes, "win")
-
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for win, past, real in pdf[["win", "past", "realised"]].itertuples(index=False):
-                rng = np.random.default_rng([seed, int(win)])
-                v = rng.choice(np.asarray(past), draws)
-                x = rng.standard_t(dof, draws) * np.sqrt(v * (dof - 2) / dof)
-                lo, hi = np.quantile(x, [0.025, 0.975])
-                rows.append((int(win), float((x <= real).mean()), float(lo), float(hi), float(real)))
-            yield pd.DataFrame(rows, columns=["win", "pit", "lo", "hi", "realised"])
-
-    return with_past.select("win", "past", "realised").mapInPandas(run, "win int, pit double, lo double, hi double, realised double")
+    v = variances.withColumn("at", F.row_number().over(Window.orderBy("win")) - 1)  # a row for each window
+    rows = v.where(F.col("at") >= least).select("win", "at", F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias("d"))
+    number = (F.col("at") * times + F.col("d")) * (2 * dof)
+    of_past = F.floor(draws.uniform(number) * F.col("at")).cast("int")
+    chi = -2 * sum((F.log(draws.uniform(number + 4 + i)) for i in range(dof // 2)), F.lit(0.0))
+    t = draws.normal((number / 2).cast("long") + 1) * F.sqrt((dof - 2) / chi)
+    drawn = rows.select("win", of_past.alias("past"), t.alias("t")).join(v.select(F.col("at").alias("past"), "variance"), "past").select("win", (F.col("t") * F.sqrt("variance")).alias("x"))
+    both = drawn.join(outcomes, "win")
+    share = F.avg((F.col("x") <= F.col("realised")).cast("double"))
+    return both.groupBy("win").agg(share.alias("pit"), F.percentile("x", 0.025).alias("lo"), F.percentile("x", 0.975).alias("hi"), F.max("realised").alias("realised"))
 
 
 def off_diagonal_error(forecast: DataFrame, truth: DataFrame) -> DataFrame:

@@ -1,41 +1,51 @@
-"""Synthetic returns with known epicentres, one simulation a task, and hit rates against the truth."""
+"""Synthetic returns with known epicentres as columns over a range of simulations, and hit rates against the truth."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from . import draws
 
-def epicentres(spark: SparkSession, sims: int, k: int, nodes: int = 16, rows: int = 200, shock: int = 100, frustrated: bool = False, growth: float = 0.0, seed: int = 400) -> DataFrame:
-    """``sim, pos, node, ret, truth``: k groups of three load on their own factor, strongly after the shock.
+#: Loadings of a shocked group on its factor and of all other nodes on the common one; nodes in a group.
+STRONG, WEAK, GROUP = 0.90, 0.25, 3
+
+
+def places(spark: SparkSession, sims: int, first: int, last: int, nodes: int) -> DataFrame:
+    """``sim, pos, i, node`` for rows ``first`` to ``last`` - 1."""
+    s = spark.range(sims).select(F.col("id").alias("sim"), F.explode(F.sequence(F.lit(first), F.lit(last - 1))).alias("pos"))
+    return s.select("sim", "pos", F.explode(F.sequence(F.lit(0), F.lit(nodes - 1))).alias("i")).withColumn("node", F.format_string("n%02d", "i"))
 
-    The first node of a group is its epicentre (loading .9), the others follow with .9, all else has
-    .25 on a common factor. ``frustrated`` turns half of the loadings; ``growth`` widens own noise after
-    the shock.
-    """
 
-    def run(batches):
-        for pdf in batches:
-            for sim in pdf["id"].tolist():
-                rng = np.random.default_rng(seed + int(sim))
-                f, own = rng.standard_normal((rows, k + 1)), rng.standard_normal((rows, nodes))
-                load = np.full(nodes, 0.25)
-                if frustrated:
-                    load[1::2] *= -1
-                x = f[:, :1] * load + own * np.sqrt(1 - load**2)
-                truth = np.zeros(nodes, bool)
-                late = np.arange(rows) >= shock
-                for g in range(k):
-                    members = [(3 * g + i) % nodes for i in range(3)]
-                    truth[members[0]] = True
-                    for i, node in enumerate(members):
-                        b = (0.95 if i == 0 else 0.8) * (-1 if frustrated and i % 2 else 1)
-                        x[late, node] = b * f[late, g + 1] + np.sqrt(1 - b * b) * own[late, node]
-                x[late] += growth * (np.arange(late.sum())[:, None] / max(1, late.sum())) * rng.standard_normal((late.sum(), nodes))
-                yield pd.DataFrame({"sim": sim, "pos": np.repeat(np.arange(rows), nodes), "node": np.tile([f"n{i:02d}" for i in range(nodes)], rows), "ret": x.ravel(), "truth": np.tile(truth, rows)})
-
-    return spark.range(sims).repartition(min(sims, 64)).mapInPandas(run, "sim long, pos int, node string, ret double, truth boolean")
+def epicentres(spark: SparkSession, sims: int, k: int, nodes: int = 16, rows: tuple[int, int] = (0, 200), shock: int = 100, frustrated: bool = False) -> DataFrame:
+    """``sim, pos, node, ret, truth``: before the shock all is noise; after it, k groups of GROUP nodes load STRONG on a factor of their own and all others WEAK on a common one.
+
+    All nodes of the groups are true epicentres. ``frustrated`` turns the loading of every second node of a group.
+    """
+    if GROUP * k > nodes:
+        raise ValueError(f"{k} groups of {GROUP} do not fit in {nodes} nodes")
+    g = F.floor(F.col("i") / GROUP)
+    # a row's own number, then the factors' (the common one is the last)
+    number = lambda j: (F.col("sim") * 1000 + F.col("pos")) * (nodes + k + 1) + j
+    own, factor, common = draws.normal(number(F.col("i"))), draws.normal(number(nodes + g)), draws.normal(number(F.lit(nodes + k)))
+    sign = F.when(F.lit(frustrated) & (F.col("i") % GROUP % 2 == 1), -1.0).otherwise(1.0)
+    truth = F.col("i") < GROUP * k
+    mix = lambda b, f: b * f + (1 - b * b) ** 0.5 * own
+    ret = F.when(F.col("pos") < shock, own).when(truth, sign * STRONG * factor + (1 - STRONG**2) ** 0.5 * own).otherwise(mix(WEAK, common))
+    return places(spark, sims, *rows, nodes).select("sim", "pos", "node", ret.alias("ret"), truth.alias("truth"))
+
+
+def diffusing(spark: SparkSession, sims: int, widening: Column, nodes: int = 10, rows: int = 260) -> DataFrame:
+    """``sim, pos, node, ret``: one factor that jumps at row 50 and fades after row 90; where ``widening`` (of column i) is true, own noise grows from then on.
+
+    All true: an epicentre that tells its nodes apart; none: nodes that follow only; the first half: a
+    group put together from both.
+    """
+    pos = F.col("pos")
+    number = lambda j: (F.col("sim") * 1000 + pos) * (nodes + 1) + j + 500_000_000
+    level = F.when(pos < 50, 0.0).when(pos <= 90, 3.0).otherwise(3.0 * F.exp(-(pos - 90) / 40))
+    factor = level + 0.3 * draws.normal(number(F.lit(nodes)))
+    sigma = F.when(widening & (pos > 90), 0.3 + 0.04 * (pos - 90)).otherwise(0.3)
+    return places(spark, sims, 0, rows, nodes).select("sim", "pos", "node", (0.85 * factor + sigma * draws.normal(number(F.col("i")))).alias("ret"))
 
 
 def hit_rate(scores: DataFrame, score: str, k: int, part: list[str]) -> DataFrame:
@@ -45,7 +55,7 @@ def hit_rate(scores: DataFrame, score: str, k: int, part: list[str]) -> DataFram
     return top_k(scores, score, k, part).groupBy(*part).agg((F.count_if("truth") / k).alias("hit")).agg(F.avg("hit").alias("hit_rate"))
 
 
-def retention(df: DataFrame, value: str, part: list[str], order: str = "t", late: int = 20) -> DataFrame:
-    """Mean of the last ``late`` values over the peak."""
-    n = df.groupBy(*part).agg(F.max(order).alias("_last"), F.max(value).alias("_peak"))
-    return df.join(n, part).where(F.col(order) > F.col("_last") - late).groupBy(*part).agg(F.try_divide(F.avg(value), F.max("_peak")).alias("retention"))
+def retention(df: DataFrame, value: str, part: list[str], order: str = "t", after: int = 150) -> DataFrame:
+    """Mean of the values after row ``after`` over the peak."""
+    late = F.avg(F.when(F.col(order) > after, F.col(value)))
+    return df.groupBy(*part).agg(F.max(value).alias("peak"), late.alias("late")).withColumn("retention", F.try_divide("late", "peak"))

@@ -37,6 +37,12 @@ def horizon(df: DataFrame, value: str, ahead: int, part: list[str], order: str =
     return df.withColumn("forward", F.when(F.count(value).over(w) == ahead, F.sum(value).over(w)))
 
 
+def ahead(m: DataFrame, ends: DataFrame, rows: DataFrame, size: int, value: str = "ret") -> DataFrame:
+    """``win, node, ahead``: the sum of each node's ``size`` rows after a window's end; windows with fewer have none. ``rows`` is ``ts, node, value``."""
+    days = ends.select("win", F.explode(F.sequence(F.col("end"), F.col("end") + size - 1)).alias("pos")).join(axis(rows), "pos")
+    return days.join(rows, "ts").groupBy("win", "node").agg(F.count(F.lit(1)).alias("_n"), F.sum(value).alias("ahead")).where(F.col("_n") == size).drop("_n")
+
+
 def rolling_mean(df: DataFrame, value: str, rows: int, part: list[str], order: str = "ts") -> DataFrame:
     w = Window.partitionBy(*part).orderBy(order).rowsBetween(1 - rows, 0)
     return df.withColumn("rolling", F.when(F.count(value).over(w) == rows, F.avg(value).over(w)))
@@ -49,4 +55,4 @@ def delay_vectors(df: DataFrame, value: str, dim: int, delay: int, part: list[st
     return df.withColumn("vector", F.array(*cells)).where(F.forall("vector", lambda x: x.isNotNull()))
 
 
-__all__ = ["axis", "delay_vectors", "hops", "horizon", "members", "rolling_mean"]
+__all__ = ["ahead", "axis", "delay_vectors", "hops", "horizon", "members", "rolling_mean"]

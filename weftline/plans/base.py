@@ -73,8 +73,7 @@ WINDOWS = RETURNS + """,
 ends AS (SELECT CAST((e - 20) / 3 AS INTEGER) AS win, e AS "end" FROM (SELECT unnest(range(20, (SELECT n FROM n), 3)) AS e)),
 hops AS (SELECT win, "end", ts AS end_ts FROM ends JOIN axis ON pos = "end" - 1),
 mem AS (SELECT win, "end", pos, node, ret FROM hops JOIN axis ON pos >= "end" - 20 AND pos < "end" JOIN rets USING (ts))"""
-EDGES = WINDOWS + """,
-mom AS (
+NETWORK = """mom AS (
   SELECT a.win, a.node AS i, b.node AS j, count(*) AS n, sum(a.ret * b.ret) - sum(a.ret) * sum(b.ret) / count(*) AS cxy,
          sum(a.ret * a.ret) - sum(a.ret) * sum(a.ret) / count(*) AS cxx, sum(b.ret * b.ret) - sum(b.ret) * sum(b.ret) / count(*) AS cyy
   FROM mem a JOIN mem b ON a.win = b.win AND a.pos = b.pos AND a.node < b.node GROUP BY 1, 2, 3),
@@ -86,6 +85,7 @@ tri AS (
 deg AS (SELECT win, i AS node, sum(abs(rho)) AS degree FROM both_ways GROUP BY 1, 2),
 node_tri AS (
   SELECT d.win, d.node, coalesce(sum(2 * w), 0.0) AS tri FROM deg d LEFT JOIN tri t ON t.win = d.win AND d.node IN (t.i, t.j, t.k) GROUP BY 1, 2)"""
+EDGES = WINDOWS + ",\n" + NETWORK
 FACTORS = EDGES + """,
 fac AS (
   SELECT d.win, d.n, t.tr_a3, t.tr_a3 / d.n ^ 3 AS tr_a3_n3, CASE WHEN paths - tr_a2 > 0 THEN t.tr_a3 / (paths - tr_a2) ELSE 0.0 END AS clustering,
@@ -103,4 +103,4 @@ scored AS (
   SELECT l.metric, l.win, l.end_ts, l.x, s.list, min(CASE WHEN l.end_ts BETWEEN s.a AND s.b THEN s.name END) AS episode, bool_or(l.end_ts BETWEEN s.a AND s.b) AS crisis
   FROM longx l CROSS JOIN spans s GROUP BY ALL)"""
 
-__all__ = ["EDGES", "FACTORS", "PANEL", "RETURNS", "SCORED", "WINDOWS", "edges", "filters", "hourly", "index_series", "nation_weekly", "r", "scored", "weekly", "weekly_returns", "weekly_windows"]
+__all__ = ["EDGES", "FACTORS", "NETWORK", "PANEL", "RETURNS", "SCORED", "SPANS", "WINDOWS", "edges", "filters", "hourly", "index_series", "nation_weekly", "r", "scored", "weekly", "weekly_returns", "weekly_windows"]

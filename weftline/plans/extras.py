@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from weftline.catalog import query
-from weftline.operators import credit, filters, inference, metrics, network, panel, risk, scoring, synth
+from weftline.operators import credit, draws, filters, inference, metrics, network, panel, risk, scoring, synth
 from weftline.sources.readers import parquet
 from weftline.sources.shared import once
 
-from .base import FACTORS, RETURNS, SCORED, index_series, r, scored, weekly_returns, weekly_windows
+from . import spectra
+from .base import FACTORS, NETWORK, RETURNS, SCORED, SPANS, index_series, r, scored, weekly_returns, weekly_windows
 from .filings import CREDIT, credit_panel
 
 
@@ -33,15 +34,17 @@ def ewma_correlation(spark, d):
     return s.select(F.col("end").cast("long").alias("pos"), "i", "j", r(rho).alias("rho"))
 
 
-@query()
+@query(f"""WITH {FACTORS}, s AS (SELECT list(round(gapless, 9) ORDER BY win) AS l FROM idx), g AS (SELECT CAST(0.02 AS DOUBLE) + CAST(0.04 AS DOUBLE) * i AS alpha FROM range(13) t(i)),
+m AS (SELECT alpha, unnest(list_transform(range(1, len(l) + 1), lambda k: list_reduce(l[1:k], lambda m, x: alpha * x + (1 - alpha) * m))) AS a, unnest(list_transform(range(1, len(l) + 1), lambda k: list_reduce(l[1:k], lambda m, x: CASE WHEN x > m THEN CAST(0.6 AS DOUBLE) * x + (1 - CAST(0.6 AS DOUBLE)) * m ELSE CAST(0.08 AS DOUBLE) * x + (1 - CAST(0.08 AS DOUBLE)) * m END))) AS b FROM s, g)
+SELECT round(alpha, 6) AS alpha, round(avg(abs(a - b)), 6) AS error, rank() OVER (ORDER BY round(avg(abs(a - b)), 6)) = 1 AS best FROM m GROUP BY alpha""")
 def ema_alpha_fit(spark, d):
-    """The symmetric filter closest to the asymmetric one, over a grid of strengths (W8, T10); a fold for each grid point."""
-    f = index_series(spark, d).select(F.lit(1).alias("g"), "win", "gapless")
-    points = filters.series(f, "gapless", ["g"], "win").select("points", filters.recurrence(F.col("points"), filters.asymmetric_step()).alias("target"))
+    """The symmetric filter closest to the asymmetric one, over a grid of strengths (W8, T10); a series of its own for each grid point."""
+    f = once(index_series(spark, d).select(F.lit(1).alias("g"), "win", F.round("gapless", 9).alias("x")))
+    target = filters.smooth(f, "x", ["g"], "win", name="target").select("win", "target")
     grid = spark.createDataFrame([(0.02 + 0.04 * i,) for i in range(13)], "alpha double")
-    fitted = points.crossJoin(F.broadcast(grid)).withColumn("m", filters.recurrence(F.col("points"), lambda m, x: F.col("alpha") * x + (1 - F.col("alpha")) * m))
-    gap = F.aggregate(F.zip_with("m", "target", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda a, b: a + b) / F.size("m")
-    return fitted.select("alpha", gap.alias("error")).withColumn("best", F.rank().over(Window.orderBy("error")) == 1)
+    fitted = filters.smooth(f.select("win", "x").crossJoin(F.broadcast(grid)), "x", ["alpha"], "win", rates=("alpha", "alpha"))  # 13 rows
+    gap = fitted.join(target, "win").groupBy("alpha").agg(r(F.avg(F.abs(F.col("memory") - F.col("target")))).alias("error"))
+    return gap.select(r("alpha").alias("alpha"), "error", (F.rank().over(Window.orderBy("error")) == 1).alias("best"))
 
 
 @query(f"""WITH {FACTORS}, v AS (SELECT row_number() OVER (ORDER BY win) - 1 AS pos, round(gapless, 9) AS x FROM idx), nn AS (SELECT count(*) AS n FROM v),
@@ -94,17 +97,30 @@ def tail_attribution(spark, d):
     return t.withColumn("share", share).groupBy("node").agg(F.avg("share").alias("share"), F.count(F.lit(1)).alias("windows"))
 
 
-@query()
+def diffusing_sql(kind: str, widening: str) -> str:
+    number = lambda j: f"(sim * 1000 + pos) * 11 + {j} + 500000000"
+    level = "CASE WHEN pos < 50 THEN 0.0 WHEN pos <= 90 THEN 3.0 ELSE 3.0 * exp(-(pos - 90) / 40.0::DOUBLE) END"
+    sigma = f"CASE WHEN {widening} AND pos > 90 THEN CAST(0.3 AS DOUBLE) + CAST(0.04 AS DOUBLE) * (pos - 90) ELSE CAST(0.3 AS DOUBLE) END"
+    cells = f"SELECT sim, pos, printf('n%02d', i) AS node, CAST(0.85 AS DOUBLE) * ({level} + CAST(0.3 AS DOUBLE) * {draws.sql_normal(number(10))}) + {sigma} * {draws.sql_normal(number('i'))} AS ret FROM range(6) s(sim), range(260) p(pos), range(10) q(i)"
+    mem = "mem AS (SELECT CAST(sim * 1000 + t AS INTEGER) AS win, pos, node, ret FROM x, range(20, 260, 2) u(t) WHERE pos >= t - 20 AND pos < t)"
+    mass = "w AS (SELECT win % 1000 AS t, 6 * sum(w) / 1000.0 AS m FROM tri GROUP BY win), v AS (SELECT t, avg(m) AS m FROM w GROUP BY t)"
+    return f"(WITH x AS ({cells}), {mem}, {NETWORK}, {mass} SELECT '{kind}' AS kind, round(max(m), 6) AS peak, round(avg(m) FILTER (t > 150), 6) AS late, round(avg(m) FILTER (t > 150) / max(m), 6) AS retention FROM v)"
+
+
+KINDS = {"epicentre": (lambda i: F.lit(True), "true"), "follower": (lambda i: F.lit(False), "false"), "mixed": (lambda i: i < 5, "i < 5")}
+
+
+@query(" UNION ALL ".join(diffusing_sql(k, sql) for k, (_, sql) in KINDS.items()))
 def retention_after_shock(spark, d):
-    """How much triangle mass is left late after a shock, by kind of synthetic network."""
+    """How much triangle mass is left late after a shock, by kind of synthetic network; the mixed one is put together from half of each."""
     out = None
-    for kind, growth in (("epicentre", 0.0), ("diffusing", 3.0)):
-        s = synth.epicentres(spark, 6, 3, nodes=9, growth=growth)
-        hops = s.withColumn("step", F.explode(F.sequence(F.lit(100), F.lit(200), F.lit(10)))).where((F.col("pos") >= F.col("step") - 30) & (F.col("pos") < F.col("step")))
-        e = once(network.correlations(hops.withColumn("win", (F.col("sim") * 1000 + F.col("step")).cast("int"))))
-        f = network.factors(e).select(F.lit(kind).alias("kind"), (F.col("win") % 1000).alias("t"), "tr_a3_n3").groupBy("kind", "t").agg(F.avg("tr_a3_n3").alias("mass"))
+    for kind, (widening, _) in KINDS.items():
+        s = synth.diffusing(spark, 6, widening(F.col("i")))
+        a = s.withColumn("step", F.explode(F.sequence(F.lit(20), F.lit(258), F.lit(2)))).where((F.col("pos") >= F.col("step") - 20) & (F.col("pos") < F.col("step")))
+        f = network.factors(once(network.correlations(a.withColumn("win", (F.col("sim") * 1000 + F.col("step")).cast("int")))))
+        f = f.select(F.lit(kind).alias("kind"), (F.col("win") % 1000).alias("t"), "tr_a3_n3").groupBy("kind", "t").agg(F.avg("tr_a3_n3").alias("mass"))
         out = f if out is None else out.union(f)
-    return synth.retention(out, "mass", ["kind"], "t", 20)
+    return synth.retention(out, "mass", ["kind"]).select("kind", *[r(c).alias(c) for c in ("peak", "late", "retention")])
 
 
 @query("""WITH a AS (SELECT o_custkey AS k, sum(o_totalprice) AS value FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), b AS (SELECT o_custkey AS k, sum(o_totalprice) AS value FROM orders WHERE o_orderstatus = 'O' GROUP BY 1), c AS (SELECT o_custkey AS k, sum(o_totalprice) AS value FROM orders WHERE o_orderstatus = 'P' GROUP BY 1)
@@ -139,16 +155,25 @@ def three_way_recent(spark, d):
     return j.orderBy(F.col("d1").desc()).limit(10).select(F.col("d1").alias("day"), r("gapless").alias("gapless"), r("clustering").alias("clustering"), r("density").alias("density"))
 
 
-@query()
+RIVALS = ["omega", "absorption", "erank", "balance"]
+
+
+@query(f"""WITH {spectra.INDICES}, {SPANS}, lg AS ({" UNION ALL ".join(f"SELECT '{n}' AS metric, win, round({metrics.METRICS[n][1]} * {n}, 7) AS raw FROM indices" for n in RIVALS)}),
+sr AS (SELECT metric, list(raw ORDER BY win) AS l, list(win ORDER BY win) AS w FROM lg GROUP BY 1),
+sm AS (SELECT metric, unnest(w) AS win, unnest(l) AS raw, unnest(list_transform(range(1, len(l) + 1), lambda k: list_reduce(l[1:k], lambda m, x: CASE WHEN x > m THEN CAST(0.6 AS DOUBLE) * x + (1 - CAST(0.6 AS DOUBLE)) * m ELSE CAST(0.08 AS DOUBLE) * x + (1 - CAST(0.08 AS DOUBLE)) * m END))) AS memory FROM sr),
+lo AS (SELECT metric, 'raw' AS mode, win, raw AS x FROM sm UNION ALL SELECT metric, 'memory', win, round(memory, 7) FROM sm),
+sc AS (SELECT metric, mode, list, l.win, x, bool_or(end_ts BETWEEN s.a AND s.b) AS crisis FROM lo l JOIN hops USING (win) CROSS JOIN spans s GROUP BY ALL),
+al AS (SELECT *, x >= quantile_cont(x, 0.9) OVER (PARTITION BY metric, mode, list) AS alarm FROM sc),
+ct AS (SELECT metric, mode, list, count(*) FILTER (alarm AND crisis) AS tp, count(*) FILTER (alarm AND NOT crisis) AS fp, count(*) FILTER (NOT alarm AND crisis) AS fn FROM al GROUP BY 1, 2, 3)
+SELECT metric, mode, list, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1 FROM ct""")
 def rival_verdicts(spark, d):
-    """Each metric of the registry against the composite index: F1 at the alarm budget, filtered, by label list (3.2)."""
+    """Each metric of the registry against the composite index: F1 at the alarm budget, raw and filtered, by label list (3.2)."""
     m, ends = weekly_windows(spark, d)
-    names = ["omega", "absorption", "erank", "balance"]
-    wide = once(metrics.window_metrics(m, names).join(ends, "win"))
-    long = wide.unpivot(["win", "end_ts"], names, "metric", "raw")
-    sign = spark.createDataFrame([(n, metrics.METRICS[n][1]) for n in names], "metric string, sign int")
-    long = long.join(F.broadcast(sign), "metric").withColumn("raw", F.col("sign") * F.col("raw"))
-    both = filters.smooth(long, "raw", ["metric"], "win").join(ends.select("win", "end_ts"), "win")
+    wide = once(metrics.window_metrics(m, RIVALS))
+    long = wide.unpivot(["win"], RIVALS, "metric", "raw")
+    sign = spark.createDataFrame([(n, metrics.METRICS[n][1]) for n in RIVALS], "metric string, sign int")
+    long = long.join(F.broadcast(sign), "metric").withColumn("raw", F.round(F.col("sign") * F.col("raw"), 7))
+    both = filters.smooth(long, "raw", ["metric"], "win").withColumn("memory", F.round("memory", 7)).join(ends.select("win", "end_ts"), "win")
     s = scoring.labelled(both.unpivot(["metric", "win", "end_ts"], ["raw", "memory"], "mode", "x"), scoring.intervals(spark), "end_ts")
     by = ["metric", "mode", "list"]
-    return scoring.confusion(scoring.thresholded(s, "x", by), by).select(*by, "precision", "recall", "f1")
+    return scoring.confusion(scoring.thresholded(s, "x", by), by).select(*by, *[r(c).alias(c) for c in ("precision", "recall", "f1")])

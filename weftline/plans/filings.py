@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window, functions as F
 
 from weftline.catalog import query
@@ -10,28 +12,67 @@ from weftline.sources.readers import parquet, quarter_of
 
 from .base import r
 
-FILINGS = [
-    (1, "acme", "As of March 31, 2024, we have additional leases that have not yet commenced of $6.3 billion. These leases commence between fiscal years 2025 and 2028 with terms of 3 to 15 years. The guarantee of indebtedness of OpenLab was $5 million and $2 billion, respectively."),
-    (2, "birch", "Our purchase obligation to Acme is $1,250.5 million. One customer accounted for 36% of revenue. Our top three customers represented 61% of revenue; the 50 largest customers buy more. Fees were $500."),
-    (3, "cedar", "Letters of credit stood at $12 mn. Leases not yet commenced were $3.1 and $4.2 billion with lease terms up to seven years and a weighted-average lease term of approximately 9 years."),
-    (4, "dune", "Sales to 36%, 26%, and 10% went to three customers. Acme and OpenLab are partners of dune; acmes are not."),
-]
-FILINGS_SQL = "f(id, company, body) AS (VALUES " + ", ".join(f"({a}, '{b}', '{c}')" for a, b, c in FILINGS) + ")"
+SEGMENTS = ["Automobile", "Building", "Furniture", "Household", "Machinery"]
+#: A filing for each order, one of five kinds by its priority; {v} and the like are filled from the order, in Spark and in SQL.
+BODIES = {
+    "1": "As of {date}, we have additional leases that have not yet commenced of ${m}.{w} billion. These leases will commence between {year1} and {year3} with terms of {m} to {m10} years. Our maximum exposure to loss was ${n} million and ${m} billion, respectively.",
+    "2": "Our unconditional purchase obligation to {party} is ${v}.5 million. Our largest customer, a reseller, accounted for {n}% of net revenue for the year ended {date}. Revenue grew. Our top three customers represented {n}% of total revenue in fiscal {year}; the 50 largest customers buy more. Fees were $500.",
+    "3": "The backstop stood at $12 mn. Leases not yet commenced were $3.1 and $4.2 billion with lease terms of up to seven years and a weighted-average lease term of approximately {m} years.",
+    "4": "Sales of {a}%, {b}%, and {c}% went to our top three customers, which were {a}% of revenue as of {date}. No single customer was over {n}% of receivables. {party} and buildings are not ours.",
+    "5": "Leases not yet commenced 10 {n} {n10} are in the table. We hold a credit derivative with {party} of $1 trillion.",
+}
+
+
+def composed(fields: dict[str, object], join, literal) -> dict:
+    """Each body as parts, literal text and fields in turn, put together by ``join``."""
+    out = {}
+    for kind, body in BODIES.items():
+        parts = [x for x in re.split(r"(\{\w+\})", body) if x]
+        out[kind] = join([fields[x[1:-1]] if x[0] == "{" and x[-1] == "}" else literal(x) for x in parts])
+    return out
+
+
+SQL_FIELDS = {
+    "date": "strftime(o_orderdate, '%B %-d, %Y')", "year": "CAST(year(o_orderdate) AS VARCHAR)", "year1": "CAST(year(o_orderdate) + 1 AS VARCHAR)", "year3": "CAST(year(o_orderdate) + 3 AS VARCHAR)",
+    "v": "format('{:,}', p)", "m": "CAST(p % 7 + 2 AS VARCHAR)", "m10": "CAST(p % 7 + 12 AS VARCHAR)", "w": "CAST(p % 10 AS VARCHAR)", "n": "CAST(p % 90 + 10 AS VARCHAR)", "n10": "CAST(p % 90 + 20 AS VARCHAR)",
+    "a": "CAST(p % 30 + 5 AS VARCHAR)", "b": "CAST(p % 20 + 3 AS VARCHAR)", "c": "CAST(p % 10 + 2 AS VARCHAR)", "party": "(['" + "', '".join(SEGMENTS) + "'])[c_custkey % 5 + 1]",
+}
+FILINGS_SQL = (
+    "o0 AS (SELECT *, CAST(floor(o_totalprice) AS BIGINT) AS p, left(o_orderpriority, 1) AS kind FROM orders JOIN customer ON o_custkey = c_custkey),\n"
+    "f AS (SELECT o_orderkey AS id, lower(c_mktsegment) AS company, kind, p, o_orderdate, CASE kind "
+    + " ".join(f"WHEN '{k}' THEN {v}" for k, v in composed(SQL_FIELDS, " || ".join, lambda x: f"'{x}'").items())
+    + " END AS body FROM o0)"
+)
 SENT_SQL = FILINGS_SQL + r""",
 s0 AS (SELECT id, company, string_split(regexp_replace(body, '\.\s+', '.' || chr(1), 'g'), chr(1)) AS l FROM f),
 s AS (SELECT id, company, CAST(n - 1 AS INTEGER) AS n, l[n] AS sentence FROM s0, unnest(range(1, len(l) + 1)) t(n))"""
 
 
-def filings(spark):
-    return spark.createDataFrame(FILINGS, "id int, company string, body string")
+def filings(spark, d):
+    """``id, company, day, body``: one composed filing for each order."""
+    o = parquet(spark, d, "orders").join(parquet(spark, d, "customer").select("c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
+    p, year = F.floor("o_totalprice").cast("long"), F.year("o_orderdate")
+    words = {"date": F.date_format("o_orderdate", "MMMM d, yyyy"), "year": year, "year1": year + 1, "year3": year + 3, "v": F.format_number(p, 0), "party": F.get(F.array(*[F.lit(x) for x in SEGMENTS]), (F.col("c_custkey") % 5).cast("int"))}
+    figures = {"m": (7, 2), "m10": (7, 12), "w": (10, 0), "n": (90, 10), "n10": (90, 20), "a": (30, 5), "b": (20, 3), "c": (10, 2)}
+    bodies = composed(words | {k: (p % m + more) for k, (m, more) in figures.items()}, lambda parts: F.concat(*[x.cast("string") for x in parts]), F.lit)
+    kind, body = F.left("o_orderpriority", F.lit(1)), F.lit(None).cast("string")
+    for k, text_of in bodies.items():
+        body = F.when(kind == k, text_of).otherwise(body)
+    return o.select(F.col("o_orderkey").alias("id"), F.lower("c_mktsegment").alias("company"), F.to_date("o_orderdate").alias("day"), body.alias("body"))
+
+
+def filing_sentences(spark, d):
+    return text.sentences(filings(spark, d), "body", ["id", "company"])
 
 
-def filing_sentences(spark):
-    return text.sentences(filings(spark), "body", ["id", "company"])
+def sql_unescaped(column: str) -> str:
+    """SQL without the reader's table: the tables' pages hold these four names only."""
+    for name, char in (("&middot;", "·"), ("&copy;", "©"), ("&quot;", '"'), ("&amp;", "&")):
+        column = f"replace({column}, '{name}', '{char}')"
+    return column
 
 
-@query(r"""SELECT page_id, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '<(script|style)\b[^>]*>.*?</(script|style)>', ' ', 'gis'), '<[^>]*>', ' ', 'g'),
-'&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&rsquo;', ''''), '&ldquo;', '"'), '&rdquo;', '"'), '&mdash;', '-'), '&ndash;', '-'), '&amp;', '&'), '&#?[A-Za-z0-9]{1,10};', ' ', 'g'), '\s+', ' ', 'g')) AS body FROM pages""")
+@query("SELECT page_id, trim(regexp_replace(" + sql_unescaped(r"regexp_replace(regexp_replace(regexp_replace(html, '<script\b[^>]*>.*?</script\s*>', ' ', 'gis'), '<style\b[^>]*>.*?</style\s*>', ' ', 'gis'), '<[^>]+>', ' ', 'g')") + f", '{text.BLANK}', ' ', 'g')) AS body FROM pages")
 def html_to_text(spark, d):
     return parquet(spark, d, "pages").select("page_id", text.plain_text(F.col("html")).alias("body"))
 
@@ -43,14 +84,15 @@ def sentence_split(spark, d):
     return s.select("doc_id", F.size("l").cast("long").alias("sentences"), F.array_max(F.transform("l", lambda x: F.length(x))).cast("long").alias("longest"))
 
 
-TERMS_SQL = "list_bool_or(list_transform([" + ", ".join(f"'{t}'" for t in text.TERMS) + "], lambda t: contains(lower(sentence), t)))"
-CONCEPT_SQL = "CASE " + " ".join(f"WHEN contains(lower(sentence), '{a}') THEN '{b}'" for a, b in text.CONCEPTS) + " ELSE 'other' END"
+any_sql = lambda phrases: "(" + " OR ".join(f"contains(lower(sentence), '{t}')" for t in phrases) + ")"
+TERMS_SQL = any_sql(text.TERMS)
+CONCEPT_SQL = "CASE " + " ".join(f"WHEN {any_sql(phrases)} THEN '{name}'" for name, phrases in text.CONCEPTS) + f" ELSE '{text.OTHER}' END"
 
 
 @query(f"WITH {SENT_SQL} SELECT id, n, {CONCEPT_SQL} AS concept, lag(sentence) OVER (PARTITION BY id ORDER BY n) AS before, lead(sentence) OVER (PARTITION BY id ORDER BY n) AS after FROM s QUALIFY {TERMS_SQL}")
 def obligation_sentences(spark, d):
     """Sentences with a term, their concept and context."""
-    s = text.with_context(filing_sentences(spark), ["id"]).where(text.mentions_term(F.col("sentence")))
+    s = text.with_context(filing_sentences(spark, d), ["id"]).where(text.mentions_term(F.col("sentence")))
     return s.select("id", "n", text.concept(F.col("sentence")).alias("concept"), "before", "after")
 
 
@@ -58,24 +100,55 @@ def obligation_sentences(spark, d):
 x AS (SELECT id, n, k, CAST(replace(a[k], ',', '') AS DOUBLE) * CASE lower(coalesce(u[k], '')) WHEN 'trillion' THEN 1e6 WHEN 'billion' THEN 1e3 WHEN 'bn' THEN 1e3 ELSE 1.0 END AS v FROM m, unnest(range(1, len(a) + 1)) t(k))
 SELECT id, n, count(*) AS found, round(max(v), 4) AS largest, round(sum(v), 4) AS total FROM x GROUP BY id, n""")
 def money_amounts(spark, d):
-    s = filing_sentences(spark).select("id", "n", F.explode(text.amounts(F.col("sentence"))).alias("v"))
+    s = filing_sentences(spark, d).select("id", "n", F.explode(text.amounts(F.col("sentence"))).alias("v"))
     return s.groupBy("id", "n").agg(F.count(F.lit(1)).alias("found"), r(F.max("v"), 4).alias("largest"), r(F.sum("v"), 4).alias("total"))
 
 
-@query(rf"""WITH {SENT_SQL}, al(party, alias) AS (VALUES ('acme', 'Acme'), ('openlab', 'OpenLab'), ('dune', 'dune'))
+ALIASES = [(x.lower(), x) for x in SEGMENTS]
+
+
+@query(rf"""WITH {SENT_SQL}, al(party, alias) AS (VALUES {", ".join(f"('{p}', '{a}')" for p, a in ALIASES)})
 SELECT DISTINCT id, n, company, party FROM s JOIN al ON company <> party AND regexp_matches(sentence, '(?i)\b' || alias || '\b')""")
 def mention_edges(spark, d):
     """Directed edges from filer to party named as a whole word, but not to itself."""
-    al = spark.createDataFrame([("acme", "Acme"), ("openlab", "OpenLab"), ("dune", "dune")], "party string, alias string")
-    return text.mention_edges(filing_sentences(spark), "sentence", "company", al).select("id", "n", "company", "party")
+    return text.mention_edges(filing_sentences(spark, d), "sentence", "company", ALIASES).select("id", "n", "company", "party")
 
 
-@query()
+@query(f"""WITH {FILINGS_SQL}
+SELECT id, CAST(CASE kind WHEN '1' THEN (p % 7 + 2) * 1000 + p % 10 * 100 WHEN '3' THEN 7300 WHEN '5' THEN p % 90 + 20 END AS DOUBLE) AS future_leases, CAST(o_orderdate AS DATE) + 1 AS named_date, CASE WHEN kind IN ('1', '4') THEN CAST(o_orderdate AS DATE) END AS text_date,
+ CASE kind WHEN '1' THEN CAST(year(o_orderdate) + 1 AS INTEGER) END AS first_year, CASE kind WHEN '1' THEN CAST(year(o_orderdate) + 3 AS INTEGER) END AS last_year,
+ CASE kind WHEN '1' THEN CAST(p % 7 + 2 AS DOUBLE) END AS least, CASE kind WHEN '1' THEN CAST(p % 7 + 12 AS DOUBLE) WHEN '3' THEN CAST(7 AS DOUBLE) END AS most, CASE kind WHEN '3' THEN CAST(p % 7 + 2 AS DOUBLE) END AS mean,
+ CASE kind WHEN '2' THEN 'mayor_cliente:1:' || (p % 90 + 10) || ':' || strftime(o_orderdate, '%Y-%m-%d') || ':ingresos netos|top_n:3:' || (p % 90 + 10) || ':' || year(o_orderdate) || '-12-31:ingresos netos'
+  WHEN '4' THEN 'top_n:3:' || (p % 30 + 5 + p % 20 + 3 + p % 10 + 2) || ':' || strftime(o_orderdate, '%Y-%m-%d') || ':ingresos|umbral:-:' || (p % 90 + 10) || ':-:ingresos' ELSE '' END AS concentration
+FROM f""")
 def filing_fields(spark, d):
-    """Future lease amounts, as-of dates, lease terms and customer concentration of each filing."""
+    """Future lease amounts, as-of dates, lease terms and customer concentration of each filing (X8-X11); the SQL knows what each was composed from."""
     b = F.col("body")
-    t = text.lease_terms(b)
-    return filings(spark).select("id", text.commenced_amount(b).alias("future_leases"), text.as_of_date(F.lit("acme_20240630_q.txt"), b).alias("named_date"), text.as_of_date(F.lit("x"), b).alias("text_date"), *[t[f].alias(f) for f in ("first_year", "last_year", "least", "most", "mean")], F.transform(text.concentration(b), lambda c: F.concat_ws(":", c["kind"], c["customers"], c["pct"])).alias("concentration"))
+    name = F.concat("company", F.lit("_"), F.date_format(F.date_add("day", 1), "yyyyMMdd"), F.lit("_q.txt"))
+    shown = lambda x: F.coalesce(x.cast("string"), F.lit("-"))
+    shares = F.transform(text.concentration(b), lambda c: F.concat_ws(":", c["kind"], shown(c["customers"]), c["pct"].cast("long"), shown(c["period"]), c["base"]))
+    f = filings(spark, d).select("id", text.commenced_amount(b).alias("future_leases"), text.as_of_date(name, b).alias("named_date"), text.as_of_date(F.lit("x"), b).alias("text_date"), text.lease_terms(b).alias("t"), F.array_join(shares, "|").alias("concentration"))
+    return f.select("id", r("future_leases", 4).alias("future_leases"), "named_date", "text_date", *[F.col("t")[c].alias(c) for c in text.TERM_FIELDS], "concentration")
+
+
+@query(f"""WITH {FILINGS_SQL}, x AS (SELECT company, id, o_orderdate, kind, p FROM f WHERE kind IN ('2', '4')),
+y AS (SELECT company, 'mayor_cliente' AS kind, CAST(o_orderdate AS DATE) AS period, id, CAST(p % 90 + 10 AS DOUBLE) AS pct, 1 AS customers FROM x WHERE kind = '2'
+ UNION ALL SELECT company, 'top_n', make_date(year(o_orderdate), 12, 31), id, CAST(p % 90 + 10 AS DOUBLE), 3 FROM x WHERE kind = '2' UNION ALL SELECT company, 'top_n', CAST(o_orderdate AS DATE), id, CAST(p % 30 + 5 + p % 20 + 3 + p % 10 + 2 AS DOUBLE), 3 FROM x WHERE kind = '4'
+ UNION ALL SELECT company, 'umbral', NULL, id, 0.0, NULL FROM x WHERE false)
+SELECT company, kind, period, CAST(customers AS INTEGER) AS customers, pct FROM y QUALIFY row_number() OVER (PARTITION BY company, kind ORDER BY period DESC, id DESC, pct DESC) = 1""")
+def latest_concentration(spark, d):
+    """Of each company the latest period's share of revenue by kind."""
+    rows = filings(spark, d).select("company", "id", F.explode(text.concentration(F.col("body"))).alias("c")).select("company", "id", "c.*")
+    return text.latest_share(rows, ["company"], "id").select("company", "kind", "period", "customers", "pct")
+
+
+@query(f"""WITH {FILINGS_SQL}, x AS (SELECT company, id, p, year(o_orderdate) AS y, kind, CASE kind WHEN '1' THEN 4 ELSE 2 END AS filled FROM f WHERE kind IN ('1', '3'))
+SELECT company, CASE kind WHEN '1' THEN CAST(y + 1 AS INTEGER) END AS first_year, CASE kind WHEN '1' THEN CAST(p % 7 + 2 AS DOUBLE) END AS least, CASE kind WHEN '1' THEN CAST(p % 7 + 12 AS DOUBLE) ELSE CAST(7 AS DOUBLE) END AS most
+FROM x QUALIFY row_number() OVER (PARTITION BY company ORDER BY filled DESC, id DESC) = 1""")
+def fullest_terms(spark, d):
+    """Of each company the record of lease terms with most fields, the latest on ties."""
+    rows = filings(spark, d).select("company", "id", text.lease_terms(F.col("body")).alias("t")).where(F.col("t").isNotNull())
+    return text.fullest(rows, ["company"], "t", "id").select("company", "t.first_year", "t.least", "t.most")
 
 
 CREDIT = """o AS (SELECT c_mktsegment AS company, year(o_orderdate) * 4 + quarter(o_orderdate) - 1 AS qi, sum(o_totalprice) AS declared, sum(o_totalprice) FILTER (o_orderpriority = '1-URGENT') AS extra, avg(o_totalprice) AS price
@@ -163,12 +236,12 @@ def set_operations(spark, d):
     return out
 
 
-@query("""WITH a AS (SELECT o_custkey % 40 AS k, list_sort(list(DISTINCT o_orderpriority)) AS l FROM orders WHERE o_orderkey % 11 = 0 GROUP BY 1), b AS (SELECT o_custkey % 40 AS k, list_sort(list(DISTINCT o_orderpriority)) AS l FROM orders WHERE o_orderkey % 13 = 0 GROUP BY 1)
+@query("""WITH a AS (SELECT o_custkey % 40 AS k, list(DISTINCT month(o_orderdate)) AS l FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1), b AS (SELECT o_custkey % 40 AS k, list(DISTINCT month(o_orderdate)) AS l FROM orders WHERE o_orderpriority = '5-LOW' GROUP BY 1)
 SELECT k, round(len(list_intersect(a.l, b.l)) / len(b.l), 6) AS overlap FROM a JOIN b USING (k)""")
 def overlap_ratio(spark, d):
-    """Share of one set that is in another, as hit rates use it."""
-    o = parquet(spark, d, "orders").select((F.col("o_custkey") % 40).alias("k"), "o_orderkey", "o_orderpriority")
-    a, b = (o.where(F.col("o_orderkey") % m == 0).groupBy("k").agg(F.collect_set("o_orderpriority").alias(n)) for m, n in ((11, "a"), (13, "b")))
+    """Share of one set that is in another, as hit rates use it (U3): months of urgent and of low orders."""
+    o = parquet(spark, d, "orders").select((F.col("o_custkey") % 40).alias("k"), F.month("o_orderdate").alias("m"), "o_orderpriority")
+    a, b = (o.where(F.col("o_orderpriority") == p).groupBy("k").agg(F.collect_set("m").alias(n)) for p, n in (("1-URGENT", "a"), ("5-LOW", "b")))
     return a.join(b, "k").select("k", r(F.size(F.array_intersect("a", "b")) / F.size("b")).alias("overlap"))
 
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
+from weftline import catalog
 from weftline.catalog import query
-from weftline.operators import filters, inference, network, scoring
+from weftline.operators import draws, filters, inference, network, portfolio, scoring, windows
 from weftline.sources.readers import parquet
+from weftline.sources.shared import once
 
-from .base import FACTORS, RETURNS, SCORED, index_series, r, scored, weekly_returns
+from .base import EDGES, FACTORS, RETURNS, SCORED, index_series, r, scored, weekly_returns, weekly_windows
 
 BY = ["metric", "list"]
 
@@ -105,7 +107,8 @@ def block_bootstrap_df1(spark, d):
     """Paired moving-block bootstrap of an F1 difference; starts come from a fixed congruence."""
     v = index_series(spark, d).select(F.row_number().over(Window.orderBy("win")).alias("p"), "end_ts", F.round("gapless", 9).alias("a"), F.round("mean_abs_corr", 9).alias("b")).withColumn("pos", F.col("p") - 1)
     core = scoring.intervals(spark).where("list = 'core'")
-    v = scoring.labelled(v, core, "end_ts").select("pos", "crisis", "a", "b").cache()
+    v = scoring.labelled(v, core, "end_ts").select("pos", "crisis", "a", "b")
+    v = once(v)
     out = inference.block_bootstrap(v, "a", "b", v.count(), 200, 20)
     return out.select(*[r(c).alias(c) for c in ("mean", "lo", "hi", "p")])
 
@@ -169,24 +172,39 @@ def uniform_ks(spark, d):
 
 
 @query(f"""WITH {SCORED}, s AS (SELECT list(x ORDER BY win) AS l, list(crisis ORDER BY win) AS c, list(end_ts ORDER BY win) AS t FROM scored WHERE metric = 'gapless' AND list = 'core'),
-g(up, down) AS (SELECT u, v FROM (VALUES (CAST(0.4 AS DOUBLE)), (0.6), (0.8)) a(u), (VALUES (CAST(0.04 AS DOUBLE)), (0.08), (0.16)) b(v)),
+g(up, down) AS (SELECT CAST(u AS DOUBLE), CAST(v AS DOUBLE) FROM (VALUES (0.3), (0.4), (0.5), (0.6), (0.7), (0.8)) a(u), (VALUES (0.02), (0.05), (0.08), (0.12), (0.16), (0.20)) b(v)),
 m AS (SELECT up, down, unnest(list_transform(range(1, len(l) + 1), lambda k: list_reduce(l[1:k], lambda m, x: CASE WHEN x > m THEN up * x + (1 - up) * m ELSE down * x + (1 - down) * m END))) AS x, unnest(c) AS crisis, unnest(t) AS t FROM s, g),
 a AS (SELECT up, down, t < DATE '1998-06-01' AS train, round(x, 9) AS x, crisis FROM m), q AS (SELECT up, down, train, quantile_cont(x, 0.9) AS q FROM a GROUP BY 1, 2, 3),
 f AS (SELECT up, down, train, coalesce(2 * count(*) FILTER (x >= q AND crisis) / nullif(count(*) FILTER (x >= q) + count(*) FILTER (crisis), 0), 0) AS f1 FROM a JOIN q USING (up, down, train) GROUP BY 1, 2, 3)
 SELECT up, down, round(max(f1) FILTER (train), 6) AS f1_train, round(max(f1) FILTER (NOT train), 6) AS f1_test FROM f GROUP BY 1, 2""")
 def filter_calibration_grid(spark, d):
     """Filter parameters on a grid, scored on an early and a late half (T10); each grid point is one series of a group-map."""
-    s = scored(spark, d).where("metric = 'gapless' AND list = 'core'").select("win", "end_ts", "x", "crisis")
-    grid = spark.createDataFrame([(u, v) for u in (0.4, 0.6, 0.8) for v in (0.04, 0.08, 0.16)], "up double, down double")
-    points = filters.series(s.withColumn("g", F.lit(1)), "x", ["g"], "win").select("points")
-    memory = points.crossJoin(F.broadcast(grid)).withColumn("m", filters.recurrence(F.col("points"), filters.asymmetric_step(F.col("up"), F.col("down"))))
-    long = memory.select("up", "down", F.explode(F.arrays_zip(F.col("points.t").alias("t"), F.col("m").alias("m"))).alias("z")).select("up", "down", F.col("z.t").alias("win"), F.round("z.m", 9).alias("x"))
+    return calibrated(spark, d)
+
+
+#: Strengths of the filter on a grid.
+GRID_UP, GRID_DOWN = (0.3, 0.4, 0.5, 0.6, 0.7, 0.8), (0.02, 0.05, 0.08, 0.12, 0.16, 0.20)
+
+
+def calibrated(spark, d):
+    s = once(scored(spark, d).where("metric = 'gapless' AND list = 'core'").select("win", "end_ts", "x", "crisis"))
+    grid = spark.createDataFrame([(u, v) for u in GRID_UP for v in GRID_DOWN], "up double, down double")
+    points = s.select("win", "x").crossJoin(F.broadcast(grid))  # 36 rows
+    long = filters.smooth(points, "x", ["up", "down"], "win", name="m", rates=("up", "down")).select("up", "down", "win", F.round("m", 9).alias("x"))
     j = long.join(s.drop("x"), "win").withColumn("train", F.col("end_ts") < F.lit("1998-06-01").cast("date"))
     by = ["up", "down", "train"]
     f = scoring.confusion(scoring.thresholded(j, "x", by), by)
     return f.groupBy("up", "down").agg(r(F.max(F.when(F.col("train"), F.col("f1")))).alias("f1_train"), r(F.max(F.when(~F.col("train"), F.col("f1")))).alias("f1_test"))
 
 
+@query(f"SELECT round(corr(f1_train, f1_test), 6) AS rho, arg_max(up, (f1_train, -up, -down)) AS up, arg_max(down, (f1_train, -up, -down)) AS down FROM ({catalog.ORACLES['filter_calibration_grid']})")
+def train_test_correlation(spark, d):
+    """How far scores of the early half say those of the late one over the grid, and the early half's best point."""
+    g = calibrated(spark, d)
+    best = F.max_by(F.struct("up", "down"), F.struct("f1_train", -F.col("up"), -F.col("down")))
+    return g.agg(r(inference.correlation("f1_train", "f1_test")).alias("rho"), best.alias("b")).select("rho", "b.up", "b.down")
+
+
 @query(f"""WITH {FACTORS}, a AS (SELECT end_ts, gapless AS x FROM idx), b AS (SELECT end_ts, round(gapless, 4) AS x FROM idx WHERE win % 2 = 0)
 SELECT count(*) AS overlap, round(corr(a.x, b.x), 6) AS rho, round(max(abs(a.x - b.x)), 4) AS max_abs FROM a JOIN b USING (end_ts)""")
 def replica_check(spark, d):
@@ -216,14 +234,22 @@ def pct_rank_average(spark, d):
     return e.select("event_type", "user_id", r(pct).alias("pct"))
 
 
-@query()
+@query(f"""WITH {EDGES}, top AS (SELECT win, node FROM (SELECT win, node, row_number() OVER (PARTITION BY win ORDER BY round(tri, 9) DESC, node) AS k FROM node_tri) WHERE k <= 2),
+oc AS (SELECT 'inside' AS arm, win, node, sum(ret) AS outcome FROM mem WHERE pos >= "end" - 10 GROUP BY 2, 3 UNION ALL SELECT 'ahead', h.win, q.node, sum(ret) FROM hops h JOIN axis a ON a.pos >= h."end" AND a.pos < h."end" + 10 JOIN rets q USING (ts) GROUP BY 2, 3 HAVING count(*) = 10),
+nm AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS number FROM (SELECT DISTINCT node FROM rets)),
+ob AS (SELECT arm, avg(m) AS observed FROM (SELECT arm, win, avg(outcome) AS m FROM oc JOIN top USING (win, node) GROUP BY 1, 2) GROUP BY 1),
+dr AS (SELECT arm, draw, win, outcome, row_number() OVER (PARTITION BY arm, draw, win ORDER BY {draws.sql_scrambled("(draw * 100000 + win) * 100 + number")}, node) AS k FROM oc JOIN nm USING (node), range(1, 201) t(draw)),
+nl AS (SELECT arm, draw, avg(m) AS null_mean FROM (SELECT arm, draw, win, avg(outcome) AS m FROM dr WHERE k <= 2 GROUP BY 1, 2, 3) GROUP BY 1, 2)
+SELECT arm, round(any_value(observed), 6) AS observed, round(avg(null_mean), 6) AS null_mean, round(avg(CASE WHEN null_mean >= observed THEN 1.0 ELSE 0.0 END), 6) AS p FROM nl JOIN ob USING (arm) GROUP BY arm""")
 def permutation_null(spark, d):
-    """Baskets of the nodes of most triangle mass against random baskets."""
-    from .base import weekly_windows
-    from weftline.operators import portfolio
-
+    """Baskets of the nodes of most triangle mass against random baskets, in the last ten rows of the window and in the ten after it."""
     m, ends = weekly_windows(spark, d)
-    ahead = m.groupBy("win", "node").agg(F.sum("ret").alias("outcome"))
-    top = portfolio.top_k(network.node_triangles(network.correlations(m)), "tri", 2, ["win"]).select("win", "node", F.lit(True).alias("chosen"))
-    s = ahead.join(top, ["win", "node"], "left").withColumn("chosen", F.coalesce("chosen", F.lit(False)))
-    return inference.permutation_null(s, "outcome", "chosen", 200, 2)
+    ret = weekly_returns(spark, d)
+    inside = m.join(ends.select("win", "end"), "win").where("pos >= end - 10").groupBy("win", "node").agg(F.sum("ret").alias("outcome"))
+    after = windows.ahead(m, ends, ret, 10).withColumnRenamed("ahead", "outcome")
+    top = portfolio.top_k(network.node_triangles(once(network.correlations(m))).withColumn("tri", F.round("tri", 9)), "tri", 2, ["win"]).select("win", "node", F.lit(True).alias("chosen"))
+    number = ret.select("node").distinct().select("node", (F.row_number().over(Window.orderBy("node")) - 1).alias("number"))  # a row for each node
+    both = inside.withColumn("arm", F.lit("inside")).unionByName(after.withColumn("arm", F.lit("ahead")))
+    s = both.join(top, ["win", "node"], "left").withColumn("chosen", F.coalesce("chosen", F.lit(False))).join(number, "node")
+    out = inference.permutation_null(s, "outcome", "chosen", 200, 2, ["arm"])
+    return out.select("arm", *[r(c).alias(c) for c in ("observed", "null_mean", "p")])
