@@ -8,6 +8,7 @@ best path is the one of highest total score; on ties the path whose last piece i
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -21,6 +22,10 @@ from .common import table
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNKNOWN_PENALTY = 10.0
+#: Segments of more bytes are solved one by one and not cached.
+LONG = 256
+#: Start positions of a long segment that go down the trie together.
+STRIDE = 1 << 15
 
 
 @dataclass
@@ -120,12 +125,15 @@ class Vocabulary:
         return re.compile(rf"{MARK}+[^{MARK}{solo}]*|[^{MARK}{solo}]+" + (rf"|[{solo}]" if solo else ""))
 
     def viterbi(self, words: list[str]) -> list[bytes]:
-        """Best ids (as int32 bytes) of each word. Words go down the trie together, grouped by length, one step for all."""
+        """Best ids (as int32 bytes) of each word. Words go down the trie together, grouped by length, one step for all; long ones alone."""
         out: list[bytes] = [b""] * len(words)
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
         groups: dict[int, list[int]] = {}
         for i, b in enumerate(raw):
-            groups.setdefault(len(b), []).append(i)
+            if len(b) > LONG:
+                out[i] = self._solve_long(b)
+            else:
+                groups.setdefault(len(b), []).append(i)
         for size, group in groups.items():
             most = max(1, (1 << 22) // max(size, 1))
             for k in range(0, len(group), most):
@@ -134,6 +142,61 @@ class Vocabulary:
                     out[i] = ids
         return out
 
+    def _matches(self, text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers in ``starts``, ends and ids of all pieces that begin there, by start and then length; all starts step together."""
+        t, found = self.trie, []
+        at, who, where = np.zeros(len(starts), dtype=np.int64), np.arange(len(starts)), starts
+        for _ in range(self.longest):
+            inside = where < len(text)
+            if not inside.all():
+                at, who, where = at[inside], who[inside], where[inside]
+            at = t.step(at, text[where])
+            on = at >= 0
+            at, who, where = at[on], who[on], where[on] + 1
+            if not len(at):
+                break
+            ids = t.value[at]
+            hit = ids >= 0
+            found.append((who[hit], where[hit], ids[hit]))
+        whole = [np.concatenate([f[i] for f in found] or [np.zeros(0, np.int64)]) for i in range(3)]
+        order = np.argsort(whole[0], kind="stable")
+        return whole[0][order], whole[1][order], whole[2][order]
+
+    def _solve_long(self, raw: bytes) -> bytes:
+        """One segment, in time linear in its length: pieces are found for many starts at once, then best scores run along the text."""
+        text, size = np.frombuffer(raw, dtype=np.uint8).astype(np.int32), len(raw)
+        starts = np.flatnonzero((text & 0xC0) != 0x80)
+        after = np.append(starts[1:], size)
+        low = float("-inf")
+        best, piece, origin = array("d", [low]) * (size + 1), array("i", [-1]) * (size + 1), array("i", [0]) * (size + 1)
+        best[0] = 0.0
+        for k in range(0, len(starts), STRIDE):
+            some = starts[k : k + STRIDE]
+            who, ends, ids = self._matches(text, some)
+            cuts = np.searchsorted(who, np.arange(len(some) + 1)).tolist()
+            ends, gains, ids = ends.tolist(), self.scores[ids].tolist(), ids.tolist()
+            for i, a, b, nxt in zip(some.tolist(), cuts, cuts[1:], after[k : k + STRIDE].tolist()):
+                base, single = best[i], False
+                if base == low:
+                    continue
+                for m in range(a, b):
+                    end, new = ends[m], base + gains[m]
+                    single |= end == nxt
+                    if new > best[end]:
+                        best[end], piece[end], origin[end] = new, ids[m], i
+                if not single and base + self.unknown > best[nxt]:
+                    best[nxt], piece[nxt], origin[nxt] = base + self.unknown, -1, i
+        out, end = array("i"), size
+        while end > 0:
+            start = origin[end]
+            if piece[end] >= 0:
+                out.append(piece[end])
+            else:  # a character without a piece gives its bytes
+                out.extend([self.byte_ids[c] for c in reversed(raw[start:end])])
+            end = start
+        out.reverse()
+        return out.tobytes()
+
     def _solve(self, joined: bytes, n: int, size: int) -> list[bytes]:
         """``n`` words of ``size`` bytes each."""
         t = self.trie
@@ -190,16 +253,21 @@ class Vocabulary:
         return [flat[a:b] for a, b in zip(ends, ends[1:])]
 
     def encode(self, texts: list[str | None], most_cached: int = 600_000) -> list[np.ndarray]:
-        """Ids of whole texts; empty and null ones have none. Segments seen before are looked up (a bounded cache)."""
+        """Ids of whole texts; empty and null ones have none. Segments seen before are looked up (a bounded cache of short ones)."""
         cut, cache = self.cutter(), self.cache
         parts = [cut.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        new = set().union(*parts).difference(cache)
+        every = set().union(*parts)
+        new = every.difference(cache)
         if len(cache) + len(new) > most_cached:
             cache.clear()
-            new = set().union(*parts)
+            new = every
         fresh = list(new)
         cache.update(zip(fresh, self.viterbi(fresh), strict=True))
-        return [np.frombuffer(b"".join(map(cache.__getitem__, p)), dtype=np.int32) for p in parts]
+        out = [np.frombuffer(b"".join(map(cache.__getitem__, p)), dtype=np.int32) for p in parts]
+        for w in fresh:
+            if len(w) * 4 > LONG:
+                del cache[w]
+        return out
 
     def decode(self, ids: list[int] | np.ndarray) -> str:
         """Byte pieces are joined to characters, markers become spaces and the first one goes."""
@@ -251,4 +319,5 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", ids:
 
 
 def op5_pieces(spark, sf_dir):
+    """``doc_id, n_ids, n_bytes, same, ids`` of all documents' whole texts; a null text has null ids (n_ids is then null too)."""
     return encode(table(spark, sf_dir, "documents", "doc_id", "text"), Vocabulary.load()).select("doc_id", F.size("ids").alias("n_ids"), "n_bytes", "same", "ids")
