@@ -7,7 +7,7 @@ import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 #: Words are maximal runs of anything but ASCII white space.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -71,24 +71,29 @@ def join_hot(rows: DataFrame, side: DataFrame, key: str, total: int) -> DataFram
     return rows.join(few, key).unionByName(rest)
 
 
-#: So many distinct keys of a sample are broadcast at most.
-MOST_KEYS = 10_000
+def one_text(docs: DataFrame, chosen: DataFrame, *more: str) -> DataFrame:
+    """Columns ``more`` of a small table of doc_ids and the ``text`` of each; of several texts of an id that of least hash, null counts as empty."""
+    text = whole_text(F.col("text"))
+    rows = docs.select("doc_id", F.struct(F.xxhash64(text).alias("h"), text.alias("t")).alias("x")).join(F.broadcast(chosen.select("doc_id", *more)), "doc_id")
+    return rows.groupBy("doc_id", *more).agg(F.min("x").alias("x")).select(*more, F.col("x.t").alias("text"))
 
 
-def bounded_sample(df: DataFrame, key: str, order: Column, limit: int) -> DataFrame:
-    """At most ``limit`` rows for each value of ``key``, those of least ``order`` (a hash).
+#: So many distinct keys of a sample are taken at most.
+MOST_KEYS = 1_000
+
+
+def bounded_sample(df: DataFrame, key: str, order: Column, limit: int, most_keys: int = MOST_KEYS) -> DataFrame:
+    """At most ``limit`` rows for each of the ``most_keys`` most frequent values of ``key``, those of least ``order`` (a hash).
 
     A first pass counts the keys; a filter on the hash, with room for chance, then leaves about
     ``2 * limit`` rows a key before the exact ranking, so no task ever holds a frequent key whole.
-    Used only to fit classifiers; ``limit`` is their documented bound.
+    Used only to fit classifiers; ``limit`` and ``most_keys`` are their documented bounds.
     """
-    from pyspark.sql import Window
-
-    share = df.groupBy(F.col(key).alias("_key")).agg(F.least(F.lit(1.0), F.lit(2.0 * limit + 200.0) / F.count(F.lit(1))).alias("_share"))
-    few = share.take(MOST_KEYS + 1)
-    if len(few) <= MOST_KEYS:  # else the keys are joined by an exchange
-        share = F.broadcast(df.sparkSession.createDataFrame(few, share.schema))
+    n = F.count(F.lit(1))
+    counted = df.groupBy(F.col(key).alias("_key")).agg(n.alias("_count")).orderBy(F.desc("_count"), "_key")
+    share = counted.select("_key", F.least(F.lit(1.0), F.lit(2.0 * limit + 200.0) / F.col("_count")).alias("_share"))
+    few = F.broadcast(df.sparkSession.createDataFrame(share.take(most_keys), share.schema))
     draw = (F.pmod(order, F.lit(1 << 30)) / float(1 << 30)).alias("_draw")
-    near = df.select("*", draw).join(share, F.col(key) == F.col("_key")).where(F.col("_draw") < F.col("_share"))
+    near = df.select("*", draw).join(few, F.col(key) == F.col("_key")).where(F.col("_draw") < F.col("_share"))
     rank = F.row_number().over(Window.partitionBy("_key").orderBy("_draw", *[c for c in df.columns if c != key]))
     return near.withColumn("_rank", rank).where(F.col("_rank") <= limit).drop("_key", "_share", "_draw", "_rank")

@@ -35,11 +35,20 @@ def grams(text: str) -> np.ndarray:
     return np.concatenate(out)
 
 
-def presence(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """One row of zeros and ones for each text, and the roots of the row sums."""
-    p = np.zeros((len(texts), WIDTH), dtype=np.float32)
-    for i, t in enumerate(texts):
-        p[i, grams(t)] = 1
+def bits_of(text: str) -> np.ndarray:
+    """The presence of all n-grams as WIDTH bits (4 kB, however long the text)."""
+    p = np.zeros(WIDTH, dtype=bool)
+    p[grams(text)] = True
+    return np.packbits(p)
+
+
+def pack(texts: list[str]) -> np.ndarray:
+    return np.array([bits_of(t) for t in texts], dtype=np.uint8).reshape(-1, WIDTH // 8)
+
+
+def presence(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One row of zeros and ones for each row of bits, and the roots of the row sums."""
+    p = np.unpackbits(bits, axis=1, count=WIDTH).astype(np.float32)
     return p, np.sqrt(np.maximum(p.sum(axis=1), 1))
 
 
@@ -50,29 +59,29 @@ class KernelModel:
     weights: np.ndarray  # landmarks by labels: the Nyström map and the ridge solution in one
     common: np.ndarray  # float32, WIDTH by labels: 1 for n-grams in two or more landmarks of the label (in one, if it has one)
 
-    def decide(self, texts: list[str], batch: int = 64) -> tuple[np.ndarray, np.ndarray]:
-        """Decision values, and the shares of each text's n-grams that are common in each label's landmarks."""
+    def decide(self, bits: np.ndarray, batch: int = 64) -> tuple[np.ndarray, np.ndarray]:
+        """Decision values of packed texts, and the shares of each one's n-grams that are common in each label's landmarks."""
         out, shares = [np.zeros((0, len(self.labels)))], [np.zeros((0, len(self.labels)))]
-        for i in range(0, len(texts), batch):
-            p, norm = presence(texts[i : i + batch])
+        for i in range(0, len(bits), batch):
+            p, norm = presence(bits[i : i + batch])
             out.append(((p @ self.landmarks) / norm[:, None]) @ self.weights)
             shares.append((p @ self.common) / norm[:, None] ** 2)
         return np.concatenate(out), np.concatenate(shares)
 
 
-def fit(texts: list[str], labels: list[str], n_landmarks: int = 96, ridge: float = 1e-2) -> KernelModel:
-    """Landmarks are taken from the labels in turn; targets are +1 and -1. With no texts the model knows no language."""
+def fit(bits: np.ndarray, labels: list[str], n_landmarks: int = 96, ridge: float = 1e-2) -> KernelModel:
+    """Landmarks are taken from the labels in turn, two a label at least; targets are +1 and -1. With no texts the model knows no language."""
     names = sorted(set(labels))
     if not names:
         return KernelModel([], np.zeros((WIDTH, 0), np.float32), np.zeros((0, 0)), np.zeros((WIDTH, 0), np.float32))
     by = {c: [i for i, x in enumerate(labels) if x == c] for c in names}
-    turns = [by[c][k] for k in range(max(map(len, by.values()))) for c in names if k < len(by[c])]
-    p, norm = presence([texts[i] for i in turns[:n_landmarks]])
+    turns = [by[c][k] for k in range(max(map(len, by.values()))) for c in names if k < len(by[c])][: max(n_landmarks, 2 * len(names))]
+    p, norm = presence(bits[turns])
     marks = np.ascontiguousarray((p / norm[:, None]).T)
-    own = np.array([labels[i] for i in turns[:n_landmarks]])
+    own = np.array([labels[i] for i in turns])
     common = np.stack([p[own == c].sum(axis=0) >= min(2, max(1, (own == c).sum())) for c in names], axis=1).astype(np.float32)
     del p
-    kernel = np.vstack([(lambda q, m: (q @ marks) / m[:, None])(*presence(texts[i : i + 64])) for i in range(0, len(texts), 64)]).astype(np.float64)
+    kernel = np.vstack([(lambda q, m: (q @ marks) / m[:, None])(*presence(bits[i : i + 64])) for i in range(0, len(bits), 64)]).astype(np.float64)
     values, vectors = np.linalg.eigh(marks.T.astype(np.float64) @ marks)
     good = values > 1e-6 * values[-1]
     nystrom = vectors[:, good] / np.sqrt(values[good])
@@ -85,19 +94,34 @@ def fit(texts: list[str], labels: list[str], n_landmarks: int = 96, ridge: float
     return KernelModel(names, marks, nystrom @ alpha, common)
 
 
-def labelled(docs: DataFrame, per_language: int, key: str = "doc_id", seed: int = 3) -> list[tuple[str, int, str]]:
-    """Lang, hash and text of at most ``per_language`` documents of each non-null lang whose text has a letter, in order.
+#: So many languages are learned at most, the most frequent ones; with 250 texts each their bits are 128 MB.
+MOST_LANGUAGES = 128
+
+
+def labelled(docs: DataFrame, per_language: int, key: str = "doc_id", seed: int = 3) -> list[tuple[str, int, bytes]]:
+    """Lang, hash and n-gram bits of at most ``per_language`` documents of each of the MOST_LANGUAGES most frequent non-null langs, in order.
 
-    The sample is the only thing that reaches the driver; ``per_language`` bounds it.
+    Texts without a letter are left out. The bits (4 kB a text, made in tasks) are the only thing that
+    reaches the driver, so neither long texts nor many lang values outgrow it.
     """
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text", F.xxhash64(F.lit(seed), F.col(key).cast("string"), "text").alias("_h"))
-    return sorted((r["lang"], r["_h"], r["text"]) for r in bounded_sample(usable, "lang", F.col("_h"), per_language).collect())
+
+    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([bits_of(t.as_py()).tobytes() for t in b.column(2)], pa.binary())], names=["lang", "h", "bits"])
+
+    sample = bounded_sample(usable, "lang", F.col("_h"), per_language, MOST_LANGUAGES).select("lang", "_h", "text")
+    return sorted((r["lang"], r["h"], bytes(r["bits"])) for r in sample.mapInArrow(shorten, "lang string, h long, bits binary").collect())
+
+
+def together(rows: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(rows), dtype=np.uint8).reshape(-1, WIDTH // 8)
 
 
 def learn(docs: DataFrame, per_language: int = 250, key: str = "doc_id", seed: int = 3) -> KernelModel:
-    """Fits on at most ``per_language`` documents of each non-null lang whose text has a letter."""
+    """Fits on at most ``per_language`` documents of each of the most frequent langs (``labelled``)."""
     rows = labelled(docs, per_language, key, seed)
-    return fit([r[2] for r in rows], [r[0] for r in rows])
+    return fit(together([r[2] for r in rows]), [r[0] for r in rows])
 
 
 #: A text is claimed if its winner's share of common n-grams is this part of what held-out texts of that language have.
@@ -113,13 +137,13 @@ def learn_with_floors(docs: DataFrame, per_language: int = 250, key: str = "doc_
     FLOOR times the share that all but 2 % of a language's held-out texts reach, so that some wrong
     labels do no harm. With too few held-out texts in all there is no floor (0).
     """
-    by: dict[str, list[str]] = {}
-    for lang, _, text in labelled(docs, per_language * 5 // 4, key, seed):
-        by.setdefault(lang, []).append(text)
+    by: dict[str, list[bytes]] = {}
+    for lang, _, bits in labelled(docs, per_language * 5 // 4, key, seed):
+        by.setdefault(lang, []).append(bits)
     seen = {c: t[: len(t) - len(t) // 5] for c, t in by.items()}
-    model = fit([t for c in seen for t in seen[c]], [c for c in seen for _ in seen[c]])
+    model = fit(together([t for c in seen for t in seen[c]]), [c for c in seen for _ in seen[c]])
     fitted = {t for c in seen for t in seen[c]}
-    held = {c: model.decide([t for t in by[c][len(seen[c]) :] if t not in fitted])[1][:, k] for k, c in enumerate(model.labels)}
+    held = {c: model.decide(together([t for t in by[c][len(seen[c]) :] if t not in fitted]))[1][:, k] for k, c in enumerate(model.labels)}
     least = lambda x: FLOOR * float(np.quantile(x, 0.02)) if len(x) >= LEAST_HELD else None
     every = least(np.concatenate([*held.values(), np.zeros(0)])) or 0.0
     return model, np.array([every if (f := least(held[c])) is None else f for c in model.labels])
@@ -139,7 +163,7 @@ def judge(model: KernelModel) -> Callable[[list[str | None]], tuple[list[str], n
         pred, value, share = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
         for j in range(0, len(known), 64):
             part = known[j : j + 64]
-            f, shares = m.decide([texts[i] for i in part])
+            f, shares = m.decide(pack([texts[i] for i in part]))
             best = f.argmax(axis=1)
             share[part] = shares[np.arange(len(part)), best]
             value[part] = np.clip((f[np.arange(len(part)), best] + 1) / 2, 0, 1)
@@ -173,6 +197,7 @@ def held_out(key: str = "doc_id"):
 
 
 def op3_langid(spark, sf_dir):
+    """``doc_id, held_out, lang_pred, score`` of all documents, learned from those that are not held out (a null doc_id is neither)."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     model = learn(docs.where(~held_out() & F.col("doc_id").isNotNull()))
     return predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
@@ -189,7 +214,7 @@ def keep_known_languages(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     its landmarks as in its held-out texts (``learn_with_floors``). Scores cannot tell the latter: a
     text that shares no n-gram with any landmark has decision values of 0, a score of 0.5. Text, lang,
     source and the other columns stay as they are. The model is learned from the documents' own lang
-    column.
+    column. Nulls, repeated rows and clashing column names change nothing; an empty table stays empty.
     """
     model, floors = learn_with_floors(docs)
     run, at, floor = judge(model), docs.columns.index("text"), dict(zip(model.labels, floors.tolist(), strict=True)) | {UNKNOWN: 2.0}

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded_sample, slices, table
+from .common import bounded_sample, one_text, slices, table
 
 SYMBOLS = "#*$%&|<>"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -148,18 +148,22 @@ def fit(x: np.ndarray, y: np.ndarray, signs: list[int], trees: int = 60, depth:
 
 
 def learn(docs: DataFrame, labels: DataFrame, per_label: int = 2_500, seed: int = 9) -> Forest:
-    """Fits on at most ``per_label`` documents of each quality label; their statistics, not texts, reach the driver."""
-    marked = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("quality")).dropDuplicates(["doc_id"])
+    """Fits on at most ``per_label`` documents of each quality label; their statistics, not texts, reach the driver.
+
+    Of several labels of a doc_id the lowest counts, of several texts that of least hash; ids without a
+    document and null ids are left out.
+    """
+    marked = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("quality"))
     marked = marked.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("_h", F.xxhash64(F.lit(seed), F.col("doc_id").cast("string")))
     chosen = bounded_sample(marked, "quality", F.col("_h"), per_label)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most 2 * per_label ids
+    sample = one_text(docs, chosen, "_h", "quality")  # at most 2 * per_label ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             x = [statistics(t.as_py())[1] for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(x, pa.list_(pa.float64()))], names=["h", "y", "x"])
 
-    rows = sample.select("_h", F.col("text").cast("string"), "quality").mapInArrow(run, "h long, y int, x array<double>").dropDuplicates(["h"]).collect()
+    rows = sample.select("_h", "text", "quality").mapInArrow(run, "h long, y int, x array<double>").collect()
     rows = sorted((r["h"], r["y"], tuple(r["x"])) for r in rows)
     x = np.array([r[2] for r in rows]).reshape(-1, len(FEATURES))
     return fit(x, np.array([r[1] for r in rows], dtype=float), [MONOTONE.get(f, 0) for f in FEATURES])
@@ -170,6 +174,7 @@ def assess(docs: DataFrame, forest: Forest, key: str = "doc_id", text: str = "te
 
     ``base_failed``: under 50 words, or over half of the words in repeated 3-word windows. ``kept``:
     not failed and a score of ``least`` or more. Null texts have no words and fail.
+    Repeated rows have equal values; an empty table stays empty, and other columns are not read.
     """
     kind = dict(docs.dtypes)[key]
 
@@ -186,5 +191,6 @@ def assess(docs: DataFrame, forest: Forest, key: str = "doc_id", text: str = "te
 
 
 def op9_quality(spark, sf_dir):
+    """All documents' counts, base rule and verdict (``assess``), learned from labels (``learn``)."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return assess(docs, learn(docs, table(spark, sf_dir, "labels", "doc_id", "quality")))

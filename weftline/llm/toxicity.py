@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded_sample, cut, slices, table, whole_text
+from .common import bounded_sample, cut, one_text, slices, table
 
 LETTERS = re.compile(r"[^\W\d_]+")
 TOP = 3  # grades 0 to TOP
@@ -110,28 +110,31 @@ class Sparse:
         return np.bincount(self.col, self.value * d[self.row], self.shape[1])
 
 
+def objective(x: Sparse, grade: np.ndarray, w: np.ndarray, first: np.ndarray, gaps: np.ndarray, ridge: float) -> tuple[float, list[np.ndarray]]:
+    """The penalised mean log likelihood and its slopes by weights, first cut and log steps between cuts."""
+    n, levels = x.shape[0], len(gaps) + 1
+    cuts = first[0] + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
+    s, rows = x.sums(w), np.arange(n)
+    above = np.hstack([np.ones((n, 1)), sigmoid(s[:, None] - cuts[None, :]), np.zeros((n, 1))])
+    slope = above * (1 - above)
+    p = np.maximum(above[rows, grade] - above[rows, grade + 1], 1e-9)
+    ds = (slope[rows, grade] - slope[rows, grade + 1]) / p
+    dcut = np.array([(np.where(grade == k, slope[:, k + 1], 0) / p - np.where(grade == k + 1, slope[:, k + 1], 0) / p).sum() / n for k in range(levels)])
+    tail = np.cumsum(dcut[::-1])[::-1]
+    value = float(np.log(p).mean() - ridge * (w @ w) / 2 - 0.005 * (gaps @ gaps))
+    return value, [x.back(ds) / n - ridge * w, np.array([tail[0]]), tail[1:] * np.exp(gaps) - 0.01 * gaps]
+
+
 def fit_cumulative(x: Sparse, grade: np.ndarray, levels: int, ridge: float = 1e-4, steps: int = 600, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and ascending cuts by gradient ascent with momentum estimates (Adam) on the mean log likelihood.
+    """Weights and ascending cuts by gradient ascent with momentum estimates (Adam) on ``objective``.
 
     Cuts are the first one and positive steps, so they stay in order.
     """
-    n, f = x.shape
-    w, first, gaps = np.zeros(f), np.array([1.0]), np.zeros(levels - 1)
+    w, first, gaps = np.zeros(x.shape[1]), np.array([1.0]), np.zeros(levels - 1)
     m = [np.zeros_like(a) for a in (w, first, gaps)]
     v = [np.zeros_like(a) for a in (w, first, gaps)]
     for t in range(1, steps + 1):
-        cuts = first[0] + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
-        s = x.sums(w)
-        above = np.hstack([np.ones((n, 1)), sigmoid(s[:, None] - cuts[None, :]), np.zeros((n, 1))])
-        slope = above * (1 - above)
-        rows = np.arange(n)
-        p = np.maximum(above[rows, grade] - above[rows, grade + 1], 1e-9)
-        ds = (slope[rows, grade] - slope[rows, grade + 1]) / p
-        dcut = np.zeros(levels)
-        for k in range(levels):
-            dcut[k] = (np.where(grade == k + 1, -slope[:, k + 1], 0) / p + np.where(grade == k, slope[:, k + 1], 0) / p).sum() / n
-        tail = np.cumsum(dcut[::-1])[::-1]
-        grads = [x.back(ds) / n - ridge * w, np.array([tail[0]]), tail[1:] * np.exp(gaps) - 0.01 * gaps]
+        _, grads = objective(x, grade, w, first, gaps, ridge)
         for i, (a, g) in enumerate(zip((w, first, gaps), grads, strict=True)):
             m[i] = 0.9 * m[i] + 0.1 * g
             v[i] = 0.99 * v[i] + 0.01 * g * g
@@ -166,14 +169,14 @@ def fit(texts: list[str], toxic: list[int]) -> OrdinalModel:
 def learn(docs: DataFrame, labels: DataFrame, per_label: int = 2_500, seed: int = 5) -> OrdinalModel:
     """Fits on at most ``per_label`` documents of each toxic label.
 
-    Features are counted and chosen by Spark; what reaches the driver is the telling features and,
+    Of several labels of a doc_id the highest counts, of several texts that of least hash; ids without a
+    document, null ids and other labels are left out. Features are counted and chosen by Spark; what reaches the driver is the telling features and,
     for each text of the sample, the places and values of those that it has; no texts.
     """
-    marked = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
+    marked = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     marked = marked.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("_h", F.xxhash64(F.lit(seed), F.col("doc_id").cast("string")))
     chosen = bounded_sample(marked, "toxic", F.col("_h"), per_label)
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])  # at most 2 * per_label ids
-    sample = cut(rows.select("_h", "toxic", whole_text(F.col("text")).alias("text")))
+    sample = cut(one_text(docs, chosen, "_h", "toxic"))  # at most 2 * per_label ids
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -201,7 +204,11 @@ def learn(docs: DataFrame, labels: DataFrame, per_label: int = 2_500, seed: int
 
 
 def severity(docs: DataFrame, model: OrdinalModel, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, severity double`` (0 to 3, expected grade) for each row, over the whole text. A null text counts as empty."""
+    """``key, severity double`` (0 to 3, expected grade) for each row, over the whole text.
+
+    A null text counts as empty; repeated rows have equal values, an empty table stays empty, and other
+    columns are not read.
+    """
     kind = dict(docs.dtypes)[key]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,13 +224,17 @@ REJECT = 0.4
 
 
 def op7_toxicity(spark, sf_dir):
+    """``doc_id, severity, grade, toxic`` of all documents, learned from labels (``learn``). Grades above 0 are made from yes/no labels (``grades``), so they rank severity among telling words rather than repeat a judge's."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     model = learn(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
     return severity(docs, model).select("doc_id", "severity", F.round("severity").cast("int").alias("grade"), (F.col("severity") >= REJECT).alias("toxic"))
 
 
 def drop_toxic(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents of expected severity REJECT or more go; all columns stay as they are."""
+    """Pipeline stage: documents of expected severity REJECT or more go; all columns stay as they are, whatever their names.
+
+    A null text counts as empty and stays. Labels of documents that are no longer there teach nothing.
+    """
     model = learn(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
     at = docs.columns.index("text")
 
