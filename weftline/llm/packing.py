@@ -92,4 +92,5 @@ CAPACITY = 16_384
 
 
 def op2_packing(spark, sf_dir):
+    """Pieces of all documents in sequences of CAPACITY bytes (``pack``, ``items_of``); a null text has length 1, the separator."""
     return pack(items_of(table(spark, sf_dir, "documents", "doc_id", "text", "source")), CAPACITY)

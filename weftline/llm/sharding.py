@@ -29,6 +29,10 @@ def communication_matrix(sizes: list[int], n_shards: int, seed: int) -> np.ndarr
     return out
 
 
+#: The matrix is broadcast up to so many entries (8 MB).
+MOST_BOUNDS = 1_000_000
+
+
 def shard(df: DataFrame, n_shards: int = 8, seed: int = 17, rows_per_block: int = 200_000) -> DataFrame:
     """``df`` with ``shard`` (0 to n_shards - 1) and ``slot`` (gapless from 0 in each shard).
 
@@ -44,6 +48,8 @@ def shard(df: DataFrame, n_shards: int = 8, seed: int = 17, rows_per_block: int
     parts = sorted(sizes)
     matrix = communication_matrix([sizes[p] for p in parts], n_shards, seed)
     bounds = spark.createDataFrame([(int(p), [int(x) for x in np.cumsum(m)]) for p, m in zip(parts, matrix, strict=True)], "_part long, _upto array<long>")
+    if len(parts) * n_shards <= MOST_BOUNDS:  # else an exchange
+        bounds = F.broadcast(bounds)
     # first permutation: sorted by a hash inside each partition, without an exchange; the position is the rank
     local = base.sortWithinPartitions(F.xxhash64(F.lit(seed), "_id"), "_id").select("_row", "_id", F.monotonically_increasing_id().alias("_at"))
     local = local.select("_row", "_id", F.shiftrightunsigned("_at", 33).alias("_part"), F.col("_at").bitwiseAND((1 << 33) - 1).alias("_rank"))

@@ -114,6 +114,7 @@ RULES = [
 
 
 def op4_urlfilter(spark, sf_dir):
+    """Every page's host, path, longest rule of RULES and verdict (``judge``); without a rule: allow."""
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     return judge(table(spark, sf_dir, "pages", "page_id", "url"), rules)
 
