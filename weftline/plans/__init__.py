@@ -1,3 +1,3 @@
 """Registered queries, composed of the operators."""
 
-from . import extras, filings, panels, series, verdicts
+from . import extras, files, filings, panels, series, verdicts

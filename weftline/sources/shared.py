@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def once(df: DataFrame) -> DataFrame:
-    """``df`` made once. Its folder is ``spark.checkpoint.dir``; only where that is unset (tests) a temporary one."""
-    context = df.sparkSession.sparkContext
+def folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; only where that is unset and all runs on one machine (tests) a temporary one."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftline-"))
+        given = spark.conf.get("spark.checkpoint.dir", None)
+        if given is None:
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            given = tempfile.mkdtemp(prefix="weftline-")
+        context.setCheckpointDir(given)
+    return context.getCheckpointDir()
+
+
+def once(df: DataFrame) -> DataFrame:
+    """``df`` made once, in the shared folder."""
+    folder(df.sparkSession)
     return df.checkpoint(eager=True)
