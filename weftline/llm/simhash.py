@@ -77,7 +77,11 @@ def midpoints(fp: Column) -> Column:
 
 
 def links(fps: DataFrame) -> DataFrame:
-    """Pairs (a, b) of distinct fingerprints at 2 bits or fewer, enough to connect all that are linked."""
+    """Pairs (a, b) of distinct fingerprints at 2 bits or fewer, enough to connect all that are linked.
+
+    Fingerprints are few bytes, but each makes up to 33 cells, so they are dealt to all tasks first.
+    """
+    fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     cell = fps.select("fp", F.explode(cells(F.col("fp"))).alias("cell"))
     sizes = cell.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where(F.col("n") > 1)
     sizes = cut(sizes)
