@@ -13,9 +13,12 @@ from .network import average_rank
 LCG = (1_103_515_245, 12_345, 2_147_483_648)
 
 
-def block_starts(spark, n: int, replicates: int, block: int) -> DataFrame:
-    """``rep, at, src``: for each replicate, n rows made of blocks of consecutive rows from drawn starts below n - block."""
-    blocks = n // block + 1
+def block_starts(spark, n: int, replicates: int, block: int, fill: bool = True) -> DataFrame:
+    """``rep, at, src``: for each replicate, n rows made of blocks of consecutive rows from drawn starts below n - block.
+
+    Without ``fill`` only whole blocks, so a replicate may be some rows short.
+    """
+    blocks = n // block + (1 if fill else 0)
     a, c, m = LCG
     draw = lambda x: F.pmod(x * a + c, F.lit(m))
     r = spark.range(replicates).select(F.col("id").alias("rep")).withColumn("blk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))

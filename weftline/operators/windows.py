@@ -43,6 +43,13 @@ def ahead(m: DataFrame, ends: DataFrame, rows: DataFrame, size: int, value: str
     return days.join(rows, "ts").groupBy("win", "node").agg(F.count(F.lit(1)).alias("_n"), F.sum(value).alias("ahead")).where(F.col("_n") == size).drop("_n")
 
 
+def halves(df: DataFrame, burn_in: int, order: str = "win") -> DataFrame:
+    """The rows (one for each window) after the first ``burn_in``, with ``half``: early or late."""
+    k, n = F.row_number().over(Window.orderBy(order)), F.count(F.lit(1)).over(Window.partitionBy())
+    kept = df.withColumns({"_k": k - burn_in, "_n": n - burn_in}).where("_k > 0")
+    return kept.withColumn("half", F.when(F.col("_k") <= F.col("_n") / 2, "early").otherwise("late")).drop("_k", "_n")
+
+
 def rolling_mean(df: DataFrame, value: str, rows: int, part: list[str], order: str = "ts") -> DataFrame:
     w = Window.partitionBy(*part).orderBy(order).rowsBetween(1 - rows, 0)
     return df.withColumn("rolling", F.when(F.count(value).over(w) == rows, F.avg(value).over(w)))
@@ -55,4 +62,4 @@ def delay_vectors(df: DataFrame, value: str, dim: int, delay: int, part: list[st
     return df.withColumn("vector", F.array(*cells)).where(F.forall("vector", lambda x: x.isNotNull()))
 
 
-__all__ = ["ahead", "axis", "delay_vectors", "hops", "horizon", "members", "rolling_mean"]
+__all__ = ["ahead", "axis", "delay_vectors", "halves", "hops", "horizon", "members", "rolling_mean"]

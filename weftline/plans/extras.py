@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from weftline.catalog import query
-from weftline.operators import credit, draws, filters, inference, metrics, network, panel, risk, scoring, synth
+from weftline.operators import credit, draws, filters, inference, metrics, network, panel, risk, scoring, synth, windows
 from weftline.sources.readers import parquet
 from weftline.sources.shared import once
 
@@ -47,16 +47,38 @@ def ema_alpha_fit(spark, d):
     return gap.select(r("alpha").alias("alpha"), "error", (F.rank().over(Window.orderBy("error")) == 1).alias("best"))
 
 
-@query(f"""WITH {FACTORS}, v AS (SELECT row_number() OVER (ORDER BY win) - 1 AS pos, round(gapless, 9) AS x FROM idx), nn AS (SELECT count(*) AS n FROM v),
-s0 AS (SELECT rep, blk, rep * (n // 8 + 1) + blk AS x0, n FROM (SELECT unnest(range(300)) AS rep), nn, unnest(range((SELECT n // 8 + 1 FROM nn))) t(blk)),
-s2 AS (SELECT rep, blk, n, (((x0 * 1103515245 + 12345) % 2147483648 * 1103515245 + 12345) % 2147483648) // 1024 % greatest(1, n - 8) AS st FROM s0),
-m AS (SELECT rep, avg(x) AS m FROM (SELECT rep, st + o AS src FROM s2, unnest(range(8)) u(o) WHERE blk * 8 + o < n) JOIN v ON src = pos GROUP BY rep)
-SELECT round(quantile_cont(m, 0.025), 6) AS lo, round(avg(m), 6) AS mean, round(quantile_cont(m, 0.975), 6) AS hi FROM m""")
+def bootstrap_sql(name: str, block: int, blocks: str) -> str:
+    return f"""(WITH s0 AS (SELECT rep, blk, rep * ({blocks}) + blk AS x0, n FROM (SELECT unnest(range(300)) AS rep), nn, unnest(range((SELECT {blocks} FROM nn))) t(blk)),
+s2 AS (SELECT rep, blk, n, (((x0 * 1103515245 + 12345) % 2147483648 * 1103515245 + 12345) % 2147483648) // 1024 % greatest(1, n - {block}) AS st FROM s0),
+m AS (SELECT rep, avg(x) AS m, avg(y) / stddev_pop(y) - avg(x) / stddev_pop(x) AS ratio FROM (SELECT rep, st + o AS src FROM s2, unnest(range({block})) u(o) WHERE blk * {block} + o < n) JOIN v ON src = pos GROUP BY rep)
+SELECT '{name}' AS variant, round(quantile_cont(m, 0.025), 6) AS lo, round(avg(m), 6) AS mean, round(quantile_cont(m, 0.975), 6) AS hi, round(quantile_cont(ratio, 0.025), 6) AS ratio_lo, round(quantile_cont(ratio, 0.975), 6) AS ratio_hi, round(avg(CASE WHEN ratio > 0 THEN 1.0 ELSE 0.0 END), 6) AS above FROM m)"""
+
+
+#: Variant: (block, whether the last block is cut to fill the sample).
+VARIANTS = {"fill_8": (8, True), "whole_8": (8, False), "whole_20": (20, False)}
+
+
+@query(f"""WITH {FACTORS}, v AS (SELECT row_number() OVER (ORDER BY win) - 1 AS pos, round(gapless, 9) AS x, round(mean_abs_corr, 9) AS y FROM idx), nn AS (SELECT count(*) AS n FROM v)
+{" UNION ALL ".join("SELECT * FROM " + bootstrap_sql(k, b, f"n // {b} + {int(f)}") for k, (b, f) in VARIANTS.items())}""")
 def bootstrap_mean_interval(spark, d):
-    """Block bootstrap of a mean."""
-    v = once(index_series(spark, d).select((F.row_number().over(Window.orderBy("win")) - 1).alias("pos"), F.round("gapless", 9).alias("x")))
-    m = inference.block_starts(spark, v.count(), 300, 8).join(v, F.col("src") == F.col("pos")).groupBy("rep").agg(F.avg("x").alias("m"))
-    return m.agg(r(F.percentile("m", 0.025)).alias("lo"), r(F.avg("m")).alias("mean"), r(F.percentile("m", 0.975)).alias("hi"))
+    """Block bootstrap of a mean and of a difference of mean over deviation, by block and filling, and how often the difference is above 0."""
+    w = Window.orderBy("win")
+    v = once(index_series(spark, d).select((F.row_number().over(w) - 1).alias("pos"), F.round("gapless", 9).alias("x"), F.round("mean_abs_corr", 9).alias("y")))
+    n, out = v.count(), None
+    for name, (block, fill) in VARIANTS.items():
+        ratio = F.avg("y") / F.stddev_pop("y") - F.avg("x") / F.stddev_pop("x")
+        m = inference.block_starts(spark, n, 300, block, fill).join(v, F.col("src") == F.col("pos")).groupBy("rep").agg(F.avg("x").alias("m"), ratio.alias("ratio"))
+        row = m.agg(r(F.percentile("m", 0.025)).alias("lo"), r(F.avg("m")).alias("mean"), r(F.percentile("m", 0.975)).alias("hi"), r(F.percentile("ratio", 0.025)).alias("ratio_lo"), r(F.percentile("ratio", 0.975)).alias("ratio_hi"), r(F.avg((F.col("ratio") > 0).cast("double"))).alias("above"))
+        row = row.select(F.lit(name).alias("variant"), *row.columns)
+        out = row if out is None else out.union(row)
+    return out
+
+
+@query(f"""WITH {FACTORS}, k AS (SELECT win, gapless, row_number() OVER (ORDER BY win) - 20 AS k, count(*) OVER () - 20 AS n FROM idx)
+SELECT CASE WHEN k <= n / 2 THEN 'early' ELSE 'late' END AS half, count(*) AS windows, round(avg(gapless), 6) AS mean FROM k WHERE k > 0 GROUP BY 1""")
+def burn_in_halves(spark, d):
+    """Windows after a burn-in of twenty, in two halves."""
+    return windows.halves(index_series(spark, d), 20).groupBy("half").agg(F.count(F.lit(1)).alias("windows"), r(F.avg("gapless")).alias("mean"))
 
 
 @query(f"WITH {SCORED} SELECT metric, list, win, round(CASE metric WHEN 'clustering' THEN -x ELSE x END, 9) AS oriented FROM scored")

@@ -21,14 +21,14 @@ def crisis_label(spark, d):
 
 
 @query(f"""WITH {RETURNS}, m AS (SELECT ts, avg(ret) AS ret FROM rets GROUP BY ts),
-w AS (SELECT ts, CASE WHEN count(*) OVER a = 20 THEN avg(ret) OVER a END AS back, CASE WHEN count(*) OVER b = 10 THEN avg(ret) OVER b END AS ahead FROM m WINDOW a AS (ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), b AS (ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING))
-SELECT ts, CAST(CASE WHEN back < -0.01 THEN 1 WHEN back >= -0.01 THEN 0 ELSE -1 END AS INTEGER) AS trailing_stress, CAST(CASE WHEN ahead < -0.01 THEN 1 WHEN ahead >= -0.01 THEN 0 ELSE -1 END AS INTEGER) AS ahead_stress FROM w""")
+w AS (SELECT ts, CASE WHEN count(*) OVER a = 20 THEN avg(ret) OVER a END AS back, CASE WHEN count(*) OVER b = 10 THEN avg(ret) OVER b END AS ahead, CASE WHEN count(*) OVER c = 20 THEN avg(ret) OVER c END AS around FROM m WINDOW a AS (ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), b AS (ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING), c AS (ORDER BY ts ROWS BETWEEN 9 PRECEDING AND 10 FOLLOWING))
+SELECT ts, CAST(CASE WHEN back < -0.01 THEN 1 WHEN back >= -0.01 THEN 0 ELSE -1 END AS INTEGER) AS trailing_stress, CAST(CASE WHEN ahead < -0.01 THEN 1 WHEN ahead >= -0.01 THEN 0 ELSE -1 END AS INTEGER) AS ahead_stress, CAST(CASE WHEN around < -0.01 THEN 1 WHEN around >= -0.01 THEN 0 ELSE -1 END AS INTEGER) AS around_stress FROM w""")
 def return_label(spark, d):
     m = weekly_returns(spark, d).groupBy("ts").agg(F.avg("ret").alias("ret"))  # one row a date
-    back, ahead = Window.orderBy("ts").rowsBetween(-19, 0), Window.orderBy("ts").rowsBetween(1, 10)
+    back, ahead, around = (Window.orderBy("ts").rowsBetween(*x) for x in ((-19, 0), (1, 10), (-9, 10)))
     mean = lambda w, n: F.when(F.count(F.lit(1)).over(w) == n, F.avg("ret").over(w))
     flag = lambda x: F.when(x < -0.01, 1).when(x >= -0.01, 0).otherwise(-1)  # noqa: E731  -1: not enough rows
-    return m.select("ts", flag(mean(back, 20)).alias("trailing_stress"), flag(mean(ahead, 10)).alias("ahead_stress"))
+    return m.select("ts", flag(mean(back, 20)).alias("trailing_stress"), flag(mean(ahead, 10)).alias("ahead_stress"), flag(mean(around, 20)).alias("around_stress"))
 
 
 F1_SQL = """SELECT metric, list, tp, fp, fn, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1
@@ -102,15 +102,17 @@ s2 AS (SELECT rep, blk, n, ((x1 * 1103515245 + 12345) % 2147483648) // 1024 % gr
 dr AS (SELECT rep, st + off AS src FROM s2, unnest(range(20)) o(off) WHERE blk * 20 + off < n),
 j AS (SELECT rep, l.* FROM dr JOIN l ON src = pos), q AS (SELECT rep, quantile_cont(a, 0.9) AS qa, quantile_cont(b, 0.9) AS qb FROM j GROUP BY rep),
 f AS (SELECT rep, coalesce(2.0 * count(*) FILTER (a >= qa AND crisis) / nullif(count(*) FILTER (a >= qa) + count(*) FILTER (crisis), 0), 0) - coalesce(2.0 * count(*) FILTER (b >= qb AND crisis) / nullif(count(*) FILTER (b >= qb) + count(*) FILTER (crisis), 0), 0) AS delta FROM j JOIN q USING (rep) GROUP BY rep)
-SELECT round(avg(delta), 6) AS mean, round(quantile_cont(delta, 0.025), 6) AS lo, round(quantile_cont(delta, 0.975), 6) AS hi, round(avg((delta <= 0)::INT), 6) AS p FROM f""")
+SELECT mean, lo, hi, p, round(CASE WHEN mean >= 0 THEN p ELSE 1 - p END, 6) AS p_sided, CASE WHEN lo > 0 AND mean > 0.05 THEN 'better' WHEN hi < 0 AND mean < -0.05 THEN 'worse' ELSE 'tie' END AS verdict
+FROM (SELECT round(avg(delta), 6) AS mean, round(quantile_cont(delta, 0.025), 6) AS lo, round(quantile_cont(delta, 0.975), 6) AS hi, round(avg((delta <= 0)::INT), 6) AS p FROM f)""")
 def block_bootstrap_df1(spark, d):
-    """Paired moving-block bootstrap of an F1 difference; starts come from a fixed congruence."""
+    """Paired moving-block bootstrap of an F1 difference, its one-sided p and verdict (T3-T5); starts come from a fixed congruence."""
     v = index_series(spark, d).select(F.row_number().over(Window.orderBy("win")).alias("p"), "end_ts", F.round("gapless", 9).alias("a"), F.round("mean_abs_corr", 9).alias("b")).withColumn("pos", F.col("p") - 1)
     core = scoring.intervals(spark).where("list = 'core'")
     v = scoring.labelled(v, core, "end_ts").select("pos", "crisis", "a", "b")
     v = once(v)
     out = inference.block_bootstrap(v, "a", "b", v.count(), 200, 20)
-    return out.select(*[r(c).alias(c) for c in ("mean", "lo", "hi", "p")])
+    out = out.select(*[r(c).alias(c) for c in ("mean", "lo", "hi", "p")])
+    return out.select("*", r(inference.one_sided(F.col("p"), F.col("mean"))).alias("p_sided"), inference.verdict(F.col("mean"), F.col("lo"), F.col("hi"), 0.05).alias("verdict"))
 
 
 TESTS = [("a", 0.001), ("b", 0.004), ("c", 0.011), ("d", 0.013), ("e", 0.03), ("f", 0.2)]
