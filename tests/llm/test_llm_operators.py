@@ -214,13 +214,16 @@ def brute_rule(host, path, rules):
     return max(fits)[1:] if fits else (None, "allow")
 
 
-def test_url_rules_against_all_rules(spark):
+@pytest.mark.parametrize("most_open", [100_000, 0])
+def test_url_rules_against_all_rules(spark, monkeypatch, most_open):
+    """In place, and with the open rules exchanged."""
+    monkeypatch.setattr(urlfilter, "MOST_OPEN", most_open)
     rng = random.Random(1)
     hosts = ["com", "a.com", "b.a.com", "c.b.a.com", "ab.com", "net", "x.net", ""]
     paths = ["", "/", "/en/", "/en/x", "/es/", "/e"]
     rules = [(h, p, rng.choice(["allow", "block"])) for h in hosts[:-2] for p in ("/", "/en/", "/en/x", "") if rng.random() < 0.7]
     urls = [(i, f"http://{rng.choice(hosts).upper() if i % 5 == 0 else rng.choice(hosts)}{rng.choice(paths)}{rng.choice(['', '?q=/x', '#f'])}") for i in range(300)]
-    urls += [(900 + i, u) for i, u in enumerate([None, "", "no scheme", "://", "a://b://c/d", "http://a.com", "http://a.com?x"])]
+    urls += [((1 << 60) + 900 + i, u) for i, u in enumerate([None, "", "no scheme", "://", "a://b://c/d", "http://a.com", "http://a.com?x"])]
     got = urlfilter.judge(spark.createDataFrame(urls, "page_id long, url string"), spark.createDataFrame(rules, "host string, path string, verdict string")).collect()
     assert len(got) == len(urls)
     for r in got:
@@ -240,6 +243,8 @@ def test_url_empty(spark):
     assert urlfilter.judge(none, rules).count() == 0
     one = spark.createDataFrame([(1, "http://a.com/", "h", "k")], none.schema)
     assert urlfilter.judge(one, rules.limit(0)).first()["rule"] is None
+    null = spark.createDataFrame([(None, "http://a.com/"), (None, None)], "page_id long, url string")
+    assert sorted((r["page_id"], r["host"], r["verdict"]) for r in urlfilter.judge(null, rules).collect()) == [(None, "", "allow"), (None, "a.com", "allow")]
 
 
 # pieces

@@ -8,6 +8,8 @@ rules, takes the longest rule that fits.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -37,36 +39,39 @@ def key_prefixes(key: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.concat(F.call_function("substring_index", key, F.lit("."), i), F.lit(".")))
 
 
-def sweep(keys: list[str], paths: list[str], rules: list[tuple[str, str, str]]) -> list[str | None]:
-    """The longest fitting rule's name for each URL; both lists in key order.
+class Sweep:
+    """Walks URLs and rules in key order; each stack level holds one open host with its rules by path."""
 
-    ``rules`` are (key, path, name). Each stack level holds one open host with its rules by path.
-    """
-    out: list[str | None] = []
-    stack: list[tuple[str, dict[str, str], list[int]]] = []
-    at = 0
-    for key, path in zip(keys, paths, strict=True):
-        while at < len(rules) and rules[at][0] <= key:
-            k, p, name = rules[at]
-            at += 1
-            while stack and not k.startswith(stack[-1][0]):
-                stack.pop()
-            if not stack or stack[-1][0] != k:
-                stack.append((k, {}, []))
-            _, by_path, sizes = stack[-1]
-            by_path[p] = name
-            if len(p) not in sizes:
-                sizes.append(len(p))
-                sizes.sort(reverse=True)
-        while stack and not key.startswith(stack[-1][0]):
-            stack.pop()
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, dict[str, tuple[str, str]], list[int]]] = []
+
+    def close(self, key: str) -> None:
+        while self.stack and not key.startswith(self.stack[-1][0]):
+            self.stack.pop()
+
+    def add(self, key: str, path: str, rule: str, verdict: str) -> None:
+        self.close(key)
+        if not self.stack or self.stack[-1][0] != key:
+            self.stack.append((key, {}, []))
+        _, by_path, sizes = self.stack[-1]
+        by_path[path] = (rule, verdict)
+        if len(path) not in sizes:
+            sizes.append(len(path))
+            sizes.sort(reverse=True)
+
+    def find(self, key: str, path: str) -> tuple[str, str] | None:
+        """The longest fitting rule and its verdict."""
+        self.close(key)
         best = None
-        for _, by_path, sizes in stack:
+        for _, by_path, sizes in self.stack:
             hit = next((by_path[path[:n]] for n in sizes if n <= len(path) and path[:n] in by_path), None)
-            if hit is not None and (best is None or len(hit) >= len(best)):
+            if hit is not None and (best is None or len(hit[0]) >= len(best[0])):
                 best = hit
-        out.append(best)
-    return out
+        return best
+
+
+#: So many rules that are open where range partitions begin are sent along with the code; more are exchanged.
+MOST_OPEN = 100_000
 
 
 def judge(urls: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "url", default: str = ALLOW, rows_per_part: int = 250_000) -> DataFrame:
@@ -76,31 +81,60 @@ def judge(urls: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "u
     verdicts, block). The longest fitting rule wins; without one, ``rule`` is null and the verdict
     ``default``. Null urls and urls without ``://`` have an empty host and path, which no rule fits.
     Sorting is by key, path and a hash of the row, so a host with a third of all rows is cut into as
-    many range partitions as it needs; each then gets the rules open at its first key.
+    many range partitions as it needs; each starts with the rules open at its first key. Repeated rows
+    are judged each on its own, an empty table stays empty, and other columns are not read.
     """
     spark = urls.sparkSession
     kind = dict(urls.dtypes)[key]
     host = host_of(F.col(url))
-    pages = urls.select(F.col(key).alias("_id"), host.alias("_host"), path_of(F.col(url)).alias("_path"), F.lit(None).cast("string").alias("_rule"), F.monotonically_increasing_id().alias("_tie"))
+    pages = urls.select(F.col(key).cast("string").alias("_id"), host.alias("_host"), path_of(F.col(url)).alias("_path"), F.lit(None).cast("string").alias("_rule"), F.monotonically_increasing_id().alias("_tie"))
     pages = pages.withColumn("_key", host_key(F.col("_host")))
     clean = rules.where(F.col("host").isNotNull() & (F.col("host") != "")).groupBy(F.lower("host").alias("_host"), F.coalesce("path", F.lit("")).alias("_path")).agg(F.max("verdict").alias("_verdict"))
-    clean = clean.select(F.lit(None).cast(kind).alias("_id"), "_host", "_path", F.concat("_host", "_path").alias("_rule"), F.lit(-1).cast("long").alias("_tie"), host_key(F.col("_host")).alias("_key"), "_verdict")
+    clean = clean.select(F.lit(None).cast("string").alias("_id"), "_host", "_path", F.concat("_host", "_path").alias("_rule"), F.lit(-1).cast("long").alias("_tie"), host_key(F.col("_host")).alias("_key"), "_verdict")
     both = pages.withColumn("_verdict", F.lit(None).cast("string")).unionByName(clean)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-pages.count() // rows_per_part))
-    ranged = cut(both.repartitionByRange(parts, "_key", F.col("_rule").isNull(), F.xxhash64("_tie")).withColumn("_part", F.spark_partition_id()))
+    order = ["_key", F.col("_rule").isNull(), F.xxhash64("_tie")]
+    ranged = both.repartitionByRange(parts, *order).sortWithinPartitions("_key", F.col("_rule").isNull(), "_path", "_rule")
+    ranged = cut(ranged.withColumn("_part", F.spark_partition_id()))
     first = ranged.groupBy("_part").agg(F.min("_key").alias("_first")).select("_part", F.explode(key_prefixes(F.col("_first"))).alias("_key"))
     opened = clean.join(first, "_key").select(*ranged.columns)
-    columns = [f"`{key}` {kind}", "host string", "path string", "rule string", "verdict string"]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        is_rule = pdf["_rule"].notna()
-        own = sorted({(k, p, r, v) for k, p, r, v in pdf.loc[is_rule, ["_key", "_path", "_rule", "_verdict"]].itertuples(index=False)})
-        verdict = {r: v for *_, r, v in own}
-        u = pdf[~is_rule].sort_values(["_key", "_path"], kind="stable")
-        hit = sweep(u["_key"].tolist(), u["_path"].tolist(), [x[:3] for x in own])
-        return pd.DataFrame({key: u["_id"].to_numpy(), "host": u["_host"].to_numpy(), "path": u["_path"].to_numpy(), "rule": pd.Series(hit, dtype=object).to_numpy(), "verdict": pd.Series([default if h is None else verdict[h] for h in hit], dtype=object).to_numpy()})
-
-    return ranged.unionByName(opened).groupBy("_part").applyInPandas(run, ", ".join(columns))
+    few = opened.select("_part", "_key", "_path", "_rule", "_verdict").take(MOST_OPEN + 1)
+    schema = "_id string, host string, path string, rule string, verdict string"  # ids as text: pandas has no whole numbers with nulls
+    typed = lambda df: df.select(F.col("_id").cast(kind).alias(key), "host", "path", "rule", "verdict")
+
+    def judged(pdf: pd.DataFrame, sweep: Sweep) -> pd.DataFrame:
+        rows = []
+        for i, k, host, path, rule, verdict in pdf[["_id", "_key", "_host", "_path", "_rule", "_verdict"]].itertuples(index=False):
+            if isinstance(rule, str):
+                sweep.add(k, path, rule, verdict)
+            else:
+                rows.append((i, host, path, *(sweep.find(k, path) or (None, default))))
+        return pd.DataFrame(rows, columns=["_id", "host", "path", "rule", "verdict"])
+
+    def start(rows: list) -> Sweep:
+        sweep = Sweep()
+        for rule in sorted(rows):
+            sweep.add(*rule)
+        return sweep
+
+    if len(few) <= MOST_OPEN:  # in place: a task walks its partition batch by batch
+        by_part: dict[int, list] = {}
+        for p, *rule in few:
+            by_part.setdefault(p, []).append(tuple(rule))
+
+        def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            sweep = None
+            for pdf in batches:
+                if len(pdf):
+                    sweep = sweep or start(by_part.get(int(pdf["_part"].iloc[0]), []))
+                    yield judged(pdf, sweep)
+
+        return typed(ranged.mapInPandas(walk, schema))
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        return judged(pdf.assign(_url=pdf["_rule"].isna()).sort_values(["_key", "_url", "_path"], kind="stable"), Sweep())
+
+    return typed(ranged.unionByName(opened).groupBy("_part").applyInPandas(whole, schema))
 
 
 #: Fixed values of the registered query: (host, path, verdict).
