@@ -51,6 +51,10 @@ def test_relational_network_equals_dense(spark):
     assert [tri[f"n{i}"] for i in range(5)] == pytest.approx(list(np.diag(a @ a @ a)))
     p = {(r["i"], r["j"]): r["pressure"] for r in network.pressures(e).collect()}
     assert p[("n0", "n1")] == pytest.approx(3 * (a @ a)[0, 1] * a[0, 1])
+    dense = metrics.factors(m).first()
+    assert [dense[c] for c in f.asDict()] == pytest.approx([f[c] for c in f.asDict()])
+    both = metrics.node_triangles(m).join(network.degrees(e).withColumnRenamed("degree", "other"), ["win", "node"]).collect()
+    assert {r["node"]: r["tri"] for r in both} == pytest.approx(tri) and all(r["degree"] == pytest.approx(r["other"]) for r in both)
     k = metrics.window_metrics(m, ["omega", "gap"]).first()
     assert k["omega"] == pytest.approx(kernels.omega(a))
 
