@@ -15,6 +15,19 @@ def equal_weights(basket: DataFrame, part: list[str]) -> DataFrame:
     return basket.withColumn("weight", 1.0 / F.count(F.lit(1)).over(Window.partitionBy(*part)))
 
 
+def top_weights(nodes: DataFrame, score: str, k: int | None) -> DataFrame:
+    """``node, weight``: equal weights of the ``k`` nodes of highest score, of all without k. ``nodes`` has a row for each node."""
+    chosen = nodes if k is None else top_k(nodes, score, k, [])
+    return equal_weights(chosen, []).select("node", "weight")
+
+
+def long_short(nodes: DataFrame, score: str) -> DataFrame:
+    """``node, weight``: the half of highest score long and the others short, each half of weight 1."""
+    n = F.count(F.lit(1)).over(Window.partitionBy())
+    place = F.row_number().over(Window.orderBy(F.col(score).desc(), "node"))
+    return nodes.select("node", F.when(place <= n / 2, 2 / n).otherwise(-2 / n).alias("weight"))
+
+
 def excess(basket: DataFrame, all_nodes: DataFrame, outcome: str, part: list[str]) -> DataFrame:
     """Mean outcome of each basket less the mean of all nodes (one over n)."""
     b = basket.groupBy(*part).agg(F.avg(outcome).alias("basket"))

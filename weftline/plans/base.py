@@ -33,7 +33,7 @@ def hourly(spark, d: str) -> DataFrame:
 
 
 def weekly_returns(spark, d: str) -> DataFrame:
-    return panel.returns(weekly(spark, d), "drop_then_diff")
+    return panel.returns(once(weekly(spark, d)), "drop_then_diff")  # three branches read the panel: facts are scanned once
 
 
 def weekly_windows(spark, d: str, width: int = WIDTH, step: int = STEP) -> tuple[DataFrame, DataFrame]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from weftline.catalog import query
-from weftline.operators import credit, draws, filters, inference, metrics, network, panel, risk, scoring, synth, windows
+from weftline.operators import credit, draws, filters, inference, metrics, network, panel, portfolio, risk, scoring, synth, windows
 from weftline.sources.readers import parquet
 from weftline.sources.shared import once
 
@@ -88,14 +88,17 @@ def oriented_signals(spark, d):
     return scored(spark, d).join(F.broadcast(sign), "metric").select("metric", "list", "win", F.round(F.col("sign") * F.col("x"), 9).alias("oriented"))
 
 
-@query(f"""WITH {RETURNS}, v AS (SELECT node, round(stddev_samp(ret), 9) AS sd FROM rets GROUP BY node), k AS (SELECT node, row_number() OVER (ORDER BY sd DESC, node) AS k, count(*) OVER () AS n FROM v)
-SELECT 'equal' AS kind, node, round(1 / n, 6) AS weight FROM k UNION ALL SELECT 'top_volatility', node, 0.5 FROM k WHERE k <= 2 UNION ALL SELECT 'long_short', node, CASE WHEN k <= n / 2 THEN round(2 / n, 6) ELSE round(-2 / n, 6) END FROM k""")
+@query(f"""WITH {RETURNS}, v AS (SELECT node, round(stddev_samp(ret), 9) AS sd, round(avg(ret), 9) AS mean FROM rets GROUP BY node), k AS (SELECT node, row_number() OVER (ORDER BY sd DESC, node) AS kv, row_number() OVER (ORDER BY mean DESC, node) AS km, count(*) OVER () AS n FROM v)
+SELECT 'equal' AS kind, node, round(1 / n, 6) AS weight FROM k UNION ALL SELECT 'top_2_volatility', node, 0.5 FROM k WHERE kv <= 2 UNION ALL SELECT 'top_3_mean', node, round(1 / 3, 6) FROM k WHERE km <= 3 UNION ALL SELECT 'long_short', node, CASE WHEN kv <= n / 2 THEN round(2 / n, 6) ELSE round(-2 / n, 6) END FROM k""")
 def weight_kinds(spark, d):
-    """Portfolio weights by kind."""
-    v = weekly_returns(spark, d).groupBy("node").agg(F.round(F.stddev_samp("ret"), 9).alias("sd"))
-    k = v.select("node", F.row_number().over(Window.orderBy(F.col("sd").desc(), "node")).alias("k"), F.count(F.lit(1)).over(Window.partitionBy()).alias("n"))  # a row for each node
-    kinds = F.array(F.struct(F.lit("equal").alias("kind"), (1 / F.col("n")).alias("weight")), F.when(F.col("k") <= 2, F.struct(F.lit("top_volatility").alias("kind"), F.lit(0.5).alias("weight"))), F.struct(F.lit("long_short").alias("kind"), F.when(F.col("k") <= F.col("n") / 2, 2 / F.col("n")).otherwise(-2 / F.col("n")).alias("weight")))
-    return k.select("node", F.explode(F.array_compact(kinds)).alias("x")).select("x.kind", "node", r("x.weight").alias("weight"))
+    """Portfolio weights by kind: all, the most volatile, those of the highest mean, long one half and short the other."""
+    v = weekly_returns(spark, d).groupBy("node").agg(F.round(F.stddev_samp("ret"), 9).alias("sd"), F.round(F.avg("ret"), 9).alias("mean"))
+    kinds = {"equal": portfolio.top_weights(v, "sd", None), "top_2_volatility": portfolio.top_weights(v, "sd", 2), "top_3_mean": portfolio.top_weights(v, "mean", 3), "long_short": portfolio.long_short(v, "sd")}
+    out = None
+    for name, w in kinds.items():
+        row = w.select(F.lit(name).alias("kind"), "node", r("weight").alias("weight"))
+        out = row if out is None else out.union(row)
+    return out
 
 
 @query()
@@ -139,7 +142,7 @@ def retention_after_shock(spark, d):
     for kind, (widening, _) in KINDS.items():
         s = synth.diffusing(spark, 6, widening(F.col("i")))
         a = s.withColumn("step", F.explode(F.sequence(F.lit(20), F.lit(258), F.lit(2)))).where((F.col("pos") >= F.col("step") - 20) & (F.col("pos") < F.col("step")))
-        f = network.factors(once(network.correlations(a.withColumn("win", (F.col("sim") * 1000 + F.col("step")).cast("int")))))
+        f = metrics.factors(a.withColumn("win", (F.col("sim") * 1000 + F.col("step")).cast("int")))
         f = f.select(F.lit(kind).alias("kind"), (F.col("win") % 1000).alias("t"), "tr_a3_n3").groupBy("kind", "t").agg(F.avg("tr_a3_n3").alias("mass"))
         out = f if out is None else out.union(f)
     return synth.retention(out, "mass", ["kind"]).select("kind", *[r(c).alias(c) for c in ("peak", "late", "retention")])

@@ -262,9 +262,8 @@ def epicentre_hit_rates(spark, d):
     out = None
     for k, frustrated in CASES:
         s = synth.epicentres(spark, 120, k, rows=(120, 160), frustrated=frustrated).withColumnRenamed("sim", "win")
-        e = once(network.correlations(s))
-        truth = s.select("win", "node", "truth").distinct()
-        sc = network.node_triangles(e).join(network.degrees(e), ["win", "node"]).join(truth, ["win", "node"]).withColumns({"tri": F.round("tri", 9), "degree": F.round("degree", 9)})
+        truth = (F.substring("node", 2, 2).cast("int") < synth.GROUP * k).alias("truth")
+        sc = once(metrics.node_triangles(s).select("win", "node", truth, *[F.round(c, 9).alias(c) for c in ("tri", "degree")]))
         for name, column in (("triangles", "tri"), ("degree", "degree")):
             row = synth.hit_rate(sc, column, synth.GROUP * k, ["win"]).select(F.lit(k).alias("k"), F.lit(frustrated).alias("frustrated"), F.lit(name).alias("score"), r("hit_rate").alias("hit_rate"))
             out = row if out is None else out.union(row)
