@@ -121,13 +121,12 @@ def near_links(sets: DataFrame, least: float = 0.8, key: str = "rep", may: Colum
     n = F.size("sigs")
     part = F.floor(F.log(n.cast("double")) / F.lit(-math.log(least))).cast("int")
     prefix = F.slice("sigs", F.lit(1), (n - F.ceil(n * least - 1e-9) + 1).cast("int"))
-    index = sets.select(F.col(key).alias("key"), n.alias("n"), part.alias("part"), F.explode(prefix).alias("sig"))
-    index = index.select(F.struct(F.xxhash64("key", F.pmod("sig", F.lit(orders))).alias("h"), "key", "n").alias("me"), "sig", F.explode(F.array("part", F.col("part") + 1)).alias("cell"))
-    ends = index.groupBy("sig", "cell").agg(F.min("me").alias("lo"), F.max("me").alias("hi")).where("lo.key <> hi.key")
-    met = index.join(ends, ["sig", "cell"]).select("me", F.explode(F.array("lo", "hi")).alias("end"))
-    met = met.select(F.least("me.key", "end.key").alias("a"), F.greatest("me.key", "end.key").alias("b"), F.col("me.n").alias("x"), F.col("end.n").alias("y"))
-    near = (F.col("a") < F.col("b")) & (F.least("x", "y") >= F.greatest("x", "y") * least - 1e-9)
-    pairs = met.where(near if may is None else near & may).select("a", "b").distinct()
+    index = sets.select(F.col(key).alias("key"), part.alias("part"), F.explode(prefix).alias("sig")).select("key", "sig", F.explode(F.array("part", F.col("part") + 1)).alias("cell"))
+    h = F.xxhash64("key", F.pmod("sig", F.lit(orders)))
+    ends = index.groupBy("sig", "cell").agg(F.min_by("key", h).alias("lo"), F.max_by("key", h).alias("hi")).where("lo <> hi")
+    met = index.join(ends, ["sig", "cell"]).select("key", F.explode(F.array("lo", "hi")).alias("end")).select(F.least("key", "end").alias("a"), F.greatest("key", "end").alias("b"))
+    near = F.col("a") < F.col("b")
+    pairs = met.where(near if may is None else near & may).distinct()
     both = pairs.join(sets.select(F.col(key).alias("a"), F.col("sigs").alias("x")), "a").join(sets.select(F.col(key).alias("b"), F.col("sigs").alias("y")), "b")
     return both.where(likeness(F.col("x"), F.col("y")) >= least).select("a", "b")
 
