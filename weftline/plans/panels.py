@@ -8,6 +8,7 @@ from weftline.catalog import query
 from weftline.operators import draws, filters, metrics, network, panel, portfolio, risk, synth, windows
 from weftline.sources.readers import parquet
 from weftline.sources.shared import once
+from weftline.streaming import streams
 
 from . import spectra
 from .base import EDGES, FACTORS, NETWORK, RETURNS, STEP, WIDTH, hourly, r, weekly_returns, weekly_windows
@@ -276,6 +277,14 @@ def event_hours(spark, d):
     return hourly(spark, d).select(F.unix_seconds("ts").alias("h"), "node", r("value", 4).alias("value"))
 
 
+@query("""WITH e AS (SELECT date_trunc('hour', ts) AS h, event_type AS node, sum(value) AS value FROM events GROUP BY 1, 2)
+SELECT CAST(epoch(h) AS BIGINT) AS h, node, round(value, 4) AS value FROM e WHERE h + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events)""")
+def stream_event_panel(spark, d):
+    """Events as a stream, summed by hour under a watermark of two hours and written as hours close; those that the watermark has not passed are still open."""
+    e = streams.event_panel(streams.read_events(spark, f"{d}/events.parquet*").select("ts", "event_type", "value"))
+    return streams.replay(e, "event-panel").select(F.unix_seconds("ts").alias("h"), "node", r("value", 4).alias("value"))
+
+
 @query("""WITH e AS (SELECT user_id, event_id, value FROM events WHERE event_type = 'purchase'),
 p AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos, count(*) OVER (PARTITION BY user_id) AS n FROM e)
 SELECT a.user_id, CAST((a.pos - 10) / 5 AS INTEGER) AS win, CAST(a.pos AS INTEGER) AS "end", round(avg(b.value), 6) AS mean FROM p a JOIN p b ON a.user_id = b.user_id AND b.pos >= a.pos - 10 AND b.pos < a.pos WHERE a.pos >= 10 AND (a.pos - 10) % 5 = 0 GROUP BY 1, 2, 3""")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from weftline.operators.filters import DOWN, UP
+from weftline.sources.shared import folder
 
 
 def read_events(spark: SparkSession, folder: str, per_trigger: int = 1) -> DataFrame:
@@ -47,7 +49,10 @@ def filtered_stream(series: DataFrame, key: str, order: str, value: str, up: flo
 
 
 def hop_stream(series: DataFrame, key: str, order: str, value: str, width: int, step: int) -> DataFrame:
-    """Row-count hop windows of each key as they fill: ``key, win, end, mean``. State is the last ``width`` values and the row count."""
+    """Row-count hop windows of each key as they fill: ``key, win, end, mean``. State is the last ``width`` values and the row count.
+
+    A key's rows of one batch are sorted in memory; ``read_events`` bounds a batch by files a trigger.
+    """
     kinds = dict(series.dtypes)
 
     def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -65,8 +70,16 @@ def hop_stream(series: DataFrame, key: str, order: str, value: str, width: int,
     return series.groupBy(key).applyInPandasWithState(run, f"{key} {kinds[key]}, win int, end int, mean double", "n int, tail array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
+def replay(df: DataFrame, name: str) -> DataFrame:
+    """Runs an append-mode stream over all there is into Parquet in the shared folder, its progress kept beside it, and reads the rows back."""
+    spark, base = df.sparkSession, f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    q = df.writeStream.outputMode("append").format("parquet").option("path", f"{base}/rows").option("checkpointLocation", f"{base}/progress").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{base}/rows")
+
+
 def drain(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what there is into a memory table; for tests and replays of data at rest."""
+    """Runs a stream over what there is into a memory table, which the driver holds: for tests only (``replay`` is for tables)."""
     spark = df.sparkSession
     q = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
     q.awaitTermination()
