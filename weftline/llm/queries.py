@@ -1,6 +1,6 @@
 """Registered queries of the training-data operators and the SQL of those that SQL can express."""
 
-from . import langid, packing, pieces, pii, quality, sharding, simhash, spotsigs, toxicity, urlfilter
+from . import importance, langid, packing, pieces, pii, quality, sharding, simhash, spotsigs, toxicity, urlfilter
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_quality": quality.op9_quality,
     "op10_spotsigs": spotsigs.op10_spotsigs,
+    "op13_importance": importance.op13_importance,
 }
 
-ORACLES = {"op4_urlfilter": urlfilter.OP4_SQL}
+ORACLES = {"op4_urlfilter": urlfilter.OP4_SQL, "op13_importance": importance.OP13_SQL}
