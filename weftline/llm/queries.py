@@ -1,6 +1,6 @@
 """Registered queries of the training-data operators and the SQL of those that SQL can express."""
 
-from . import importance, langid, packing, pieces, pii, quality, runs, sharding, simhash, spotsigs, toxicity, urlfilter
+from . import importance, langid, packing, pieces, pii, quality, runs, sharding, simhash, spotsigs, substrings, toxicity, urlfilter
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -13,8 +13,9 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_quality": quality.op9_quality,
     "op10_spotsigs": spotsigs.op10_spotsigs,
+    "op11_substrings": substrings.op11_substrings,
     "op12_runs": runs.op12_runs,
     "op13_importance": importance.op13_importance,
 }
 
-ORACLES = {"op4_urlfilter": urlfilter.OP4_SQL, "op12_runs": runs.OP12_SQL, "op13_importance": importance.OP13_SQL}
+ORACLES = {"op4_urlfilter": urlfilter.OP4_SQL, "op11_substrings": substrings.OP11_SQL, "op12_runs": runs.OP12_SQL, "op13_importance": importance.OP13_SQL}
