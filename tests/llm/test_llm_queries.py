@@ -9,15 +9,18 @@ from weftline.llm import queries
 def test_all_are_registered():
     names = set(__spark_entry__.queries())
     assert set(queries.QUERIES) | {"pipeline"} <= names
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
 
 
-def test_url_query_equals_sql(spark, data):
-    got = queries.QUERIES["op4_urlfilter"](spark, data).toPandas()
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_equals_sql(spark, data, name):
+    got = queries.QUERIES[name](spark, data).toPandas()
     c = duckdb.connect()
-    c.execute(f"CREATE VIEW pages AS SELECT * FROM '{data}/pages.parquet'")
-    want = c.sql(queries.ORACLES["op4_urlfilter"]).df()
-    rows = lambda d: sorted(tuple(map(str, t)) for t in d.astype(object).where(d.notna(), None)[sorted(d.columns)].itertuples(index=False))
+    for t in ("pages", "documents", "benchmark"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
+    want = c.sql(queries.ORACLES[name]).df()
+    cell = lambda v: str(int(v)) if isinstance(v, float) else str(v)
+    rows = lambda d: sorted(tuple(map(cell, t)) for t in d.astype(object).where(d.notna(), None)[sorted(d.columns)].itertuples(index=False))
     assert rows(got) == rows(want)
 
 

@@ -120,9 +120,6 @@ class Reference:
             step >>= 1
         return got
 
-    def equal(self, p: int, q: int, n: int) -> bool:
-        return bool(np.array_equal(self.text[p : p + n], self.held[q : q + n]))
-
     def factors(self) -> list[tuple[int, int]]:
         """Greedy parse: ends of the longest agreements, one after the other; words that begin no known group are left out."""
         known = np.flatnonzero(self.high > self.low)
@@ -141,21 +138,20 @@ class Reference:
         Such a window is cut by the factors so that one of at least half its words covers its beginning or
         its end; the other end of the window then lies behind one of that factor's two boundaries.
         """
-        out, seen = set(), set()
+        found, seen = [np.zeros((0, 3), np.int64)], set()
         for start, end in self.factors():
             if 2 * (end - start) < WINDOW:
                 continue
-            for p in (start - GROUP, start, end - GROUP, end):
+            for p in {start - GROUP, start, end - GROUP, end} - seen:
                 q = self.places(p)
-                if p in seen or not len(q):
-                    continue
-                seen.add(p)
                 before, after = self.agree(p, q, True), self.agree(p, q)
-                for k in np.flatnonzero(before + after >= WINDOW).tolist():
-                    a, n = p - int(before[k]), int(before[k] + after[k])
-                    if (a, a + n) not in out and self.equal(a, int(q[k]) - int(before[k]), n):
-                        out.add((a, a + n))
-        return sorted(out)
+                wide = before + after >= WINDOW
+                found.append(np.stack([p - before, p + after, q - before], axis=1)[wide])
+            seen |= {start - GROUP, start, end - GROUP, end}
+        every = np.concatenate(found)
+        every = every[np.lexsort((-every[:, 1], every[:, 0]))]
+        outer = np.diff(np.maximum.accumulate(every[:, 1]), prepend=0) > 0  # in no other
+        return [(a, b) for a, b, q in every[outer].tolist() if np.array_equal(self.text[a:b], self.held[q : q + b - a])]
 
 
 def joined(blocks: list[tuple[int, int, list[bytes]]]) -> list[list[bytes]]:
