@@ -790,3 +790,32 @@ def test_no_machine_local_folder_on_a_cluster():
     context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_folder(SimpleNamespace(sparkContext=context, conf=unset))
+
+
+def test_language_stage_does_not_depend_on_length(spark):
+    """Clean texts of 1 kB to 5 MB in four languages stay; foreign and random ones of the same lengths go."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng = random.Random(12)
+    words = lambda letters, k: " ".join("".join(rng.choices(letters, k=rng.randint(2, 9))) for _ in range(k))
+    texts = defaultdict(list)
+    for r in d.where("lang is not null and n_chars > 200").select("lang", "text").orderBy("doc_id").collect():
+        texts[r["lang"]].append(r["text"])
+    rows, sizes = [], (1_000, 30_000, 1_000_000, 5_000_000)
+    for size in sizes:
+        for lang, own in sorted(texts.items()):
+            some = rng.sample(own, len(own))
+            rows.append((True, size, (" ".join(some) + " ") * (1 + size // max(1, sum(map(len, some))))))
+        rows.append((False, size, words("абвгдежзийклмнопрстуфхцчшщыьэюя", 1 + size // 12)))
+        rows.append((False, size, words("abcdefghijklmnopqrstuvwxyz", 1 + size // 6)))
+        rows.append((False, size, "".join(chr(rng.randint(0x4E00, 0x9FA0)) for _ in range(size // 3))))
+        rows.append((False, size, "".join(rng.choices("ABCDEFGHabcdefgh0123456789+/", k=size))))
+    extra = spark.createDataFrame([(10**9 + i, t[:size], None, "x", size) for i, (_, size, t) in enumerate(rows)], SCHEMA).select([F.col(c).cast(t) for c, t in d.dtypes])
+    kept = {r["doc_id"] - 10**9 for r in langid.keep_known_languages(spark, d.unionByName(extra), "").select("doc_id").where("doc_id >= 1000000000").collect()}
+    assert kept == {i for i, (clean, _, _) in enumerate(rows) if clean}
+
+
+def test_language_of_a_text_in_pieces():
+    """No n-gram is lost where pieces meet, and a piece is the whole text below PIECE bytes."""
+    text = "abcdefghij" * 10_000
+    assert set(np.concatenate(list(langid.pieces(text))).tolist()) == set(langid.grams(text).tolist())
+    assert [p.tolist() for p in langid.pieces("short text")] == [langid.grams("short text").tolist()]

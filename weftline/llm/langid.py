@@ -8,14 +8,14 @@ batches as matrix products.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bounded_sample, slices, table
+from .common import bounded_sample, cut, slices, table
 
 ORDERS = (2, 3, 4)
 WIDTH = 1 << 15
@@ -24,9 +24,17 @@ FOLD = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 UNKNOWN = "und"
 
 
-def grams(text: str) -> np.ndarray:
-    """Hashes (below WIDTH) of the byte n-grams of the lower-cased text."""
-    b = np.frombuffer(b" " + text.lower().encode("utf-8", "replace").translate(FOLD) + b" ", dtype=np.uint8).astype(np.uint32)
+#: Longer texts are read in equal pieces of at most so many bytes, since the presence of n-grams says less the more of them a text has.
+PIECE = 1 << 14
+
+
+def folded(text: str) -> np.ndarray:
+    """The bytes of the lower-cased text between two spaces."""
+    return np.frombuffer(b" " + text.lower().encode("utf-8", "replace").translate(FOLD) + b" ", dtype=np.uint8).astype(np.uint32)
+
+
+def hashed(b: np.ndarray) -> np.ndarray:
+    """Hashes (below WIDTH) of the n-grams of bytes, repeats included."""
     out, code = [], b
     for n in range(2, max(ORDERS) + 1):
         code = (code[:-1] << np.uint32(8)) | b[n - 1 :] if len(code) > 1 else code[:0]
@@ -35,13 +43,30 @@ def grams(text: str) -> np.ndarray:
     return np.concatenate(out)
 
 
-def bits_of(text: str) -> np.ndarray:
-    """The presence of all n-grams as WIDTH bits (4 kB, however long the text)."""
+def grams(text: str) -> np.ndarray:
+    """Hashes of the byte n-grams of the lower-cased text."""
+    return hashed(folded(text))
+
+
+def pieces(text: str) -> Iterator[np.ndarray]:
+    """The hashes of the whole text, piece by piece; no n-gram is lost where two pieces meet."""
+    b = folded(text)
+    ends = np.linspace(0, len(b), -(-len(b) // PIECE) + 1).astype(int)
+    for lo, hi in zip(ends[:-1], ends[1:], strict=True):
+        yield hashed(b[max(0, lo - max(ORDERS) + 1) : hi])
+
+
+def packed(found: np.ndarray) -> np.ndarray:
     p = np.zeros(WIDTH, dtype=bool)
-    p[grams(text)] = True
+    p[found] = True
     return np.packbits(p)
 
 
+def bits_of(text: str) -> np.ndarray:
+    """The presence of all n-grams as WIDTH bits (4 kB, however long the text)."""
+    return packed(grams(text))
+
+
 def pack(texts: list[str]) -> np.ndarray:
     return np.array([bits_of(t) for t in texts], dtype=np.uint8).reshape(-1, WIDTH // 8)
 
@@ -60,13 +85,13 @@ class KernelModel:
     common: np.ndarray  # float32, WIDTH by labels: 1 for n-grams in two or more landmarks of the label (in one, if it has one)
 
     def decide(self, bits: np.ndarray, batch: int = 64) -> tuple[np.ndarray, np.ndarray]:
-        """Decision values of packed texts, and the shares of each one's n-grams that are common in each label's landmarks."""
-        out, shares = [np.zeros((0, len(self.labels)))], [np.zeros((0, len(self.labels)))]
+        """Decision values of packed texts, and for each the label of the greatest (the first of equal ones)."""
+        out = [np.zeros((0, len(self.labels)))]
         for i in range(0, len(bits), batch):
             p, norm = presence(bits[i : i + batch])
             out.append(((p @ self.landmarks) / norm[:, None]) @ self.weights)
-            shares.append((p @ self.common) / norm[:, None] ** 2)
-        return np.concatenate(out), np.concatenate(shares)
+        values = np.concatenate(out)
+        return values, values.argmax(axis=1) if self.labels else np.zeros(len(values), int)
 
 
 def fit(bits: np.ndarray, labels: list[str], n_landmarks: int = 96, ridge: float = 1e-2) -> KernelModel:
@@ -98,22 +123,31 @@ def fit(bits: np.ndarray, labels: list[str], n_landmarks: int = 96, ridge: float
 MOST_LANGUAGES = 128
 
 
-def labelled(docs: DataFrame, per_language: int, key: str = "doc_id", seed: int = 3) -> list[tuple[str, int, bytes]]:
-    """Lang, hash and n-gram bits of at most ``per_language`` documents of each of the MOST_LANGUAGES most frequent non-null langs, in order.
+def sample_of(docs: DataFrame, per_language: int, key: str = "doc_id", seed: int = 3) -> DataFrame:
+    """``lang, h, text`` of at most ``per_language`` documents of each of the MOST_LANGUAGES most frequent non-null langs; texts without a letter are left out."""
+    usable = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text", F.xxhash64(F.lit(seed), F.col(key).cast("string"), "text").alias("h"))
+    return bounded_sample(usable, "lang", F.col("h"), per_language, MOST_LANGUAGES).select("lang", "h", "text")
+
+
+def bits_of_sample(sample: DataFrame) -> list[tuple[str, int, bytes]]:
+    """Lang, hash and n-gram bits of a bounded sample, in order.
 
-    Texts without a letter are left out. The bits (4 kB a text, made in tasks) are the only thing that
-    reaches the driver, so neither long texts nor many lang values outgrow it.
+    The bits (4 kB a text, made in tasks) are the only thing that reaches the driver, so neither long
+    texts nor many lang values outgrow it.
     """
-    usable = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text", F.xxhash64(F.lit(seed), F.col(key).cast("string"), "text").alias("_h"))
 
     def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([bits_of(t.as_py()).tobytes() for t in b.column(2)], pa.binary())], names=["lang", "h", "bits"])
 
-    sample = bounded_sample(usable, "lang", F.col("_h"), per_language, MOST_LANGUAGES).select("lang", "_h", "text")
     return sorted((r["lang"], r["h"], bytes(r["bits"])) for r in sample.mapInArrow(shorten, "lang string, h long, bits binary").collect())
 
 
+def labelled(docs: DataFrame, per_language: int, key: str = "doc_id", seed: int = 3) -> list[tuple[str, int, bytes]]:
+    """The bits of ``sample_of``."""
+    return bits_of_sample(sample_of(docs, per_language, key, seed))
+
+
 def together(rows: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(rows), dtype=np.uint8).reshape(-1, WIDTH // 8)
 
@@ -130,6 +164,47 @@ FLOOR = 0.6
 LEAST_HELD = 8
 
 
+class Judge:
+    """A model as it travels to tasks, its landmarks as bits."""
+
+    def __init__(self, model: KernelModel) -> None:
+        self.labels, self.weights = model.labels, model.weights
+        self.bits, self.norms = np.packbits(model.landmarks > 0, axis=0), model.landmarks.max(axis=0, initial=0)
+        self.common = np.packbits(model.common > 0, axis=0)
+        self.opened: tuple[KernelModel, dict[str, np.ndarray]] | None = None
+
+    def open(self) -> tuple[KernelModel, dict[str, np.ndarray]]:
+        if self.opened is None:
+            marks, common = (np.unpackbits(x, axis=0, count=WIDTH) for x in (self.bits, self.common))
+            self.opened = KernelModel(self.labels, marks.astype(np.float32) * self.norms[None, :].astype(np.float32), self.weights, common), {c: common[:, k].astype(bool) for k, c in enumerate(self.labels)}
+        return self.opened
+
+    def __call__(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """Labels and scores; a text of several pieces has the mean of their decision values."""
+        pred, value = [UNKNOWN] * len(texts), np.zeros(len(texts))
+        known = [i for i, t in enumerate(texts) if self.labels and t is not None and any(c.isalpha() for c in t)]
+        for j in range(0, len(known), 64):
+            part = known[j : j + 64]
+            cut = [[packed(g) for g in pieces(texts[i])] for i in part]
+            f = self.open()[0].decide(np.array([b for c in cut for b in c], dtype=np.uint8))[0]
+            starts = np.cumsum([0, *map(len, cut)])[:-1]
+            f = np.add.reduceat(f, starts, axis=0) / np.array([[len(c)] for c in cut])
+            value[part] = np.clip((f.max(axis=1) + 1) / 2, 0, 1)
+            for i, k in zip(part, f.argmax(axis=1), strict=True):
+                pred[i] = self.labels[k]
+        return pred, value
+
+    def share(self, text: str, label: str) -> float:
+        """What part of all n-grams of the whole text, each as often as it occurs, is common in the label's landmarks.
+
+        Unlike the part of its different n-grams, this does not fall as a text grows.
+        """
+        common, hits, n = self.open()[1][label], 0, 0
+        for g in pieces(text):
+            hits, n = hits + int(common[g].sum()), n + len(g)
+        return hits / max(n, 1)
+
+
 def learn_with_floors(docs: DataFrame, per_language: int = 250, key: str = "doc_id", seed: int = 3) -> tuple[KernelModel, np.ndarray]:
     """A model, and for each of its labels the least share of common n-grams with which it claims a text.
 
@@ -137,55 +212,39 @@ def learn_with_floors(docs: DataFrame, per_language: int = 250, key: str = "doc_
     FLOOR times the share that all but 2 % of a language's held-out texts reach, so that some wrong
     labels do no harm. With too few held-out texts in all there is no floor (0).
     """
-    by: dict[str, list[bytes]] = {}
-    for lang, _, bits in labelled(docs, per_language * 5 // 4, key, seed):
-        by.setdefault(lang, []).append(bits)
-    seen = {c: t[: len(t) - len(t) // 5] for c, t in by.items()}
+    by: dict[str, list[tuple[int, bytes]]] = {}
+    chosen = cut(sample_of(docs, per_language * 5 // 4, key, seed))
+    for lang, h, bits in bits_of_sample(chosen):
+        by.setdefault(lang, []).append((h, bits))
+    seen = {c: [b for _, b in t[: len(t) - len(t) // 5]] for c, t in by.items()}
     model = fit(together([t for c in seen for t in seen[c]]), [c for c in seen for _ in seen[c]])
+    judge = Judge(model)
+
+    def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([judge.share(t, c) for c, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)], pa.float64())], names=["lang", "h", "share"])
+
+    measured = {(r["lang"], r["h"]): r["share"] for r in chosen.mapInArrow(shares, "lang string, h long, share double").collect()}
     fitted = {t for c in seen for t in seen[c]}
-    held = {c: model.decide(together([t for t in by[c][len(seen[c]) :] if t not in fitted]))[1][:, k] for k, c in enumerate(model.labels)}
+    held = {c: [measured[c, h] for h, b in by[c][len(seen[c]) :] if b not in fitted] for c in model.labels}
     least = lambda x: FLOOR * float(np.quantile(x, 0.02)) if len(x) >= LEAST_HELD else None
-    every = least(np.concatenate([*held.values(), np.zeros(0)])) or 0.0
+    every = least([x for c in model.labels for x in held[c]]) or 0.0
     return model, np.array([every if (f := least(held[c])) is None else f for c in model.labels])
 
 
-def judge(model: KernelModel) -> Callable[[list[str | None]], tuple[list[str], np.ndarray, np.ndarray]]:
-    """A function for tasks that gives the labels, scores and winners' shares of common n-grams of a list of texts. Landmarks travel as bits."""
-    labels, weights = model.labels, model.weights
-    bits, norms = np.packbits(model.landmarks > 0, axis=0), model.landmarks.max(axis=0, initial=0)
-    common = np.packbits(model.common > 0, axis=0)
-
-    def run(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        m = run.__dict__.get("model")
-        if m is None:
-            m = run.__dict__["model"] = KernelModel(labels, np.unpackbits(bits, axis=0, count=WIDTH).astype(np.float32) * norms[None, :].astype(np.float32), weights, np.unpackbits(common, axis=0, count=WIDTH).astype(np.float32))
-        known = [i for i, t in enumerate(texts) if labels and t is not None and any(c.isalpha() for c in t)]
-        pred, value, share = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
-        for j in range(0, len(known), 64):
-            part = known[j : j + 64]
-            f, shares = m.decide(pack([texts[i] for i in part]))
-            best = f.argmax(axis=1)
-            share[part] = shares[np.arange(len(part)), best]
-            value[part] = np.clip((f[np.arange(len(part)), best] + 1) / 2, 0, 1)
-            for i, k in zip(part, best, strict=True):
-                pred[i] = labels[k]
-        return pred, value, share
-
-    return run
-
-
 def predict(docs: DataFrame, model: KernelModel, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, lang_pred string, score double`` for each row, from the whole text alone.
 
     A text that is null or has no letter is ``und`` with score 0, and so is every text if the model
     knows no language. Ties go to the first language in alphabetical order. Scores are the winner's
-    decision value moved from [-1, 1] to [0, 1].
+    decision value moved from [-1, 1] to [0, 1]; texts over PIECE bytes have the mean of their pieces'.
+    Repeated rows each get the same answer; other columns are not read; an empty table stays empty.
     """
-    run, kind = judge(model), dict(docs.dtypes)[key]
+    run, kind = Judge(model), dict(docs.dtypes)[key]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            pred, value, _ = run(b.column(1).to_pylist())
+            pred, value = run(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(value)], names=["_key", "lang_pred", "score"])
 
     out = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text")).mapInArrow(score, f"_key {kind}, lang_pred string, score double")
@@ -212,16 +271,17 @@ def keep_known_languages(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A language claims a text if its score is LEAST_SCORE or more and the text's n-grams are common in
     its landmarks as in its held-out texts (``learn_with_floors``). Scores cannot tell the latter: a
-    text that shares no n-gram with any landmark has decision values of 0, a score of 0.5. Text, lang,
+    text that shares no n-gram with any landmark has decision values of 0, a score of 0.5. Neither depends
+    on a text's length. Text, lang,
     source and the other columns stay as they are. The model is learned from the documents' own lang
     column. Nulls, repeated rows and clashing column names change nothing; an empty table stays empty.
     """
     model, floors = learn_with_floors(docs)
-    run, at, floor = judge(model), docs.columns.index("text"), dict(zip(model.labels, floors.tolist(), strict=True)) | {UNKNOWN: 2.0}
+    run, at, floor = Judge(model), docs.columns.index("text"), dict(zip(model.labels, floors.tolist(), strict=True))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            pred, value, share = run(b.column(at).to_pylist())
-            yield b.filter(pa.array((value >= LEAST_SCORE) & (share >= np.array([floor[p] for p in pred])), pa.bool_()))
+            texts = b.column(at).to_pylist()
+            yield b.filter(pa.array([p != UNKNOWN and v >= LEAST_SCORE and run.share(t, p) >= floor[p] for t, p, v in zip(texts, *run(texts), strict=True)], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
