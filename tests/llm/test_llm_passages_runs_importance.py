@@ -152,8 +152,8 @@ def test_a_repetitive_text_takes_no_square_time():
 def test_blocks_that_follow_one_another_are_joined():
     w = [b"%d" % i for i in range(900)]
     cut = lambda b: w[max(0, 128 * b - 40) : 128 * (b + 1) + 50]
-    assert substrings.joined([(7, 2, cut(2)), (7, 1, cut(1)), (7, 1, cut(1)), (7, 5, cut(5)), (8, 6, cut(6))]) == [w[88:434], cut(5), cut(6)]
-    assert substrings.joined([(7, 0, cut(0)), (7, 1, cut(1)), (7, 6, cut(6))]) == [w[:306], cut(6)]
+    assert substrings.joined([(7, 2, cut(2)), (7, 1, cut(1)), (7, 1, cut(1)), (7, 5, cut(5)), (8, 6, cut(6))]) == [(7, 88, w[88:434]), (7, 600, cut(5)), (8, 728, cut(6))]
+    assert substrings.joined([(7, 0, cut(0)), (7, 1, cut(1)), (7, 6, cut(6))]) == [(7, 0, w[:306]), (7, 728, cut(6))]
 
 
 # periodic runs

@@ -5,9 +5,9 @@ anchor: the least hash of its word groups. An anchor that several documents have
 one; that document's block of words around it is a reference block. Documents are factored greedily
 against all blocks that their anchors point to. Factors of at least half a window are extended to both
 sides at both ends, with every place of the blocks that continues there, which finds each window that a
-block holds. Windows with a known anchor that cross the factors so found, being no part of the first
-document's block, are settled by their own hash. So a passage that many documents have is compared
-with one block by each, never in pairs.
+block holds. A window with a known anchor that no block holds leaves its anchor's block at some word; those
+that leave it alike in several documents are settled by their own hash. So a passage that many documents
+have is compared with one block by each, never in pairs.
 """
 
 from __future__ import annotations
@@ -154,16 +154,15 @@ class Reference:
         return [(a, b) for a, b, q in every[outer].tolist() if np.array_equal(self.text[a:b], self.held[q : q + b - a])]
 
 
-def joined(blocks: list[tuple[int, int, list[bytes]]]) -> list[list[bytes]]:
-    """Blocks (text, number, words) of the same text that follow one another as one; they overlap by their margins."""
+def joined(blocks: list[tuple[int, int, list[bytes]]]) -> list[tuple[int, int, list[bytes]]]:
+    """Blocks (text, number, words) as stretches (text, first word, words); blocks that follow one another, which overlap by their margins, are one."""
     out, last = [], None
     for t, b, ws in sorted(blocks, key=lambda x: x[:2]):
+        begin = max(0, BLOCK * b - (WINDOW - GROUP))
         if last == (t, b - 1):
-            begin, upto = max(0, BLOCK * b - (WINDOW - GROUP)), max(0, BLOCK * first - (WINDOW - GROUP)) + len(out[-1])
-            out[-1].extend(ws[upto - begin :])
+            out[-1][2].extend(ws[out[-1][1] + len(out[-1][2]) - begin :])
         elif last != (t, b):
-            out.append(list(ws))
-            first = b
+            out.append((t, begin, list(ws)))
         last = (t, b)
     return out
 
@@ -233,34 +232,73 @@ def cut_blocks(texts: DataFrame) -> DataFrame:
     return out.select(F.struct("id", "t", "b").alias("block"), "words")
 
 
+def departures(g: np.ndarray, open_windows: np.ndarray, places: dict[int, tuple[np.ndarray, int]], text: np.ndarray) -> list[dict]:
+    """Stretches ``a, b`` of windows, with ``k``: a hash of the anchor and of the group of words where the window leaves the anchor's block.
+
+    ``places`` has for an anchor the words of its block and where in them it stands. A window that does
+    not leave it is left out: it is one of the first document's own.
+    """
+    if not len(open_windows):
+        return []
+    reach = WINDOW - GROUP
+    at = open_windows + np.lib.stride_tricks.sliding_window_view(g, reach + 1)[open_windows].argmin(axis=1)
+    left, right = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
+    for a in np.unique(at).tolist():
+        held, q = places[int(g[a])]
+        x, y = text[a + GROUP : a + WINDOW], held[q + GROUP : q + WINDOW]
+        n = min(len(x), len(y))
+        off = np.flatnonzero(x[:n] != y[:n])
+        right[at == a] = a + GROUP + (off[0] if len(off) else n)
+        x, y = text[max(0, a - reach) : a][::-1], held[max(0, q - reach) : q][::-1]
+        n = min(len(x), len(y))
+        off = np.flatnonzero(x[:n] != y[:n])
+        left[at == a] = a - 1 - (off[0] if len(off) else n)
+    beyond = right < open_windows + WINDOW
+    leaves = beyond | (left >= open_windows)
+    w = open_windows[leaves]
+    key = (g[at[leaves]] * np.uint64(MIX)) ^ g[np.where(beyond, right - GROUP + 1, left)[leaves]]
+    if not len(w):
+        return []
+    ends = np.flatnonzero((np.diff(w) > 1) | (key[1:] != key[:-1]))
+    return [{"k": int(k), "a": int(a), "b": int(b)} for k, a, b in zip(key.view(np.int64)[np.concatenate([[0], ends + 1])], w[np.concatenate([[0], ends + 1])], w[np.concatenate([ends, [len(w) - 1]])], strict=True)]
+
+
 def parse(texts: DataFrame) -> DataFrame:
     """From ``id, t, text, hits, blocks`` the repeated windows that blocks show, and those that only their hash can settle.
 
     ``hits`` are the text's anchors that several documents have: ``h``, ``side`` (0: this text is the
-    first with it, at ``p``; 1: another row of its key is; 2: a lesser key is) and ``p``. Returns
-    ``id, t, shown array<struct<a, b>>`` (first and last window of each stretch), ``open array<struct<i, w>>``
-    (window and 128-bit hash).
+    first with it; 1: another row of its key is; 2: a lesser key is), and the first one's text ``t`` and
+    place ``p``. Returns ``id, t, shown array<struct<a, b>>`` (first and last window of each stretch),
+    ``open array<struct<k, a, b>>`` (as ``departures``).
     """
     kind = dict(texts.dtypes)["id"]
-    schema = f"id {kind}, t long, shown array<struct<a: int, b: int>>, open array<struct<i: int, w: binary>>"
+    schema = f"id {kind}, t long, shown array<struct<a: int, b: int>>, open array<struct<k: long, a: int, b: int>>"
     shown_type = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-    open_type = pa.list_(pa.struct([("i", pa.int32()), ("w", pa.binary())]))
+    open_type = pa.list_(pa.struct([("k", pa.int64()), ("a", pa.int32()), ("b", pa.int32())]))
 
     def one(text: str, hits: list[dict], blocks: list[dict]) -> tuple[list, list]:
         ws = words(text)
-        h = hashes(ws)
-        a = anchors(groups(h))
-        ref = joined([(x["t"], x["b"], x["words"].split()) for x in blocks])
-        repeated = windows_in(Reference(short(ws), ref).passages(), len(a)) if ref else np.zeros(len(a), bool)
+        g = groups(hashes(ws))
+        a = anchors(g)
+        parts = joined([(x["t"], x["b"], x["words"].split()) for x in blocks])
+        ref = Reference(short(ws), [x[2] for x in parts])
+        repeated = windows_in(ref.passages(), len(a)) if parts else np.zeros(len(a), bool)
+        starts = np.cumsum([0, *(len(x[2]) + 1 for x in parts)]).tolist()
+        places = {}
+        for x in hits:
+            if x["side"] == 0:
+                places[x["h"] & (1 << 64) - 1] = ref.text, x["p"]
+            else:
+                i = next(i for i, (t, begin, b) in enumerate(parts) if t == x["t"] and begin <= x["p"] < begin + len(b))
+                places[x["h"] & (1 << 64) - 1] = ref.held[starts[i] : starts[i + 1] - 1], x["p"] - parts[i][1]
         key = np.array([x["h"] for x in hits], dtype=np.int64).view(np.uint64)
         order = np.argsort(key)
         key, side, place = key[order], np.array([x["side"] for x in hits])[order], np.array([x["p"] for x in hits])[order]
         at = np.minimum(np.searchsorted(key, a), len(key) - 1)
         i = np.arange(len(a))
-        here = (place[at] >= i) & (place[at] <= i + WINDOW - GROUP)
-        unsettled = (key[at] == a) & np.where(side[at] == 0, ~here, (side[at] == 1) | ~repeated)
-        raw = memoryview(h.tobytes())
-        return stretches(np.flatnonzero(repeated)), [{"i": k, "w": xxhash.xxh3_128_digest(raw[8 * k : 8 * (k + WINDOW)])} for k in np.flatnonzero(unsettled).tolist()]
+        here = (side[at] == 0) & (place[at] >= i) & (place[at] <= i + WINDOW - GROUP)
+        unsettled = np.flatnonzero((key[at] == a) & ~here & ~(repeated & (side[at] == 2)))
+        return stretches(np.flatnonzero(repeated)), departures(g, unsettled, places, ref.text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 64):
@@ -270,6 +308,25 @@ def parse(texts: DataFrame) -> DataFrame:
     return texts.select("id", "t", "text", "hits", "blocks").mapInArrow(run, schema)
 
 
+def window_hashes(texts: DataFrame) -> DataFrame:
+    """From ``id, t, text, open`` a row ``id, t, i, w`` for each open window: its number and 128-bit hash."""
+    kind = dict(texts.dtypes)["id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 128):
+            of, number, w = [], [], []
+            for i, (x, y) in enumerate(zip(b.column(2), b.column(3), strict=True)):
+                raw = memoryview(hashes(words(x.as_py())).tobytes())
+                for k in sorted({k for s in y.as_py() for k in range(s["a"], s["b"] + 1)}):
+                    of.append(i)
+                    number.append(k)
+                    w.append(xxhash.xxh3_128_digest(raw[8 * k : 8 * (k + WINDOW)]))
+            take = pa.array(of, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(number, pa.int32()), pa.array(w, pa.binary())], names=["id", "t", "i", "w"])
+
+    return texts.select("id", "t", "text", "open").mapInArrow(run, f"id {kind}, t long, i int, w binary")
+
+
 def strip(texts: DataFrame) -> DataFrame:
     """From ``id, t, text, shown`` (first and last windows of stretches, in any order) ``id, t, n_removed, kept``."""
     kind = dict(texts.dtypes)["id"]
@@ -292,14 +349,20 @@ def texts_of(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(f"`{key}`").alias("id"), F.xxhash64(whole_text(F.col(f"`{text}`"))).alias("t"), F.col(f"`{text}`").cast("string").alias("text"))
 
 
-def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """What each row is, and which windows are repeated.
+def several(rows: DataFrame, key: str) -> DataFrame:
+    """``key, least, n``: the values of ``key`` that rows of different ids have, their least id and number of rows."""
+    return rows.groupBy(key).agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most").drop("most")
+
+
+def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What each row is, which windows are repeated, and the texts that have any.
 
     First result, a row for each of ``docs``: ``id, n_words, sha`` (of the words joined by one space, 32
     bytes) and ``first (id, t)``: the least key, and hash of the text, of those with the same words; null
     for rows of less than WINDOW words or a null key. Second: ``id, t, shown``, of such first texts with
-    repeated windows the first and last of each stretch of them. Rows of a null key repeat nothing and are
-    repeated by none; rows of one key do not repeat each other.
+    repeated windows the first and last of each stretch of them. Third: ``id, t, text``, these texts and
+    some more; all texts are exchanged once, for it. Rows of a null key repeat nothing and are repeated by
+    none; rows of one key do not repeat each other.
     """
     kind = dict(docs.dtypes)[key]
     texts = texts_of(docs, key, text)
@@ -314,21 +377,23 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text")
     first = seeds.groupBy("h").agg(F.min(F.struct("id", "t", "p")).alias("f"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).where(F.col("f.id") < F.col("last"))
     side = F.when(F.col("f.id") < F.col("id"), 2).when(F.col("f.t") == F.col("t"), 0).otherwise(1)
     wanted = cut(join_hot(seeds.drop("p"), cut(first.select("h", "f", "n")), "h", seeds.count()).withColumn("side", side).where("side > 0 or again").select("id", "t", "h", "f", "side"))
-    hits = wanted.groupBy("id", "t").agg(F.collect_list(F.struct("h", "side", F.col("f.p").alias("p"))).alias("hits"))
+    hits = wanted.groupBy("id", "t").agg(F.collect_list(F.struct("h", "side", F.col("f.t").alias("t"), F.col("f.p").alias("p"))).alias("hits"))
     # blocks of the first documents
     block = F.struct(F.col("f.id").alias("id"), F.col("f.t").alias("t"), F.floor(F.col("f.p") / BLOCK).cast("int").alias("b")).alias("block")
-    asked = cut(wanted.where("side = 2").select("id", "t", block).distinct())
+    asked = cut(wanted.where("side > 0").select("id", "t", block).distinct())
     uses = asked.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
     numbers = uses.select("block.*").groupBy("id", "t").agg(F.collect_list("b").alias("numbers"))
-    held = cut(cut_blocks(texts.join(numbers, ["id", "t"])).dropDuplicates(["block"]).join(uses, "block"))
+    needed = cut(texts.join(hits.join(numbers, ["id", "t"], "full"), ["id", "t"]).dropDuplicates(["id", "t"]))
+    held = cut(cut_blocks(needed.where("numbers is not null")).join(uses, "block"))
     blocks = join_hot(asked, held, "block", asked.count()).groupBy("id", "t").agg(F.collect_list(F.struct("block.t", "block.b", "words")).alias("blocks"))
-    parsed = cut(parse(texts.join(hits.join(blocks, ["id", "t"], "left"), ["id", "t"])))
-    # windows that no block could settle: the least key with the same words
-    opened = cut(parsed.select("id", "t", F.explode("open").alias("o")).select("id", "t", "o.i", "o.w"))
-    least = opened.groupBy("w").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most").drop("most")
-    settled = join_hot(opened, cut(least), "w", opened.count()).where("least < id").select("id", "t", F.array(F.struct(F.col("i").alias("a"), F.col("i").alias("b"))).alias("shown"))
+    parsed = cut(parse(needed.where("hits is not null").join(blocks, ["id", "t"], "left")))
+    # windows that no block holds: where several leave a block alike, the least key with the same words
+    left = parsed.select("id", "t", F.explode("open").alias("o")).select("id", "t", "o.k", F.struct("o.a", "o.b").alias("open"))
+    alike = join_hot(left, cut(several(left, "k")), "k", left.count()).groupBy("id", "t").agg(F.collect_set("open").alias("open"))
+    opened = cut(window_hashes(needed.select("id", "t", "text").join(alike, ["id", "t"])))
+    settled = join_hot(opened, cut(several(opened, "w")), "w", opened.count()).where("least < id").select("id", "t", F.array(F.struct(F.col("i").alias("a"), F.col("i").alias("b"))).alias("shown"))
     shown = parsed.select("id", "t", "shown").where(F.size("shown") > 0).unionByName(settled)
-    return known.select("id", "n_words", "sha", "first").unionByName(rest), shown.groupBy("id", "t").agg(F.array_distinct(F.flatten(F.collect_list("shown"))).alias("shown"))
+    return known.select("id", "n_words", "sha", "first").unionByName(rest), shown.groupBy("id", "t").agg(F.array_distinct(F.flatten(F.collect_list("shown"))).alias("shown")), needed.select("id", "t", "text")
 
 
 def remove_passages(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -340,8 +405,8 @@ def remove_passages(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     are repeated by none; rows of one key do not repeat each other. Repeated rows each stay a row. Texts of
     any length are treated whole; other columns are not read; an empty table stays empty.
     """
-    rows, shown = repeated_passages(docs, key, text)
-    changed = strip(texts_of(docs, key, text).join(shown, ["id", "t"])).dropDuplicates(["id", "t"])
+    rows, shown, texts = repeated_passages(docs, key, text)
+    changed = strip(texts.join(shown, ["id", "t"]))
     copy = F.col("first.id") < F.col("id")
     same, empty = F.lower(F.hex("sha")), F.sha2(F.lit("").cast("binary"), 256)
     plain = rows.where(F.coalesce(copy, F.lit(True))).select(
