@@ -1,6 +1,7 @@
 """Training-data operators against brute force, round trips and held-out accuracy; nulls, ties, repeats, empty tables, clashing names."""
 
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -819,3 +820,27 @@ def test_language_of_a_text_in_pieces():
     text = "abcdefghij" * 10_000
     assert set(np.concatenate(list(langid.pieces(text))).tolist()) == set(langid.grams(text).tolist())
     assert [p.tolist() for p in langid.pieces("short text")] == [langid.grams("short text").tolist()]
+
+
+def test_a_hot_source_takes_no_square_time():
+    """4,000 items of one source need 4,000 bins, and finding that is quick; so is a mix of two."""
+    rng = random.Random(2)
+    lengths = [rng.randint(1, 400) for _ in range(4_000)]
+    for sources in (["one"] * 4_000, [rng.choice("ab") for _ in range(4_000)]):
+        began = time.perf_counter()
+        bins, _ = packing.best_fit(lengths, sources, [None] * 4_000, packing.CAPACITY)
+        assert time.perf_counter() - began < 1.5
+        assert len(set(bins)) == max(Counter(sources).values())
+
+
+def test_packing_is_the_same_under_any_number_of_shuffle_partitions(spark):
+    items = packing.items_of(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    before, got = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in ("4", "200", "1000"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got.append(sorted(map(tuple, packing.pack(items, packing.CAPACITY).select("doc_id", "piece", "length", "bin", "offset").collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got[0] == got[1] == got[2]
+    assert sum(r[2] for r in got[0]) >= 0.96 * packing.CAPACITY * len({r[3] for r in got[0]})
