@@ -844,3 +844,13 @@ def test_packing_is_the_same_under_any_number_of_shuffle_partitions(spark):
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert got[0] == got[1] == got[2]
     assert sum(r[2] for r in got[0]) >= 0.96 * packing.CAPACITY * len({r[3] for r in got[0]})
+
+
+def test_next_of_string_keys(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice([None, "", "b", f"k{rng.randrange(60)}"]), f"text {i} " + "y" * rng.randrange(90)) for i in range(140)]
+    d = spark.createDataFrame(rows, "name string, text string").repartition(4)
+    t = {r["text"]: r["t"] for r in d.select("text", F.xxhash64("text").alias("t")).collect()}
+    order = [x[1] for x in sorted(rows, key=lambda x: (x[0] is not None, x[0] or "", t[x[1]]), reverse=True)]
+    got = spotsigs.with_next(d, ["text"], "name", range_bytes=300).collect()
+    assert {r["text"]: r["next_text"] for r in got} == {a: order[(i + 1) % len(order)] for i, a in enumerate(order)}

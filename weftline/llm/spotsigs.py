@@ -57,50 +57,47 @@ def likeness(a: Column, b: Column) -> Column:
     return let(F.size(F.array_intersect(a, b)), lambda n: n / (F.size(a) + F.size(b) - n))
 
 
-def below(cuts: Column, x: Column, same: bool, bits: int) -> Column:
-    """How many of the sorted ``cuts`` (under 2**bits) are below ``x``, or with ``same`` also equal to it: a binary search."""
-
-    def step(at: Column, jump: Column) -> Column:
-        c = F.get(cuts, at + jump - 1)
-        return F.when((c <= x) if same else (c < x), at + jump).otherwise(at)
-
+def below(cuts: Column, x: Column, bits: int) -> Column:
+    """How many of the sorted ``cuts`` (under 2**bits) are below ``x``: a binary search."""
+    step = lambda at, jump: F.when(F.get(cuts, at + jump - 1) < x, at + jump).otherwise(at)
     return F.aggregate(F.array(*[F.lit(1 << i) for i in range(bits - 1, -1, -1)]), F.lit(0), step)
 
 
-#: Bytes of the columns of a range.
-RANGE_BYTES = 8 << 20
+#: Bytes of the columns of a range, and the most ranges that there are; beyond these a range's sort spills.
+RANGE_BYTES, MOST_RANGES = 8 << 20, 10_000
 
 
 def with_next(docs: DataFrame, columns: list[str], key: str = "doc_id", tie: str = "text", range_bytes: int = RANGE_BYTES) -> DataFrame:
     """``docs`` and, as ``next_<column>``, the columns of the row with the next lower key; after the last comes the first.
 
-    Null keys come last, equal keys in order of a hash of column ``tie``. Rows are dealt to ranges of
-    about ``range_bytes`` (of ``tie``), cut at quantiles of the key; a key with more rows than a range,
-    or many null keys, are cut by the hash (rows equal in both share a range). The wide columns are
-    exchanged once; the greatest row of each range is also sent to the next range. Only the cuts and
-    one key for each range reach the driver. Columns may have any name, but for a ``next_<column>``,
-    which is replaced. An empty table stays empty.
+    Keys are of any type that has an order. Null keys come last (as the least number, if keys are whole
+    numbers), equal keys in order of a hash of column ``tie``. The keys and hashes alone are first dealt to
+    ranges of about ``range_bytes`` (of ``tie``), MOST_RANGES at most, so a key with more rows than a range,
+    or many null keys, are cut by the hash (rows equal in both share a range). One key and hash for each
+    range reach the driver, are broadcast, and deal the rows; so the wide columns are exchanged once. The
+    greatest row of each range is also sent to the next range. Columns may have any name, but for a
+    ``next_<column>``, which is replaced. An empty table stays empty.
     """
     spark = docs.sparkSession
-    key_of = F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(-(1 << 63)).cast("long"))
+    own = F.col(f"`{key}`")
+    if dict(docs.dtypes)[key] in ("tinyint", "smallint", "int", "bigint"):
+        own = F.coalesce(own.cast("long"), F.lit(-(1 << 63)).cast("long"))
     keep = [c for c in docs.columns if c.lower() not in {f"next_{x}".lower() for x in columns}]
-    rows = docs.select(key_of.alias("k"), F.xxhash64(f"`{tie}`").alias("t"), F.struct(*[f"`{c}`" for c in keep]).alias("row"))
+    at = F.struct(own.alias("k"), F.xxhash64(f"`{tie}`").alias("t")).alias("at")
+    rows = docs.select(at, F.struct(*[f"`{c}`" for c in keep]).alias("row"))
     size = F.sum(F.octet_length(F.col(f"`{tie}`").cast("string")).cast("long") + 64)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(docs.agg(size).first()[0] or 0) // range_bytes))
-    cuts = sorted(rows.agg(F.percentile_approx("k", [i / parts for i in range(1, parts)] or [0.5], 10 * parts).alias("c")).first()["c"] or [])
-    bits = len(cuts).bit_length()
-    one = F.broadcast(spark.createDataFrame([(cuts,)], "cuts array<long>"))  # one row, as long as there are ranges
-    unit = F.col("t") / float(1 << 64) + 0.5  # grows with t, from 0 to 1
-    low, high = below(F.col("cuts"), F.col("k"), False, bits), below(F.col("cuts"), F.col("k"), True, bits)
-    ranged = rows.join(one).withColumns({"low": low, "high": high}).select("k", "t", "row", F.least(F.floor(F.col("low") + unit * (F.col("high") - F.col("low") + 1)), F.col("high")).cast("int").alias("b"))
-    ends = sorted(ranged.groupBy("b").agg(F.max(F.struct("k", "t")).alias("e")).collect())
-    edge = spark.createDataFrame([(b, e["k"], e["t"], ends[(i + 1) % len(ends)][0]) for i, (b, e) in enumerate(ends)], "b int, ek long, et long, to int")
-    last = (F.col("k") == F.col("ek")) & (F.col("t") == F.col("et"))
-    own = F.struct(F.col("b").alias("at"), F.lit(False).alias("ghost"))
-    ghost = F.struct(F.col("to").alias("at"), F.lit(True).alias("ghost"))
-    sent = ranged.join(F.broadcast(edge), "b").withColumn("s", F.explode(F.when(last, F.array(own, ghost)).otherwise(F.array(own))))  # a row for each range
-    sent = sent.select("k", "t", "row", "s.at", "s.ghost").repartition(parts, "at")
-    order = Window.partitionBy("at").orderBy(F.col("ghost").desc(), "k", "t")
+    ranged = docs.select(at).repartitionByRange(min(parts, MOST_RANGES), "at")
+    ends = [r["end"] for r in ranged.groupBy(F.spark_partition_id().alias("p")).agg(F.max("at").alias("end")).orderBy("p").select("end").collect()]
+    kind = dict(ranged.dtypes)["at"]
+    cuts = F.broadcast(spark.createDataFrame([(ends[:-1],)], f"cuts array<{kind}>"))  # one row
+    sent_to = [(e, (i + 1) % len(ends)) for i, e in enumerate(ends)]
+    edge = F.broadcast(spark.createDataFrame(sent_to, f"end {kind}, to int"))  # a row for each range
+    dealt = rows.join(cuts).select("at", "row", below(F.col("cuts"), F.col("at"), len(ends).bit_length()).alias("range")).join(edge, F.col("at").eqNullSafe(F.col("end")), "left")
+    here, there = F.struct(F.col("range").alias("to"), F.lit(False).alias("ghost")), F.struct("to", F.lit(True).alias("ghost"))
+    sent = dealt.withColumn("s", F.explode(F.when(F.col("to").isNotNull(), F.array(here, there)).otherwise(F.array(here))))
+    sent = sent.select("at", "row", F.col("s.to").alias("range"), "s.ghost").repartition(max(1, len(ends)), "range")
+    order = Window.partitionBy("range").orderBy(F.col("ghost").desc(), "at")
     out = sent.select("row", "ghost", F.lag(F.struct(*[F.col("row")[c].alias(c) for c in columns])).over(order).alias("next")).where(~F.col("ghost"))
     return out.select("row.*", *[F.col("next")[c].alias(f"next_{c}") for c in columns])
 
