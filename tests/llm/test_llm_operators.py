@@ -854,3 +854,14 @@ def test_next_of_string_keys(spark):
     order = [x[1] for x in sorted(rows, key=lambda x: (x[0] is not None, x[0] or "", t[x[1]]), reverse=True)]
     got = spotsigs.with_next(d, ["text"], "name", range_bytes=300).collect()
     assert {r["text"]: r["next_text"] for r in got} == {a: order[(i + 1) % len(order)] for i, a in enumerate(order)}
+
+
+def test_a_cluster_needs_a_secret():
+    class Session:
+        def __init__(self, master, key):
+            self.sparkContext, self.conf = type("C", (), {"master": master}), type("R", (), {"get": staticmethod(lambda name, default: key or default)})
+
+    assert pii.key_of(Session("yarn", "secret")) == pii.key_of(Session("local[4]", "secret")) == "secret"
+    assert pii.key_of(Session("local[4]", None)) == pii.KEY
+    with pytest.raises(ValueError):
+        pii.key_of(Session("spark://host:7077", None))

@@ -285,6 +285,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: s
 
     ``n_bytes`` counts byte-fallback ids; ``same`` says that decoding gives the text back (a text with
     U+2581 in it comes back with spaces there). A null text has null ids, an empty one none.
+    Repeated rows stay rows, null keys too; other columns are not read; an empty table stays empty.
     """
     kind, spare = dict(docs.dtypes)[key], np.zeros(len(vocabulary.pieces), dtype=bool)
     spare[vocabulary.byte_ids] = True
@@ -308,7 +309,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: s
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", ids: str = "ids") -> DataFrame:
-    """``key, text`` for each row of ids; null ids give a null text."""
+    """``key, text`` for each row of ids; null ids give a null text. Repeated rows and null keys stay rows; other columns are not read; an empty table stays empty."""
     kind = dict(encoded.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

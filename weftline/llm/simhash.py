@@ -42,7 +42,10 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", *more: Column) -> DataFrame:
-    """``key, fp long`` (the 64 bits, signed) and the columns ``more`` for each row, over the whole text; null counts as empty."""
+    """``key, fp long`` (the 64 bits, signed) and the columns ``more`` for each row, over the whole text; null counts as empty.
+
+    Null keys and repeated rows stay rows; other columns are not read; an empty table stays empty.
+    """
     rows = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"), *more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
