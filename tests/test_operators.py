@@ -2,11 +2,12 @@ import datetime as dt
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions import kernels
-from weftline.operators import credit, draws, filters, inference, metrics, network, panel, portfolio, scoring, synth, text, windows
+from weftline.operators import blocks, credit, draws, filters, inference, metrics, network, panel, portfolio, scoring, synth, text, windows
 from weftline.sources import readers
 from weftline.streaming import streams
 
@@ -217,3 +218,46 @@ def test_stream_panel(spark, data):
     e = streams.event_panel(spark.readStream.schema(spark.read.parquet(f"{data}/events.parquet").schema).parquet(f"{data}/events.parquet*"))
     got = streams.drain(e, "panel_stream")
     assert set(got.columns) == {"ts", "node", "value"}
+
+
+def test_blocked_sums_equal_a_dense_matrix(spark):
+    """Any number of nodes and any size of block, nodes that do not vary included."""
+    rng = np.random.default_rng(8)
+    for n, block in ((1, 4), (2, 1), (7, 3), (20, 7), (20, 64)):
+        x = rng.normal(size=(2, 9, n))
+        if n > 2:
+            x[0, :, 1] = 3.0
+        m = spark.createDataFrame([(w, t, f"n{i:02d}", float(x[w, t, i])) for w in range(2) for t in range(9) for i in range(n)], "win int, pos int, node string, ret double")
+        got = {(g["win"], g["node"]): (g["degree"], g["square"], g["tri"]) for g in blocks.node_sums(m, block).collect()}
+        assert len(got) == 2 * n
+        for w in range(2):
+            with np.errstate(invalid="ignore"):
+                a = np.abs(np.nan_to_num(np.corrcoef(x[w], rowvar=False).reshape(n, n)))
+            np.fill_diagonal(a, 0.0)
+            cubed = np.diag(a @ a @ a)
+            for i in range(n):
+                assert np.allclose(got[w, f"n{i:02d}"], (a[i].sum(), (a[i] ** 2).sum(), cubed[i]), atol=1e-9)
+    f = blocks.factors(blocks.node_sums(m, 7)).orderBy("win").collect()
+    e = network.factors(network.correlations(m)).orderBy("win").collect()
+    assert all(abs(p[c] - q[c]) < 1e-9 for p, q in zip(f, e, strict=True) for c in q.asDict())
+
+
+def test_blocked_tasks_do_not_grow_with_nodes(spark):
+    """More nodes make more triples of blocks, none of them larger."""
+    for n in (30, 60):
+        m = spark.createDataFrame([(0, t, i, float((t * i) % 7)) for t in range(5) for i in range(n)], "win int, pos int, node int, ret double")
+        sizes = blocks.standardised(m, 10).select(F.size("nodes").alias("k")).collect()
+        assert len(sizes) == n // 10 and max(s["k"] for s in sizes) == 10
+
+
+def test_sliding_moments_equal_those_of_members(spark):
+    """Running sums give each window's moments, with gaps in the nodes' dates and windows that share and do not share dates."""
+    rng = np.random.default_rng(2)
+    dates = pd.date_range("2020-01-01", periods=40).date
+    rows = spark.createDataFrame([(d, f"n{i}", float(rng.normal() + 5)) for d in dates for i in range(5) if rng.random() < 0.8], "ts date, node string, ret double")
+    a = panel.axis(rows)
+    for width, step in ((10, 3), (10, 10), (4, 9), (7, 1)):
+        want = {(g["win"], g["i"], g["j"]): g for g in network.moments(windows.members(rows, a, width, step)).collect()}
+        got = {(g["win"], g["i"], g["j"]): g for g in network.sliding_moments(rows.join(a, "ts"), windows.hops(a, width, step), width).collect()}
+        assert got.keys() == want.keys() and len(got) > 10
+        assert all(got[k]["n"] == want[k]["n"] and abs(got[k][c] - want[k][c]) < 1e-9 for k in want for c in ("cxy", "cxx", "cyy"))

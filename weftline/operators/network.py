@@ -1,7 +1,8 @@
 """Correlation networks as relations: one row for each window and pair of nodes.
 
-Right for tens of nodes (rows: windows * width * nodes squared / 2). For hundreds, the group-map
-kernels of ``metrics`` hold one window's matrix in one task instead.
+Right for tens of nodes (rows: windows * width * nodes squared / 2, or dates * nodes squared / 2 by running
+sums). For hundreds, the group-map kernels of ``metrics`` hold one window's matrix in one task instead; for
+thousands, ``blocks`` deals products of blocks.
 """
 
 from __future__ import annotations
@@ -17,13 +18,48 @@ def moments(m: DataFrame, value: str = "ret") -> DataFrame:
     x = m.select("win", "pos", F.col("node").alias("i"), F.col(value).alias("x"))
     y = m.select("win", "pos", F.col("node").alias("j"), F.col(value).alias("y"))
     s = x.join(y, ["win", "pos"]).where("i < j").groupBy("win", "i", "j").agg(F.count(F.lit(1)).alias("n"), *[F.sum(e).alias(a) for a, e in (("sx", F.col("x")), ("sy", F.col("y")), ("sxy", F.col("x") * F.col("y")), ("sxx", F.col("x") * F.col("x")), ("syy", F.col("y") * F.col("y")))])
-    return s.select("win", "i", "j", "n", (F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")).alias("cxy"), (F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n")).alias("cxx"), (F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")).alias("cyy"))
+    return s.select("win", "i", "j", "n", *centred())
 
 
-def correlations(m: DataFrame, value: str = "ret") -> DataFrame:
+def sliding_moments(rows: DataFrame, ends: DataFrame, width: int, value: str = "ret") -> DataFrame:
+    """``moments`` of the windows of ``width`` dates before each of ``ends`` (``win, end``), from running sums.
+
+    ``rows`` is ``pos, node, value``. A pair's products are made and summed once along the calendar,
+    however much windows overlap; a window is the running sums at its end less those at its start, which
+    are read off at marker rows. So rows are pairs by dates, and not by windows by their width.
+    """
+    x = rows.select("node", F.col(value).alias("x"), (2 * F.col("pos") + 1).alias("at"), F.lit(None).cast("int").alias("win"), F.lit(0).alias("sign"))
+    bounds = ends.select("win", F.explode(F.array(F.struct((2 * F.col("end")).alias("at"), F.lit(1).alias("sign")), F.struct((2 * (F.col("end") - width)).alias("at"), F.lit(-1).alias("sign")))).alias("b"))
+    marks = rows.select("node").distinct().crossJoin(F.broadcast(bounds)).select("node", F.lit(0.0).alias("x"), "b.at", "win", "b.sign")  # nodes by windows
+    both = x.unionByName(marks)
+    i, j = both.select(F.col("node").alias("i"), "at", "win", "sign", "x"), both.select(F.col("node").alias("j"), "at", F.col("win").alias("w2"), F.col("sign").alias("s2"), F.col("x").alias("y"))
+    pairs = i.join(j, "at").where((F.col("i") < F.col("j")) & F.col("win").eqNullSafe(F.col("w2")) & (F.col("sign") == F.col("s2")))
+    so_far = Window.partitionBy("i", "j").orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
+    terms = {"n": F.when(F.col("sign") == 0, 1).otherwise(0), "sx": F.col("x"), "sy": F.col("y"), "sxy": F.col("x") * F.col("y"), "sxx": F.col("x") * F.col("x"), "syy": F.col("y") * F.col("y")}
+    summed = pairs.select("i", "j", "win", "sign", *[F.sum(e).over(so_far).alias(c) for c, e in terms.items()]).where("sign <> 0")
+    s = summed.groupBy("i", "j", "win").agg(*[F.sum(F.col("sign") * F.col(c)).alias(c) for c in terms]).where("n > 0")
+    return s.select("win", "i", "j", "n", *centred())
+
+
+def centred() -> list[Column]:
+    """Centred second moments from sums."""
+    return [(F.col(xy) - F.col(x) * F.col(y) / F.col("n")).alias(c) for c, xy, x, y in (("cxy", "sxy", "sx", "sy"), ("cxx", "sxx", "sx", "sx"), ("cyy", "syy", "sy", "sy"))]
+
+
+def correlation_of(moments: DataFrame) -> DataFrame:
     """``win, i, j, rho`` for i < j; 0 where a node does not vary."""
     vary = (F.col("cxx") > FLAT) & (F.col("cyy") > FLAT)
-    return moments(m, value).select("win", "i", "j", F.when(vary, F.col("cxy") / F.sqrt(F.col("cxx") * F.col("cyy"))).otherwise(0.0).alias("rho"))
+    return moments.select("win", "i", "j", F.when(vary, F.col("cxy") / F.sqrt(F.col("cxx") * F.col("cyy"))).otherwise(0.0).alias("rho"))
+
+
+def correlations(m: DataFrame, value: str = "ret") -> DataFrame:
+    """``correlation_of`` the members of windows."""
+    return correlation_of(moments(m, value))
+
+
+def sliding_correlations(rows: DataFrame, ends: DataFrame, width: int, value: str = "ret") -> DataFrame:
+    """``correlation_of`` overlapping windows, each product made once."""
+    return correlation_of(sliding_moments(rows, ends, width, value))
 
 
 def covariances(m: DataFrame, value: str = "ret") -> DataFrame:

@@ -44,7 +44,9 @@ def weekly_windows(spark, d: str, width: int = WIDTH, step: int = STEP) -> tuple
 
 
 def edges(spark, d: str) -> DataFrame:
-    return once(network.correlations(weekly_windows(spark, d)[0]))
+    ret = once(weekly_returns(spark, d))
+    a = panel.axis(ret)
+    return once(network.sliding_correlations(ret.join(F.broadcast(a), "ts"), windows.hops(a, WIDTH, STEP), WIDTH))  # a calendar
 
 
 def index_series(spark, d: str) -> DataFrame:
