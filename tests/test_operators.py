@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions import kernels
-from weftline.operators import blocks, credit, draws, filters, inference, metrics, network, panel, portfolio, scoring, synth, text, windows
+from weftline.operators import blocks, credit, draws, filters, inference, metrics, network, panel, portfolio, ranks, scoring, synth, text, windows
 from weftline.sources import readers
 from weftline.streaming import streams
 
@@ -261,3 +261,61 @@ def test_sliding_moments_equal_those_of_members(spark):
         got = {(g["win"], g["i"], g["j"]): g for g in network.sliding_moments(rows.join(a, "ts"), windows.hops(a, width, step), width).collect()}
         assert got.keys() == want.keys() and len(got) > 10
         assert all(got[k]["n"] == want[k]["n"] and abs(got[k][c] - want[k][c]) < 1e-9 for k in want for c in ("cxy", "cxx", "cyy"))
+
+
+def test_least_squares_and_predictions(spark):
+    """Several models from one aggregate equal a solve of each; a regressor given twice does no harm."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(80, 3))
+    y = x @ [0.5, -2.0, 0.0] + 3 + rng.normal(size=80)
+    rows = spark.createDataFrame([(k, *map(float, x[k]), float(x[k, 0]), float(y[k])) for k in range(80)], "k long, x0 double, x1 double, x2 double, again double, y double")
+    models = {"one": ["x0"], "all": ["x0", "x1", "x2"], "twice": ["x0", "again"]}
+    betas = inference.least_squares(rows, "y", models)
+    told = {(t["model"], t["k"]): t["predicted"] for t in inference.predictions(rows, ["k"], betas).collect()}
+    for name, use in (("one", [0]), ("all", [0, 1, 2]), ("twice", [0])):
+        design = np.c_[np.ones(80), x[:, use]]
+        want = design @ np.linalg.lstsq(design, y, rcond=None)[0]
+        assert np.allclose([told[name, k] for k in range(80)], want, atol=1e-7)
+    assert inference.least_squares(rows.limit(0), "y", models).count() == 0
+
+
+@pytest.mark.parametrize("horizon", [1, 2, 7, 12, 30])
+def test_falls_from_each_start_equal_brute_force(spark, horizon):
+    rng = np.random.default_rng(horizon)
+    rets = {rule: rng.normal(scale=0.1, size=30) for rule in "ab"}
+    path = spark.createDataFrame([(rule, p, float(v[p]), float(v[: p + 1].sum())) for rule, v in rets.items() for p in range(30)], "rule string, pos int, ret double, equity double")
+    got = {(f["rule"], f["start"]): f["drawdown"] for f in portfolio.start_drawdowns(path, ["rule"], horizon).collect()}
+    assert len(got) == 2 * (31 - horizon)
+    for (rule, start), fall in got.items():
+        e = np.concatenate([[0.0], np.cumsum(rets[rule][start : start + horizon])])
+        assert fall == pytest.approx(np.exp((e - np.maximum.accumulate(e)).min()) - 1)
+
+
+def test_ranks_of_large_groups(spark):
+    """Equal to ranks within each group, with a value that most rows have, nulls, and groups over many ranges."""
+    rng = np.random.default_rng(5)
+    frame = pd.DataFrame({"g": rng.choice(["a", "b", "c"], 900, p=[0.8, 0.15, 0.05]), "v": np.where(rng.random(900) < 0.4, 7.0, np.round(rng.normal(size=900), 1)), "k": range(900)})
+    frame.loc[rng.random(900) < 0.05, "v"] = np.nan
+    rows = spark.createDataFrame([(g, None if math.isnan(v) else v, k) for g, v, k in frame.itertuples(index=False)], "g string, v double, k int")
+    got = {x["k"]: (x["rank"], x["n"]) for x in ranks.average_ranks(rows, "v", ["g"]).collect()}
+    want, n = frame.groupby("g")["v"].rank(), frame.groupby("g")["v"].transform("count")
+    assert len(got) == 900
+    assert all(got[k][0] is None if math.isnan(want[k]) else got[k] == (want[k], n[k]) for k in range(900))
+
+
+def test_dynamic_correlation_equals_the_recurrence(spark):
+    rng = np.random.default_rng(6)
+    z = rng.normal(size=(50, 4))
+    rows = spark.createDataFrame([(t, f"n{i}", float(z[t, i])) for t in range(50) for i in range(4)], "pos int, node string, ret double")
+    grid = spark.createDataFrame([(0.05, 0.9), (0.0, 0.5)], "a double, b double")
+    got = {(x["a"], x["pos"], x["i"], x["j"]): x["rho"] for x in filters.dynamic_correlation(rows, grid, [49, 10, 23]).collect()}
+    assert len(got) == 2 * 3 * 6
+    for a, b in ((0.05, 0.9), (0.0, 0.5)):
+        target = z.T @ z / 50
+        q = target.copy()
+        for t in range(50):
+            if t in (10, 23, 49):
+                for i in range(4):
+                    for j in range(i + 1, 4):
+                        assert got[a, t, f"n{i}", f"n{j}"] == pytest.approx(q[i, j] / np.sqrt(q[i, i] * q[j, j]))
+            q = (1 - a - b) * target + a * np.outer(z[t], z[t]) + b * q

@@ -6,7 +6,9 @@ from bisect import bisect_right, insort
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
+
+from weftline.sources.shared import once
 
 UP, DOWN = 0.6, 0.08
 
@@ -51,28 +53,53 @@ def decayed_variance(df: DataFrame, value: str, decay: float, part: list[str], o
     return tail.withColumn("ewvar", top / bottom).drop("_tail")
 
 
-def dynamic_correlation(r: DataFrame, grid: DataFrame, ends: list[int]) -> DataFrame:
-    """``a, b, pos, i, j, rho``: DCC(1,1) with correlation targeting, kept at the rows ``ends`` only.
+def decayed_states(stretches: DataFrame, part: list[str], start: str) -> DataFrame:
+    """``part, pos, state``: state after each stretch: the one before times ``decay``, and ``gain``. ``start`` holds the state before the first.
 
-    ``r`` is ``pos, node, ret`` (standardised); ``grid`` has the parameters a and b, one task for each.
+    ``stretches`` is ``part, pos, decay, gain, start`` with a row for each stretch; a series is as many
+    rows as there are stretches, and series are read off many at a time.
     """
-    wanted = frozenset(ends)
+    rows = stretches.groupBy(*part).agg(F.sort_array(F.collect_list(F.struct("pos", "decay", "gain"))).alias("_s"), F.first(start).alias("_q"))
+    keep = ", ".join(f"`{c}` {t}" for c, t in stretches.dtypes if c in part)
+
+    def run(batches):
+        for pdf in batches:
+            for place in pdf.groupby(pdf["_s"].map(len)).groups.values():  # series of one length together
+                block = pdf.loc[place]
+                decay, gain = (np.array([[x[c] for x in s] for s in block["_s"]]) for c in ("decay", "gain"))
+                q, states = block["_q"].to_numpy(dtype=float), []
+                for k in range(decay.shape[1]):
+                    q = q * decay[:, k] + gain[:, k]
+                    states.append(q)
+                out = block[part].copy()
+                out["pos"], out["state"] = [[int(x["pos"]) for x in s] for s in block["_s"]], list(np.stack(states, axis=1))
+                yield out
+
+    out = rows.select(*part, "_s", "_q").mapInPandas(run, keep + ", pos array<int>, state array<double>")
+    return out.select(*part, F.explode(F.arrays_zip("pos", "state")).alias("x")).select(*part, "x.pos", "x.state")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        w = pdf.pivot(index="pos", columns="node", values="ret").sort_index()
-        z, a, b = w.to_numpy(), float(pdf["a"].iloc[0]), float(pdf["b"].iloc[0])
-        target = z.T @ z / len(z)
-        q, rows = target.copy(), []
-        for pos, e in zip(w.index, z, strict=True):
-            if pos in wanted:
-                d = 1 / np.sqrt(np.diag(q))
-                rho = q * np.outer(d, d)
-                rows += [(a, b, int(pos), w.columns[i], w.columns[j], float(rho[i, j])) for i in range(len(rho)) for j in range(i + 1, len(rho))]
-            q = (1 - a - b) * target + a * np.outer(e, e) + b * q
-        return pd.DataFrame(rows, columns=["a", "b", "pos", "i", "j", "rho"])
-
-    both = r.select("pos", "node", "ret").join(F.broadcast(grid.select("a", "b")))  # a parameter grid, given by the caller
-    return both.groupBy("a", "b").applyInPandas(run, "a double, b double, pos int, i string, j string, rho double")
+
+def dynamic_correlation(r: DataFrame, grid: DataFrame, ends: list[int]) -> DataFrame:
+    """``a, b, pos, i, j, rho``: DCC(1,1) with correlation targeting, before each of the rows ``ends``.
+
+    ``r`` is ``pos, node, ret`` (standardised, every node at every row); ``grid`` has the parameters a and
+    b. A pair's state is its products, decayed: each stretch between two ends is one sum, and the stretches
+    follow one another pair by pair, so tasks grow with pairs and grid points and no task holds a panel.
+    """
+    spark, ends = r.sparkSession, sorted(set(ends))
+    spans = F.broadcast(spark.createDataFrame([(lo, hi) for lo, hi in zip([0, *ends], ends)], "lo int, hi int").withColumn("pos", F.explode(F.sequence("lo", F.col("hi") - 1))))  # a calendar
+    i, j = (r.select("pos", F.col("node").alias(n), F.col("ret").alias(v)) for n, v in (("i", "x"), ("j", "y")))
+    pairs = once(i.join(j, "pos").where("i <= j").select("i", "j", "pos", (F.col("x") * F.col("y")).alias("p")))
+    target = pairs.groupBy("i", "j").agg(F.avg("p").alias("s"))
+    placed = pairs.join(spans, "pos").join(target, ["i", "j"]).join(F.broadcast(grid.select("a", "b")))  # a parameter grid, given by the caller
+    age = (F.col("hi") - 1 - F.col("pos")).cast("double")
+    step = (1 - F.col("a") - F.col("b")) * F.col("s") + F.col("a") * F.col("p")
+    stretches = placed.groupBy("a", "b", "i", "j", "s", F.col("hi").alias("pos")).agg(F.sum(F.pow("b", age) * step).alias("gain"), F.pow("b", F.count(F.lit(1)).cast("double")).alias("decay"))
+    q = once(decayed_states(stretches, ["a", "b", "i", "j"], "s"))
+    own = q.where("i = j")
+    left, right = (own.select("a", "b", "pos", F.col("i").alias(c), F.col("state").alias(v)) for c, v in (("i", "qi"), ("j", "qj")))
+    both = q.where("i < j").join(left, ["a", "b", "pos", "i"]).join(right, ["a", "b", "pos", "j"])
+    return both.select("a", "b", "pos", "i", "j", (F.col("state") / F.sqrt(F.col("qi") * F.col("qj"))).alias("rho"))
 
 
 def trailing_gate(df: DataFrame, value: str, q: float, part: list[str], order: str = "ts", least: int = 30) -> DataFrame:

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import draws
@@ -111,3 +114,35 @@ def verdict(d: Column, lo: Column, hi: Column, least: float = 0.0) -> Column:
 
 def normal_cdf(x: float) -> float:
     return 0.5 * (1 + math.erf(x / math.sqrt(2)))
+
+
+def least_squares(rows: DataFrame, y: str, models: dict[str, list[str]]) -> DataFrame:
+    """``model, regressor, beta`` (``one`` is the constant) of each model's least squares.
+
+    One pass sums the products of all columns that the models name; what each model solves, in a task, is
+    as large as its regressors. Regressors that repeat others share the least-norm solution. No rows, no betas.
+    """
+    names = list(dict.fromkeys(c for cs in models.values() for c in cs))
+    columns = {"one": F.lit(1.0)} | {c: F.col(c).cast("double") for c in names}
+    at = {c: i for i, c in enumerate(columns)}
+    product = lambda a, b: F.coalesce(F.sum(a * b), F.lit(0.0))
+    sums = rows.agg(F.array(*[product(a, b) for a in columns.values() for b in columns.values()]).alias("xx"), F.array(*[product(a, F.col(y).cast("double")) for a in columns.values()]).alias("xy"))
+    asked = rows.sparkSession.createDataFrame([(m, ["one", *cs]) for m, cs in models.items()], "model string, regressors array<string>")
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for xx, xy, model, regressors in pdf.itertuples(index=False):
+                use = [at[c] for c in regressors]
+                full = np.asarray(xx, dtype=float).reshape(len(at), len(at))
+                if full[0, 0] > 0:
+                    beta = np.linalg.lstsq(full[np.ix_(use, use)], np.asarray(xy, dtype=float)[use], rcond=1e-13)[0]
+                    yield pd.DataFrame({"model": model, "regressor": list(regressors), "beta": beta})
+
+    return asked.join(F.broadcast(sums)).select("xx", "xy", "model", "regressors").mapInPandas(solve, "model string, regressor string, beta double")  # one row
+
+
+def predictions(rows: DataFrame, key: list[str], betas: DataFrame) -> DataFrame:
+    """``key, model, predicted`` of each row under each model of ``least_squares``."""
+    names = [r["regressor"] for r in betas.select("regressor").distinct().where("regressor <> 'one'").collect()]
+    long = rows.select(*key, F.lit(1.0).alias("one"), *[F.col(c).cast("double").alias(c) for c in names]).unpivot(key, ["one", *names], "regressor", "x")
+    return long.join(F.broadcast(betas), "regressor").groupBy(*key, "model").agg(F.sum(F.col("x") * F.col("beta")).alias("predicted"))  # a few betas

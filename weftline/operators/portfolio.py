@@ -72,6 +72,36 @@ def start_dates(path: DataFrame, part: list[str], horizon: int, every: int = 1)
     return p.where((F.col("_n") - 1) % every == 0).where(F.col("value").isNotNull()).select(*part, F.col("pos").alias("start"), "value")
 
 
+def start_drawdowns(path: DataFrame, part: list[str], horizon: int, every: int = 1) -> DataFrame:
+    """``start, drawdown``: the greatest fall from a peak while holding from each start for ``horizon`` rows, the value before the start included.
+
+    A stretch's greatest and least equity and its fall are put together from those of two halves, so
+    stretches of 1, 2, 4, ... rows are joined by shifts of one window until they make up the horizon: a
+    number of steps that grows with its logarithm, and no row meets each of its followers.
+    """
+    w = Window.partitionBy(*part).orderBy("pos")
+
+    def put(a: dict[str, Column], b: Column) -> dict[str, Column]:
+        return {"top": F.greatest(a["top"], b["top"]), "low": F.least(a["low"], b["low"]), "fall": F.least(a["fall"], b["fall"], b["low"] - a["top"])}
+
+    e, base = F.col("equity"), F.col("equity") - F.col("ret")
+    p = path.select(*part, "pos", "equity", "ret").withColumn("_n", F.row_number().over(w))
+    p = p.withColumn("_power", F.struct(e.alias("top"), e.alias("low"), F.lit(0.0).alias("fall")))  # of 2**k rows from here
+    p = p.withColumn("_all", F.struct(base.alias("top"), base.alias("low"), F.lit(0.0).alias("fall")))  # of the rows so far, after the value before the start
+    done, size = 0, 1
+    fields = lambda c: {f: F.col(c)[f] for f in ("top", "low", "fall")}
+    pack = lambda d: F.struct(*[x.alias(c) for c, x in d.items()])
+    while done < horizon:
+        if horizon & size:
+            p = p.withColumn("_next", F.lead("_power", done).over(w)).withColumn("_all", F.when(F.col("_next").isNotNull() & F.col("_all").isNotNull(), pack(put(fields("_all"), F.col("_next")))))
+            done += size
+        if done < horizon:
+            p = p.withColumn("_next", F.lead("_power", size).over(w)).withColumn("_power", F.when(F.col("_next").isNotNull() & F.col("_power").isNotNull(), pack(put(fields("_power"), F.col("_next")))))
+            size *= 2
+    kept = p.where((F.col("_n") - 1) % every == 0).where(F.col("_all").isNotNull())
+    return kept.select(*part, F.col("pos").alias("start"), (F.exp(F.col("_all")["fall"]) - 1).alias("drawdown"))
+
+
 def distribution(starts: DataFrame, rule: str, base: str) -> DataFrame:
     """Tenth, fiftieth and ninetieth percentile of the value and the share of starts at which a rule beats ``base``."""
     b = starts.where(F.col(rule) == base).select("start", F.col("value").alias("_base"))

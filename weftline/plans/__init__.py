@@ -1,3 +1,3 @@
 """Registered queries, composed of the operators."""
 
-from . import extras, files, filings, panels, series, verdicts, wide
+from . import extras, files, filings, forecasts, panels, series, verdicts, wide

@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from weftline import catalog
 from weftline.catalog import query
-from weftline.operators import draws, filters, inference, network, portfolio, scoring, windows
+from weftline.operators import draws, filters, inference, network, portfolio, ranks, scoring, windows
 from weftline.sources.readers import parquet
 from weftline.sources.shared import once
 
@@ -232,8 +232,7 @@ def incremental_r2(spark, d):
 SELECT event_type, user_id, round((rank() OVER (PARTITION BY event_type ORDER BY v) + (count(*) OVER (PARTITION BY event_type, v) - 1) / 2.0) / count(v) OVER (PARTITION BY event_type), 6) AS pct FROM e""")
 def pct_rank_average(spark, d):
     e = parquet(spark, d, "events").groupBy("event_type", "user_id").agg(F.round(F.avg("value"), 6).alias("v"))
-    pct = network.average_rank(F.col("v"), ["event_type"]) / F.count("v").over(Window.partitionBy("event_type"))
-    return e.select("event_type", "user_id", r(pct).alias("pct"))
+    return ranks.average_ranks(e, "v", ["event_type"]).select("event_type", "user_id", r(F.col("rank") / F.col("n")).alias("pct"))
 
 
 @query(f"""WITH {EDGES}, top AS (SELECT win, node FROM (SELECT win, node, row_number() OVER (PARTITION BY win ORDER BY round(tri, 9) DESC, node) AS k FROM node_tri) WHERE k <= 2),
