@@ -79,21 +79,24 @@ def decayed_states(stretches: DataFrame, part: list[str], start: str) -> DataFra
     return out.select(*part, F.explode(F.arrays_zip("pos", "state")).alias("x")).select(*part, "x.pos", "x.state")
 
 
-def dynamic_correlation(r: DataFrame, grid: DataFrame, ends: list[int]) -> DataFrame:
-    """``a, b, pos, i, j, rho``: DCC(1,1) with correlation targeting, before each of the rows ``ends``.
+def products(r: DataFrame) -> DataFrame:
+    """``i, j, pos, p`` with i <= j: the products of each pair's values. ``r`` is ``pos, node, ret``."""
+    i, j = (r.select("pos", F.col("node").alias(n), F.col("ret").alias(v)) for n, v in (("i", "x"), ("j", "y")))
+    return i.join(j, "pos").where("i <= j").select("i", "j", "pos", (F.col("x") * F.col("y")).alias("p"))
 
-    ``r`` is ``pos, node, ret`` (standardised, every node at every row); ``grid`` has the parameters a and
-    b. A pair's state is its products, decayed: each stretch between two ends is one sum, and the stretches
-    follow one another pair by pair, so tasks grow with pairs and grid points and no task holds a panel.
+
+def decayed_correlation(pairs: DataFrame, start: DataFrame, grid: DataFrame, ends: list[int]) -> DataFrame:
+    """``a, b, pos, i, j, rho``: correlations from the states q = c s + a p + b q before each of the rows ``ends``.
+
+    ``pairs`` is of ``products``, ``start`` is ``i, j, s`` with each pair's first state, ``grid`` is
+    ``a, b, c``. Each stretch between two ends is one sum, decayed, and the stretches follow one another
+    pair by pair, so tasks grow with pairs and grid points and no task holds a panel.
     """
-    spark, ends = r.sparkSession, sorted(set(ends))
-    spans = F.broadcast(spark.createDataFrame([(lo, hi) for lo, hi in zip([0, *ends], ends)], "lo int, hi int").withColumn("pos", F.explode(F.sequence("lo", F.col("hi") - 1))))  # a calendar
-    i, j = (r.select("pos", F.col("node").alias(n), F.col("ret").alias(v)) for n, v in (("i", "x"), ("j", "y")))
-    pairs = once(i.join(j, "pos").where("i <= j").select("i", "j", "pos", (F.col("x") * F.col("y")).alias("p")))
-    target = pairs.groupBy("i", "j").agg(F.avg("p").alias("s"))
-    placed = pairs.join(spans, "pos").join(target, ["i", "j"]).join(F.broadcast(grid.select("a", "b")))  # a parameter grid, given by the caller
+    spark, ends = pairs.sparkSession, sorted(set(ends))
+    spans = spark.createDataFrame(list(zip([0, *ends], ends)), "lo int, hi int").withColumn("pos", F.explode(F.sequence("lo", F.col("hi") - 1)))
+    placed = pairs.join(F.broadcast(spans), "pos").join(start, ["i", "j"]).join(F.broadcast(grid))  # a calendar; a parameter grid, given by the caller
     age = (F.col("hi") - 1 - F.col("pos")).cast("double")
-    step = (1 - F.col("a") - F.col("b")) * F.col("s") + F.col("a") * F.col("p")
+    step = F.col("c") * F.col("s") + F.col("a") * F.col("p")
     stretches = placed.groupBy("a", "b", "i", "j", "s", F.col("hi").alias("pos")).agg(F.sum(F.pow("b", age) * step).alias("gain"), F.pow("b", F.count(F.lit(1)).cast("double")).alias("decay"))
     q = once(decayed_states(stretches, ["a", "b", "i", "j"], "s"))
     own = q.where("i = j")
@@ -102,6 +105,25 @@ def dynamic_correlation(r: DataFrame, grid: DataFrame, ends: list[int]) -> DataF
     return both.select("a", "b", "pos", "i", "j", (F.col("state") / F.sqrt(F.col("qi") * F.col("qj"))).alias("rho"))
 
 
+def dynamic_correlation(r: DataFrame, grid: DataFrame, ends: list[int]) -> DataFrame:
+    """``a, b, pos, i, j, rho``: DCC(1,1) with correlation targeting, before each of the rows ``ends``.
+
+    ``r`` is ``pos, node, ret`` (standardised, every node at every row); ``grid`` has the parameters a and b.
+    """
+    pairs = once(products(r))
+    return decayed_correlation(pairs, pairs.groupBy("i", "j").agg(F.avg("p").alias("s")), grid.select("a", "b", (1 - F.col("a") - F.col("b")).alias("c")), ends)
+
+
+def decayed_covariance_correlation(r: DataFrame, decay: float, first_rows: int, ends: list[int]) -> DataFrame:
+    """``pos, i, j, rho`` of exponentially weighted products, which start from the covariance of the first rows."""
+    pairs = once(products(r))
+    early = r.where(F.col("pos") < first_rows)
+    i, j = (early.select("pos", F.col("node").alias(n), F.col("ret").alias(v)) for n, v in (("i", "x"), ("j", "y")))
+    start = i.join(j, "pos").where("i <= j").groupBy("i", "j").agg(F.covar_samp("x", "y").alias("s"))
+    grid = r.sparkSession.createDataFrame([(1 - decay, decay, 0.0)], "a double, b double, c double")
+    return decayed_correlation(pairs, start, grid, ends).drop("a", "b")
+
+
 def trailing_gate(df: DataFrame, value: str, q: float, part: list[str], order: str = "ts", least: int = 30) -> DataFrame:
     """``gate``: the expanding quantile up to and with each row, null before ``least`` rows."""
     w = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

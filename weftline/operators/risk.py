@@ -80,3 +80,11 @@ def off_diagonal_error(forecast: DataFrame, truth: DataFrame) -> DataFrame:
     """Root mean square difference of two edge lists ``win, i, j, rho`` for each window."""
     both = forecast.join(truth.withColumnRenamed("rho", "_true"), ["win", "i", "j"])
     return both.groupBy("win").agg(F.sqrt(F.avg((F.col("rho") - F.col("_true")) ** 2)).alias("rmse"))
+
+
+def equal_weight_variance(edges: DataFrame, deviations: DataFrame, by: list[str]) -> DataFrame:
+    """``by, variance``: w'Sw of the equal-weight portfolio, from correlations ``by, i, j, rho`` (i < j) and ``by, node, sd``; the matrix is never put together."""
+    i, j = (deviations.select(*by, F.col("node").alias(c), F.col("sd").alias(v)) for c, v in (("i", "si"), ("j", "sj")))
+    cross = edges.join(i, [*by, "i"]).join(j, [*by, "j"]).groupBy(*by, *[c for c in edges.columns if c not in (*by, "i", "j", "rho")]).agg((2 * F.sum(F.col("rho") * F.col("si") * F.col("sj"))).alias("cross"))
+    own = deviations.groupBy(*by).agg(F.sum(F.col("sd") ** 2).alias("own"), F.count(F.lit(1)).alias("n"))
+    return cross.join(own, by).withColumn("variance", (F.col("own") + F.col("cross")) / F.col("n") ** 2).drop("own", "cross", "n")

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from weftline.catalog import query
-from weftline.operators import inference, portfolio
+from weftline.operators import filters, inference, panel, portfolio, risk
 from weftline.sources.shared import once
 
-from .base import FACTORS, index_series, r
+from .base import FACTORS, RETURNS, index_series, r, weekly_returns
 from .panels import LOW_AND_EQUAL, equity_sql, low_triangle_weights
 
 #: What is forecast from what: the correlation three windows on, from itself and from two indices.
@@ -64,3 +64,46 @@ def start_date_drawdowns(spark, d):
     path = portfolio.walk_forward(both, ret, portfolio.turnover(both, ["rule"], "win"), ["rule"])
     falls = portfolio.start_drawdowns(path, ["rule"], HELD)
     return falls.groupBy("rule").agg(F.count(F.lit(1)).alias("starts"), r(F.percentile("drawdown", 0.5)).alias("median_drawdown"), r(F.min("drawdown")).alias("worst"))
+
+
+#: Rows of the sample, of the horizon, and between two forecasts; decay of the weighted forecaster; grid of the dynamic one.
+SAMPLE, AHEAD, EVERY, DECAY, GRID = 20, 20, 10, 0.94, [(a, b) for a in (0.01, 0.04) for b in (0.9, 0.95)]
+
+
+@query(f"""WITH {RETURNS}, p AS (SELECT pos, node, ret, ret / stddev_samp(ret) OVER (PARTITION BY node) AS z FROM rets JOIN axis USING (ts)),
+e0 AS (SELECT unnest(range({SAMPLE}, (SELECT n FROM n) - {AHEAD}, {EVERY})) AS e), e AS (SELECT e, row_number() OVER (ORDER BY e) - 1 <= (count(*) OVER ()) // 2 AS early FROM e0), g(a, b) AS (VALUES {", ".join(f"(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))" for a, b in GRID)}),
+xy AS (SELECT x.pos, x.node AS i, y.node AS j, x.ret AS x, y.ret AS y, x.z * y.z AS zz FROM p x JOIN p y ON x.pos = y.pos AND x.node <= y.node),
+smp AS (SELECT 'sample' AS forecaster, 0.0 AS a, 0.0 AS b, e, i, j, corr(x, y) AS rho FROM e JOIN xy ON pos >= e - {SAMPLE} AND pos < e WHERE i < j GROUP BY e, i, j),
+s0 AS (SELECT i, j, covar_samp(x, y) AS s FROM xy WHERE pos < {SAMPLE} GROUP BY 1, 2), t AS (SELECT i, j, avg(zz) AS s FROM xy GROUP BY 1, 2),
+q AS (SELECT 'ewma' AS forecaster, 0.0 AS a, 0.0 AS b, e, i, j, pow({DECAY}::DOUBLE, e) * s + sum(pow({DECAY}::DOUBLE, e - 1 - pos) * (1 - {DECAY}::DOUBLE) * x * y) AS q FROM e JOIN xy ON pos < e JOIN s0 USING (i, j) GROUP BY e, i, j, s
+ UNION ALL SELECT 'dcc', a, b, e, i, j, pow(b, e) * s + sum(pow(b, e - 1 - pos) * ((1 - a - b) * s + a * zz)) FROM e JOIN xy ON pos < e JOIN t USING (i, j), g GROUP BY a, b, e, i, j, s),
+f AS (SELECT * FROM smp UNION ALL SELECT x.forecaster, x.a, x.b, x.e, x.i, x.j, x.q / sqrt(y.q * z.q) FROM q x JOIN q y ON y.forecaster = x.forecaster AND y.a = x.a AND y.b = x.b AND y.e = x.e AND y.i = x.i AND y.j = x.i JOIN q z ON z.forecaster = x.forecaster AND z.a = x.a AND z.b = x.b AND z.e = x.e AND z.i = x.j AND z.j = x.j WHERE x.i < x.j),
+tr AS (SELECT e, i, j, corr(x, y) AS seen FROM e JOIN xy ON pos >= e AND pos < e + {AHEAD} WHERE i < j GROUP BY e, i, j), sd AS (SELECT e, node, stddev_pop(ret) AS sd FROM e JOIN p ON pos >= e - {SAMPLE} AND pos < e GROUP BY 1, 2),
+rv AS (SELECT e, var_pop(m) AS realised FROM (SELECT e, pos, avg(ret) AS m FROM e JOIN p ON pos >= e AND pos < e + {AHEAD} GROUP BY 1, 2) GROUP BY e), own AS (SELECT e, sum(sd ^ 2) AS own, count(*) AS n FROM sd GROUP BY e),
+er AS (SELECT forecaster, a, b, f.e AS e, sqrt(avg((rho - seen) ^ 2)) AS rmse, abs((own + 2 * sum(rho * u.sd * v.sd)) / n ^ 2 - realised) AS off FROM f JOIN tr ON tr.e = f.e AND tr.i = f.i AND tr.j = f.j JOIN sd u ON u.e = f.e AND u.node = f.i JOIN sd v ON v.e = f.e AND v.node = f.j JOIN own ON own.e = f.e JOIN rv ON rv.e = f.e GROUP BY forecaster, a, b, f.e, own, n, realised),
+best AS (SELECT forecaster, a, b FROM er JOIN e USING (e) WHERE early GROUP BY 1, 2, 3 QUALIFY row_number() OVER (PARTITION BY forecaster ORDER BY round(avg(rmse), 9), a, b) = 1)
+SELECT forecaster, a, b, count(*) AS points, round(avg(rmse), 5) AS rmse, round(avg(off), 6) AS variance_error FROM er JOIN e USING (e) JOIN best USING (forecaster, a, b) WHERE NOT early GROUP BY 1, 2, 3""")
+def forecast_rivals(spark, d):
+    """Sample, weighted and dynamic correlations as forecasts of the next rows: error of correlations and of the portfolio's variance on the second half, the dynamic one's parameters chosen on the first."""
+    ret = once(weekly_returns(spark, d))
+    a = panel.axis(ret)
+    x = once(ret.join(F.broadcast(a), "ts").select(F.col("pos").cast("int").alias("pos"), "node", "ret"))  # a calendar
+    ends = list(range(SAMPLE, a.count() - AHEAD, EVERY))
+    z = x.withColumn("ret", F.col("ret") / F.stddev_samp("ret").over(Window.partitionBy("node")))
+    grid = spark.createDataFrame(GRID, "a double, b double")
+    pick = lambda f, name, *ab: f.select(F.lit(name).alias("forecaster"), *ab, F.col("pos").alias("e"), "i", "j", "rho")
+    none = (F.lit(0.0).alias("a"), F.lit(0.0).alias("b"))
+    days = lambda lo, hi: spark.createDataFrame([(e, p) for e in ends for p in range(e + lo, e + hi)], "e int, pos int").join(x, "pos")
+    both = lambda m: m.select("e", "pos", F.col("node").alias("i"), F.col("ret").alias("u")).join(m.select("e", "pos", F.col("node").alias("j"), F.col("ret").alias("v")), ["e", "pos"]).where("i < j").groupBy("e", "i", "j").agg(F.corr("u", "v").alias("rho"))
+    past, next_ = once(days(-SAMPLE, 0)), once(days(0, AHEAD))
+    f = pick(both(past).withColumnRenamed("e", "pos"), "sample", *none).unionByName(pick(filters.decayed_covariance_correlation(x, DECAY, SAMPLE, ends), "ewma", *none)).unionByName(pick(filters.dynamic_correlation(z, grid, ends), "dcc", "a", "b"))
+    f = once(f)
+    true = both(next_).withColumnRenamed("rho", "true")
+    error = f.join(true, ["e", "i", "j"]).groupBy("forecaster", "a", "b", "e").agg(F.sqrt(F.avg((F.col("rho") - F.col("true")) ** 2)).alias("rmse"))
+    variance = risk.equal_weight_variance(f, past.groupBy("e", "node").agg(F.stddev_pop("ret").alias("sd")), ["e"])
+    realised = next_.groupBy("e", "pos").agg(F.avg("ret").alias("m")).groupBy("e").agg(F.var_pop("m").alias("realised"))
+    scored = once(error.join(variance, ["forecaster", "a", "b", "e"]).join(realised, "e").withColumn("off", F.abs(F.col("variance") - F.col("realised"))))
+    early = F.col("e") <= ends[len(ends) // 2]
+    rank = F.row_number().over(Window.partitionBy("forecaster").orderBy(F.round("fit", 9), "a", "b"))  # a few parameters
+    best = scored.where(early).groupBy("forecaster", "a", "b").agg(F.avg("rmse").alias("fit")).withColumn("k", rank).where("k = 1").select("forecaster", "a", "b")
+    return scored.where(~early).join(F.broadcast(best), ["forecaster", "a", "b"]).groupBy("forecaster", "a", "b").agg(F.count(F.lit(1)).alias("points"), r(F.avg("rmse"), 5).alias("rmse"), r(F.avg("off")).alias("variance_error"))

@@ -29,7 +29,7 @@ def curvature_metrics(spark, d):
 
 @query()
 def takens_loops(spark, d):
-    """Persistent loops of the delay vectors of each node's returns (N19, W16), 60 dates a cloud."""
+    """Persistent loops of the delay vectors of each node's returns (N19, W16), 30 dates a cloud."""
     ret = weekly_returns(spark, d)
     v = windows.delay_vectors(ret, "ret", 3, 2, ["node"]).join(panel.axis(ret), "ts")
     cloud = v.withColumn("key", F.concat_ws(":", "node", F.floor(F.col("pos") / 30)))
@@ -167,11 +167,12 @@ RULES = {"balance_gap": ("balance", "balance_gap", True), "low": ("gapless", "tr
 @query(f"""WITH {spectra.NODE_BALANCE}, {FACTORS.removeprefix(EDGES).lstrip(", ")}, sig AS (SELECT win, round(any_value(balance), 9) AS balance FROM nb GROUP BY win),
 ins AS (SELECT win, node, sum(ret) AS past FROM mem WHERE pos >= "end" - 10 GROUP BY 1, 2), oos AS (SELECT h.win, q.node, sum(ret) AS ahead FROM hops h JOIN axis a ON a.pos >= h."end" AND a.pos < h."end" + 10 JOIN rets q USING (ts) GROUP BY 1, 2 HAVING count(*) = 10),
 nd AS (SELECT nb.win, nb.node, round(balance_gap, 9) AS balance_gap, round(tri, 9) AS tri, round(past, 9) AS past, ahead, s.balance, round(gapless, 9) AS gapless FROM nb JOIN node_tri t USING (win, node) JOIN ins USING (win, node) JOIN oos USING (win, node) JOIN sig s USING (win) JOIN idx USING (win)),
-lv AS (SELECT quantile_cont(balance, 0.5) AS qb, quantile_cont(gapless, 0.5) AS qg FROM (SELECT DISTINCT win, balance, gapless FROM nd)),
-ch AS ({" UNION ALL ".join(f"SELECT '{rule}' AS rule, win, node, ahead, row_number() OVER (PARTITION BY win ORDER BY {score} {'DESC' if largest else ''}, node) AS k FROM nd, lv WHERE {gate} >= {'qb' if gate == 'balance' else 'qg'}" for rule, (gate, score, largest) in RULES.items())})
+wn AS (SELECT DISTINCT win, balance, gapless FROM nd), lv AS (SELECT a.win, quantile_cont(b.balance, 0.5) AS qb, quantile_cont(b.gapless, 0.5) AS qg FROM wn a JOIN wn b ON b.win <= a.win GROUP BY a.win HAVING count(*) >= 30),
+ch AS ({" UNION ALL ".join(f"SELECT '{rule}' AS rule, win, node, ahead, row_number() OVER (PARTITION BY win ORDER BY {score} {'DESC' if largest else ''}, node) AS k FROM nd JOIN lv USING (win) WHERE {gate} >= {'qb' if gate == 'balance' else 'qg'}" for rule, (gate, score, largest) in RULES.items())}
+ UNION ALL SELECT 'local', win, node, ahead, CASE WHEN balance_gap >= round(avg(balance_gap) OVER (PARTITION BY win), 9) THEN 1 ELSE 3 END FROM nd JOIN lv USING (win) WHERE balance >= qb)
 SELECT rule, count(DISTINCT win) AS windows, round(avg(ahead) FILTER (k <= 2), 6) AS basket, round(avg(ahead), 6) AS market FROM ch GROUP BY rule""")
 def basket_rules(spark, d):
-    """Each rule's basket of two nodes in the windows its gate lets through, against all nodes, over the ten rows after the window."""
+    """Each rule's basket in the windows its trailing gate lets through, against all nodes, over the ten rows after the window: two nodes by score, or those that meet a condition of their own."""
     m, ends = weekly_windows(spark, d)
     e = once(network.correlations(m))
     ahead = windows.ahead(m, ends, weekly_returns(spark, d), 10)
@@ -179,13 +180,16 @@ def basket_rules(spark, d):
     n = metrics.node_scores(m, ()).join(network.node_triangles(e), ["win", "node"]).join(past, ["win", "node"]).join(ahead, ["win", "node"]).join(network.factors(e).select("win", "gapless"), "win")
     n = n.withColumn("balance", F.col("local_balance") + F.col("balance_gap"))
     n = once(n.select("win", "node", "ahead", *[F.round(c, 9).alias(c) for c in ("balance_gap", "tri", "past", "balance", "gapless")]))
-    level = n.select("win", "balance", "gapless").distinct().agg(*[F.percentile(c, 0.5).alias(f"{c}_at") for c in ("balance", "gapless")])
-    n = n.join(F.broadcast(level))  # one row
+    level = n.select("win", "balance", "gapless").distinct().withColumn("one", F.lit(1))  # a row for each window
+    for c in ("balance", "gapless"):
+        level = filters.trailing_gate(level, c, 0.5, ["one"], "win").withColumnRenamed("gate", f"{c}_at")
+    n = once(n.join(level.select("win", "balance_at", "gapless_at"), "win"))
+    n = n.withColumn("mean_gap", F.round(F.avg("balance_gap").over(Window.partitionBy("win")), 9))
     out = None
-    for rule, (gate, score, largest) in RULES.items():
-        open_ = n.where(F.col(gate) >= F.col(f"{gate}_at"))
-        k = F.row_number().over(Window.partitionBy("win").orderBy(F.col(score).desc() if largest else F.col(score), "node"))
-        row = open_.withColumn("k", k).agg(F.countDistinct("win").alias("windows"), r(F.avg(F.when(F.col("k") <= 2, F.col("ahead")))).alias("basket"), r(F.avg("ahead")).alias("market")).select(F.lit(rule).alias("rule"), "windows", "basket", "market")
+    chosen = {rule: (F.col(gate) >= F.col(f"{gate}_at"), F.row_number().over(Window.partitionBy("win").orderBy(F.col(score).desc() if largest else F.col(score), "node")) <= 2) for rule, (gate, score, largest) in RULES.items()}
+    chosen["local"] = (F.col("balance") >= F.col("balance_at"), portfolio.gate_and_condition(F.col("balance"), F.col("balance_gap"), F.col("balance_at"), F.col("mean_gap")))
+    for rule, (open_, inside) in chosen.items():
+        row = n.where(open_).withColumn("inside", inside).agg(F.countDistinct("win").alias("windows"), r(F.avg(F.when(F.col("inside"), F.col("ahead")))).alias("basket"), r(F.avg("ahead")).alias("market")).select(F.lit(rule).alias("rule"), "windows", "basket", "market")
         out = row if out is None else out.union(row)
     return out
 
