@@ -46,7 +46,7 @@ def matrix_of(pdf: pd.DataFrame) -> tuple[np.ndarray, list]:
 
 
 def window_metrics(m: DataFrame, names: list[str], edges_per_task: int = 1_000) -> DataFrame:
-    """``win`` and a double for each metric, for windows of any number of nodes.
+    """``win`` and a double for each metric, for windows whose matrix fits a task (some hundreds of nodes; ``blocks`` is for more).
 
     ``m`` is ``win, pos, node, ret``; a window is width * nodes rows, the unit of work of one task.
     Curvature solves a transport for each edge, so a window's edges are dealt to tasks by
@@ -54,12 +54,14 @@ def window_metrics(m: DataFrame, names: list[str], edges_per_task: int = 1_000)
     """
     matrix, edge = [n for n in names if n in METRICS], [n for n in names if n in EDGE_METRICS]
 
+    chosen = {n: METRICS[n][0] for n in matrix}  # travels with the task, registered metrics too
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x, _ = matrix_of(pdf)
         c = k.correlation(x)
         s = k.off_diagonal(c)
         a = np.abs(s)
-        return pd.DataFrame([{"win": int(pdf["win"].iloc[0])} | {n: METRICS[n][0](x, c, s, a) for n in matrix}])
+        return pd.DataFrame([{"win": int(pdf["win"].iloc[0])} | {n: f(x, c, s, a) for n, f in chosen.items()}])
 
     out = m.select("win", "pos", "node", "ret").groupBy("win").applyInPandas(run, "win int, " + ", ".join(f"`{n}` double" for n in matrix)) if matrix else None
     if edge:

@@ -1,15 +1,17 @@
-"""Registered queries on networks of hundreds of nodes."""
+"""Registered queries on networks of hundreds of nodes, and on kernels called from SQL text."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
 from weftline.catalog import query
+from weftline.functions import surface
 from weftline.operators import blocks, panel, windows
 from weftline.sources.readers import parquet
 from weftline.sources.shared import once
 
-from .base import NETWORK, r
+from . import spectra
+from .base import NETWORK, r, weekly_returns, weekly_windows
 
 #: Groups of parts that are the nodes, months of a window and between two, and nodes of a block.
 NODES, MONTHS, HOP, BLOCK_NODES = 240, 24, 12, 64
@@ -52,3 +54,24 @@ def blocked_attribution(spark, d):
     s = once(blocks.node_sums(wide_windows(spark, d), BLOCK_NODES))
     total = s.groupBy("win").agg(F.sum("tri").alias("total"))
     return s.join(total, "win").select("win", "node", r("tri", 5).alias("tri"), r(F.col("tri") / F.greatest("total", F.lit(1e-12)), 8).alias("share"), r("degree").alias("degree"))
+
+
+@query("WITH " + spectra.INDICES + " SELECT win, round(omega, 5) AS omega, round(absorption, 5) AS absorption, round(erank, 5) AS erank FROM indices")
+def metrics_in_sql(spark, d):
+    """Metrics by name in SQL text (2.15)."""
+    surface.register(spark)
+    m = weekly_windows(spark, d)[0]
+    dates = m.groupBy("win", "pos").agg(F.transform(F.sort_array(F.collect_list(F.struct("node", "ret"))), lambda x: x["ret"]).alias("x"))  # a row of nodes
+    held = dates.groupBy("win").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "x"))), lambda x: x["x"]).alias("returns"))
+    named = ", ".join(f"round(window_metric('{c}', returns), 5) AS {c}" for c in ("omega", "absorption", "erank"))
+    return spark.sql(f"SELECT win, {named} FROM {{held}}", held=held)
+
+
+@query()
+def persistence_in_sql(spark, d):
+    """Loops of the delay vectors of each node's returns by a table function in SQL text; the rows of ``takens_loops`` (N18, 2.15)."""
+    surface.register(spark)
+    ret = weekly_returns(spark, d)
+    v = windows.delay_vectors(ret, "ret", 3, 2, ["node"]).join(panel.axis(ret), "ts")
+    clouds = v.groupBy(F.concat_ws(":", "node", F.floor(F.col("pos") / 30)).alias("key")).agg(F.transform(F.sort_array(F.collect_list(F.struct("ts", "vector"))), lambda x: x["vector"]).alias("points"))  # thirty dates
+    return spark.sql("SELECT key, count(*) AS loops, sum(death - birth) AS length FROM {clouds}, LATERAL persistence(points) WHERE dim = 1 GROUP BY key", clouds=clouds)
