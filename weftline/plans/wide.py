@@ -1,4 +1,4 @@
-"""Registered queries on networks of hundreds of nodes, and on kernels called from SQL text."""
+"""Registered queries on networks of hundreds of nodes, on kernels called from SQL text, and on state kept in event time."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from weftline.functions import surface
 from weftline.operators import blocks, panel, windows
 from weftline.sources.readers import parquet
 from weftline.sources.shared import once
+from weftline.streaming import stateful, streams
 
 from . import spectra
 from .base import NETWORK, r, weekly_returns, weekly_windows
@@ -75,3 +76,15 @@ def persistence_in_sql(spark, d):
     v = windows.delay_vectors(ret, "ret", 3, 2, ["node"]).join(panel.axis(ret), "ts")
     clouds = v.groupBy(F.concat_ws(":", "node", F.floor(F.col("pos") / 30)).alias("key")).agg(F.transform(F.sort_array(F.collect_list(F.struct("ts", "vector"))), lambda x: x["vector"]).alias("points"))  # thirty dates
     return spark.sql("SELECT key, count(*) AS loops, sum(death - birth) AS length FROM {clouds}, LATERAL persistence(points) WHERE dim = 1 GROUP BY key", clouds=clouds)
+
+
+@query("""WITH e AS (SELECT user_id, ts, round(value, 4) / 1000 AS x, row_number() OVER w AS k, sum(round(value, 4) / 1000) OVER w AS equity FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, value)),
+d AS (SELECT *, exp(equity - max(equity) OVER (PARTITION BY user_id ORDER BY k)) - 1 AS drawdown FROM e),
+v AS (SELECT a.user_id, a.k, sum(b.x * b.x * pow(CAST(0.94 AS DOUBLE), a.k - b.k)) / sum(pow(CAST(0.94 AS DOUBLE), a.k - b.k)) AS ewvar FROM e a JOIN e b ON b.user_id = a.user_id AND b.k <= a.k AND b.k > a.k - 60 GROUP BY 1, 2)
+SELECT CAST(user_id AS VARCHAR) AS user_id, CAST(epoch_us(ts) AS BIGINT) AS at, round(ewvar, 6) AS ewvar, round(equity, 6) AS equity, round(drawdown, 6) AS drawdown FROM d JOIN v USING (user_id, k) WHERE ts < (SELECT max(ts) FROM events) - INTERVAL 1 DAY""")
+def stream_series_statistics(spark, d):
+    """Each user's events as a stream: decayed variance, running sum and fall from its peak as state in order of event time (W9, W12, 2.14); events of the last day are still open."""
+    stateful.use_rocks(spark)
+    e = streams.read_events(spark, f"{d}/events.parquet*").select(F.col("user_id").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("ts"), (F.round("value", 4) / 1000).alias("x"))
+    out = streams.replay(stateful.series_statistics(e, "1 day"), "series-statistics")
+    return out.select(F.col("key").alias("user_id"), F.unix_micros("ts").alias("at"), *[r(c).alias(c) for c in ("ewvar", "equity", "drawdown")])
