@@ -4,10 +4,11 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from drained import drain
 from pyspark.sql import functions as F
 
 from weftline.functions import kernels
-from weftline.operators import blocks, credit, draws, filters, inference, metrics, network, panel, portfolio, ranks, scoring, synth, text, windows
+from weftline.operators import blocks, credit, draws, filters, inference, metrics, network, panel, portfolio, ranks, risk, scoring, synth, text, windows
 from weftline.sources import readers
 from weftline.streaming import streams
 
@@ -209,14 +210,14 @@ def test_stream_filter_equals_batch(spark, tmp_path):
     for part in range(3):
         spark.createDataFrame(rows[4 * part : 4 * part + 4], "k string, ts int, x double").coalesce(1).write.mode("append").parquet(str(tmp_path / "s"))
     s = spark.readStream.schema("k string, ts int, x double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "s"))
-    got = {r["ts"]: r["memory"] for r in streams.drain(streams.filtered_stream(s, "k", "ts", "x"), "filtered").collect()}
+    got = {r["ts"]: r["memory"] for r in drain(streams.filtered_stream(s, "k", "ts", "x"), "filtered").collect()}
     want = {r["ts"]: r["memory"] for r in filters.smooth(spark.createDataFrame(rows, "k string, ts int, x double"), "x", ["k"]).collect()}
     assert got == pytest.approx(want)
 
 
 def test_stream_panel(spark, data):
     e = streams.event_panel(spark.readStream.schema(spark.read.parquet(f"{data}/events.parquet").schema).parquet(f"{data}/events.parquet*"))
-    got = streams.drain(e, "panel_stream")
+    got = drain(e, "panel_stream")
     assert set(got.columns) == {"ts", "node", "value"}
 
 
@@ -319,3 +320,27 @@ def test_dynamic_correlation_equals_the_recurrence(spark):
                     for j in range(i + 1, 4):
                         assert got[a, t, f"n{i}", f"n{j}"] == pytest.approx(q[i, j] / np.sqrt(q[i, i] * q[j, j]))
             q = (1 - a - b) * target + a * np.outer(z[t], z[t]) + b * q
+
+
+def test_scenarios_of_known_states(spark):
+    """Quantiles follow the variance of the states; the states with the largest loadings are the concentrated ones."""
+    v = spark.createDataFrame([(w, 4.0) for w in range(40)], "win int, variance double")
+    drawn = risk.scenario_draws(v, 400)
+    assert drawn.select("win").distinct().count() == 20
+    got = {x["quantity"]: x["value"] for x in risk.loss_probabilities(drawn.withColumn("win", F.lit(0)), [-2.0]).collect()}
+    assert got["quantile 0.5"] == pytest.approx(0, abs=0.15) and got["quantile 0.05"] == pytest.approx(-2 * 1.943 * (4 / 6) ** 0.5, rel=0.1)  # Student t of six degrees
+    assert got["loss -2.0"] == pytest.approx(0.134, abs=0.02)
+    states = spark.createDataFrame([(0, 1, [0.9, 0.9, 0.1], [0.1] * 3), (1, 2, [0.5, 0.0, 0.0, 0.5, 0.1, 0.1], [0.1] * 3)], "win int, k int, loadings array<double>, residual array<double>")
+    e = {(x["win"], x["i"], x["j"]): x["rho"] for x in risk.concentrated_states(states, ["a", "b", "c"], 1).collect()}
+    assert e == {(0, "a", "b"): pytest.approx(0.81), (0, "a", "c"): pytest.approx(0.09), (0, "b", "c"): pytest.approx(0.09)}
+    both = {(x["win"], x["i"], x["j"]): x["rho"] for x in risk.concentrated_states(states, ["a", "b", "c"], 2).collect()}
+    assert both[1, "a", "b"] == 0.0 and both[1, "a", "c"] == pytest.approx(0.05) and len(both) == 6
+
+
+def test_portfolio_variance_from_edges(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(30, 5))
+    c, sd = np.corrcoef(x, rowvar=False), x.std(axis=0)
+    edges = spark.createDataFrame([(0, f"n{i}", f"n{j}", float(c[i, j])) for i in range(5) for j in range(i + 1, 5)], "win int, i string, j string, rho double")
+    dev = spark.createDataFrame([(0, f"n{i}", float(sd[i])) for i in range(5)], "win int, node string, sd double")
+    assert risk.equal_weight_variance(edges, dev, ["win"]).first()["variance"] == pytest.approx(x.mean(axis=1).var())

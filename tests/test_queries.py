@@ -5,6 +5,7 @@ import os
 import duckdb
 import pandas as pd
 import pytest
+from drained import drain
 
 from weftline import catalog, plans  # noqa: F401
 from weftline.streaming import streams
@@ -44,6 +45,6 @@ def test_hop_windows_leave_no_memory_table(spark, data, duck):
 
 def test_hop_stream_equals_query(spark, data):
     e = spark.readStream.schema(spark.read.parquet(f"{data}/events.parquet").schema).parquet(f"{data}/events.parquet*").where("event_type = 'purchase'")
-    got = streams.drain(streams.hop_stream(e, "user_id", "event_id", "value", 10, 5), "hops_of_test").toPandas()
+    got = drain(streams.hop_stream(e, "user_id", "event_id", "value", 10, 5), "hops_of_test").toPandas()
     want = catalog.QUERIES["stream_hop_windows"](spark, data).toPandas()
     assert rows(got.assign(mean=got["mean"].round(6))) == rows(want)

@@ -57,12 +57,12 @@ def scenario_variance(states: DataFrame, weights: list[float]) -> DataFrame:
     return states.select("win", (common + own).alias("variance"))
 
 
-def scenario_pit(variances: DataFrame, outcomes: DataFrame, times: int = 500, dof: int = 6, least: int = 20) -> DataFrame:
-    """``win, pit, lo, hi, realised``: each outcome's place among scenarios drawn from the states before it.
+def scenario_draws(variances: DataFrame, times: int = 500, dof: int = 6, least: int = 20) -> DataFrame:
+    """``win, x``: outcomes drawn for each window from the states before it.
 
     A draw takes the variance of a past window at random, times a Student-t number of unit variance
-    (``dof`` is even). ``variances`` is ``win, variance`` and ``outcomes`` ``win, realised``; windows with
-    ``least`` earlier ones take part. Each draw is a row that meets its past window by an equi-join.
+    (``dof`` is even). ``variances`` is ``win, variance``; windows with ``least`` earlier ones take part.
+    Each draw is a row that meets its past window by an equi-join.
     """
     v = variances.withColumn("at", F.row_number().over(Window.orderBy("win")) - 1)  # a row for each window
     rows = v.where(F.col("at") >= least).select("win", "at", F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias("d"))
@@ -70,10 +70,32 @@ def scenario_pit(variances: DataFrame, outcomes: DataFrame, times: int = 500, do
     of_past = F.floor(draws.uniform(number) * F.col("at")).cast("int")
     chi = -2 * sum((F.log(draws.uniform(number + 4 + i)) for i in range(dof // 2)), F.lit(0.0))
     t = draws.normal((number / 2).cast("long") + 1) * F.sqrt((dof - 2) / chi)
-    drawn = rows.select("win", of_past.alias("past"), t.alias("t")).join(v.select(F.col("at").alias("past"), "variance"), "past").select("win", (F.col("t") * F.sqrt("variance")).alias("x"))
-    both = drawn.join(outcomes, "win")
+    return rows.select("win", of_past.alias("past"), t.alias("t")).join(v.select(F.col("at").alias("past"), "variance"), "past").select("win", (F.col("t") * F.sqrt("variance")).alias("x"))
+
+
+def scenario_pit(variances: DataFrame, outcomes: DataFrame, times: int = 500, dof: int = 6, least: int = 20) -> DataFrame:
+    """``win, pit, lo, low, high, hi, realised``: each outcome's place among ``scenario_draws`` and the ends of their middle 95 and 50 %. ``outcomes`` is ``win, realised``."""
+    both = scenario_draws(variances, times, dof, least).join(outcomes, "win")
     share = F.avg((F.col("x") <= F.col("realised")).cast("double"))
-    return both.groupBy("win").agg(share.alias("pit"), F.percentile("x", 0.025).alias("lo"), F.percentile("x", 0.975).alias("hi"), F.max("realised").alias("realised"))
+    ends = [F.percentile("x", q).alias(c) for c, q in (("lo", 0.025), ("low", 0.25), ("high", 0.75), ("hi", 0.975))]
+    return both.groupBy("win").agg(share.alias("pit"), *ends, F.max("realised").alias("realised"))
+
+
+def loss_probabilities(drawn: DataFrame, losses: list[float]) -> DataFrame:
+    """``win, quantity, value``: quantiles of the draws and how likely an outcome is as bad as each of ``losses``."""
+    quantities = {f"quantile {q}": F.percentile("x", q) for q in (0.01, 0.05, 0.25, 0.5)} | {f"loss {v}": F.avg((F.col("x") <= v).cast("double")) for v in losses}
+    wide = drawn.groupBy("win").agg(*[c.alias(name) for name, c in quantities.items()])
+    return wide.unpivot("win", [f"`{q}`" for q in quantities], "quantity", "value")
+
+
+def concentrated_states(states: DataFrame, nodes: list[str], count: int) -> DataFrame:
+    """``win, i, j, rho``: what the factors alone correlate, in the ``count`` states whose factors carry most variance."""
+    total = F.aggregate(F.transform("loadings", lambda x: x * x), F.lit(0.0), lambda a, b: a + b)
+    most = states.withColumn("_c", F.round(total, 9)).orderBy(F.desc("_c"), "win").limit(count)
+    of = lambda i: F.slice("loadings", F.lit(i) * F.col("k") + 1, F.col("k"))
+    dot = lambda i, j: F.aggregate(F.zip_with(of(i), of(j), lambda x, y: x * y), F.lit(0.0), lambda a, b: a + b)
+    edges = [F.struct(F.lit(nodes[i]).alias("i"), F.lit(nodes[j]).alias("j"), dot(i, j).alias("rho")) for i in range(len(nodes)) for j in range(i + 1, len(nodes))]
+    return most.select("win", F.explode(F.array(*edges)).alias("e")).select("win", "e.i", "e.j", "e.rho")
 
 
 def off_diagonal_error(forecast: DataFrame, truth: DataFrame) -> DataFrame:

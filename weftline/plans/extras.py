@@ -103,23 +103,39 @@ def weight_kinds(spark, d):
 
 @query()
 def scenario_coverage(spark, d):
-    """Interval coverage and distance from uniform of outcomes among scenarios."""
+    """Coverage of the middle 95 and 50 % of scenarios, and the outcomes' distance from uniform among them."""
     from .panels import factor_scenarios
 
     p = once(factor_scenarios(spark, d)).withColumn("one", F.lit(1))
     ks = inference.uniform_distance(p, "pit", ["one"])
-    cover = p.groupBy("one").agg(F.avg(F.col("realised").between(F.col("lo"), F.col("hi")).cast("double")).alias("coverage95"), F.avg("pit").alias("mean_pit"))
+    within = lambda a, b: F.avg(F.col("realised").between(F.col(a), F.col(b)).cast("double"))
+    cover = p.groupBy("one").agg(within("lo", "hi").alias("coverage95"), within("low", "high").alias("coverage50"), F.avg("pit").alias("mean_pit"))
     return ks.join(cover, "one").drop("one")
 
 
+def equal_states(spark, d):
+    """Factor states of all windows, and the variance that each gives an equal-weight portfolio."""
+    ret = once(weekly_returns(spark, d))
+    nodes = sorted(x["node"] for x in ret.select("node").distinct().collect())  # a matrix's columns
+    a = panel.axis(ret)
+    states = once(risk.factor_states(windows.members(ret, a, 20, 3)))
+    return states, risk.scenario_variance(states, [1 / len(nodes)] * len(nodes)), nodes
+
+
+@query()
+def scenario_losses(spark, d):
+    """The last window's scenarios: quantiles and how likely losses are."""
+    drawn = once(risk.scenario_draws(equal_states(spark, d)[1]))
+    last = drawn.agg(F.max("win").alias("win"))
+    return risk.loss_probabilities(drawn.join(F.broadcast(last), "win"), [-0.05, -0.1])  # one row
+
+
 @query()
 def tail_attribution(spark, d):
-    """Mean share of triangle mass by node over the windows of highest scenario variance."""
-    m, _ = weekly_windows(spark, d)
-    v = risk.scenario_variance(risk.factor_states(m), [1 / 6] * 6).orderBy(F.col("variance").desc(), "win").limit(30)
-    t = network.node_triangles(once(network.correlations(m))).join(F.broadcast(v), "win")  # thirty rows
-    share = F.col("tri") / F.greatest(F.sum("tri").over(Window.partitionBy("win")), F.lit(1e-12))
-    return t.withColumn("share", share).groupBy("node").agg(F.avg("share").alias("share"), F.count(F.lit(1)).alias("windows"))
+    """Triangle mass by node of what the factors correlate, in the thirty states whose factors carry most."""
+    states, _, nodes = equal_states(spark, d)
+    t = network.node_triangles(once(risk.concentrated_states(states, nodes, 30)))
+    return t.groupBy("node").agg(F.sum("tri").alias("mass"), F.count(F.lit(1)).alias("windows"))
 
 
 def diffusing_sql(kind: str, widening: str) -> str:

@@ -10,7 +10,7 @@ from weftline.catalog import query
 from weftline.operators import panel
 from weftline.sources import readers
 from weftline.sources.readers import parquet
-from weftline.sources.shared import folder
+from weftline.sources.shared import folder, taken
 
 from .base import PANEL, nation_weekly, r, weekly
 from .series import NATION
@@ -27,7 +27,7 @@ def wide_csv_panel(spark, d):
     p = weekly(spark, d)
     nodes = sorted(x["node"] for x in p.select("node").distinct().collect())  # as many as a file has columns
     readers.write_series(panel.wide(p, nodes), path)
-    return readers.wide_csv(spark, path, "ts", nodes).where(F.col("value").isNotNull()).select("ts", "node", r("value", 2).alias("value"))
+    return taken(readers.wide_csv(spark, path, "ts", nodes).where(F.col("value").isNotNull()).select("ts", "node", r("value", 2).alias("value")), path)
 
 
 @query(f"WITH {NATION} SELECT ts, node, round(value, 2) AS value FROM panel")
@@ -38,7 +38,7 @@ def long_csv_panel(spark, d):
     late = F.col("Day") >= F.lit("1998-06-01").cast("date")
     for path, part in zip(paths, (~late, late), strict=True):
         readers.write_series(p.where(part), path, text="note")
-    return readers.long_csv(spark, paths, "Day", "Ticker", "Close").select("ts", "node", r("value", 2).alias("value"))
+    return taken(readers.long_csv(spark, paths, "Day", "Ticker", "Close").select("ts", "node", r("value", 2).alias("value")), *paths)
 
 
 QUARTERS = "SELECT lower(c_mktsegment) AS company, 'tag' || o_orderstatus AS tag, CAST(date_trunc('quarter', o_orderdate) + INTERVAL 3 MONTH - INTERVAL 1 DAY AS DATE) AS quarter_end, round(sum(o_totalprice), 2) AS value FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3"
@@ -57,7 +57,7 @@ def company_facts_panel(spark, d):
     json = by_tag.groupBy("company").agg(F.map_from_entries(F.collect_list(entry)).alias("tags")).select("company", F.to_json(F.struct(F.create_map(F.lit("gaap"), F.col("tags")).alias("facts"))).alias("json"))
     path = fresh(spark, "facts")
     json.write.json(path)
-    return readers.company_facts(spark.read.schema("company string, json string").json(path))
+    return taken(readers.company_facts(spark.read.schema("company string, json string").json(path)), path)
 
 
 @query("""WITH m AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS d, round(sum(o_totalprice), 2) AS v FROM orders GROUP BY 1)
@@ -67,4 +67,4 @@ def macro_quarters(spark, d):
     m = parquet(spark, d, "orders").groupBy(F.trunc("o_orderdate", "month").alias("DATE")).agg(F.round(F.sum("o_totalprice"), 2).alias("v"))
     path = fresh(spark, "macro")
     readers.write_series(m.select("DATE", F.when(F.month("DATE") % 5 != 0, F.col("v").cast("decimal(20,2)").cast("string")).otherwise(".").alias("GDP")), path)
-    return readers.macro_series(spark.read.option("header", True).schema("DATE string, GDP string").csv(path)).select("quarter", "value")
+    return taken(readers.macro_series(spark.read.option("header", True).schema("DATE string, GDP string").csv(path)).select("quarter", "value"), path)

@@ -230,12 +230,12 @@ def shrinkage_targets(spark, d):
 
 @query()
 def factor_scenarios(spark, d):
-    """Factor states, scenario variances and the place of each outcome among scenarios."""
-    m, _ = weekly_windows(spark, d)
+    """Factor states, scenario variances and the place among scenarios of what came next: the mean of the nodes' next returns, each over its deviation in the window."""
+    m, ends = weekly_windows(spark, d)
     v = risk.scenario_variance(risk.factor_states(m), [1 / 6] * 6)
-    w = Window.partitionBy("win")
-    out = m.groupBy("win", "pos").agg(F.avg("ret").alias("ret")).withColumn("sd", F.stddev_samp("ret").over(w))
-    return risk.scenario_pit(v, out.groupBy("win").agg((F.max_by("ret", "pos") / F.max("sd")).alias("realised")))
+    after = windows.ahead(m, ends, weekly_returns(spark, d), 1)
+    sd = m.groupBy("win", "node").agg(F.stddev_samp("ret").alias("sd"))
+    return risk.scenario_pit(once(v), once(after.join(sd, ["win", "node"]).groupBy("win").agg(F.avg(F.col("ahead") / F.col("sd")).alias("realised"))))
 
 
 @query(f"WITH {EDGES} SELECT b.win, round(sqrt(avg((a.rho - b.rho) ^ 2)), 6) AS rmse FROM edges a JOIN edges b ON b.win = a.win + 7 AND a.i = b.i AND a.j = b.j GROUP BY b.win")

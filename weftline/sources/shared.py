@@ -25,3 +25,18 @@ def once(df: DataFrame) -> DataFrame:
     """``df`` made once, in the shared folder."""
     folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared store, whichever it is."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def taken(df: DataFrame, *paths: str) -> DataFrame:
+    """``df`` made once, and then the folders that it was read from removed, also if it fails."""
+    try:
+        return once(df)
+    finally:
+        for path in paths:
+            remove(df.sparkSession, path)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from weftline.operators.filters import DOWN, UP
-from weftline.sources.shared import folder
+from weftline.sources.shared import folder, taken
 
 
 def read_events(spark: SparkSession, folder: str, per_trigger: int = 1) -> DataFrame:
@@ -71,16 +71,8 @@ def hop_stream(series: DataFrame, key: str, order: str, value: str, width: int,
 
 
 def replay(df: DataFrame, name: str) -> DataFrame:
-    """Runs an append-mode stream over all there is into Parquet in the shared folder, its progress kept beside it, and reads the rows back."""
+    """Runs an append-mode stream over all there is into Parquet in the shared folder, its progress kept beside it, and takes the rows from there; the folder goes."""
     spark, base = df.sparkSession, f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     q = df.writeStream.outputMode("append").format("parquet").option("path", f"{base}/rows").option("checkpointLocation", f"{base}/progress").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{base}/rows")
-
-
-def drain(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what there is into a memory table, which the driver holds: for tests only (``replay`` is for tables)."""
-    spark = df.sparkSession
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    return taken(spark.read.schema(df.schema).parquet(f"{base}/rows"), base)
