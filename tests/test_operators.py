@@ -344,3 +344,9 @@ def test_portfolio_variance_from_edges(spark):
     edges = spark.createDataFrame([(0, f"n{i}", f"n{j}", float(c[i, j])) for i in range(5) for j in range(i + 1, 5)], "win int, i string, j string, rho double")
     dev = spark.createDataFrame([(0, f"n{i}", float(sd[i])) for i in range(5)], "win int, node string, sd double")
     assert risk.equal_weight_variance(edges, dev, ["win"]).first()["variance"] == pytest.approx(x.mean(axis=1).var())
+
+
+def test_shrinkage_strength_is_chosen_before_it_is_judged(spark):
+    rows = [(w, "t", a, v) for w in range(6) for a, v in ((0.2, 1.0 if w < 3 else 9.0), (0.8, 2.0 if w < 3 else 4.0))]
+    got = risk.chosen_strengths(spark.createDataFrame(rows, "win int, target string, alpha double, variance double")).collect()
+    assert [(g["target"], g["alpha"], g["windows"], g["realised"]) for g in got] == [("t", 0.2, 3, 3.0)]

@@ -216,16 +216,25 @@ def exposure_rules(spark, d):
     return portfolio.performance(long, "ret", ["rule"], 52.0).select("rule", *[r(c).alias(c) for c in ("annual", "volatility", "max_drawdown", "sharpe")])
 
 
-@query()
-def shrinkage_targets(spark, d):
-    """Realised variance of minimum-variance portfolios by shrinkage target and strength."""
-    ret = weekly_returns(spark, d)
+def shrinkage(spark, d) -> DataFrame:
+    ret = once(weekly_returns(spark, d))
     a = panel.axis(ret)
     m = windows.members(ret, a, 60, 30)
     ends = windows.hops(a, 60, 30)
     ahead = ends.withColumn("pos", F.explode(F.sequence("end", F.col("end") + 20))).join(ret.join(a, "ts"), "pos")
-    g = risk.shrinkage_grid(m, ahead, [0.2, 0.5, 0.8])
-    return g.groupBy("target", "alpha").agg(F.count(F.lit(1)).alias("windows"), F.sqrt(F.avg("variance")).alias("realised"))
+    return once(risk.shrinkage_grid(m, ahead, [0.2, 0.5, 0.8]))
+
+
+@query()
+def shrinkage_targets(spark, d):
+    """Realised variance of minimum-variance portfolios by shrinkage target and strength."""
+    return shrinkage(spark, d).groupBy("target", "alpha").agg(F.count(F.lit(1)).alias("windows"), F.sqrt(F.avg("variance")).alias("realised"))
+
+
+@query()
+def shrinkage_choice(spark, d):
+    """The strength chosen on the first half of the windows and what it realises on the second, by target."""
+    return risk.chosen_strengths(shrinkage(spark, d))
 
 
 @query()

@@ -139,9 +139,16 @@ rk AS (SELECT k, rank() OVER (PARTITION BY k ORDER BY a) + (count(*) OVER (PARTI
 c AS (SELECT k, count(*) AS n, corr(ra, rb) AS rho FROM rk GROUP BY k)"""
 
 
-def _leadlag(spark, d):
-    v = index_series(spark, d).select(F.row_number().over(Window.orderBy("win")).alias("pos"), F.round("gapless", 9).alias("a"), F.round("mean_abs_corr", 9).alias("b"))
-    return inference.lead_lag(v, "a", "b", -6, 6)
+#: The same of first differences.
+LEADLAG_CHANGES = LEADLAG.replace("p AS (SELECT k, v.a", "dv AS (SELECT pos, round(a - lag(a) OVER (ORDER BY pos), 9) AS a, round(b - lag(b) OVER (ORDER BY pos), 9) AS b FROM v QUALIFY pos > 1),\np AS (SELECT k, v.a").replace("FROM v CROSS JOIN unnest(range(-6, 7)) g(k) JOIN v t", "FROM dv v CROSS JOIN unnest(range(-6, 7)) g(k) JOIN dv t")
+
+
+def _leadlag(spark, d, changes: bool = False):
+    w = Window.orderBy("win")  # a row for each window
+    v = index_series(spark, d).select("win", F.row_number().over(w).alias("pos"), F.round("gapless", 9).alias("a"), F.round("mean_abs_corr", 9).alias("b"))
+    if changes:
+        v = v.select("win", "pos", *[F.round(F.col(c) - F.lag(c).over(w), 9).alias(c) for c in "ab"]).where("pos > 1")
+    return inference.lead_lag(v.drop("win"), "a", "b", -6, 6)
 
 
 @query(LEADLAG + " SELECT k, n, round(rho, 6) AS rho FROM c")
@@ -154,6 +161,17 @@ def leadlag_summary(spark, d):
     return inference.lead_lag_summary(_leadlag(spark, d)).select(F.col("k").cast("long").alias("k"), "n", r("rho").alias("rho"), r("band").alias("band"), "role")
 
 
+@query(LEADLAG_CHANGES + " SELECT k, n, round(rho, 6) AS rho FROM c")
+def leadlag_changes(spark, d):
+    """Lead and lag of first differences, in which a common trend plays no part."""
+    return _leadlag(spark, d, True).select(F.col("k").cast("long").alias("k"), "n", r("rho").alias("rho"))
+
+
+@query(LEADLAG_CHANGES + ", t AS (SELECT * FROM c ORDER BY abs(rho) DESC, abs(k) LIMIT 1) SELECT k, n, round(rho, 6) AS rho, round(1.96 / sqrt(n), 6) AS band, CASE WHEN abs(k) <= 2 THEN 'coincident' WHEN k > 0 THEN 'leads' ELSE 'lags' END AS role FROM t")
+def leadlag_changes_summary(spark, d):
+    return inference.lead_lag_summary(_leadlag(spark, d, True)).select(F.col("k").cast("long").alias("k"), "n", r("rho").alias("rho"), r("band").alias("band"), "role")
+
+
 @query(f"""WITH {FACTORS}, v AS (SELECT win, round(gapless, 9) AS x, round(mean_abs_corr, 9) AS y FROM idx), q AS (SELECT quantile_cont(x, [0.2, 0.4, 0.6, 0.8]) AS q FROM v),
 b AS (SELECT CASE WHEN x <= q[1] THEN 1 WHEN x <= q[2] THEN 2 WHEN x <= q[3] THEN 3 WHEN x <= q[4] THEN 4 ELSE 5 END AS bin, y FROM v, q), m AS (SELECT bin, count(*) AS n, avg(y) AS y FROM b GROUP BY bin)
 SELECT bin, n, round(y, 6) AS mean_y, coalesce(y > lag(y) OVER (ORDER BY bin), true) AS rising FROM m""")
