@@ -350,3 +350,17 @@ def test_shrinkage_strength_is_chosen_before_it_is_judged(spark):
     rows = [(w, "t", a, v) for w in range(6) for a, v in ((0.2, 1.0 if w < 3 else 9.0), (0.8, 2.0 if w < 3 else 4.0))]
     got = risk.chosen_strengths(spark.createDataFrame(rows, "win int, target string, alpha double, variance double")).collect()
     assert [(g["target"], g["alpha"], g["windows"], g["realised"]) for g in got] == [("t", 0.2, 3, 3.0)]
+
+
+def test_turned_series(spark):
+    """Series that move together are never reached when turned; the correlation is that of the rows as they are."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=60)
+    y = {"same": x + 0.1 * rng.normal(size=60), "other": rng.normal(size=60)}
+    rows = spark.createDataFrame([(k, p, float(x[p]), float(v[p])) for k, v in y.items() for p in range(60)], "k string, pos int, x double, y double")
+    got = {g["k"]: g for g in inference.shift_test(rows, "x", "y", ["k"], 40).collect()}
+    for k, v in y.items():
+        own = round(float(np.corrcoef(x, v)[0, 1]), 9)
+        turned = [abs(round(float(np.corrcoef(x, np.roll(v, -s))[0, 1]), 9)) for s in range(1, 41)]
+        assert got[k]["rho"] == pytest.approx(own) and got[k]["p"] == pytest.approx((1 + sum(t >= abs(own) for t in turned)) / 41)
+    assert got["same"]["p"] == pytest.approx(1 / 41)

@@ -54,6 +54,23 @@ def holm(tests: DataFrame, p: str = "p", alpha: float = 0.05, part: list[str] |
     return t.withColumn("holm", ok == 1)
 
 
+def shift_test(rows: DataFrame, x: str, y: str, part: list[str], shifts: int = 200) -> DataFrame:
+    """``part, rho, p``: the correlation of two series of each group, and how often it is reached when one is turned around by 1 to ``shifts`` rows.
+
+    ``rows`` is ``part, pos, x, y`` with pos from 0 without gaps. Turning keeps each series' own
+    dependence on its past. Rows grow with the calendar times the shifts.
+    """
+    n = F.count(F.lit(1)).over(Window.partitionBy(*part))
+    left = rows.select(*part, "pos", F.col(x).alias("_x"), n.alias("_n")).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(shifts))))
+    left = left.select(*part, "_s", "_x", ((F.col("pos") + F.col("_s")) % F.col("_n")).alias("_at"))
+    met = left.join(rows.select(*part, F.col("pos").alias("_at"), F.col(y).alias("_y")), [*part, "_at"])
+    rho = met.groupBy(*part, "_s").agg(F.round(F.corr("_x", "_y"), 9).alias("_rho"))
+    own = F.max(F.when(F.col("_s") == 0, F.col("_rho")))
+    seen = rho.groupBy(*part).agg(own.alias("rho"), F.collect_list(F.when(F.col("_s") > 0, F.abs("_rho"))).alias("_all"))  # as many as there are shifts
+    reached = F.size(F.filter("_all", lambda v: v >= F.abs("rho")))
+    return seen.select(*part, "rho", ((reached + 1) / (F.size("_all") + 1)).alias("p"))
+
+
 def spearman(df: DataFrame, a: str, b: str, part: list[str]) -> DataFrame:
     """``pearson`` and ``spearman`` of complete pairs; null without variance."""
     both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull() & ~F.isnan(a) & ~F.isnan(b))

@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from weftline import catalog
 from weftline.catalog import query
-from weftline.operators import draws, filters, inference, network, portfolio, ranks, scoring, windows
+from weftline.operators import draws, filters, inference, network, panel, portfolio, ranks, scoring, windows
 from weftline.sources.readers import parquet
 from weftline.sources.shared import once
 
@@ -115,14 +115,19 @@ def block_bootstrap_df1(spark, d):
     return out.select("*", r(inference.one_sided(F.col("p"), F.col("mean"))).alias("p_sided"), inference.verdict(F.col("mean"), F.col("lo"), F.col("hi"), 0.05).alias("verdict"))
 
 
-TESTS = [("a", 0.001), ("b", 0.004), ("c", 0.011), ("d", 0.013), ("e", 0.03), ("f", 0.2)]
-
-
-@query("""WITH t(test, p) AS (VALUES ('a', 0.001), ('b', 0.004), ('c', 0.011), ('d', 0.013), ('e', 0.03), ('f', 0.2)),
-h AS (SELECT test, CAST(p AS DOUBLE) AS p, CAST(0.05 AS DOUBLE) / (count(*) OVER () - row_number() OVER (ORDER BY p, test) + 1) AS threshold FROM t)
-SELECT test, p, round(threshold, 9) AS threshold, bool_and(p <= threshold) OVER (ORDER BY p, test ROWS UNBOUNDED PRECEDING) AS holm FROM h""")
+@query(f"""WITH {RETURNS}, x AS (SELECT node AS test, pos, round(ret, 9) AS x, round((sum(ret) OVER (PARTITION BY ts) - ret) / (count(*) OVER (PARTITION BY ts) - 1), 9) AS y FROM rets JOIN axis USING (ts)),
+c AS (SELECT a.test, s, round(corr(a.x, b.y), 9) AS rho FROM x a, range(0, 201) t(s), x b WHERE b.test = a.test AND b.pos = (a.pos + s) % (SELECT n FROM n) GROUP BY 1, 2),
+o AS (SELECT test, rho FROM c WHERE s = 0), t AS (SELECT o.test, o.rho, (1 + count(*) FILTER (abs(c.rho) >= abs(o.rho))) / 201.0::DOUBLE AS p FROM o JOIN c ON c.test = o.test AND s > 0 GROUP BY 1, 2),
+h AS (SELECT test, rho, p, CAST(0.05 AS DOUBLE) / (count(*) OVER () - row_number() OVER (ORDER BY round(p, 9), test) + 1) AS threshold FROM t)
+SELECT test, round(rho, 6) AS rho, round(p, 6) AS p, round(threshold, 9) AS threshold, bool_and(p <= threshold) OVER (ORDER BY round(p, 9), test ROWS UNBOUNDED PRECEDING) AS holm FROM h""")
 def holm_step_down(spark, d):
-    return inference.holm(spark.createDataFrame(TESTS, "test string, p double")).select("test", "p", r("threshold", 9).alias("threshold"), "holm")
+    """Whether each node moves with the mean of the others, by turning its series around, over all nodes by Holm's step-down."""
+    ret = weekly_returns(spark, d)
+    day = Window.partitionBy("ts")
+    others = (F.sum("ret").over(day) - F.col("ret")) / (F.count(F.lit(1)).over(day) - 1)
+    x = once(ret.join(F.broadcast(panel.axis(ret)), "ts").select(F.col("node").alias("test"), "pos", F.round("ret", 9).alias("x"), F.round(others, 9).alias("y")))  # a calendar
+    t = inference.shift_test(x, "x", "y", ["test"]).withColumn("p", F.round("p", 9))
+    return inference.holm(t).select("test", r("rho").alias("rho"), r("p").alias("p"), r("threshold", 9).alias("threshold"), "holm")
 
 
 @query(f"""WITH {FACTORS}, v AS (SELECT round(gapless, 9) AS a, round(mean_abs_corr, 9) AS b FROM idx),

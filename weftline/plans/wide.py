@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from weftline.catalog import query
 from weftline.functions import surface
-from weftline.operators import blocks, panel, windows
+from weftline.operators import blocks, metrics, panel, windows
 from weftline.sources.readers import parquet
 from weftline.sources.shared import once
 from weftline.streaming import stateful, streams
 
 from . import spectra
-from .base import NETWORK, r, weekly_returns, weekly_windows
+from .base import EDGES, NETWORK, r, weekly_returns, weekly_windows
 
 #: Groups of parts that are the nodes, months of a window and between two, and nodes of a block.
 NODES, MONTHS, HOP, BLOCK_NODES = 240, 24, 12, 64
@@ -88,3 +88,19 @@ def stream_series_statistics(spark, d):
     e = streams.read_events(spark, f"{d}/events.parquet*").select(F.col("user_id").cast("string").alias("key"), F.col("ts").cast("timestamp").alias("ts"), (F.round("value", 4) / 1000).alias("x"))
     out = streams.replay(stateful.series_statistics(e, "1 day"), "series-statistics")
     return out.select(F.col("key").alias("user_id"), F.unix_micros("ts").alias("at"), *[r(c).alias(c) for c in ("ewvar", "equity", "drawdown")])
+
+
+#: Steps of the power iteration that finds the first eigenvector in SQL.
+STEPS = 600
+
+
+@query(f"""WITH RECURSIVE {EDGES}, cells AS (SELECT win, i, j, rho FROM both_ways UNION ALL SELECT DISTINCT win, i, i, 1.0 FROM both_ways),
+rws AS (SELECT win, i, list(rho ORDER BY j) AS rw FROM cells GROUP BY 1, 2), mat AS (SELECT win, list(rw ORDER BY i) AS m, list(i ORDER BY i) AS nodes FROM rws GROUP BY 1),
+it(win, step, v) AS (SELECT win, 0, list_transform(range(len(m)), lambda k: 1.0 + 0.1::DOUBLE * k) FROM mat
+ UNION ALL SELECT win, step + 1, list_transform(u, lambda x: x / sqrt(list_dot_product(u, u))) FROM (SELECT it.win, step, list_transform(m, lambda rw: list_dot_product(rw, v)) AS u FROM it JOIN mat USING (win) WHERE step < {STEPS}))
+SELECT win, unnest(nodes) AS node, round(unnest(list_transform(v, lambda x: abs(x))), 4) AS first, round(unnest(list_transform(v, lambda x: abs(x) / list_sum(list_transform(v, lambda y: abs(y))))), 4) AS share FROM it JOIN mat USING (win) WHERE step = {STEPS}""")
+def spectral_attribution(spark, d):
+    """Each node's weight in its window's first factor, and its share of all."""
+    s = metrics.node_scores(weekly_windows(spark, d)[0], (1,))
+    total = s.groupBy("win").agg(F.sum("spectral_1").alias("total"))
+    return s.join(total, "win").select("win", "node", r("spectral_1", 4).alias("first"), r(F.col("spectral_1") / F.col("total"), 4).alias("share"))
