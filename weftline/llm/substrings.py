@@ -13,6 +13,7 @@ have is compared with one block by each, never in pairs.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -242,25 +243,28 @@ def departures(g: np.ndarray, open_windows: np.ndarray, places: dict[int, tuple[
         return []
     reach = WINDOW - GROUP
     at = open_windows + np.lib.stride_tricks.sliding_window_view(g, reach + 1)[open_windows].argmin(axis=1)
-    left, right = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
-    for a in np.unique(at).tolist():
+    met, of = np.unique(at, return_inverse=True)
+    ends = np.empty((len(met), 2), np.int64)  # the words on both sides of an anchor where its block differs
+    for i, a in enumerate(met.tolist()):
         held, q = places[int(g[a])]
         x, y = text[a + GROUP : a + WINDOW], held[q + GROUP : q + WINDOW]
         n = min(len(x), len(y))
         off = np.flatnonzero(x[:n] != y[:n])
-        right[at == a] = a + GROUP + (off[0] if len(off) else n)
+        ends[i, 1] = a + GROUP + (off[0] if len(off) else n)
         x, y = text[max(0, a - reach) : a][::-1], held[max(0, q - reach) : q][::-1]
         n = min(len(x), len(y))
         off = np.flatnonzero(x[:n] != y[:n])
-        left[at == a] = a - 1 - (off[0] if len(off) else n)
+        ends[i, 0] = a - 1 - (off[0] if len(off) else n)
+    left, right = ends[of].T
     beyond = right < open_windows + WINDOW
     leaves = beyond | (left >= open_windows)
     w = open_windows[leaves]
     key = (g[at[leaves]] * np.uint64(MIX)) ^ g[np.where(beyond, right - GROUP + 1, left)[leaves]]
     if not len(w):
         return []
-    ends = np.flatnonzero((np.diff(w) > 1) | (key[1:] != key[:-1]))
-    return [{"k": int(k), "a": int(a), "b": int(b)} for k, a, b in zip(key.view(np.int64)[np.concatenate([[0], ends + 1])], w[np.concatenate([[0], ends + 1])], w[np.concatenate([ends, [len(w) - 1]])], strict=True)]
+    cuts = np.flatnonzero((np.diff(w) > 1) | (key[1:] != key[:-1]))
+    first, last = np.concatenate([[0], cuts + 1]), np.concatenate([cuts, [len(w) - 1]])
+    return [{"k": k, "a": a, "b": b} for k, a, b in zip(key.view(np.int64)[first].tolist(), w[first].tolist(), w[last].tolist(), strict=True)]
 
 
 def parse(texts: DataFrame) -> DataFrame:
@@ -283,13 +287,13 @@ def parse(texts: DataFrame) -> DataFrame:
         parts = joined([(x["t"], x["b"], x["words"].split()) for x in blocks])
         ref = Reference(short(ws), [x[2] for x in parts])
         repeated = windows_in(ref.passages(), len(a)) if parts else np.zeros(len(a), bool)
-        starts = np.cumsum([0, *(len(x[2]) + 1 for x in parts)]).tolist()
+        starts, begins = np.cumsum([0, *(len(x[2]) + 1 for x in parts)]).tolist(), [x[:2] for x in parts]
         places = {}
         for x in hits:
             if x["side"] == 0:
                 places[x["h"] & (1 << 64) - 1] = ref.text, x["p"]
             else:
-                i = next(i for i, (t, begin, b) in enumerate(parts) if t == x["t"] and begin <= x["p"] < begin + len(b))
+                i = bisect_right(begins, (x["t"], x["p"])) - 1  # blocks come by text and place
                 places[x["h"] & (1 << 64) - 1] = ref.held[starts[i] : starts[i + 1] - 1], x["p"] - parts[i][1]
         key = np.array([x["h"] for x in hits], dtype=np.int64).view(np.uint64)
         order = np.argsort(key)
