@@ -3,7 +3,6 @@
 import datetime as dt
 
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, In, LessThan, StringContains
 
 from weftline.operators import text
 from weftline.sources import filings
@@ -20,26 +19,20 @@ def folder(tmp_path):
     return f"file://{tmp_path}"
 
 
-def test_files_are_pruned_before_they_are_opened(tmp_path):
-    reader = filings.FilingsReader(folder(tmp_path), 2)
-    assert [len(p.files) for p in reader.partitions()] == [2, 2, 2, 2, 1]
-    left = list(reader.pushFilters([In(("company",), ("ACME", "CORE")), GreaterThanOrEqual(("filed",), dt.date(2022, 1, 1)), StringContains(("text",), "x")]))
-    assert [type(f) for f in left] == [StringContains]
-    assert [(n.company, n.filed.year) for p in reader.partitions() for n in p.files] == [("ACME", 2022), ("ACME", 2023), ("CORE", 2022), ("CORE", 2023)]
-    assert not list(reader.pushFilters([EqualTo(("company",), "ACME"), LessThan(("filed",), dt.date(2020, 1, 1))]))
-    assert [p.files for p in reader.partitions()] == [[]]
+def test_files_are_chosen_before_they_are_opened(tmp_path):
+    path, first, last = folder(tmp_path), dt.date.min, dt.date.max
+    assert [len(p.files) for p in filings.FilingsReader(path, 2, set(), first, last).partitions()] == [2, 2, 2, 2, 1]
+    some = filings.FilingsReader(path, 2, {"ACME", "CORE"}, dt.date(2022, 3, 31), last).partitions()
+    assert [(n.company, n.filed.year) for p in some for n in p.files] == [("ACME", 2022), ("ACME", 2023), ("CORE", 2022), ("CORE", 2023)]
+    assert [p.files for p in filings.FilingsReader(path, 2, {"ACME"}, first, dt.date(2020, 1, 1)).partitions()] == [[]]
 
 
 def test_filings_by_company_and_day(spark, tmp_path):
-    spark.dataSource.register(filings.Filings)
-    before = spark.conf.get("spark.sql.python.filterPushdown.enabled")
     path = folder(tmp_path)
-    try:
-        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-        df = spark.read.format("filings").option("filesPerTask", 1).load(path)
-        some = df.where((F.col("company") == "BOLT") & (F.col("filed") >= F.lit("2022-01-01").cast("date")))
-        got = some.select("company", "filed", "base", text.commenced_amount(F.col("text")).alias("amount"), F.col("text").endswith("ñ").alias("whole")).orderBy("filed").collect()
-        assert [tuple(g) for g in got] == [("BOLT", dt.date(2022, 3, 31), "10-Q", 2500.0, True), ("BOLT", dt.date(2023, 3, 31), "10-Q", 3500.0, True)]
-        assert some.rdd.getNumPartitions() == 2 and df.rdd.getNumPartitions() == 9
-    finally:
-        spark.conf.set("spark.sql.python.filterPushdown.enabled", before)
+    some = filings.load(spark, path, ["BOLT"], since=dt.date(2022, 1, 1), files_per_task=1)
+    got = some.select("company", "filed", "base", text.commenced_amount(F.col("text")).alias("amount"), F.col("text").endswith("ñ").alias("whole")).orderBy("filed").collect()
+    assert [tuple(g) for g in got] == [("BOLT", dt.date(2022, 3, 31), "10-Q", 2500.0, True), ("BOLT", dt.date(2023, 3, 31), "10-Q", 3500.0, True)]
+    every = filings.load(spark, path)
+    assert some.rdd.getNumPartitions() == 2 and every.rdd.getNumPartitions() == 1
+    assert every.count() == 9 and every.where("company = 'BOLT'").count() == 3 and every.count() == 9
+    assert filings.load(spark, path, ["NONE"]).count() == 0

@@ -1,31 +1,26 @@
 """A data source over a folder of filings: files are chosen by company and day from their names before any is opened.
 
-``spark.dataSource.register(Filings)``, then ``spark.read.format("filings").load(path)`` gives
-``company, filed, base, text``, a row for each file named COMPANY_yyyymmdd_base.ext. Conditions on company
-and day prune files while the scan is planned; Spark asks for ``spark.sql.python.filterPushdown.enabled`` to
-be set for that. ``filesPerTask`` files are one partition. Other names are no filings and are passed over. Paths are of any store that Arrow
-reads (files, HDFS, S3); for others ``readers.filings`` takes Spark's own file source.
+``load(spark, path, companies, since, until)`` gives ``company, filed, base, text``, a row for each file named
+COMPANY_yyyymmdd_base.ext; ``files_per_task`` files are one partition. Companies and days are options of the
+source, so that files are left out while the scan is planned. (They are not pushed down from conditions: a
+frame that is used with several conditions would keep those of the one before.) Other names are no filings
+and are passed over. Paths are of any store that Arrow reads (files, HDFS, S3); for others
+``readers.filings`` takes Spark's own file source.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyarrow import fs
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import StructType
 
 NAME = re.compile(r"([^_/]+)_(\d{8})_([^/]*?)(?:\.[^./]*)?$")
-#: How a condition judges a file's value against its own.
-CONDITIONS: dict[type[Filter], Callable] = {
-    EqualTo: lambda x, v: x == v, In: lambda x, v: x in v,
-    GreaterThan: lambda x, v: x > v, GreaterThanOrEqual: lambda x, v: x >= v,
-    LessThan: lambda x, v: x < v, LessThanOrEqual: lambda x, v: x <= v,
-}
-
-
 @dataclass
 class Named:
     """A file and what its name says."""
@@ -51,22 +46,16 @@ class Files(InputPartition):
 
 
 class FilingsReader(DataSourceReader):
-    def __init__(self, path: str, files_per_task: int) -> None:
-        self.path, self.files_per_task, self.conditions = path, files_per_task, []
+    """Files under ``path`` of the ``companies`` (all if there are none) filed from ``since`` to ``until``."""
 
-    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
-        """Keeps conditions on company and filed for planning; Spark applies all others."""
-        for f in filters:
-            if type(f) in CONDITIONS and f.attribute in (("company",), ("filed",)) and f.value is not None:
-                self.conditions.append((f.attribute[0], type(f), f.value))
-            else:
-                yield f
+    def __init__(self, path: str, files_per_task: int, companies: set[str], since: dt.date, until: dt.date) -> None:
+        self.path, self.files_per_task, self.companies, self.since, self.until = path, files_per_task, companies, since, until
 
     def chosen(self) -> list[Named]:
         store, root = fs.FileSystem.from_uri(self.path)
         paths = [x.path for x in store.get_file_info(fs.FileSelector(root, recursive=True)) if x.type == fs.FileType.File]
-        files = [n for n in map(named, paths) if n]
-        return sorted((n for n in files if all(CONDITIONS[kind](getattr(n, field), value) for field, kind, value in self.conditions)), key=lambda n: n.path)
+        wanted = [n for n in map(named, paths) if n and self.since <= n.filed <= self.until and (not self.companies or n.company in self.companies)]
+        return sorted(wanted, key=lambda n: n.path)
 
     def partitions(self) -> list[InputPartition]:
         files = self.chosen()
@@ -87,5 +76,14 @@ class Filings(DataSource):
     def schema(self) -> str:
         return "company string, filed date, base string, text string"
 
-    def reader(self, schema) -> FilingsReader:
-        return FilingsReader(self.options["path"], int(self.options.get("filesPerTask", "64")))
+    def reader(self, schema: StructType) -> FilingsReader:
+        day = lambda name, default: dt.date.fromisoformat(self.options.get(name, default))
+        companies = {c for c in self.options.get("companies", "").split(",") if c}
+        return FilingsReader(self.options["path"], int(self.options.get("filesPerTask", "64")), companies, day("since", "0001-01-01"), day("until", "9999-12-31"))
+
+
+def load(spark: SparkSession, path: str, companies: list[str] | None = None, since: dt.date | None = None, until: dt.date | None = None, files_per_task: int = 64) -> DataFrame:
+    """The filings of some companies (of all without a list; their names have no comma) and days, both ends included."""
+    spark.dataSource.register(Filings)
+    asked = {"companies": ",".join(companies) if companies else None, "since": since and since.isoformat(), "until": until and until.isoformat()}
+    return spark.read.format("filings").options(filesPerTask=files_per_task, **{k: v for k, v in asked.items() if v}).load(path)
