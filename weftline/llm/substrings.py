@@ -27,6 +27,8 @@ from .common import cut, join_hot, slices, table, whole_text
 WINDOW, GROUP, BLOCK = 50, 10, 128
 #: Words longer than this are compared by a 128-bit hash, so that a block has a size bound.
 LONG = 40
+#: Up to so many places are compared word by word.
+FEW = 6
 #: Odd multipliers of the rolling hashes.
 BASE, MIX = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
 
@@ -106,8 +108,25 @@ class Reference:
         """Where in the blocks the group of words at ``p`` of the text stands (its hash; ``agree`` settles it)."""
         return self.order[self.low[p] : self.high[p]] if 0 <= p < len(self.low) else self.order[:0]
 
+    def stretch(self, p: int, q: int, back: bool) -> int:
+        """How many words agree from text place ``p`` and block place ``q`` on, or before them, word by word."""
+        most, n, size = min(p, q) if back else min(len(self.text) - p, len(self.held) - q), 0, 64
+        while n < most:
+            k = min(size, most - n)
+            if back:
+                differ = self.text[p - n - k : p - n][::-1] != self.held[q - n - k : q - n][::-1]
+            else:
+                differ = self.text[p + n : p + n + k] != self.held[q + n : q + n + k]
+            first = int(differ.argmax())
+            if differ[first]:
+                return n + first
+            n, size = n + k, 2 * size
+        return n
+
     def agree(self, p: int, q: np.ndarray, back: bool = False) -> np.ndarray:
-        """How many words agree from text place ``p`` and block places ``q`` on, or before them; by halving, on sums of powers."""
+        """``stretch`` for each of several block places; of many (as in repetitive texts) by halving, on sums of powers."""
+        if len(q) <= FEW:
+            return np.array([self.stretch(p, x, back) for x in q.tolist()], dtype=np.int64)
         most = np.minimum(p, q) if back else np.minimum(len(self.text) - p, len(self.held) - q)
         got = np.zeros(len(q), dtype=np.int64)
         step = 1 << int(most.max(initial=0)).bit_length()
