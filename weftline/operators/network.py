@@ -25,19 +25,20 @@ def sliding_moments(rows: DataFrame, ends: DataFrame, width: int, value: str = "
     """``moments`` of the windows of ``width`` dates before each of ``ends`` (``win, end``), from running sums.
 
     ``rows`` is ``pos, node, value``. A pair's products are made and summed once along the calendar,
-    however much windows overlap; a window is the running sums at its end less those at its start, which
-    are read off at marker rows. So rows are pairs by dates, and not by windows by their width.
+    however much windows overlap; a window is the running sums at its end less those at its start. A
+    pair's row stands for all dates up to its next one, so it is met by an equi-join with the windows'
+    bounds. So rows are pairs by dates, and not by windows by their width.
     """
-    x = rows.select("node", F.col(value).alias("x"), (2 * F.col("pos") + 1).alias("at"), F.lit(None).cast("int").alias("win"), F.lit(0).alias("sign"))
-    bounds = ends.select("win", F.explode(F.array(F.struct((2 * F.col("end")).alias("at"), F.lit(1).alias("sign")), F.struct((2 * (F.col("end") - width)).alias("at"), F.lit(-1).alias("sign")))).alias("b"))
-    marks = rows.select("node").distinct().crossJoin(F.broadcast(bounds)).select("node", F.lit(0.0).alias("x"), "b.at", "win", "b.sign")  # nodes by windows
-    both = x.unionByName(marks)
-    i, j = both.select(F.col("node").alias("i"), "at", "win", "sign", "x"), both.select(F.col("node").alias("j"), "at", F.col("win").alias("w2"), F.col("sign").alias("s2"), F.col("x").alias("y"))
-    pairs = i.join(j, "at").where((F.col("i") < F.col("j")) & F.col("win").eqNullSafe(F.col("w2")) & (F.col("sign") == F.col("s2")))
-    so_far = Window.partitionBy("i", "j").orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
-    terms = {"n": F.when(F.col("sign") == 0, 1).otherwise(0), "sx": F.col("x"), "sy": F.col("y"), "sxy": F.col("x") * F.col("y"), "sxx": F.col("x") * F.col("x"), "syy": F.col("y") * F.col("y")}
-    summed = pairs.select("i", "j", "win", "sign", *[F.sum(e).over(so_far).alias(c) for c, e in terms.items()]).where("sign <> 0")
-    s = summed.groupBy("i", "j", "win").agg(*[F.sum(F.col("sign") * F.col(c)).alias(c) for c in terms]).where("n > 0")
+    edges = F.array(F.struct(F.col("end").alias("at"), F.lit(1).alias("sign")), F.struct((F.col("end") - width).alias("at"), F.lit(-1).alias("sign")))
+    bounds = ends.select("win", F.explode(edges).alias("b")).select("win", "b.at", "b.sign")  # two rows for each window
+    i, j = (rows.select("pos", F.col("node").alias(n), F.col(value).alias(v)) for n, v in (("i", "x"), ("j", "y")))
+    order = Window.partitionBy("i", "j").orderBy("pos")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    terms = {"n": F.lit(1), "sx": F.col("x"), "sy": F.col("y"), "sxy": F.col("x") * F.col("y"), "sxx": F.col("x") * F.col("x"), "syy": F.col("y") * F.col("y")}
+    summed = i.join(j, "pos").where("i < j").select("i", "j", "pos", F.lead("pos").over(order).alias("next"), *[F.sum(e).over(so_far).alias(c) for c, e in terms.items()])
+    upto = F.greatest(F.coalesce("next", "last"), F.col("pos") + 1)
+    held = summed.join(F.broadcast(bounds.agg(F.max("at").alias("last")))).withColumn("at", F.explode(F.sequence(F.col("pos") + 1, upto)))  # one row
+    s = held.join(F.broadcast(bounds), "at").groupBy("i", "j", "win").agg(*[F.sum(F.col("sign") * F.col(c)).alias(c) for c in terms]).where("n > 0")  # a calendar
     return s.select("win", "i", "j", "n", *centred())
 
 

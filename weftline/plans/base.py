@@ -43,16 +43,22 @@ def weekly_windows(spark, d: str, width: int = WIDTH, step: int = STEP) -> tuple
     return windows.members(ret, a, width, step), windows.hops(a, width, step)
 
 
-def edges(spark, d: str) -> DataFrame:
+def network_of(spark, d: str) -> tuple[DataFrame, DataFrame]:
+    """Edges ``win, i, j, rho`` of all windows, each product made once, and the windows' ends."""
     ret = once(weekly_returns(spark, d))
     a = panel.axis(ret)
-    return once(network.sliding_correlations(ret.join(F.broadcast(a), "ts"), windows.hops(a, WIDTH, STEP), WIDTH))  # a calendar
+    ends = windows.hops(a, WIDTH, STEP)
+    return once(network.sliding_correlations(ret.join(F.broadcast(a), "ts"), ends, WIDTH)), ends  # a calendar
+
+
+def edges(spark, d: str) -> DataFrame:
+    return network_of(spark, d)[0]
 
 
 def index_series(spark, d: str) -> DataFrame:
     """``win, end_ts, gapless, mean_abs_corr, clustering``: one row for each window, thousands at any data size."""
-    m, ends = weekly_windows(spark, d)
-    return once(network.factors(once(network.correlations(m))).join(ends, "win"))
+    e, ends = network_of(spark, d)
+    return once(network.factors(e).join(ends, "win"))
 
 
 def scored(spark, d: str) -> DataFrame:
