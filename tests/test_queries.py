@@ -37,6 +37,16 @@ def test_query_runs(spark, data, name):
     assert catalog.QUERIES[name](spark, data).count() > 0
 
 
+def test_entities_without_a_semicolon(spark, tmp_path):
+    pages = [(1, "<title>a &amp;&amp</title><p>b &quot;c&quot &am &a"), (2, "&copy &copy; &middot;x&middot &amp;quot; &amp;amp"), (3, None), (4, "")]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    got = catalog.QUERIES["html_to_text"](spark, str(tmp_path)).toPandas()
+    assert rows(got) == rows(c.sql(catalog.ORACLES["html_to_text"]).df())
+    assert dict(zip(got["page_id"], got["body"], strict=True))[1] == 'a &&amp b "c&quot &am &a'
+
+
 def test_hop_windows_leave_no_memory_table(spark, data, duck):
     df = catalog.QUERIES["stream_hop_windows"](spark, data)
     assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("hop_stream")]
