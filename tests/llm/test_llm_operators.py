@@ -341,6 +341,20 @@ def test_pseudonyms_keep_their_format_and_link(spark):
     assert hide(spark, ["x 4173893178530722."], "other")[0] != a
 
 
+def test_hosts_of_any_length(spark):
+    import re
+
+    long = "x@" + "a." * 50_000
+    got = hide(spark, [f"to {long}com now", f"to {long}1 now", f"to {long}de.{'1.' * 50_000} now"])
+    assert re.fullmatch(r"to \S+@\S+\.example now", got[0]) and got[1] == f"to {long}1 now"
+    assert re.fullmatch(r"to \S+@\S+\.example\.(1\.){50000} now", got[2])
+    rng, simple = random.Random(3), r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}"
+    texts = ["".join(rng.choice(["a", "b", "bc", "1", "-", ".", ".", ".", "k" * 62]) for _ in range(rng.randrange(1, 40))) for _ in range(4_000)]
+    found = lambda p: F.regexp_extract_all("t", F.lit(p), F.lit(0)).alias(f"p{len(p)}")
+    both = spark.createDataFrame([("x@" + t,) for t in texts], "t string").select(found(simple), found(pii.EMAIL)).collect()
+    assert all(a == b for a, b in both) and sum(len(a) for a, _ in both) > 500
+
+
 def test_bank_accounts(spark):
     import re
 
