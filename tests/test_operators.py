@@ -172,6 +172,11 @@ def test_plain_text(spark):
     assert plain("<script>a</style>b</script>c") == "c" and plain(None) is None
 
 
+def test_each_rule_takes_a_text_apart_once(spark):
+    shares = spark.createDataFrame([("a",)], "t string").select(text.concentration(F.col("t")).alias("c"))
+    assert shares._jdf.queryExecution().analyzed().toString().count("split(") == len(text.SHARE_RULES) + 1  # and the list of shares
+
+
 def test_shares_of_customers(spark):
     read = lambda t: [tuple(r) for r in spark.createDataFrame([(t,)], "t string").select(text.concentration(F.col("t")).alias("c")).first()["c"]]
     day = dt.date(2024, 6, 30)
