@@ -38,3 +38,18 @@ def test_pipeline(spark, data):
     assert out.select("doc_id").distinct().count() > 0.6 * docs.count()
     assert out.where("offset < 0 or offset + length > 16384").count() == 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "toxicity", "near_duplicates", "privacy", "packing"]
+
+
+def test_pipeline_without_a_secret_begins_nothing():
+    class Session:
+        sparkContext = type("C", (), {"master": "spark://host:7077"})
+        conf = type("R", (), {"get": staticmethod(lambda name, default: default)})
+
+    with pytest.raises(ValueError, match="weftline.pii.key"):
+        corpus_pipeline.run(Session(), "nowhere")
+
+
+def test_privacy_stage_with_a_long_host(spark, data):
+    docs = spark.createDataFrame([(1, "to x@" + "a." * 50_000 + "com now", "en", "s", 100_012)], spark.read.parquet(f"{data}/documents.parquet").schema)
+    out = corpus_pipeline.privacy(spark, docs, data).first()
+    assert out["text"].endswith(".example now") and out["n_chars"] == len(out["text"]) < 100
